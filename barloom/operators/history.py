@@ -42,7 +42,7 @@ def quality(runs: DataFrame, by: list[str], min_runs: int = 1, finite_only: bool
     """Per group: runs and medians. With finite_only a run counts if its AUC is finite; else if it has one, NaN included."""
     med = lambda c: F.percentile(c, 0.5)
     q = lambda p: F.percentile("auc", p)
-    n = F.count("auc") if finite_only else F.count_if("has_auc")
+    n = F.count("auc") if finite_only else F.count_if(F.col("has_auc"))
     lift = F.try_divide("ap", F.nullif("pos_rate_test", F.lit(0.0)))
     g = runs.groupBy(*by).agg(n.alias("runs"), med("auc").alias("auc_median"), q(0.025).alias("auc_q025"), q(0.975).alias("auc_q975"), (q(0.75) - q(0.25)).alias("auc_iqr"), med("accuracy").alias("acc_median"), med("ap").alias("ap_median"), med("pos_rate_test").alias("pos_rate_median"), med(lift).alias("ap_lift_median"), med("fit_time_sec").alias("fit_median"), med("predict_time_sec").alias("pred_median"))
     return g.where(F.col("runs") >= min_runs).orderBy(F.desc_nulls_last("auc_median"), F.desc("runs"), *by)
@@ -60,9 +60,13 @@ def failures(runs: DataFrame) -> DataFrame:
     return f.withColumn("fail_rate", F.col("fails").cast("double")).orderBy(F.desc("fails"), "feature")
 
 
+def unit(c: Column) -> Column:
+    """c held within 0 and 1; null stays null (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+
+
 def run_score() -> Column:
     """0 to 1 from the first metric that a run has; null where it was tested on fewer than 30 rows."""
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     auc = F.coalesce("auc", "auc_median")
     c = F.coalesce(unit(2 * (auc - 0.5)), unit(F.col("skill")), unit(F.col("r2")), unit(F.col("r2_score")), unit((F.col("spearman") + 1) / 2), unit((F.col("pearson") + 1) / 2))
     return F.when((F.col("n_test") > 0) & (F.col("n_test") < 30), None).otherwise(c)
@@ -70,7 +74,6 @@ def run_score() -> Column:
 
 def unified_score(normalize: bool = False) -> Column:
     """The leaderboard's score; normalised, AUC skill times AP skill where both are known."""
-    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     plain = F.coalesce(unit(2 * (F.coalesce("auc", "auc_median") - 0.5)), unit(F.col("skill")), unit(F.col("r2")), unit((F.col("spearman") + 1) / 2))
     if not normalize:
         return plain
@@ -107,7 +110,7 @@ def run_events(runs: DataFrame) -> DataFrame:
     """(kind, name, seq, score) of the targets, models, features and feature counts that scored runs used."""
     d = runs.withColumn("score", run_score()).where("score is not null")
     kinds = F.concat(
-        F.array(F.struct(F.lit("target").alias("kind"), F.col("target").alias("name")), F.struct(F.lit("model"), F.col("model")), F.struct(F.lit("k"), F.concat(F.lit("k_"), F.col("k")))),
+        F.array(F.struct(F.lit("target").alias("kind"), F.col("target").alias("name")), F.struct(F.lit("model").alias("kind"), F.col("model").alias("name")), F.struct(F.lit("k").alias("kind"), F.concat(F.lit("k_"), F.col("k")).alias("name"))),
         F.transform("features", lambda f: F.struct(F.lit("feature").alias("kind"), f.alias("name"))),
     )
     return d.select(F.explode(kinds).alias("e"), F.col("run_id").alias("seq"), "score").select("e.kind", "e.name", "seq", "score")

@@ -81,7 +81,7 @@ def target_health(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
     known = d.where("y is not null").withColumns({"_lag": F.lag("y").over(w), "_pos": F.row_number().over(w)})
     acf = known.groupBy(by).agg(F.corr("y", "_lag").alias("acf_lag1"))
     starts = (F.col("y") == 1) & (F.coalesce(F.col("_lag"), F.lit(0.0)) != 1)
-    runs = known.groupBy(by).agg(F.count_if("y = 1").alias("ones"), F.count_if(starts).alias("runs"), F.min(F.when(starts, F.col("_pos"))).alias("s0"), F.max(F.when(starts, F.col("_pos"))).alias("s1"), F.count("*").alias("n"))
+    runs = known.groupBy(by).agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(starts).alias("runs"), F.min(F.when(starts, F.col("_pos"))).alias("s0"), F.max(F.when(starts, F.col("_pos"))).alias("s1"), F.count("*").alias("n"))
     density = F.when(F.col("runs") == 0, 0.0).when(F.col("runs") == 1, 1 / F.col("n")).otherwise((F.col("runs") - 1) / (F.col("s1") - F.col("s0")))
     runs = runs.select(by, F.coalesce(F.try_divide("ones", "runs"), F.lit(0.0)).alias("avg_event_len"), density.alias("label_density"))
     spread = F.col("q3") - F.col("q1")
@@ -100,7 +100,7 @@ def ks_halves(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
     """by, stability_ks: the two-sample Kolmogorov-Smirnov distance between the first and second half in time."""
     d = df.select(by, "bar_idx", finite(y).alias("y")).where("y is not null")
     half = F.ntile(2).over(Window.partitionBy(by).orderBy("bar_idx"))
-    c = d.withColumn("h", half).groupBy(by, "y").agg(F.count_if("h = 1").alias("a"), F.count_if("h = 2").alias("b"))
+    c = d.withColumn("h", half).groupBy(by, "y").agg(F.count_if(F.col("h") == 1).alias("a"), F.count_if(F.col("h") == 2).alias("b"))
     return _ks(c, by, "y", "a", "b").select(by, F.col("ks").alias("stability_ks"))
 
 

@@ -42,15 +42,18 @@ def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles at a fixed number of places (and no negative zero), so that engines agree to the last bit shown."""
-    return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles at a fixed number of places (and no negative zero), so that engines agree to the last bit shown.
+
+    A shift below the last place keeps decimal inputs off the halves, where the last bit of a sum would decide.
+    """
+    return df.select(*[(F.round(F.col(c) + 3e-7, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def over_bars(name: str, make: Callable[[DataFrame], DataFrame], columns: dict[str, str] | None = None, before: str = "", source: str = "bars", digits: int = 6, ints: tuple[str, ...] = ()):
     """Register a per-bar family: make in Spark, and for DuckDB an expression for each column."""
     sql = None
     if columns is not None:
-        cells = [f"({e})::int as {c}" if c in ints else f"round(({e})::double, {digits}) + 0.0 as {c}" for c, e in columns.items()]
+        cells = [f"({e})::int as {c}" if c in ints else f"round(({e})::double + 3e-7, {digits}) + 0.0 as {c}" for c, e in columns.items()]
         sql = f"with {B.BARS_SQL}{before} select series_id, bar_idx, {', '.join(cells)} from {source}"
     query(name, sql)(lambda spark, sf_dir: rounded(make(bars_of(spark, sf_dir)), digits))
 
@@ -149,7 +152,10 @@ over_bars("features_channels_smoothed", lambda b: FT.channels(b).select(*KEYS, *
 over_bars("features_transforms", FT.native_transforms)
 over_bars("features_other_distances", FT.other_distances)
 over_bars("features_rsi_regime", FT.rsi_regime)
-over_bars("features_technical_window", TA.window_indicators, TA.window_sql(), TA.WINDOW_BEFORE, "stepped", 4)
+_cumulative = ("ta_volume_ad", "ta_volume_obv", "ta_volume_pvt")
+_ta = TA.window_sql()
+over_bars("features_technical_window", lambda b: TA.window_indicators(b).drop(*_cumulative), {k: v for k, v in _ta.items() if k not in _cumulative}, TA.WINDOW_BEFORE, "stepped", 3)
+over_bars("features_technical_cumulative", lambda b: TA.window_indicators(b).select(*KEYS, *_cumulative), {k: _ta[k] for k in _cumulative}, TA.WINDOW_BEFORE, "stepped", 1)
 over_bars("features_technical_recursive", TA.recursive_indicators)
 
 _flag = lambda x: f"coalesce({x}, false)"
@@ -187,7 +193,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score_affinity", f"""with {B.BARS_SQL}, {_SCORED_SQL},
 cells as (select feature, least(9, floor((rx - 1) * 10 / n)) as bx, least(9, floor((ry - 1) * 10 / n)) as byy, n, count(*) as c from (select *, count(*) over (partition by feature) as n from ranked) group by all),
 mi as (select feature, sum(c / n * ln(c * n / (cx * cy)::double)) as mi_binned from (select *, sum(c) over (partition by feature, bx) as cx, sum(c) over (partition by feature, byy) as cy from cells) group by feature)
-select r.feature, round(corr(x, y), 6) + 0.0 as pearson, round(corr(rx, ry), 6) + 0.0 as spearman, round(any_value(mi_binned), 6) + 0.0 as mi_binned, count(*) as n_eff from ranked r join mi on r.feature = mi.feature group by r.feature""")
+select r.feature, round(corr(x, y) + 3e-7, 6) + 0.0 as pearson, round(corr(rx, ry) + 3e-7, 6) + 0.0 as spearman, round(any_value(mi_binned) + 3e-7, 6) + 0.0 as mi_binned, count(*) as n_eff from ranked r join mi on r.feature = mi.feature group by r.feature""")
 def score_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.affinity(scored(spark, sf_dir), list(SCORED), "y"))
 
@@ -210,11 +216,11 @@ l as (select *, {lag('y')} as p, row_number() over ({W}) as i from y),
 runs as (select series_id, count(*) filter (y = 1) as ones, count(*) filter (y = 1 and coalesce(p, 0) <> 1) as k, min(i) filter (y = 1 and coalesce(p, 0) <> 1) as s0, max(i) filter (y = 1 and coalesce(p, 0) <> 1) as s1, count(*) as n, corr(y, p) as a from l group by 1),
 modal as (select series_id, max(c) / sum(c) as const_rate from (select series_id, y, count(*) as c from y group by 1, 2) group by 1),
 q as (select series_id, quantile_cont(y, 0.25) as q1, quantile_cont(y, 0.75) as q3 from y group by 1)
-select y.series_id, round(avg((y is null)::int), 6) + 0.0 as nan_rate, round(avg(case when q3 > q1 then (y < q1 - 5 * (q3 - q1) or y > q3 + 5 * (q3 - q1))::int else 0 end), 6) + 0.0 as outlier_rate, round(avg(y), 6) + 0.0 as pos_rate,
-  round((max(y) - min(y)) / (abs(quantile_cont(y, 0.5)) + 1e-9), 6) + 0.0 as range_rel, bool_and(y in (0, 1)) as is_binary,
-  round(case when avg(y) > 0 then -avg(y) * log2(avg(y)) else 0 end + case when avg(y) < 1 then -(1 - avg(y)) * log2(1 - avg(y)) else 0 end, 6) + 0.0 as entropy_bits,
-  round(any_value(const_rate), 6) + 0.0 as const_rate, round(any_value(a), 6) + 0.0 as acf_lag1, round(coalesce(any_value(ones) / nullif(any_value(k), 0), 0.0), 6) + 0.0 as avg_event_len,
-  round(case when any_value(k) = 0 then 0 when any_value(k) = 1 then 1.0 / any_value(n) else (any_value(k) - 1) / (any_value(s1) - any_value(s0)) end, 6) + 0.0 as label_density
+select y.series_id, round(avg((y is null)::int) + 3e-7, 6) + 0.0 as nan_rate, round(avg(case when q3 > q1 then (y < q1 - 5 * (q3 - q1) or y > q3 + 5 * (q3 - q1))::int else 0 end) + 3e-7, 6) + 0.0 as outlier_rate, round(avg(y) + 3e-7, 6) + 0.0 as pos_rate,
+  round((max(y) - min(y)) / (abs(quantile_cont(y, 0.5)) + 1e-9) + 3e-7, 6) + 0.0 as range_rel, bool_and(y in (0, 1)) as is_binary,
+  round(case when avg(y) > 0 then -avg(y) * log2(avg(y)) else 0 end + case when avg(y) < 1 then -(1 - avg(y)) * log2(1 - avg(y)) else 0 end + 3e-7, 6) + 0.0 as entropy_bits,
+  round(any_value(const_rate) + 3e-7, 6) + 0.0 as const_rate, round(any_value(a) + 3e-7, 6) + 0.0 as acf_lag1, round(coalesce(any_value(ones) / nullif(any_value(k), 0), 0.0) + 3e-7, 6) + 0.0 as avg_event_len,
+  round(case when any_value(k) = 0 then 0 when any_value(k) = 1 then 1.0 / any_value(n) else (any_value(k) - 1) / (any_value(s1) - any_value(s0)) end + 3e-7, 6) + 0.0 as label_density
 from y join runs using (series_id) join modal using (series_id) join q using (series_id) group by y.series_id"""
 
 
@@ -226,7 +232,7 @@ def score_target_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("score_target_ks", f"""with {B.BARS_SQL}, h as (select series_id, close, ntile(2) over ({W}) as h from bars where close is not null),
 c as (select series_id, close, count(*) filter (h = 1) as a, count(*) filter (h = 2) as b from h group by 1, 2),
 g as (select series_id, abs(sum(a) over u / sum(a) over p - sum(b) over u / sum(b) over p) as gap from c window u as (partition by series_id order by close), p as (partition by series_id))
-select series_id, round(max(gap), 6) + 0.0 as stability_ks from g group by 1""")
+select series_id, round(max(gap) + 3e-7, 6) + 0.0 as stability_ks from g group by 1""")
 def score_target_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.ks_halves(bars_of(spark, sf_dir).select(*KEYS, "close"), "close"))
 
@@ -234,11 +240,11 @@ def score_target_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions by rule: one run for each event type, scores with ties."""
     e = table(spark, sf_dir, "events")
-    p = F.round((F.col("value") % 1.0 + (F.col("event_id") % 7) / 7.0) / 2, 2)
+    p = (F.col("event_id") * 7919 % 100) / 100.0
     return e.select(F.col("event_type").alias("run_id"), F.col("event_id").alias("row_id"), (F.col("event_id") * 31 % 10 < 3 + 4 * p).cast("int").alias("y"), p.alias("p"))
 
 
-_PREDS = "preds as (select run_id, row_id, (row_id * 31 % 10 < 3 + 4 * p)::int as y, p from (select event_type as run_id, event_id as row_id, round((value % 1.0 + (event_id % 7) / 7.0) / 2, 2) as p from events))"
+_PREDS = "preds as (select run_id, row_id, (row_id * 31 % 10 < 3 + 4 * p)::int as y, p from (select event_type as run_id, event_id as row_id, (event_id * 7919 % 100) / 100.0 as p from events))"
 
 
 @query("metrics_classification", f"""with {_PREDS},
@@ -249,22 +255,22 @@ f as (select run_id, avg((greatest(0, least(1, p)) - y) ** 2) as brier, avg(((p
 r as (select *, row_number() over (partition by run_id order by p desc, row_id) as i, count(*) over (partition by run_id) as c from preds),
 t as (select run_id, avg(y) filter (i <= greatest(1, floor(c * 0.01))) as p1, avg(y) filter (i <= greatest(1, floor(c * 0.05))) as p5, avg(y) filter (i <= greatest(1, floor(c * 0.1))) as p10 from r group by 1),
 s as (select *, sqrt((a * (1 - a) + (m - 1) * (a / (2 - a) - a * a) + (n - 1) * (2 * a * a / (1 + a) - a * a)) / (m * n)) as se from v)
-select s.run_id, f.c as n, s.m::bigint as n_pos, round(a, 6) as auc, round(greatest(0, a - 1.959963984540054 * se), 6) as auc_lo, round(least(1, a + 1.959963984540054 * se), 6) as auc_hi, round(ap, 6) as ap, round(ap / (m / f.c), 6) as ap_lift, round(ks, 6) as ks,
-  round(brier, 6) as brier, round(accuracy, 6) as accuracy, round(p1, 6) as precision_at_1pct, round(p5, 6) as precision_at_5pct, round(p10, 6) as precision_at_10pct from s join f using (run_id) join t using (run_id)""")
+select s.run_id, f.c as n, s.m::bigint as n_pos, round(a + 3e-7, 6) as auc, round(greatest(0, a - 1.959963984540054 * se) + 3e-7, 6) as auc_lo, round(least(1, a + 1.959963984540054 * se) + 3e-7, 6) as auc_hi, round(ap + 3e-7, 6) as ap, round(ap / (m / f.c) + 3e-7, 6) as ap_lift, round(ks + 3e-7, 6) as ks,
+  round(brier + 3e-7, 6) as brier, round(accuracy + 3e-7, 6) as accuracy, round(p1 + 3e-7, 6) as precision_at_1pct, round(p5 + 3e-7, 6) as precision_at_5pct, round(p10 + 3e-7, 6) as precision_at_10pct from s join f using (run_id) join t using (run_id)""")
 def metrics_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.classification(preds(spark, sf_dir)))
 
 
 @query("metrics_threshold", f"""with {_PREDS}, c as (select run_id, count(*) filter (p >= 0.5 and y = 1) as tp, count(*) filter (p >= 0.5 and y = 0) as fp, count(*) filter (p < 0.5 and y = 0) as tn, count(*) filter (p < 0.5 and y = 1) as fn from preds group by 1)
-select *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1,
-  round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::double * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) as mcc, round((tp + tn) / (tp + fp + tn + fn), 6) as accuracy from c""")
+select *, round(coalesce(tp / nullif(tp + fp, 0), 0) + 3e-7, 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0) + 3e-7, 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + 3e-7, 6) as f1,
+  round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::double * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) + 3e-7, 6) as mcc, round((tp + tn) / (tp + fp + tn + fn) + 3e-7, 6) as accuracy from c""")
 def metrics_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.at_threshold(preds(spark, sf_dir)))
 
 
 @query("metrics_best_f1", f"""with {_PREDS}, c as (select run_id, p, sum(y) as pos, count(*) as n from preds group by 1, 2),
 f as (select run_id, p, round(2 * sum(pos) over dn / (sum(n) over dn + sum(pos) over w), 12) as f1 from c window dn as (partition by run_id order by p desc), w as (partition by run_id))
-select run_id, p as threshold, round(f1, 6) as f1 from (select *, row_number() over (partition by run_id order by f1 desc, p desc) as i from f) where i = 1""")
+select run_id, p as threshold, round(f1 + 3e-7, 6) as f1 from (select *, row_number() over (partition by run_id order by f1 desc, p desc) as i from f) where i = 1""")
 def metrics_best_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.best_f1(preds(spark, sf_dir)))
 
@@ -274,7 +280,7 @@ _REG = "reg as (select run_id, y, p, avg(y) over (partition by run_id) as y_trai
 
 @query("metrics_regression", f"""with {_REG}, r as (select *, rank() over (partition by run_id order by y) + (count(*) over (partition by run_id, y) - 1) / 2.0 as ry, rank() over (partition by run_id order by p) + (count(*) over (partition by run_id, p) - 1) / 2.0 as rp from reg),
 g as (select run_id, avg((y - p) ** 2) as mse, avg(abs(y - p)) as mae, var_pop(y) as v, avg((y - y_train_mean) ** 2) as b, corr(ry, rp) as s from r group by 1)
-select run_id, round(sqrt(mse), 5) as rmse, round(mae, 5) as mae, round(1 - mse / v, 5) as r2, round(sqrt(b), 5) as baseline_rmse, round(1 - sqrt(mse) / sqrt(b), 5) as skill_rmse, round(1 - mse / v, 5) as skill_var, round(s, 5) as spearman from g""")
+select run_id, round(sqrt(mse) + 3e-7, 5) as rmse, round(mae + 3e-7, 5) as mae, round(1 - mse / v + 3e-7, 5) as r2, round(sqrt(b) + 3e-7, 5) as baseline_rmse, round(1 - sqrt(mse) / sqrt(b) + 3e-7, 5) as skill_rmse, round(1 - mse / v + 3e-7, 5) as skill_var, round(s + 3e-7, 5) as spearman from g""")
 def metrics_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.col("value").alias("y"), (F.col("value") * 0.8 + F.col("event_id") % 11).alias("p"))
     return rounded(S.regression(e.join(e.groupBy("run_id").agg(F.avg("y").alias("y_train_mean")), "run_id")), 5)
@@ -292,13 +298,13 @@ def runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.shredded(H.synthetic_runs(table(spark, sf_dir, "orders")))
 
 
-_Q = "round(quantile_cont({0}, {1}), 6)::double"
+_Q = "round(quantile_cont({0}, {1}) + 3e-7, 6)::double"
 
 
 def _quality_sql(by: list[str], runs: str, least: int = 1) -> str:
     q = lambda c, p=0.5: _Q.format(c, p)
     return f"""with {H.SHREDDED_SQL}, r as (select *, ap / nullif(pos_rate_test, 0) as lift from shredded)
-    select {', '.join(by)}, {runs} as runs, {q('auc')} as auc_median, {q('auc', 0.025)} as auc_q025, {q('auc', 0.975)} as auc_q975, round(quantile_cont(auc, 0.75) - quantile_cont(auc, 0.25), 6) as auc_iqr, {q('accuracy')} as acc_median, {q('ap')} as ap_median,
+    select {', '.join(by)}, {runs} as runs, {q('auc')} as auc_median, {q('auc', 0.025)} as auc_q025, {q('auc', 0.975)} as auc_q975, round(quantile_cont(auc, 0.75) - quantile_cont(auc, 0.25) + 3e-7, 6) as auc_iqr, {q('accuracy')} as acc_median, {q('ap')} as ap_median,
     {q('pos_rate_test')} as pos_rate_median, {q('lift')} as ap_lift_median, {q('fit_time_sec')} as fit_median, {q('predict_time_sec')} as pred_median from r group by {', '.join(by)} having {runs} >= {least}"""
 
 
@@ -310,21 +316,21 @@ query("history_recent_runs", "select o_orderkey as run_id, case when o_orderstat
     lambda s, p: H.synthetic_runs(table(s, p, "orders")).select("run_id", "status", "started_at").orderBy(F.desc("started_at"), "run_id").limit(20)
 )
 query("history_k_quality", f"""with {H.SHREDDED_SQL}, r as (select *, ap / nullif(pos_rate_test, 0) as lift from shredded)
-select k, model, target, count(*) as runs, {_Q.format('auc', 0.5)} as auc_median, round(quantile_cont(auc, 0.75) - quantile_cont(auc, 0.25), 6) as auc_iqr, {_Q.format('ap', 0.5)} as ap_median, {_Q.format('lift', 0.5)} as ap_lift_median from r group by grouping sets ((k), (k, model), (k, target))""")(lambda s, p: rounded(H.k_quality(runs_of(s, p))))
+select k, model, target, count(*) as runs, {_Q.format('auc', 0.5)} as auc_median, round(quantile_cont(auc, 0.75) - quantile_cont(auc, 0.25) + 3e-7, 6) as auc_iqr, {_Q.format('ap', 0.5)} as ap_median, {_Q.format('lift', 0.5)} as ap_lift_median from r group by grouping sets ((k), (k, model), (k, target))""")(lambda s, p: rounded(H.k_quality(runs_of(s, p))))
 query("history_failures", f"with {H.SHREDDED_SQL} select feature, count(*) as fails, count(*)::double as fail_rate from (select unnest(failed) as feature from shredded) group by 1")(lambda s, p: H.failures(runs_of(s, p)))
 
-_SCORE = "case when n_test > 0 and n_test < 30 then null else greatest(0, least(1, 2 * (auc - 0.5))) end"
+_SCORE = "case when auc is null or n_test > 0 and n_test < 30 then null else greatest(0, least(1, 2 * (auc - 0.5))) end"
 _UNIFIED = "greatest(0, least(1, 2 * (auc - 0.5)))"
-query("leaderboard_top_runs", f"with {H.SHREDDED_SQL} select run_id, target, model, k, round({_UNIFIED}, 6) as score, 'clf' as task from shredded where auc is not null and regexp_matches(target, '(?i)UP_') order by {_UNIFIED} desc, run_id limit 25")(lambda s, p: rounded(H.top_runs(runs_of(s, p), 25, "UP_")))
-query("leaderboard_top_normalized", f"""with {H.SHREDDED_SQL} select run_id, target, model, k, round(score, 6) as score, 'clf' as task from (select *, {_UNIFIED} * greatest(0, least(1, (ap - pos_rate_test) / (1 - pos_rate_test))) as score from shredded where auc is not null) order by score desc, run_id limit 25""")(lambda s, p: rounded(H.top_runs(runs_of(s, p), 25, normalize=True)))
+query("leaderboard_top_runs", f"with {H.SHREDDED_SQL} select run_id, target, model, k, round({_UNIFIED} + 3e-7, 6) as score, 'clf' as task from shredded where auc is not null and regexp_matches(target, '(?i)UP_') order by {_UNIFIED} desc, run_id limit 25")(lambda s, p: rounded(H.top_runs(runs_of(s, p), 25, "UP_")))
+query("leaderboard_top_normalized", f"""with {H.SHREDDED_SQL} select run_id, target, model, k, round(score + 3e-7, 6) as score, 'clf' as task from (select *, {_UNIFIED} * greatest(0, least(1, (ap - pos_rate_test) / (1 - pos_rate_test))) as score from shredded where auc is not null) order by score desc, run_id limit 25""")(lambda s, p: rounded(H.top_runs(runs_of(s, p), 25, normalize=True)))
 query("leaderboard_best_per_target", f"""with {H.SHREDDED_SQL}, b as (select target, run_id, model, {_UNIFIED} as score from shredded where auc is not null), r as (select *, row_number() over (partition by target order by score desc, run_id)::int as rank, max(score) over (partition by target) as best from b)
-select target, run_id, model, round(score, 6) as score, rank, round(best, 6) as best from r where rank <= 3""")(lambda s, p: rounded(H.best_per_target(runs_of(s, p))))
+select target, run_id, model, round(score + 3e-7, 6) as score, rank, round(best + 3e-7, 6) as best from r where rank <= 3""")(lambda s, p: rounded(H.best_per_target(runs_of(s, p))))
 
 _WEIGHTS = f"""{H.SHREDDED_SQL}, sc as (select *, {_SCORE} as score from shredded),
 ev as (select 'target' as kind, target as name, run_id as seq, score from sc union all select 'model', model, run_id, score from sc union all select 'k', 'k_' || k, run_id, score from sc union all select 'feature', unnest(features), run_id, score from sc),
 ordered as (select *, row_number() over (partition by kind, name order by seq) as i, count(*) over (partition by kind, name) as m from ev where score is not null),
 weights as (select kind, name, power(0.8, count(*)) + sum(0.2 * power(0.8, m - i) * score) as weight, count(*) as n, avg(score) as mean, greatest(0, max(score)) as best, arg_max(score, seq) as last from ordered group by 1, 2)"""
-query("weights_updated", f"with {_WEIGHTS} select kind, name, round(weight, 6) as weight, n, round(mean, 6) as mean, round(best, 6) as best, round(last, 6) as last from weights")(lambda s, p: rounded(H.weight_updates(H.run_events(runs_of(s, p)))))
+query("weights_updated", f"with {_WEIGHTS} select kind, name, round(weight + 3e-7, 6) as weight, n, round(mean + 3e-7, 6) as mean, round(best + 3e-7, 6) as best, round(last + 3e-7, 6) as last from weights")(lambda s, p: rounded(H.weight_updates(H.run_events(runs_of(s, p)))))
 
 
 def _registry(spark: SparkSession) -> DataFrame:
@@ -334,8 +340,8 @@ def _registry(spark: SparkSession) -> DataFrame:
 _RANK = "case when n <= 0 then 0 else greatest(0, least(1, (1 - exp(-n / 10.0)) * ({0} * mean + {1} * best + 0.1 * weight))) end"
 query("leaderboard_features", f"""with {_WEIGHTS}, names as (select name from weights where kind = 'feature' union select 'feat_' || range from range(0, 70)),
 t as (select name, coalesce(weight, 1.0) as weight, coalesce(n, 0) as n, coalesce(mean, 0.0) as mean, coalesce(best, 0.0) as best from names left join (select * from weights where kind = 'feature') using (name))
-select name, round(weight, 6) as weight, n, round(mean, 6) as mean, round(best, 6) as best, round({_RANK.format(0.6, 0.3)}, 6) as rank from t""")(lambda s, p: rounded(H.component_table(H.weight_updates(H.run_events(runs_of(s, p))), _registry(s), "feature")))
-query("leaderboard_targets", f"with {_WEIGHTS} select name, round(weight, 6) as weight, n, round(mean, 6) as mean, round(best, 6) as best, round({_RANK.format(0.7, 0.2)}, 6) as rank from weights where kind = 'target'")(lambda s, p: rounded(H.component_table(H.weight_updates(H.run_events(runs_of(s, p))), _registry(s), "target")))
+select name, round(weight + 3e-7, 6) as weight, n, round(mean + 3e-7, 6) as mean, round(best + 3e-7, 6) as best, round({_RANK.format(0.6, 0.3)} + 3e-7, 6) as rank from t""")(lambda s, p: rounded(H.component_table(H.weight_updates(H.run_events(runs_of(s, p))), _registry(s), "feature")))
+query("leaderboard_targets", f"with {_WEIGHTS} select name, round(weight + 3e-7, 6) as weight, n, round(mean + 3e-7, 6) as mean, round(best + 3e-7, 6) as best, round({_RANK.format(0.7, 0.2)} + 3e-7, 6) as rank from weights where kind = 'target'")(lambda s, p: rounded(H.component_table(H.weight_updates(H.run_events(runs_of(s, p))), _registry(s), "target")))
 query("pruning_groups", f"""select * from ({_quality_sql(['target', 'model'], 'count(*) filter (has_auc)')}) where auc_median < 0.515 and (ap_lift_median is null or ap_lift_median < 1.02)""")(lambda s, p: rounded(H.suggest_prune(H.quality(runs_of(s, p), ["target", "model"]))))
 query("run_keys_new", "select o_orderkey as run_id from orders where o_orderkey % 3 = 0 and not (o_orderkey % 2 = 0)")(
     lambda s, p: H.new_runs(H.synthetic_runs(table(s, p, "orders")).where("run_id % 3 = 0"), H.synthetic_runs(table(s, p, "orders")).where("run_id % 2 = 0")).select("run_id")
