@@ -62,7 +62,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def with_columns(df: DataFrame, keep: list[str], source: str, made: str, fn, rows: int = 512) -> DataFrame:
+def with_columns(df: DataFrame, keep: list[str], source: str, made: str, fn, rows: int = 128) -> DataFrame:
     """The columns keep of df as they are, and those of the DDL schema made, computed by fn from lists of source's values.
 
     fn gets at most `rows` values at a time and returns one sequence for each new column. Columns travel as Arrow
@@ -84,6 +84,7 @@ def with_columns(df: DataFrame, keep: list[str], source: str, made: str, fn, row
                 got = fn(batch.column(source).to_pylist())
                 arrays = [batch.column(c) for c in keep] + [pa.array(v, type=f.type, from_pandas=False) for v, f in zip(got, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *arrow.names])
+            pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(made_of, out)
 
@@ -127,7 +128,7 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return mix(out ^ np.uint64(n))
 
 
-def shingle_sets(texts: list[str | None], n: int = SHINGLE_WORDS, block_chars: int = 2_000_000):
+def shingle_sets(texts: list[str | None], n: int = SHINGLE_WORDS, block_chars: int = 400_000):
     """Yields (position, sorted distinct shingle hashes) of each text; a text of 1 to n-1 words is one shingle.
 
     Words are hashed for many texts at once; a block holds about block_chars characters, or one longer text.
@@ -164,7 +165,7 @@ class Encoder:
     The cache is bounded.
     """
 
-    CACHE = 1_000_000  # pieces, some 200 bytes each
+    CACHE = 150_000  # pieces, some 200 bytes each
     _loaded: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):

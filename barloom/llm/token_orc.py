@@ -37,8 +37,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         part, seq = TaskContext.get().partitionId(), 0
         encoder = Encoder.at(vocabulary or tokenizer_path())
         for whole in it:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
                 coded = [encoder.ids(t) + end for t in batch.column("text").to_pylist()]
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in coded])], pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
                 n = len(coded)

@@ -47,7 +47,7 @@ def vocabulary(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.stack(own, axis=1).view(np.int64)
 
 
-def blocks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, list[list[str]]]]:
+def blocks(texts: list[str | None], chars: int = 300_000) -> Iterator[tuple[int, list[list[str]]]]:
     """Runs of texts with about so many characters: the first position and each text's words."""
     i = 0
     while i < len(texts):
