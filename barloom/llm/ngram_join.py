@@ -311,10 +311,10 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
             gone = F.broadcast(gone)
         return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*back)
     # ids repeat: the digest says which of an id's texts stay, and equal rows are thinned to one
-    chosen = found.where(stays).groupBy("doc_id", "hi", "lo").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_id"), "hi", "lo", "_n")
+    chosen = found.where(stays).groupBy("doc_id", "hi", "lo").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_id"), F.col("hi").alias("_chi"), F.col("lo").alias("_clo"), "_n")
     rows = with_columns(docs.withColumn("_text", F.col("text")), names, "_text", "_hi long, _lo long", lambda texts: list(zip(*[digest(s) for _, s in shingle_sets(texts)], strict=True)) or [[], []])
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hi") == F.col("hi")) & (F.col("_lo") == F.col("lo")))
-    kept = materialize(kept.select(*back, "hi", "lo", "_n"), "kept")
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hi") == F.col("_chi")) & (F.col("_lo") == F.col("_clo")))
+    kept = materialize(kept.select(*back, "_hi", "_lo", "_n"), "kept")
     none = digest(np.zeros(0, np.uint64))
-    single = (F.col("_n") == 1) | ((F.col("hi") == none[0]) & (F.col("lo") == none[1]))
-    return kept.where(single).unionByName(kept.where(~single).dropDuplicates(["hi", "lo"])).select(*back)
+    single = (F.col("_n") == 1) | ((F.col("_hi") == none[0]) & (F.col("_lo") == none[1]))
+    return kept.where(single).unionByName(kept.where(~single).dropDuplicates(["_hi", "_lo"])).select(*back)
