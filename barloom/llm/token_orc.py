@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = Encoder.at(vocabulary or tokenizer_path())
+        encoder = Encoder.at(vocabulary or tokenizer_path(), 600_000)
         for whole in it:
             for k in range(0, whole.num_rows, 128):
                 batch = whole.slice(k, 128)
