@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +14,12 @@ VOLUMES = ("volume", "quote_volume", "n_trades", "taker_buy_base_vol", "taker_bu
 
 def from_ticks(ticks: DataFrame, step: str = STEP) -> DataFrame:
     """series_id, ts and OHLCV of each step in which a series has a tick (series_id, ts, value)."""
-    t = ticks.select("series_id", F.window("ts", step)["start"].alias("bucket"), "ts", finite("value").alias("value")).where("value is not null")
-    return t.groupBy("series_id", F.col("bucket").alias("ts")).agg(
+    t = ticks.select("series_id", "ts", finite("value").alias("value")).where("value is not null")
+    g = t.groupBy("series_id", F.window("ts", step).alias("bucket")).agg(
         F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"),
         F.round(F.sum("value"), 6).alias("volume"), F.count("*").cast("double").alias("n_trades"),
     )
+    return g.select("series_id", F.col("bucket.start").alias("ts"), "open", "high", "low", "close", "volume", "n_trades")
 
 
 def first_of_each(bars: DataFrame, position: str | None = None) -> DataFrame:
@@ -27,14 +29,25 @@ def first_of_each(bars: DataFrame, position: str | None = None) -> DataFrame:
     return bars.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def fill(bars: DataFrame, step: str = STEP, until=None) -> DataFrame:
-    """Every step from a series' first to last bar (or to `until`, at most now).
+def on_grid(time: str, step: str, up: bool) -> str:
+    """The time, moved up or down to a multiple of step since 1970."""
+    t = pd.Timestamp(time)
+    return str(t.ceil(pd.Timedelta(step)) if up else t.floor(pd.Timedelta(step)))
+
+
+def fill(bars: DataFrame, step: str = STEP, start: str | None = None, until: str | None = None) -> DataFrame:
+    """Every step from a series' first bar (or `start`) to its last bar (or to `until`, at most now).
 
     Rows off the grid are dropped; a bar with any price missing takes the last close for all four; what has volume gets 0 there.
     Adds bar_idx, is_gap, gap_len, is_imputed_price and, with a volume column, is_imputed_volume.
     """
-    last = F.max("ts") if until is None else F.least(F.lit(until).cast(bars.schema["ts"].dataType), F.date_trunc("minute", F.current_timestamp()).cast(bars.schema["ts"].dataType))
-    spine = bars.groupBy("series_id").agg(F.min("ts").alias("t0"), last.alias("t1"))
+    kind = bars.schema["ts"].dataType
+    first, last = F.min("ts"), F.max("ts")
+    if start is not None:
+        first = F.lit(on_grid(start, step, True)).cast(kind)
+    if until is not None:
+        last = F.least(F.lit(on_grid(until, step, False)).cast(kind), F.date_trunc("minute", F.current_timestamp()).cast(kind))
+    spine = bars.groupBy("series_id").agg(first.alias("t0"), last.alias("t1")).where("t0 <= t1")
     spine = spine.select("series_id", F.explode(F.expr(f"sequence(t0, t1, interval {step})")).alias("ts"))
     df = spine.join(bars, ["series_id", "ts"], "left")
     w = Window.partitionBy("series_id").orderBy("ts")
