@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import bars as B
+from barloom.operators import dependence as D
 from barloom.operators import experiments as E
 from barloom.operators import features as FT
 from barloom.operators import history as H
@@ -15,6 +16,9 @@ from barloom.operators import scores as S
 from barloom.operators import targets as T
 from barloom.operators import technical as TA
 from barloom.operators.exprs import KEYS
+from barloom.sources.shared import fresh_path
+from barloom.sources.store import Store
+from barloom.streaming import bars as SB
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -384,3 +388,34 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("flagship_feature_ranking")(flagship)
+
+
+@query("score_dependence")
+def score_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.dependence(scored(spark, sf_dir), list(SCORED), "y"))
+
+
+@query("stream_closed_bars", f"""with {B.BARS_SQL} select series_id, ts::varchar as ts, open, high, low, close, volume, n_trades from raw
+where ts + interval 5 minutes <= (select max(ts) - interval 10 minutes from events)""")
+def stream_closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars that a stream over events has closed when it has read all of them."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(F.col("event_type").alias("series_id"), "ts", "value")
+    out, checkpoint = fresh_path(spark, "closed-bars"), fresh_path(spark, "closed-bars-checkpoint")
+    SB.closed_bars(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("store_feature_matrix", f"""with {B.BARS_SQL} select series_id, bar_idx, close, round({z(f"{d('close', lag('close'))} - 1")} + 3e-7, 6) + 0.0 as pct_change,
+(coalesce({lead('close', 5)} > close, false))::int as future_up_5 from bars""")
+def store_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset, a feature and a target, each stored, read again and joined."""
+    store = Store(spark, fresh_path(spark, "store"))
+    store.save("events", bars_of(spark, sf_dir))
+    bars = store.load("events")
+    store.save_column("events", "feature", "pct_change", FT.momentum(bars))
+    store.save_column("events", "target", "future_up_5", T.future(bars))
+    x = bars.select(*KEYS, "close")
+    for kind, name in (("feature", "pct_change"), ("target", "future_up_5")):
+        x = x.join(store.load_column("events", kind, name), list(KEYS))
+    return rounded(x)
