@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +65,60 @@ def folds(df: DataFrame, k: int = 5, kind: str = "expanding", gap: int = 0, min_
     return d.where((F.col("train_end") >= min_train) & (F.col("test_end") - F.col("test_start") >= min_test))
 
 
-def estimator(name: str, n_rows: int, features: list[str]):
-    """A pipeline for a model name: median imputation, then scaling and the learner. MLPs have no batch norm or dropout here."""
+def labelled(df: DataFrame, model: str) -> tuple[DataFrame, int]:
+    """Adds what a learner needs besides y, and the number of classes: label counts the distinct targets from 0 in ascending
+    order, held marks a tenth of the rows, by which boosting knows when to stop."""
+    if model.startswith("hgb_"):
+        return df.withColumn("held", F.pmod(F.xxhash64(*KEYS), F.lit(10)) == 0), 2
+    if model != "tf_mlp_multiclass":
+        return df, 2
+    values = sorted(r[0] for r in df.select("y").distinct().collect())
+    return df.withColumn("label", (F.array_position(F.array(*map(F.lit, values)), F.col("y")) - 1).cast("double")), max(2, len(values))
+
+
+def last_round(losses: list[float], patience: int = 10, tol: float = 1e-7) -> int | None:
+    """The round at which none of the last `patience` losses is below the one before them by more than tol; None if there is none."""
+    return next((k for k in range(patience + 1, len(losses) + 1) if min(losses[k - patience : k]) >= losses[k - patience - 1] - tol), None)
+
+
+class Boosting(Estimator):
+    """Boosting on the rows not held, until ten rounds in a row leave the loss of the held ones where it was, or maxIter is reached.
+
+    spark.ml's own validation ends with the first round that doesn't help, so the ensemble is grown in doubling steps instead and
+    fitted anew up to the round found; equal seeds give equal trees.
+    """
+
+    def __init__(self, learner):
+        super().__init__()
+        self.learner = learner
+
+    def _fit(self, dataset: DataFrame):
+        seen, held = dataset.where("not held").persist(), dataset.where("held").persist()
+        try:
+            most = self.learner.getMaxIter()
+            can_stop, n = held.count() > 0, min(100, most)
+            while True:
+                n = n if can_stop else most
+                model = self.learner.copy({self.learner.maxIter: n}).fit(seen)
+                if not can_stop:
+                    return model
+                losses = model.evaluateEachIteration(held) if "Classifi" in type(model).__name__ else model.evaluateEachIteration(held, "squared")
+                stop = last_round(losses)
+                if stop is not None and stop < n:
+                    return self.learner.copy({self.learner.maxIter: stop}).fit(seen)
+                if stop == n or n == most:
+                    return model
+                n = min(2 * n, most)
+        finally:
+            seen.unpersist()
+            held.unpersist()
+
+
+def estimator(name: str, n_rows: int, features: list[str], classes: int = 2):
+    """A pipeline for a model name: median imputation, then scaling and the learner. MLPs have no batch norm or dropout here.
+
+    Boosting and tf_mlp_multiclass need the columns of labelled().
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
     from pyspark.ml import regression as R
@@ -73,51 +126,58 @@ def estimator(name: str, n_rows: int, features: list[str]):
 
     filled = [f"_{c}" for c in features]
     common = dict(featuresCol="x", labelCol="y")
+    boosting = dict(stepSize=0.05, maxIter=600, maxDepth=5, minInstancesPerNode=100, seed=42, **common)
     learners: dict[str, Callable] = {
         "logistic_baseline": lambda: C.LogisticRegression(maxIter=200, regParam=1.0 / max(1, n_rows), **common),
         "rf_baseline": lambda: C.RandomForestClassifier(numTrees=600, maxDepth=12, minInstancesPerNode=100, seed=42, **common),
-        "hgb_baseline": lambda: C.GBTClassifier(stepSize=0.05, maxIter=60, maxDepth=5, minInstancesPerNode=100, seed=42, **common),
-        "hgb_regressor": lambda: R.GBTRegressor(stepSize=0.05, maxIter=60, maxDepth=5, minInstancesPerNode=20, seed=42, **common),
+        "hgb_baseline": lambda: Boosting(C.GBTClassifier(**boosting)),
+        "hgb_regressor": lambda: Boosting(R.GBTRegressor(**boosting)),
         "tf_mlp_regressor": lambda: R.LinearRegression(maxIter=100, regParam=1e-4, **common),
     }
-    for mlp in ("tf_mlp_baseline", "tf_mlp_bn_wd", "tf_mlp_multiclass"):
+    for mlp in ("tf_mlp_baseline", "tf_mlp_bn_wd"):
         learners[mlp] = lambda: C.MultilayerPerceptronClassifier(layers=[len(features), 128, 64, 32, 2], maxIter=60, seed=42, **common)
+    learners["tf_mlp_multiclass"] = lambda: C.MultilayerPerceptronClassifier(layers=[len(features), 128, 64, 32, classes], maxIter=60, seed=42, featuresCol="x", labelCol="label")
     if name not in learners:
         raise KeyError(name)
     return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), learners[name]()])
 
 
-def predict(model, df: DataFrame) -> DataFrame:
-    """Keys, y and p: the second class's probability, or the predicted value."""
+def predict(model, df: DataFrame, classes: int = 2) -> DataFrame:
+    """Keys, y and p: the second class's probability (of more than two classes, an array of all by ascending target), or the predicted value."""
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(df)
-    p = vector_to_array(F.col("probability"))[1] if "probability" in out.columns else F.col("prediction")
+    p = F.col("prediction")
+    if "probability" in out.columns:
+        p = vector_to_array(F.col("probability"))
+        p = p if classes > 2 else p[1]
     return out.select(*KEYS, "y", p.alias("p"))
 
 
 def fit_and_score(df: DataFrame, features: list[str], target: str, model: str = "logistic_baseline", gap: int = 0) -> DataFrame:
     """Predictions on the test part of a model trained on the train part."""
     d, used = matrix(df, features, target)
+    d, classes = labelled(d, model)
     parts = with_split(d, time_split(d), gap)
     train = parts.where("part = 'train'")
-    fitted = estimator(model, train.count(), used).fit(train)
-    return predict(fitted, parts.where("part = 'test'"))
+    fitted = estimator(model, train.count(), used, classes).fit(train)
+    return predict(fitted, parts.where("part = 'test'"), classes)
 
 
 def out_of_fold(df: DataFrame, features: list[str], target: str, model: str = "logistic_baseline", k: int = 5, gap: int = 12) -> DataFrame:
     """Keys and pred_<target>__<model>__oof: each row's prediction by the model of the fold that tests it; null outside."""
     d, used = matrix(df, features, target)
+    d, classes = labelled(d, model)
     d = d.withColumn("pos", F.row_number().over(_order()) - 1)
     table = folds(d, k, "walk", gap)
     made = []
     for fold in sorted(r[0] for r in table.select("fold").distinct().collect()):
         both = d.join(F.broadcast(table.where(F.col("fold") == fold)), "series_id")  # one row for each series
         train = both.where("pos < train_end")
-        made.append(predict(estimator(model, train.count(), used).fit(train), both.where("pos >= test_start and pos < test_end")))
+        made.append(predict(estimator(model, train.count(), used, classes).fit(train), both.where("pos >= test_start and pos < test_end"), classes))
     name = f"pred_{target}__{model}__oof"
     if not made:
-        return df.select(*KEYS, F.lit(None).cast("double").alias(name))
+        return df.select(*KEYS, F.lit(None).cast("array<double>" if classes > 2 else "double").alias(name))
     return df.select(*KEYS).join(union_all(made).select(*KEYS, F.col("p").alias(name)), list(KEYS), "left")
 
 
