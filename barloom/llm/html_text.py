@@ -5,20 +5,21 @@ lines of their own, paragraphs and headings with an empty line between; list ite
 cells of a table are padded to their column's width.
 
 Defined cases: null and empty pages give empty text; unclosed and stray tags are repaired as a browser would; elements
-nested deeper than DEPTH become siblings; pages are rendered one by one, so repeated rows and null ids stay; further
+nest to any depth, as tree and text are built without recursion; pages are rendered one by one, so repeated rows and null ids stay; further
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Generator
 from html import unescape
 
 from pyspark.sql import DataFrame
 
 from barloom.llm.common import with_columns
 
-DEPTH = 150
 # Fixed values of the HTML standard, as far as layout needs them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -28,6 +29,7 @@ BLOCK = frozenset(
     "ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu dir".split())
+PLAIN = frozenset("p div h1 h2 h3 h4 h5 h6 a b i em strong span small code".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option optgroup legend".split())
 # A start tag ends open elements of the second list, looked for up to one of the third.
 IMPLIED = {
@@ -37,6 +39,7 @@ IMPLIED = {
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 SCOPE = frozenset("table td th caption html template".split())
+PASSES = frozenset("table tr tbody thead tfoot body html".split())
 
 _TAG = re.compile(r"""<(?:!--(?:(?!-->).)*+(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|[!?/][^>]*+>)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -60,13 +63,46 @@ class Node:
         return None
 
 
+class Open:
+    """The open elements, and for each tag the positions at which it is open, so that no search walks them all."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """End the element at position k and all inside it."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The innermost position of one of the tags; 0, the root's, where none is open."""
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
+
+    def imply(self, ends: frozenset, stop: frozenset) -> None:
+        """End the elements a start tag ends: the outermost of `ends` inside the innermost of `stop`."""
+        outer = self.last(stop)
+        if self.last(ends) > outer:
+            self.cut(min(p[k] for t in ends if (p := self.at.get(t)) and (k := bisect_left(p, outer + 1)) < len(p)))
+
+    def close(self, name: str) -> None:
+        """End the nearest open element of that name, and what is open inside; nothing where a table cell stands between."""
+        p = self.at.get(name)
+        if p and (name in PASSES or p[-1] == len(self.nodes) - 1 or self.last(SCOPE) <= p[-1]):
+            self.cut(p[-1])
+
+
 def parse(html: str) -> Node:
     root = Node("html")
-    stack, at, size = [root], 0, len(html)
+    stack, at, size = Open(root), 0, len(html)
 
     def text(part: str) -> None:
         if part:
-            stack[-1].children.append(unescape(part) if "&" in part else part)
+            stack.nodes[-1].children.append(unescape(part) if "&" in part else part)
 
     while at < size:
         m = _TAG.search(html, at)
@@ -79,24 +115,17 @@ def parse(html: str) -> Node:
         if not name:
             continue
         if m[1] or m[4]:
-            close(stack, name)
+            stack.close(name)
             continue
         attrs = m[3] or ""
         if name in IMPLIED:
-            ends, stop = IMPLIED[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stop:
-                    break
-                if stack[k].tag in ends:
-                    deepest = next((j for j in range(1, k + 1) if stack[j].tag in ends and not any(x.tag in stop for x in stack[j + 1 : k])), k)
-                    del stack[deepest:]
-                    break
+            stack.imply(*IMPLIED[name])
         if name in CLOSES_P:
-            close(stack, "p")
-        if name in ("html", "body") and any(x.tag == name for x in stack):
+            stack.close("p")
+        if name == "html" or name == "body" and stack.at.get(name):
             continue
         node = Node(name, attrs)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if name in VOID or attrs.endswith("/") and name not in BLOCK and name not in RAW:
             continue
         if name in RAW:
@@ -108,22 +137,10 @@ def parse(html: str) -> Node:
             elif name == "xmp":
                 node.children.append(body)
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
+        stack.push(node)
     return root
 
 
-def close(stack: list[Node], name: str) -> None:
-    """End the nearest open element of that name, and what is open inside; nothing where a table cell stands between."""
-    for k in range(len(stack) - 1, 0, -1):
-        tag = stack[k].tag
-        if tag == name:
-            del stack[k:]
-            return
-        if tag in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-            return
-
-
 def visible(node: Node) -> bool:
     if node.tag in HIDDEN:
         return False
@@ -205,13 +222,28 @@ class Page:
         self.line(gap)
 
 
-def lines_of(children: list, pre: bool = False, depth: int = 0) -> list[str]:
+def run(step: Generator):
+    """The result of a generator that yields the generators whose results it needs; they wait in a list, not on Python's stack."""
+    waiting, got = [step], None
+    while waiting:
+        try:
+            step = waiting[-1].send(got)
+        except StopIteration as end:
+            waiting.pop()
+            got = end.value
+        else:
+            waiting.append(step)
+            got = None
+    return got
+
+
+def lines_of(children: list, pre: bool = False, depth: int = 0) -> Generator:
     page = Page()
-    draw(page, children, pre, depth)
+    yield draw(page, children, pre, depth)
     return page.done()
 
 
-def draw(page: Page, children: list, pre: bool, depth: int) -> None:
+def draw(page: Page, children: list, pre: bool, depth: int) -> Generator:
     for c in children:
         if isinstance(c, str):
             page.flow(c, pre)
@@ -219,29 +251,36 @@ def draw(page: Page, children: list, pre: bool, depth: int) -> None:
         tag = c.tag
         if not visible(c):
             continue
-        if tag == "br":
+        if tag in PLAIN and len(c.children) == 1 and isinstance(c.children[0], str):  # most elements; a generator less for each
+            gap = 2 if tag in SPACED else 1
+            if tag in BLOCK:
+                page.line(gap)
+            page.flow(c.children[0], pre)
+            if tag in BLOCK:
+                page.line(gap)
+        elif tag == "br":
             page.line(force=True)
             page.gap = 0
         elif tag in ("ul", "ol", "menu", "dir"):
-            draw_list(page, c, pre, depth)
+            yield draw_list(page, c, pre, depth)
         elif tag == "table":
             gap = 2
             page.line(gap)
-            for row in table_lines(c, depth):
+            for row in (yield table_lines(c, depth)):
                 page.nested([row], "", "", 1)
             page.line(gap)
         elif tag == "dd" or tag == "blockquote":
-            page.nested(lines_of(c.children, pre, depth), "  ", "  ", 2 if tag == "blockquote" else 1)
+            page.nested((yield lines_of(c.children, pre, depth)), "  ", "  ", 2 if tag == "blockquote" else 1)
         elif tag == "details" and c.get("open") is None:
             page.line()
-            draw(page, [x for x in c.children if isinstance(x, Node) and x.tag == "summary"], pre, depth)
+            yield draw(page, [x for x in c.children if isinstance(x, Node) and x.tag == "summary"], pre, depth)
             page.line()
         elif tag in ("textarea", "pre", "xmp", "listing"):
             page.line(2 if tag != "textarea" else 1)
             body = c.children
             if body and isinstance(body[0], str) and body[0][:1] == "\n":
                 body = [body[0][1:], *body[1:]]
-            draw(page, body, True, depth)
+            yield draw(page, body, True, depth)
             page.line(2 if tag != "textarea" else 1)
         elif tag == "input":
             if (c.get("type") or "text").lower() in ("submit", "reset", "button", "text", "search", "url", "email") and (value := c.get("value")):
@@ -249,13 +288,13 @@ def draw(page: Page, children: list, pre: bool, depth: int) -> None:
         elif tag in BLOCK:
             gap = 2 if tag in SPACED else 1
             page.line(gap)
-            draw(page, c.children, pre, depth)
+            yield draw(page, c.children, pre, depth)
             page.line(gap)
         else:
-            draw(page, c.children, pre, depth)
+            yield draw(page, c.children, pre, depth)
 
 
-def draw_list(page: Page, node: Node, pre: bool, depth: int) -> None:
+def draw_list(page: Page, node: Node, pre: bool, depth: int) -> Generator:
     gap = 2 if depth == 0 else 1
     page.line(gap)
     number = 1
@@ -269,18 +308,18 @@ def draw_list(page: Page, node: Node, pre: bool, depth: int) -> None:
                 number = int(value)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            page.nested(lines_of(c.children, pre, depth + 1), mark, " " * len(mark), 1)
+            page.nested((yield lines_of(c.children, pre, depth + 1)), mark, " " * len(mark), 1)
         else:
-            draw(page, [c], pre, depth + 1)
+            yield draw(page, [c], pre, depth + 1)
     page.line(gap)
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
+def table_lines(table: Node, depth: int) -> Generator:
     """The captions' lines, then those of the rows, cells padded to their columns' widths; spanning cells take several."""
     out: list[str] = []
     rows: list[list[tuple[list[str], int]]] = []
 
-    def walk(node: Node) -> None:
+    def walk(node: Node) -> Generator:
         loose: list = []
         for c in node.children:
             if isinstance(c, str):
@@ -289,25 +328,25 @@ def table_lines(table: Node, depth: int) -> list[str]:
             elif not visible(c):
                 continue
             elif c.tag == "caption":
-                out.extend(lines_of(c.children, False, depth))
+                out.extend((yield lines_of(c.children, False, depth)))
             elif c.tag == "tr":
                 cells = []
                 for x in c.children:
                     if isinstance(x, Node) and x.tag in ("td", "th"):
                         if visible(x):
                             span = x.get("colspan") or "1"
-                            cells.append((lines_of(x.children, False, depth), min(int(span), 100) if span.isdecimal() and int(span) else 1))
+                            cells.append(((yield lines_of(x.children, False, depth)), min(int(span), 100) if span.isdecimal() and int(span) else 1))
                     elif not isinstance(x, str) or x.strip():
-                        cells.append((lines_of([x], False, depth), 1))
+                        cells.append(((yield lines_of([x], False, depth)), 1))
                 rows.append(cells)
             elif c.tag in ("tbody", "thead", "tfoot"):
-                walk(c)
+                yield walk(c)
             elif c.tag not in ("colgroup", "col"):
                 loose.append(c)
         if loose:
-            out.extend(lines_of(loose, False, depth))
+            out.extend((yield lines_of(loose, False, depth)))
 
-    walk(table)
+    yield walk(table)
     widths: dict[int, int] = {}
     for cells in rows:
         at = 0
@@ -332,7 +371,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
 
 def render(html: str | None) -> str:
     """All visible text of a page."""
-    return "\n".join(lines_of([parse(html)])) if html else ""
+    return "\n".join(run(lines_of([parse(html)]))) if html else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

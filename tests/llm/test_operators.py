@@ -170,6 +170,15 @@ def test_html_rendering():
     assert html_text.render("a < b <!-- c") == "a < b"
 
 
+def test_html_keeps_its_rules_at_any_depth():
+    for tag in ("div", "span", "b"):
+        deep = f"<{tag}>" * 3000
+        page = deep + "<div hidden>no<div>no</div>no</div><svg>no</svg>yes<table><tr><td>xx<td>1<tr><td>y<td>22</table><ul><li>a<li>b</ul>"
+        assert html_text.render(page) == "yes\n\nxx  1\ny   22\n\n- a\n- b"
+    assert html_text.render("<div hidden>" + "<p><b>" * 200 + "<div>no</div>no</div>yes") == "yes"
+    assert html_text.render("<ul><li>" * 400 + "x").endswith("- " * 400 + "x")
+
+
 def test_warc_links_and_digests(spark):
     pages = spark.createDataFrame([(1, "http://a/", "<p>Hi</p>"), (2, None, None), (2, None, None), (None, "http://b/", "")], "page_id long, url string, html string")
     got = warc.page_derivatives(pages).collect()
