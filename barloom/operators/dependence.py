@@ -1,7 +1,8 @@
 """Dependence of columns beyond correlation: nearest-neighbour mutual information and distance correlation.
 
-Both need the distances of all pairs of a sample. Rows are cut into runs of BLOCK successive bars of a series, each run is
-estimated on its own and the estimates are averaged by rows, so the work grows in proportion to the rows and none is left out.
+Both are those of the whole column, all series together, as the pairs of all rows give them; the pairs are never written out.
+Distance correlation takes sorts and sums by rank. Neighbours are looked for among the rows nearest in x, in blocks of BLOCK
+rows, and further off until the distance in x alone rules out the rest.
 """
 
 from __future__ import annotations
@@ -24,7 +25,45 @@ def digamma_table(n: int) -> np.ndarray:
     return np.r_[0.0, np.cumsum(1 / np.arange(1, n))] - np.euler_gamma
 
 
-def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS) -> float:
+def radii(x: np.ndarray, y: np.ndarray, k: int, block: int = BLOCK) -> np.ndarray:
+    """Each row's distance, the larger of both coordinates', to its k-th neighbour; x ascends."""
+    n = len(x)
+    out = np.full(n, np.inf)
+    rows, reach = np.arange(n), 4 * k
+    while len(rows):
+        left = []
+        size = max(1, min(block, (1 << 22) // (2 * reach + 1)))
+        for at in range(0, len(rows), size):
+            i = rows[at : at + size]
+            lo, hi = np.maximum(i - reach, 0), np.minimum(i + reach, n - 1)
+            j = i[:, None] + np.arange(-reach, reach + 1)
+            inside = (j >= 0) & (j < n)
+            j = np.clip(j, 0, n - 1)
+            d = np.where(inside, np.maximum(np.abs(x[j] - x[i, None]), np.abs(y[j] - y[i, None])), np.inf)
+            r = np.partition(d, k, axis=1)[:, k] if d.shape[1] > k else np.full(len(i), np.inf)  # position 0 is the row itself
+            sure = ((lo == 0) | (x[i] - x[lo] >= r)) & ((hi == n - 1) | (x[hi] - x[i] >= r))
+            out[i[sure]] = r[sure]
+            left.append(i[~sure])
+        rows, reach = np.concatenate(left), min(2 * reach, n)
+    return out
+
+
+def within(values: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """For each value how many, itself among them, are no further than its radius."""
+    v = np.sort(values)
+    n = len(v)
+    lo, hi = np.searchsorted(v, values - radius, "left"), np.searchsorted(v, values + radius, "right")
+    near = lambda j: (j >= 0) & (j < n) & (np.abs(v[np.clip(j, 0, n - 1)] - values) <= radius)
+    # sums are rounded otherwise than differences: move each end to where the difference decides
+    for end, step, outer in ((lo, -1, -1), (hi, 1, 0)):
+        while (more := near(end + outer)).any():
+            end[more] += step
+        while (less := ~near(end + outer - step)).any():
+            end[less] -= step
+    return hi - lo
+
+
+def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, block: int = BLOCK) -> float:
     """Nats shared by two samples, by distances to the k-th neighbour; NaN where there are too few rows, 0 at least.
 
     Samples are scaled to unit spread and shifted by a fixed, tiny noise that parts ties. A constant shares nothing.
@@ -36,24 +75,28 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS) -> flo
         return 0.0
     rng = np.random.default_rng(0)
     x, y = ((v - v.mean()) / v.std() + 1e-10 * rng.standard_normal(n) for v in (x, y))
-    dx, dy = (np.abs(np.subtract.outer(v, v)) for v in (x, y))
-    both = np.maximum(dx, dy)
-    radius = np.nextafter(np.partition(both, k, axis=1)[:, k], 0)[:, None]  # position 0 is the row itself
+    # the coordinate with more distinct places leads the search: rows of equal x are all candidates of each other
+    if len(np.unique(np.round(x, 6))) < len(np.unique(np.round(y, 6))):
+        x, y = y, x
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    radius = np.nextafter(radii(x, y, k, block), 0)
     psi = digamma_table(n)
-    nx, ny = (dx <= radius).sum(axis=1), (dy <= radius).sum(axis=1)
-    return max(0.0, float(psi[n - 1] + psi[k - 1] - psi[nx - 1].mean() - psi[ny - 1].mean()))
+    return max(0.0, float(psi[n - 1] + psi[k - 1] - psi[within(x, radius) - 1].mean() - psi[within(y, radius) - 1].mean()))
 
 
 def dependence(df: DataFrame, columns: list[str], y: str, block: int = BLOCK, k: int = NEIGHBOURS) -> DataFrame:
-    """feature, mi_knn, dcor, n_eff of each column with y; null below LEAST rows where both are finite."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(c).alias("x")) for c in columns])).alias("p")
-    rows = df.select("series_id", F.floor(F.col("bar_idx") / block).alias("run"), finite(y).alias("y"), pairs).select("p.feature", "series_id", "run", "p.x", "y").where("x is not null and y is not null")
+    """feature, mi_knn, dcor, n_eff of each column with y; null below LEAST rows where both are finite.
+
+    A feature's rows are one group in one task, sorted by series and bar; block is the most rows whose neighbours are sought at once.
+    """
 
     def estimate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["series_id", "bar_idx"])
         a, b = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         known = len(pdf) >= LEAST
-        return pd.DataFrame({"feature": [key[0]], "n": [len(pdf)], "mi": [mutual_information(a, b, k) if known else None], "dc": [distance_correlation(a, b) if known else None]})
+        return pd.DataFrame({"feature": [key[0]], "mi_knn": [mutual_information(a, b, k, block) if known else None], "dcor": [distance_correlation(a, b) if known else None], "n_eff": [len(pdf)]})
 
-    runs = rows.groupBy("feature", "series_id", "run").applyInPandas(estimate, "feature string, n long, mi double, dc double")
-    used = F.sum(F.when(F.col("mi").isNotNull(), F.col("n")))
-    return runs.groupBy("feature").agg(F.try_divide(F.sum(F.col("mi") * F.col("n")), used).alias("mi_knn"), F.try_divide(F.sum(F.col("dc") * F.col("n")), used).alias("dcor"), F.sum("n").alias("n_eff"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(c).alias("x")) for c in columns])).alias("p")
+    rows = df.select("series_id", "bar_idx", finite(y).alias("y"), pairs).select("p.feature", "series_id", "bar_idx", "p.x", "y").where("x is not null and y is not null")
+    return rows.groupBy("feature").applyInPandas(estimate, "feature string, mi_knn double, dcor double, n_eff long")

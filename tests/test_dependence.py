@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from barloom.operators.dependence import dependence, digamma_table, mutual_information
+from barloom.operators.scores import distance_correlation
 
 
 def test_digamma():
@@ -27,3 +28,28 @@ def test_dependence_covers_all_runs(spark):
     got = dependence(spark.createDataFrame(d), ["f", "g", "none"], "y", block=100).toPandas().set_index("feature")
     assert got.loc["f", "n_eff"] == 599 and got.loc["g", "n_eff"] == 600 and "none" not in got.index
     assert got.loc["f", "mi_knn"] > 1 > 0.2 > got.loc["g", "mi_knn"] and got.loc["f", "dcor"] > 0.4 > got.loc["g", "dcor"]
+
+
+def test_dependence_is_that_of_the_whole_column(spark):
+    step = np.repeat([0.0, 1.0], 1024)
+    d = pd.DataFrame({"series_id": "a", "bar_idx": np.arange(2048), "f": step, "y": step})
+    got = dependence(spark.createDataFrame(d), ["f"], "y").collect()[0]
+    assert got["dcor"] == pytest.approx(1) and got["mi_knn"] > 0.6 and got["n_eff"] == 2048
+
+
+def test_fast_scores_equal_those_of_all_pairs():
+    rng = np.random.default_rng(6)
+    for n in (2, 3, 11, 700):
+        for x, y in ((rng.standard_normal(n), rng.standard_normal(n)), (rng.integers(0, 4, n).astype(float), rng.integers(0, 3, n).astype(float)), (z := rng.standard_cauchy(n), z**2)):
+            a, b = (np.abs(np.subtract.outer(v, v)) for v in (x, y))
+            p, q = (m - m.mean(0) - m.mean(1)[:, None] + m.mean() for m in (a, b))
+            v = (p * p).mean() * (q * q).mean()
+            assert distance_correlation(x, y) == pytest.approx(np.sqrt(max(0, (p * q).mean()) / np.sqrt(v)) if v else 0.0, abs=1e-6)
+            if n > 3 and np.ptp(x) and np.ptp(y):
+                noise = np.random.default_rng(0)
+                s, t = ((w - w.mean()) / w.std() + 1e-10 * noise.standard_normal(n) for w in (x, y))
+                a, b = (np.abs(np.subtract.outer(w, w)) for w in (s, t))
+                r = np.nextafter(np.partition(np.maximum(a, b), 3, axis=1)[:, 3], 0)[:, None]
+                psi = digamma_table(n)
+                plain = psi[n - 1] + psi[2] - psi[(a <= r).sum(1) - 1].mean() - psi[(b <= r).sum(1) - 1].mean()
+                assert mutual_information(x, y, block=64) == pytest.approx(max(0.0, plain), abs=1e-12)
