@@ -73,7 +73,7 @@ def prefix_stability(bars: DataFrame, make, columns: list[str], checkpoints=(0.6
 
 
 def target_health(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
-    """Per series: nan and modal share, outlier share, class balance, entropy, run lengths, density, spread, shape, first lag."""
+    """Per series: nan and modal share, outlier share, positive share, entropy, run lengths, density, spread, first lag. The rest of Q11 is in target_scores."""
     d = df.select(by, "bar_idx", finite(y).alias("y"))
     modal = d.groupBy(by, "y").agg(F.count("*").alias("c")).groupBy(by).agg((F.max("c") / F.sum("c")).alias("const_rate"))
     q = d.groupBy(by).agg(F.percentile("y", 0.25).alias("q1"), F.percentile("y", 0.75).alias("q3"))
@@ -96,6 +96,52 @@ def target_health(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
     return stats.join(modal, by).join(acf, by).join(runs, by)
 
 
+def target_scores(df: DataFrame, y: str, horizon: int = 1, price: str = "close", by: str = "series_id") -> DataFrame:
+    """All scores of a target per series, to its health from 0 to 1. Those of classes are null for other targets, and the reverse."""
+    w = Window.partitionBy(by).orderBy("bar_idx")
+    real = lambda c: F.when(~F.isnan(c), c)
+    back = lambda k: div(F.lag(price, 1).over(w), F.lag(price, 1 + k).over(w)) - 1
+    rets = {"ret_1": back(1), "ret_3": back(3), "ret_12": back(12), "next": div(F.lead(price).over(w), price) - 1}
+    d = df.select(by, "bar_idx", finite(y).alias("y"), finite(price).alias(price)).withColumns(rets)
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("x")) for k in rets])).alias("p")
+    long = d.select(by, "y", pairs).select(by, "p.kind", "p.x", "y").where("x is not null and y is not null")
+    r = ranked(ranked(long, "x", "rx", [by, "kind"]), "y", "ry", [by, "kind"])
+    g = r.groupBy(by, "kind").agg(F.count("*").alias("n"), F.abs(real(F.corr("rx", "ry"))).alias("ic")).where("n >= 50")
+    ics = g.groupBy(by).agg(
+        *[F.max(F.when(F.col("kind") == k, F.col("ic"))).alias("_next" if k == "next" else f"ic_{k}") for k in rets], F.percentile(F.when(F.col("kind") != "next", F.col("ic")), 0.5).alias("ic_median")
+    )
+    known = d.where("y is not null").withColumns({"_1": F.lag("y").over(w), "_h": F.lag("y", max(1, horizon)).over(w), "_pos": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(by))})
+    modal = known.groupBy(by, "y").agg(F.count("*").alias("c")).groupBy(by).agg((F.max("c") / F.sum("c")).alias("const_rate"))
+    first = F.col("_pos") <= F.floor(F.col("_n") / 2)
+    ks = _ks(known.where("_n >= 200").groupBy(by, "y").agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b")), by, "y", "a", "b").withColumnRenamed("ks", "stability_ks")
+    five = lambda c: F.when(F.count("*") >= 5, c)
+    shape = known.groupBy(by).agg(
+        F.bool_and(F.col("y").isin(0.0, 1.0)).alias("_bin"), five((F.max("y") - F.min("y")) / (F.avg(F.abs("y")) + 1e-12)).alias("range_rel"), five(real(F.skewness("y"))).alias("skew"), five(real(F.kurtosis("y"))).alias("kurtosis"),
+        real(F.corr("y", "_1")).alias("acf_lag1"), real(F.corr("y", "_h")).alias("acf_lagH"),
+    )
+    basic = target_health(df, y, by).select(by, F.col("outlier_rate").alias("outlier_rate_IQR"), "pos_rate", "entropy_bits", "avg_event_len", "label_density")
+    out = d.groupBy(by).agg(F.avg(F.col("y").isNull().cast("int")).alias("nan_rate"))
+    for part in (modal, basic, ks, shape, ics):
+        out = out.join(part, by, "left")
+    binary = F.coalesce(F.col("_bin"), F.lit(True))
+    out = out.withColumns({
+        "task_type": F.when(binary, "clf").otherwise("reg"), "const_rate": F.coalesce("const_rate", F.lit(1.0)),
+        **{k: F.when(binary, F.coalesce(k, F.lit(0.0))) for k in ("pos_rate", "entropy_bits", "avg_event_len", "label_density")},
+        **{k: F.when(~binary, F.col(k)) for k in ("range_rel", "skew", "kurtosis", "acf_lag1", "acf_lagH")},
+    })
+    p = F.col("pos_rate")
+    ratio = F.when(p.isin(0.0, 1.0), float("inf")).otherwise(F.greatest(p, 1 - p) / F.greatest(F.lit(1e-12), F.least(p, 1 - p)))
+    leak = F.col("_next") - F.col("ic_ret_1")
+    out = out.withColumns({"class_ratio": F.when(binary, ratio), "leakage_proxy_score": leak, "leakage_flag": F.coalesce(leak > 0.2, F.lit(False))})
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    least = lambda a, c: F.least(F.lit(a), z(c))
+    health = 1 - 0.7 * F.col("nan_rate") - 0.5 * F.greatest(F.lit(0.0), F.col("const_rate") - 0.95) - 0.3 * least(1.0, 2 * F.col("outlier_rate_IQR")) - 0.3 * least(1.0, F.col("stability_ks"))
+    classes = 0.8 * F.abs(p - 0.5) + F.when(p.isin(0.0, 1.0), 0.3).otherwise(0.0)
+    values = F.when(F.col("range_rel") < 0.1, 0.2).otherwise(0.0) + F.when(F.abs("acf_lag1") < 0.02, 0.1).otherwise(0.0)
+    health = health - F.when(F.col("task_type") == "clf", classes).otherwise(values) + 0.2 * least(0.5, F.col("ic_median")) - F.when(F.col("leakage_flag"), 0.4).otherwise(0.0)
+    return out.withColumn("health_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), health))).drop("_bin", "_next")
+
+
 def ks_halves(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
     """by, stability_ks: the two-sample Kolmogorov-Smirnov distance between the first and second half in time."""
     d = df.select(by, "bar_idx", finite(y).alias("y")).where("y is not null")
