@@ -11,7 +11,8 @@
 
 Members of a bucket or cluster are dealt into blocks of BLOCK, and each pair of blocks is its own task row group: a bucket
 with a third of all rows becomes many tasks, and no pair of blocks is skipped. Equal copies are never paired: they count by
-their number. At the threshold of 0.8 a pair shares no band with a chance of 3e-6 and is pruned with one under 1e-4.
+their number. A pair at the threshold of 0.8 itself shares no band with a chance of 3e-6 and is pruned, over all bars together, with
+one of 7.6e-6 (at 0.82 1.5e-6).
 
 Defined cases: a text of one to four words is one shingle; null and empty texts link to nothing and are alone in their
 group; a group's id is its smallest doc_id (null where it has none); repeated rows and equal ids are separate documents;
@@ -33,7 +34,7 @@ from barloom.llm.components import components
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
-TOLERANCE = 1e-4
+TOLERANCE = 1e-6
 STEP = 16
 BLOCK = 256
 BROADCAST_ROWS = 1_000_000

@@ -1,5 +1,6 @@
 """Each operator on small tables, against plain versions; every table has nulls, empties, ties, repeats and a clashing column."""
 
+import math
 import random
 import re
 import zlib
@@ -74,6 +75,18 @@ def test_large_group_of_near_copies_is_dealt_in_blocks(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == brute_groups(made)
 
 
+def test_pairs_at_the_threshold_pass_all_bars():
+    bars, live, lost, at = ngram_join.least_matches(0.8), {0: 1.0}, 0.0, 0
+    for n, least in bars:
+        step, new = n - at, {}
+        for m, p in live.items():
+            for k in range(step + 1):
+                new[m + k] = new.get(m + k, 0.0) + p * math.comb(step, k) * 0.8**k * 0.2 ** (step - k)
+        lost += sum(p for m, p in new.items() if m < least)
+        live, at = {m: p for m, p in new.items() if m >= least}, n
+    assert lost < 1e-5
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, []).where("doc_id is not null")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
