@@ -9,8 +9,8 @@ host is one row a task, and the join back is an equi-join that Spark splits wher
 
 Defined cases: null text has no word and fails; an empty text likewise; rows whose host is null form one host of their own;
 repeated rows are each judged; an empty table gives an empty result; further columns are ignored. Positions of repeated
-windows are found by sorting one 64-bit number for each window, made from its hash and place: two different windows of a
-text of n words are taken for one with a chance under n^3 / 2^63.
+windows are found by sorting each window's whole 64-bit hash with its place: some two different windows of a text of n words
+are taken for one with a chance of n^2 / 2^65 at most.
 """
 
 from __future__ import annotations
@@ -30,18 +30,18 @@ def with_repeat_words(df: DataFrame, words: str, name: str) -> DataFrame:
 
     Each step is a column of its own that the next one names more than once, so that Spark computes it once.
     """
-    div = lambda x, y: F.call_function("div", x, y)
     n, none = F.size(words), F.array().cast("array<long>")
     h = F.when(n < 4, none).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
-    df = df.withColumns({"_h": h, "_n": n.cast("long")})
-    # hash * n + place: sorting brings equal windows together and keeps their places
-    keys = F.array_sort(F.transform("_h", lambda x, i: F.pmod(x, div(F.lit(1 << 62), F.col("_n"))) * F.col("_n") + i))
-    df = df.withColumn("_k", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), none).otherwise(keys))
-    whose = lambda x: div(x, F.col("_n"))
+    df = df.withColumn("_h", h)
+    # sort_array needs no comparing function: equal windows come together and keep their places
+    keys = F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    none_kept = F.array().cast("array<struct<h:bigint,i:int>>")
+    df = df.withColumn("_k", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), none_kept).otherwise(keys))
+    whose = lambda x: x["h"]
     again = F.filter("_k", lambda x, i: ((i > 0) & (whose(F.get("_k", i - 1)) == whose(x))) | ((i < F.size("_k") - 1) & (whose(F.get("_k", i + 1)) == whose(x))))
-    df = df.withColumn("_p", F.array_sort(F.transform(again, lambda x: F.pmod(x, F.col("_n")).cast("int"))))
+    df = df.withColumn("_p", F.array_sort(F.transform(again, lambda x: x["i"])))
     steps = F.transform("_p", lambda p, i: F.when(i == F.size("_p") - 1, F.lit(3)).otherwise(F.least(F.lit(3), F.get("_p", i + 1) - p)))
-    return df.withColumn(name, F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)).drop("_h", "_n", "_k", "_p")
+    return df.withColumn(name, F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)).drop("_h", "_k", "_p")
 
 
 def counts(docs: DataFrame, host: str = "source") -> DataFrame:

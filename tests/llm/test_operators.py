@@ -139,6 +139,11 @@ def test_host_rules_count_and_reject(spark):
     assert got[100]["n_repeat_words"] == 120 and got[202]["n_dup_lines"] == 1 and got[202]["word_chars"] == 3 and got[None]["n_words"] == 0
 
 
+def test_repeat_words_of_a_very_long_text(spark):
+    d = spark.range(1).selectExpr("transform(sequence(0, 2999999), i -> cast(if(i < 2999997, i, i - 2999997) as string)) as w")
+    assert host_rules.with_repeat_words(d, "w", "n").select("n").first()["n"] == 6
+
+
 def test_encoder_equals_the_library():
     e = C.Encoder.at(C.tokenizer_path())
     rng = random.Random(1)
