@@ -34,7 +34,19 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("immigrants", "foreigners", "refugees", "locals"),
     ("old", "young"),
     ("disabled", "deaf", "blind"),
-)
+    # German
+    ("frauen", "männer", "mädchen", "jungen"), ("frau", "mann"), ("schwarze", "weiße", "asiaten", "latinos"),
+    ("muslim", "christ", "jude", "hindu", "buddhist", "atheist"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"), ("einwanderer", "ausländer", "flüchtlinge", "einheimische"), ("behindert", "gehörlos", "blind"),
+    # French
+    ("femmes", "hommes", "filles", "garçons"), ("femme", "homme", "fille", "garçon"), ("noirs", "blancs", "asiatiques", "latinos"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("gay", "lesbienne", "bisexuel", "hétérosexuel"), ("immigrés", "étrangers", "réfugiés", "habitants"), ("handicapé", "sourd", "aveugle"),
+    # Spanish
+    ("mujeres", "hombres", "chicas", "chicos"), ("mujer", "hombre", "chica", "chico"), ("negros", "blancos", "asiáticos", "latinos"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("gay", "lesbiana", "bisexual", "heterosexual"), ("inmigrantes", "extranjeros", "refugiados", "lugareños"), ("discapacitado", "sordo", "ciego"),
+)
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
 

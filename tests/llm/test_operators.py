@@ -239,6 +239,11 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert toxicity.toxicity(docs_of(spark, [(None, None, "a"), (5, "", "a")]), labels).count() == 2
 
 
+def test_identity_terms_of_four_languages_are_swapped():
+    for a, b in (("women", "men"), ("juden", "christen"), ("musulmans", "juifs"), ("judíos", "cristianos"), ("flüchtlinge", "ausländer")):
+        assert ["x", b] in toxicity.swaps(["x", a])
+
+
 def test_quality_learns(spark):
     docs, labels, truth = labelled(spark)
     got = quality.quality(docs, labels).collect()
