@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -152,88 +151,190 @@ def shingle_sets(texts: list[str | None], n: int = SHINGLE_WORDS, block_chars: i
 # ---- tokens ----------------------------------------------------------------------------------------------------------
 
 
-# Fixed value: how this byte-level vocabulary cuts a text before merging.
-PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The classes by which this byte-level vocabulary cuts a text before merging, and the endings it keeps whole.
+LETTER, NUMBER, OTHER, SPACE, UNASSIGNED = range(5)
+ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+
+
+def character_classes() -> np.ndarray:
+    """The class of each code point."""
+    import unicodedata
+
+    kinds = {"L": LETTER, "N": NUMBER}
+    out = np.full(0x110000, UNASSIGNED, np.uint8)
+    for plane in (range(0x20000), range(0x20000, 0x32400), range(0xE0000, 0xE0200)):  # no others are assigned but private ones
+        out[plane.start : plane.stop] = [UNASSIGNED if (k := unicodedata.category(chr(c))) == "Cn" else kinds.get(k[0], OTHER) for c in plane]
+    out[list(SPACES)] = SPACE
+    return out
+
+
+class Pieces(dict):
+    """What `make` gives for a piece of text, made once; the first `limit` pieces, and so the frequent ones, are kept."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, piece: bytes):
+        got = self.make(piece)
+        if len(self) < self.limit:
+            self[piece] = got
+        return got
 
 
 class Encoder:
-    """Token ids of whole texts by the tokenizers library's BPE model, which is asked for what isn't in a cache.
+    """Token ids, or their number, of whole texts by the tokenizers library's BPE model, asked for what isn't in a cache.
 
-    A byte-level BPE vocabulary never merges across pre-tokens, and a single space before a character that isn't white
-    space always starts one. So a text where each space stands so can be cut there, and equal pieces share one encoding.
-    Texts with other spaces, or with the text of an added token, go to the library whole. Null counts as empty.
-    The cache is bounded: what comes first, and so the frequent pieces, stays in it.
+    A byte-level BPE vocabulary never merges across pre-tokens. Those of many texts are found at once, as changes of class
+    between neighbouring bytes, equal ones are numbered by Arrow, and only the different ones of a block are looked up.
+    Texts with an added token or an unassigned character go to the library whole. Null counts as empty. Caches are bounded.
     """
 
-    CACHE = 150_000  # pieces, some 200 bytes each
-    _loaded: dict[tuple[str, int], "Encoder"] = {}
+    CACHE = 400_000  # pieces, some 150 bytes each
+    BLOCK_BYTES = 4 << 20
+    _loaded: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str, limit: int = CACHE):
-        self.limit = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {}
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile(r" \s| $")
-        self.split = regex.compile(PRE_TOKEN).findall
+        self.tokenize = self.tokenizer.model.tokenize
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        other = [b for b in range(256) if b not in own]
-        self.space = chr(256 + other.index(32))
-        self.as_chars = {b: chr(256 + k) for k, b in enumerate(other)}
+        self.as_chars = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+        self.classes = character_classes()
+        self.ids_of, self.number_of = Pieces(self.piece, limit), Pieces(lambda p: len(self.tokenize(self.spelt(p))), limit)
 
     @classmethod
-    def at(cls, path: str, limit: int = CACHE) -> "Encoder":
-        """One for each vocabulary, cache size and Python worker."""
-        if (path, limit) not in cls._loaded:
-            cls._loaded[path, limit] = cls(path, limit)
-        return cls._loaded[path, limit]
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def part(self, pre_token: str) -> bytes:
-        return self.spelt(pre_token.encode().decode("latin-1").translate(self.as_chars))
-
-    def spelt(self, chars: str) -> bytes:
-        got = [t.id for t in self.model.tokenize(chars)]
+    def at(cls, path: str) -> "Encoder":
+        """One for each vocabulary and Python worker."""
+        if path not in cls._loaded:
+            cls._loaded[path] = cls(path)
+        return cls._loaded[path]
+
+    def spelt(self, pre_token: bytes) -> str:
+        """The pre-token in the vocabulary's letters, each of which stands for a byte."""
+        return pre_token.decode("latin-1").translate(self.as_chars)
+
+    def piece(self, pre_token: bytes) -> bytes:
+        got = [t.id for t in self.tokenize(self.spelt(pre_token))]
         return struct.pack(f"<{len(got)}I", *got)
 
-    def word(self, letters: str) -> bytes:
-        return self.spelt(self.space + letters) if letters.isascii() else self.part(" " + letters)
-
-    def piece(self, p: str) -> bytes:
-        """The ids of p after a space. Letters alone are one pre-token, and so is a single mark behind them."""
-        if p.isalpha():
-            return self.word(p)
-        if p[-1] in ".,;:!?" and (word := p[:-1]).isalpha():
-            if (found := self.cache.get(word)) is None:
-                found = self.word(word)
-                if len(self.cache) < self.limit:
-                    self.cache[word] = found
-            return found + self.part(p[-1])
-        return b"".join([self.part(x) for x in self.split(" " + p)])
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.odd.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        cache, out = self.cache, []
-        pieces = text.split(" ")
-        if pieces[0]:
-            out = [self.part(p) for p in self.split(pieces[0])]
-        for p in pieces[1:]:
-            if (found := cache.get(p)) is None:
-                found = self.piece(p)
-                if len(cache) < self.limit:
-                    cache[p] = found
-            out.append(found)
-        return b"".join(out)
+    def class_of_bytes(self, raw: np.ndarray) -> np.ndarray:
+        """The class of the character that each byte belongs to."""
+        out = self.classes[:256][raw]
+        lead = np.flatnonzero(raw >= 0xC0)
+        if len(lead):
+            code = raw[lead].astype(np.int64)
+            size = 2 + (code >= 0xE0) + (code >= 0xF0)
+            code &= 0x7F >> size
+            for k in (1, 2, 3):
+                more = size > k
+                code[more] = code[more] << 6 | raw[lead[more] + k] & 0x3F
+            kind = self.classes[code]
+            for k in range(4):
+                more = size > k
+                out[lead[more] + k] = kind[more]
+        return out
+
+    def starts(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pre-tokens begin. raw: the texts' bytes, one after the other; offsets: where texts begin, and the end."""
+        n = len(raw)
+        begin = np.zeros(n + 4, bool)
+        first = begin.copy()
+        first[offsets] = True
+        begin[1:n] = kind[1:] != kind[:-1]
+        begin |= first
+        # white space before a word: its last character is apart, and a plain space goes with the word
+        word = np.flatnonzero((kind[1:] != SPACE) & (kind[:-1] == SPACE) & ~first[1:n]) + 1
+        last = word - 1
+        if n and raw.max() >= 0xC0:
+            for _ in range(2):
+                last = last - ((raw[last] & 0xC0) == 0x80)
+        begin[last] = True
+        begin[word] = raw[word - 1] != 0x20
+        # an apostrophe that isn't taken by what stands before it, and the endings that begin with one
+        mark = np.flatnonzero(raw == 0x27)
+        if len(mark):
+            before = np.maximum(mark - 1, 0)
+            free = first[mark] | (kind[before] == LETTER) | (kind[before] == NUMBER) | ((kind[before] == SPACE) & (raw[before] != 0x20))
+            mark, tail = mark[free], np.r_[raw, np.zeros(3, np.uint8)]
+            for ending in (e.encode() for e in ENDINGS):
+                hit = np.ones(len(mark), bool)
+                for k in range(1, len(ending)):
+                    hit &= (tail[mark + k] == ending[k]) & ~first[mark + k]
+                at = mark[hit]
+                begin[at] = True
+                for k in range(1, len(ending)):
+                    begin[at + k] = False
+                begin[at + len(ending)] = True
+        return np.flatnonzero(begin[:n])
+
+    def encode(self, texts, with_ids: bool = True):
+        """The number of ids of each text of an Arrow array, and all ids in a row (None without with_ids)."""
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        if not len(raw):
+            return np.zeros(len(texts), np.int64), np.zeros(0, np.uint32) if with_ids else None
+        kind = self.class_of_bytes(raw)
+        begin = self.starts(raw, kind, offsets)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(raw)).astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        which, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+        if with_ids:
+            found = list(map(self.ids_of.__getitem__, distinct))
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        else:
+            sizes = np.fromiter(map(self.number_of.__getitem__, distinct), np.int64, len(distinct))
+        ends = np.r_[0, np.cumsum(sizes[which])]
+        at = ends[np.searchsorted(begin, offsets)]
+        numbers, ids = np.diff(at), None
+        if with_ids:
+            flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+            ids = flat[np.repeat(start[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])]
+        whole = self.whole_ones(raw, kind, offsets)
+        return self.replaced(texts, whole, numbers, at, ids) if whole else (numbers, ids)
+
+    def whole_ones(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The texts that the library must have whole."""
+        found = np.searchsorted(offsets, np.flatnonzero(kind == UNASSIGNED), "right") - 1
+        out, block = set(np.unique(found).tolist()), raw.tobytes()
+        for token in self.added:
+            if token in block:
+                out |= {k for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)) if block.find(token, a, b) >= 0}
+        return sorted(out)
+
+    def replaced(self, texts, whole: list[int], numbers: np.ndarray, at: np.ndarray, ids: np.ndarray | None):
+        numbers, parts, done = numbers.copy(), [], 0
+        for k in whole:
+            got = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            if ids is not None:
+                parts += [ids[done : at[k]], got]
+                done = at[k + 1]
+            numbers[k] = len(got)
+        return numbers, None if ids is None else np.concatenate([*parts, ids[done:]])
+
+    def blocks(self, texts):
+        """Runs of an Arrow array's texts of about BLOCK_BYTES, at least one text each: (first, how many)."""
+        import pyarrow.compute as pc
+
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, first = np.cumsum(sizes), 0
+        while first < len(sizes):
+            before = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, before + self.BLOCK_BYTES, "right")))
+            yield first, last - first
+            first = last
+
+    def numbers(self, texts) -> np.ndarray:
+        """The number of ids of each text of an Arrow array."""
+        return np.concatenate([np.zeros(0, np.int64), *[self.encode(texts.slice(a, n), False)[0] for a, n in self.blocks(texts)]])
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import Encoder, tokenizer_path, with_columns
+from barloom.llm.common import Encoder, pick, tokenizer_path
 
 SIZES = (1024, 2048, 4096, 8192)
 SHARD_ROWS = 4096
@@ -80,7 +80,16 @@ def pack_shard(lengths: Sequence[int], sizes: Sequence[int] = SIZES, price=cost)
 
 def with_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id and n_tokens, the end id included."""
-    return with_columns(docs, ["doc_id"], "text", "n_tokens long", lambda texts: [[len(Encoder.at(vocabulary or tokenizer_path()).ids(t)) // 4 + 1 for t in texts]])
+
+    def counted(it):
+        import pyarrow as pa
+
+        encoder = Encoder.at(vocabulary or tokenizer_path())
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoder.numbers(batch.column("text")) + 1)], names=["doc_id", "n_tokens"])
+            pa.default_memory_pool().release_unused()
+
+    return pick(docs, "doc_id", "text").mapInArrow(counted, "doc_id long, n_tokens long")
 
 
 def pack(lengths: DataFrame, sizes: Sequence[int] = SIZES, shard_rows: int = SHARD_ROWS, rows: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ its row index (every STRIDE rows) and Bloom filters let a search for a document
 files are read by stripes in parallel.
 
 Defined cases: null and empty texts hold the end id alone; null doc_ids come first; rows with equal ids are in the order of
-their texts (repeated rows are each written); an empty table gives an empty file set and result; further columns are
+their texts' hashes, and may lie in several files (repeated rows are each written); an empty table gives an empty file set and result; further columns are
 ignored.
 """
 
@@ -28,24 +28,27 @@ SCHEMA = "part int, seq long, doc_id long, ids array<int>"
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Encode every whole text and write part, seq, doc_id, ids to ORC files at path. vocabulary: a tokenizers file."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def encoded(it):
         import pyarrow as pa
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        encoder = Encoder.at(vocabulary or tokenizer_path(), 600_000)
+        encoder = Encoder.at(vocabulary or tokenizer_path())
         for whole in it:
-            for k in range(0, whole.num_rows, 128):
-                batch = whole.slice(k, 128)
-                coded = [encoder.ids(t) + end for t in batch.column("text").to_pylist()]
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in coded])], pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                n = len(coded)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column("doc_id"), ids], names=["part", "seq", "doc_id", "ids"])
+            for first, n in encoder.blocks(whole.column("text")):
+                batch = whole.slice(first, n)
+                numbers, ids = encoder.encode(batch.column("text"))
+                ends = np.cumsum(numbers)
+                with_end = np.insert(ids, ends, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends + np.arange(1, n + 1)], pa.int32()), pa.array(with_end.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seq, seq + n)), batch.column("doc_id"), lists], names=["part", "seq", "doc_id", "ids"])
                 seq += n
+            pa.default_memory_pool().release_unused()
 
-    ordered = pick(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id are told apart by a hash of their text, so that an id with many rows is dealt to several files
+    keyed = pick(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.create.index": "true", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES)}
     ordered.mapInArrow(encoded, SCHEMA).write.options(**options).orc(path)
 

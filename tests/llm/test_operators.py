@@ -145,12 +145,24 @@ def test_repeat_words_of_a_very_long_text(spark):
 
 
 def test_encoder_equals_the_library():
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
     e = C.Encoder.at(C.tokenizer_path())
     rng = random.Random(1)
-    parts = ["a", " ", "\n", "'s", "é", "!!", "  ", "\t", "<|endoftext|>", "1", "word", "x\n", "​", "İ"]
-    for _ in range(3000):
-        t = "".join(rng.choice(parts) for _ in range(rng.randrange(9)))
-        assert e.ids(t) == e.whole(t)
+    parts = ["a", " ", "\n", "'s", "'re", "'", "é", "!!", "  ", "\t", "<|endoftext|>", "1", "word", "x\n", "\u200b", "İ", "\xa0", "\u3000", "“", "’s", "٣", "日本", "😀", "\u0378", "\x1c", "'S"]
+    odd = lambda: chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x20000)]))
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.9 else odd() for _ in range(rng.randrange(12))) for _ in range(6000)]
+    texts += [None, "", "y" * 5_000_000, "one two " * 400_000]
+    texts += pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    column = pa.array(texts, pa.string()).slice(3)
+    assert len(list(e.blocks(column))) > 2
+    want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts[3:]], add_special_tokens=False)]
+    got = []
+    for first, n in e.blocks(column):
+        numbers, ids = e.encode(column.slice(first, n))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(numbers)[:-1])]
+    assert got == want and e.numbers(column).tolist() == list(map(len, want))
 
 
 def test_token_files_round_trip(spark, rows):
