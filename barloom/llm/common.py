@@ -20,9 +20,11 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/barloom-shared-{os.getpid()}"
     return found.rstrip("/")
 
@@ -61,6 +63,21 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as it takes to differ from every column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def back(names: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in names]
+
+
 def with_columns(df: DataFrame, keep: list[str], source: str, made: str, fn, rows: int = 128) -> DataFrame:
     """The columns keep of df as they are, and those of the DDL schema made, computed by fn from lists of source's values.
 
@@ -75,6 +92,8 @@ def with_columns(df: DataFrame, keep: list[str], source: str, made: str, fn, row
     new = StructType.fromDDL(made)
     out = StructType([*[src.schema[k] for k in keep], *new.fields])
     arrow = to_arrow_schema(new)
+    if set(new.names) & set(keep):
+        raise ValueError(f"columns {sorted(set(new.names) & set(keep))} are there already")
 
     def made_of(it):
         for whole in it:

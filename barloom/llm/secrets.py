@@ -23,7 +23,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import pick
+from barloom.llm.common import back, free_names, pick
 
 # The three kinds of the contract. Only assign can fail after it has matched, so only it is checked later:
 # a run of hex digits or of an access key that is too short holds no longer one.
@@ -89,22 +89,58 @@ def default_model(spark: SparkSession) -> list[int]:
     return train(spark.createDataFrame(samples(), "token string, label int"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, start: Column, add) -> Column:
+    """start and add(... add(start, v1) ..., vk) for each k: one element more than values has.
+
+    A fold that appends copies what it has at each step. So values are folded in pieces of about the square root of their
+    number, and the pieces' results are folded apart: n ** 1.5 copies at most.
+    """
+    kind = "array<int>"
+    appended = lambda got, x: F.concat(got, F.array(add(F.element_at(got, -1), x)))
+
+    def both(v: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(v)))).cast("int")
+        pieces = let(size, lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / c).cast("int")), lambda k: F.slice(v, k * c + 1, c)))
+        whole = lambda p: F.aggregate(F.slice(p, 2, F.size(p)), F.element_at(p, 1), add)
+        return let(pieces, lambda p: let(F.aggregate(F.transform(p, whole), F.array(start).cast(kind), appended), lambda heads: F.concat(
+            F.array(start).cast(kind),
+            F.flatten(F.transform(p, lambda piece, k: F.slice(F.aggregate(piece, F.array(F.get(heads, k)).cast(kind), appended), F.lit(2), F.size(piece)))),
+        )))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, both(v)).otherwise(F.array(start).cast(kind)))
+
+
 def spans_of(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<s, k, e, v>> of the pattern's matches: start, kind, end, text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<s:int,k:int,e:int,v:string>>")
-    # the fold keeps the place reached and the starts so far; zip, so that the split is not done again for each match
-    starts = F.aggregate(
-        F.transform(F.arrays_zip(gaps.alias("g"), found.alias("v")), lambda z: F.struct(F.length(z["g"]).alias("g"), F.coalesce(F.length(z["v"]), F.lit(0)).alias("n"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["g"])).alias("starts")),
-    )["starts"]
-    made = F.transform(
-        F.filter(F.arrays_zip(starts.alias("s"), found.alias("v")), lambda z: z["v"].isNotNull()),
-        lambda z: F.struct(z["s"].alias("s"), F.lit(kind).alias("k"), (z["s"] + F.length(z["v"])).alias("e"), z["v"].alias("v")),
-    )
-    return F.when(text.rlike(pattern), made).otherwise(empty)
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"))
+
+    def made(z: Column) -> Column:
+        # a match ends where the gaps and the matches so far end
+        ends = running(F.transform(z, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["v"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
+        with_ends = F.arrays_zip(z.alias("z"), F.slice(ends, F.lit(2), F.size(z)).alias("e"))
+        found = F.filter(with_ends, lambda x: x["z"]["v"].isNotNull())
+        return F.transform(found, lambda x: F.struct((x["e"] - F.length(x["z"]["v"])).alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"), x["z"]["v"].alias("v")))
+
+    return F.when(text.rlike(pattern), let(zipped, made)).otherwise(empty)
+
+
+def apart(runs: Column, base: Column) -> Column:
+    """The runs that overlap no span of base. In order of base starts and run ends, the largest base end so far says it."""
+    event = lambda x, at, turn: F.struct(at.alias("at"), F.lit(turn).alias("turn"), x.alias("x"))
+    events = F.sort_array(F.concat(F.transform(runs, lambda x: event(x, x["e"], 0)), F.transform(base, lambda x: event(x, x["s"], 1))))
+
+    def free(v: Column) -> Column:
+        far = running(F.transform(v, lambda x: F.when(x["turn"] == 1, x["x"]["e"]).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+        both = F.arrays_zip(v.alias("v"), F.slice(far, F.lit(2), F.size(v)).alias("far"))
+        return F.transform(F.filter(both, lambda x: (x["v"]["turn"] == 0) & (x["far"] <= x["v"]["x"]["s"])), lambda x: x["v"]["x"])
+
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), let(events, free)).otherwise(runs)
 
 
 def likelihood_ratio(token: Column, model: list[int]) -> Column:
@@ -120,20 +156,20 @@ def likelihood_ratio(token: Column, model: list[int]) -> Column:
     )["sum"]
 
 
-def with_spans(docs: DataFrame, model: list[int], keep: list[str], limit: int = LIMIT) -> DataFrame:
-    """The columns keep of docs, `base` and `spans`: arrays of (s, k, e, v), sorted by start and kind."""
-    src = pick(docs, *dict.fromkeys([*keep, "text"])).withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
-    text = F.col("_t")
-    value = F.regexp_extract
-    src = src.withColumns({"_assign": spans_of(text, ASSIGN, 0), "_access": spans_of(text, ACCESS, 1), "_hex": spans_of(text, HEX, 2), "_run": spans_of(text, CANDIDATE, 3)})
-    src = src.withColumn("_assign", F.filter("_assign", lambda x: F.length(value(x["v"], ASSIGN, 2)) >= 6))
-    src = src.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    run = F.filter("_run", lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
-    src = src.withColumn("_run", run)
-    src = src.withColumn("_run", F.filter("_run", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
-    markov = F.filter("_run", lambda x: likelihood_ratio(x["v"], model) >= limit * F.length(x["v"]))
-    src = src.withColumn("spans", F.array_sort(F.concat("base", F.when(F.size("_run") > 0, markov).otherwise(F.col("_run")))))
-    return src.select(*[F.col(f"`{c}`") for c in keep], "base", "spans")
+def with_spans(docs: DataFrame, model: list[int], keep: list[str], limit: int = LIMIT) -> tuple[DataFrame, str, str]:
+    """The columns keep of docs and two of (s, k, e, v), sorted by start and kind: the base spans and all. Then these two's names."""
+    own = pick(docs, *dict.fromkeys([*keep, "text"]))
+    t, assign, access, hexes, run, base, spans = free_names(own, "_t", "_assign", "_access", "_hex", "_run", "base", "spans")
+    src = own.withColumn(t, F.coalesce(F.col("text"), F.lit("")))
+    text = F.col(t)
+    src = src.withColumns({assign: spans_of(text, ASSIGN, 0), access: spans_of(text, ACCESS, 1), hexes: spans_of(text, HEX, 2), run: spans_of(text, CANDIDATE, 3)})
+    src = src.withColumn(assign, F.filter(assign, lambda x: F.length(F.regexp_extract(x["v"], ASSIGN, 2)) >= 6))
+    src = src.withColumn(base, F.sort_array(F.concat(assign, access, hexes)))
+    src = src.withColumn(run, F.filter(run, lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]")))
+    src = src.withColumn(run, apart(F.col(run), F.col(base)))
+    markov = F.filter(run, lambda x: likelihood_ratio(x["v"], model) >= limit * F.length(x["v"]))
+    src = src.withColumn(spans, F.sort_array(F.concat(base, F.when(F.size(run) > 0, markov).otherwise(F.col(run)))))
+    return src.select(*back(keep), base, spans), base, spans
 
 
 def listed(spans: Column) -> Column:
@@ -143,35 +179,43 @@ def listed(spans: Column) -> Column:
 
 def secrets(docs: DataFrame, model: list[int] | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov: one row for each document."""
-    found = with_spans(docs, model or default_model(docs.sparkSession), ["doc_id"], limit)
+    found, base, spans = with_spans(docs, model or default_model(docs.sparkSession), ["doc_id"], limit)
     number = lambda c, k: F.size(F.filter(c, lambda x: x["k"] == k)).cast("long")
     return found.select(
         "doc_id",
-        *[number("base", k).alias(f"n_{KINDS[k]}") for k in range(3)],
-        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        listed(F.col("spans")).alias("spans"),
-        number("spans", 3).alias("n_markov"),
+        *[number(base, k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        F.sha2(listed(F.col(base)).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col(spans)).alias("spans"),
+        number(spans, 3).alias("n_markov"),
     )
 
 
+CUT = 4096
+
+
+def without(text: Column, spans: Column, mark: str) -> Column:
+    """text with each run of overlapping spans replaced by mark. Long texts are cut into blocks first, as a substring is found by counting from the front."""
+    far = running(F.transform(spans, lambda x: x["e"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    ends = F.concat(F.transform(spans, lambda x: x["s"]), F.array(F.length(text)))
+    gaps = F.filter(F.arrays_zip(far.alias("a"), ends.alias("b")), lambda g: g["b"] >= g["a"])
+
+    def cut(blocks: Column) -> Column:
+        part = lambda g, j: F.substr(F.get(blocks, j), F.greatest(g["a"] - j * CUT, F.lit(0)) + 1, F.least(g["b"] - j * CUT, F.lit(CUT)) - F.greatest(g["a"] - j * CUT, F.lit(0)))
+        of = lambda g: F.array_join(F.transform(F.sequence(F.floor(g["a"] / CUT).cast("int"), F.floor((g["b"] - 1) / CUT).cast("int")), lambda j: part(g, j)), "")
+        return F.transform(gaps, lambda g: F.when(g["b"] > g["a"], of(g)).otherwise(""))
+
+    return F.array_join(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)), cut), mark)
+
+
 def redact(docs: DataFrame, model: list[int] | None = None, mark: str = "[SECRET]", limit: int = LIMIT) -> DataFrame:
     """docs with every span, overlapping ones together, replaced by mark; n_chars, if there, follows. Null texts stay null."""
     names = docs.columns
-    found = with_spans(docs, model or default_model(docs.sparkSession), names, limit)
-    text = F.col("text")
-    state = F.aggregate(
-        F.concat("spans", F.array(F.struct(F.length(text).alias("s"), F.lit(9).alias("k"), F.length(text).alias("e"), F.lit("").alias("v")))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, x["s"] - a["at"])))).alias("out"),
-        ),
-    )["out"]
-    new = F.when(F.size("spans") > 0, F.array_join(state, mark)).otherwise(text)
-    out = found.withColumn("text", new)
+    found, _, spans = with_spans(docs, model or default_model(docs.sparkSession), names, limit)
+    hit = F.size(spans) > 0
+    out = found.withColumn("text", F.when(hit, without(F.col("text"), F.col(spans), mark)).otherwise(F.col("text")))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*back(names))
 
 
 def secrets_sql() -> str:
