@@ -2,11 +2,17 @@
 
 All visible text comes out, once and in order. White space collapses in running text and stays in `pre`; blocks stand on
 lines of their own, paragraphs and headings with an empty line between; list items are marked and indented by depth; the
-cells of a table are padded to their column's width.
+cells of a table are padded to their column's width. What is shown is decided by tags, `hidden`, inline styles, and the
+rules of the page's own style elements whose selectors name one element (tag, classes, id); `visibility` may be turned on again
+inside a part where it is off, `display: none` may not.
 
-Defined cases: null and empty pages give empty text; unclosed and stray tags are repaired as a browser would; elements
-nest to any depth, as tree and text are built without recursion; pages are rendered one by one, so repeated rows and null ids stay; further
-columns are ignored.
+Time and output grow in proportion to the page. Columns are padded to PAD characters at most, a wider cell only moves the rest
+of its own line; past DEEPEST insets (lists, quotations, tables in each other) text is no longer indented further, but keeps its marks.
+
+Defined cases: null and empty pages give empty text; unclosed and stray tags are repaired as a browser would, and once a tag's
+quotation marks were found to run off the page's end, later tags end at the first >; elements nest to any depth, as tree and
+text are built without recursion; pages are rendered one by one, so repeated rows and null ids stay; a very long page is
+held as a tree, in memory of some ten times its length; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from barloom.llm.common import with_columns
 # Fixed values of the HTML standard, as far as layout needs them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video datalist title meta link base area param source track noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript iframe object canvas audio video datalist title meta link base area param source track noembed noframes annotation annotation-xml".split())
+DRAWN_LATER = frozenset("defs symbol clippath mask pattern marker metadata desc title script style".split())  # parts of svg that show no text
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
     "ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -42,8 +49,14 @@ SCOPE = frozenset("table td th caption html template".split())
 PASSES = frozenset("table tr tbody thead tfoot body html".split())
 
 _TAG = re.compile(r"""<(?:!--(?:(?!-->).)*+(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|[!?/][^>]*+>)""", re.S)
+_PLAIN_TAG = re.compile(r"""<(?:!--(?:(?!-->).)*+(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|(?P<x>(?!))(?P<y>(?!))|[!?/][^>]*+>)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_COMMENT = re.compile(r"/\*(?:(?!\*/).)*+(?:\*/|\Z)", re.S)
+_BRACES = re.compile(r"([{}])")
+_SELECTOR = re.compile(r"[\w*-]*(?:[.#][\w-]+)*", re.A)
+_PART = re.compile(r"[.#]?[\w*-]+", re.A)
+PAD = 60
+DEEPEST = 32
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -96,22 +109,90 @@ class Open:
             self.cut(p[-1])
 
 
-def parse(html: str) -> Node:
+def declared(style: str) -> tuple[bool | None, bool | None]:
+    """Whether declarations show an element (display) and its text (visibility); None where they don't say."""
+    display = visibility = None
+    for part in style.lower().split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip(), value.partition("!")[0].strip()
+        if name == "display" and value:
+            display = value != "none"
+        elif name == "visibility" and value:
+            visibility = value not in ("hidden", "collapse") if value != "inherit" else None
+    return display, visibility
+
+
+class Styles:
+    """Rules of style elements that say whether something is shown, for selectors of one element; rules within @ blocks are left out."""
+
+    def __init__(self):
+        self.rules: dict[str, list] = {}  # by one part of the selector -> (weight, other parts, display, visibility)
+
+    def read(self, css: str) -> None:
+        depth, prelude, order, skip = 0, "", 0, False
+        for part in _BRACES.split(_COMMENT.sub(" ", css)):
+            if part == "{":
+                skip = skip or prelude.lstrip().startswith("@")
+                depth += 1
+            elif part == "}":
+                depth = max(0, depth - 1)
+                skip = skip and depth > 0
+                prelude = ""
+            elif depth == 1 and not skip and prelude:
+                found = declared(part)
+                if found != (None, None):
+                    for selector in prelude.split(","):
+                        self.add(selector.strip().lower(), found)
+            else:
+                prelude = part.rpartition(";")[2]
+
+    def add(self, selector: str, found: tuple[bool | None, bool | None]) -> None:
+        if not selector or not _SELECTOR.fullmatch(selector):
+            return
+        parts = [p for p in _PART.findall(selector) if p != "*"]
+        weight = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), sum(p[0] not in "#." for p in parts))
+        self.rules.setdefault(parts[-1] if parts else "*", []).append((weight, frozenset(parts), *found))
+
+    def of(self, node: "Node") -> tuple[bool | None, bool | None]:
+        own = {node.tag}
+        if node.attrs:
+            low = node.attrs.lower()
+            if "class" in low:
+                own |= {f".{c}" for c in (node.get("class") or "").lower().split()}
+            if "id" in low and (name := node.get("id")):
+                own.add(f"#{name.lower()}")
+        out: list[bool | None] = [None, None]
+        best: list[tuple] = [(-1,), (-1,)]
+        for key in (*own, "*"):
+            for weight, parts, *found in self.rules.get(key, ()):
+                if parts <= own:
+                    for k in (0, 1):
+                        if found[k] is not None and weight >= best[k]:
+                            out[k], best[k] = found[k], weight
+        return out[0], out[1]
+
+
+def parse(html: str, styles: Styles | None = None) -> Node:
     root = Node("html")
     stack, at, size = Open(root), 0, len(html)
+    end_of_tags = html.rfind(">") + 1  # nothing that begins behind it can be a tag
+    tag = _TAG
 
     def text(part: str) -> None:
         if part:
             stack.nodes[-1].children.append(unescape(part) if "&" in part else part)
 
     while at < size:
-        m = _TAG.search(html, at)
+        m = tag.search(html, at, end_of_tags)
         if not m:
-            text(html[at:])
+            rest = html.find("<!--", max(at, end_of_tags - 3))
+            text(html[at : rest if rest >= 0 else size])
             break
         text(html[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
+        if m[5]:  # its quotation marks run to the end; looking that far for each such tag would take the square of the page
+            tag = _PLAIN_TAG
         if not name:
             continue
         if m[1] or m[4]:
@@ -129,42 +210,55 @@ def parse(html: str) -> Node:
         if name in VOID or attrs.endswith("/") and name not in BLOCK and name not in RAW:
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at, end_of_tags)
             body = html[at : end.start() if end else size]
             at = end.end() if end else size
             if name in ("textarea", "title"):
                 node.children.append(unescape(body))
             elif name == "xmp":
                 node.children.append(body)
+            elif name == "style" and styles is not None:
+                styles.read(body)
             continue
         stack.push(node)
     return root
 
 
-def visible(node: Node) -> bool:
+def shown(node: Node, styles: Styles) -> tuple[bool, bool | None]:
+    """Whether an element is displayed, and whether its text is visible (None: as around it)."""
     if node.tag in HIDDEN:
-        return False
+        return False, None
+    display, visibility = styles.of(node) if styles.rules else (None, None)
     if not node.attrs:
-        return node.tag != "dialog"
+        return node.tag != "dialog" if display is None else display, visibility
     low = node.attrs.lower()
-    if "hidden" in low and ((hidden := node.get("hidden")) is not None and hidden.lower() != "until-found" or node.tag == "input" and (node.get("type") or "").lower() == "hidden"):
-        return False
-    if "style" in low and (style := node.get("style")) and _INVISIBLE.search(style):
-        return False
-    return node.tag != "dialog" or node.get("open") is not None
+    if node.tag == "input" and (node.get("type") or "").lower() == "hidden":
+        return False, None
+    if "style" in low and (style := node.get("style")):
+        own = declared(style)
+        display = display if own[0] is None else own[0]
+        visibility = visibility if own[1] is None else own[1]
+    if display is None and "hidden" in low and (hidden := node.get("hidden")) is not None and hidden.lower() != "until-found":
+        return False, None
+    if display is None and node.tag == "dialog":
+        return node.get("open") is not None, visibility
+    return display is not False, visibility
 
 
 class Page:
     """Lines so far, the line being written, and what is due before the next text."""
 
-    def __init__(self):
+    def __init__(self, styles: Styles, inset: int = 0, hid: bool = False):
+        self.styles, self.inset, self.hid = styles, inset, hid
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = False
         self.gap = 0
-        self.prefix: list[str] = []
+        self.lead = ""  # marks of items that are due before the next text, where it is no longer indented
 
     def flow(self, text: str, pre: bool) -> None:
+        if self.hid:
+            return
         if pre:
             parts = text.replace("\r\n", "\n").split("\n")
             for k, part in enumerate(parts):
@@ -192,6 +286,8 @@ class Page:
         if self.space and self.now:
             self.now.append(" ")
         self.space = False
+        if self.lead:
+            text, self.lead = self.lead + text, ""
         self.now.append(text)
 
     def line(self, gap: int = 1, force: bool = False) -> None:
@@ -237,8 +333,8 @@ def run(step: Generator):
     return got
 
 
-def lines_of(children: list, pre: bool = False, depth: int = 0) -> Generator:
-    page = Page()
+def lines_of(around: Page, children: list, pre: bool = False, depth: int = 0) -> Generator:
+    page = Page(around.styles, around.inset + 1, around.hid)
     yield draw(page, children, pre, depth)
     return page.done()
 
@@ -248,50 +344,79 @@ def draw(page: Page, children: list, pre: bool, depth: int) -> Generator:
         if isinstance(c, str):
             page.flow(c, pre)
             continue
-        tag = c.tag
-        if not visible(c):
+        on, visibility = shown(c, page.styles)
+        if not on:
             continue
-        if tag in PLAIN and len(c.children) == 1 and isinstance(c.children[0], str):  # most elements; a generator less for each
-            gap = 2 if tag in SPACED else 1
-            if tag in BLOCK:
-                page.line(gap)
-            page.flow(c.children[0], pre)
-            if tag in BLOCK:
-                page.line(gap)
-        elif tag == "br":
+        if visibility is None:
+            if c.tag in PLAIN and len(c.children) == 1 and isinstance(c.children[0], str):  # most elements; a generator less for each
+                gap = 2 if c.tag in SPACED else 1
+                if c.tag in BLOCK:
+                    page.line(gap)
+                page.flow(c.children[0], pre)
+                if c.tag in BLOCK:
+                    page.line(gap)
+            else:
+                yield draw_one(page, c, pre, depth)
+        else:
+            around, page.hid = page.hid, not visibility
+            yield draw_one(page, c, pre, depth)
+            page.hid = around
+
+
+def draw_one(page: Page, c: Node, pre: bool, depth: int) -> Generator:
+    tag, deep = c.tag, page.inset >= DEEPEST
+    if tag == "br":
+        if not page.hid:
             page.line(force=True)
             page.gap = 0
-        elif tag in ("ul", "ol", "menu", "dir"):
-            yield draw_list(page, c, pre, depth)
-        elif tag == "table":
-            gap = 2
-            page.line(gap)
-            for row in (yield table_lines(c, depth)):
-                page.nested([row], "", "", 1)
-            page.line(gap)
-        elif tag == "dd" or tag == "blockquote":
-            page.nested((yield lines_of(c.children, pre, depth)), "  ", "  ", 2 if tag == "blockquote" else 1)
-        elif tag == "details" and c.get("open") is None:
+    elif tag in ("ul", "ol", "menu", "dir"):
+        yield draw_list(page, c, pre, depth)
+    elif tag == "table" and not deep:
+        page.line(2)
+        for row in (yield table_lines(page, c, depth)):
+            page.nested([row], "", "", 1)
+        page.line(2)
+    elif tag in ("dd", "blockquote") and not deep:
+        page.nested((yield lines_of(page, c.children, pre, depth)), "  ", "  ", 2 if tag == "blockquote" else 1)
+    elif tag == "details" and c.get("open") is None:
+        page.line()
+        yield draw(page, [x for x in c.children if isinstance(x, Node) and x.tag == "summary"], pre, depth)
+        page.line()
+    elif tag in ("textarea", "pre", "xmp", "listing"):
+        page.line(2 if tag != "textarea" else 1)
+        body = c.children
+        if body and isinstance(body[0], str) and body[0][:1] == "\n":
+            body = [body[0][1:], *body[1:]]
+        yield draw(page, body, True, depth)
+        page.line(2 if tag != "textarea" else 1)
+    elif tag == "input":
+        if (c.get("type") or "text").lower() in ("submit", "reset", "button", "text", "search", "url", "email") and (value := c.get("value")):
+            page.flow(value, False)
+    elif tag == "svg":
+        for x in svg_texts(c):
             page.line()
-            yield draw(page, [x for x in c.children if isinstance(x, Node) and x.tag == "summary"], pre, depth)
+            yield draw(page, [x], False, depth)
             page.line()
-        elif tag in ("textarea", "pre", "xmp", "listing"):
-            page.line(2 if tag != "textarea" else 1)
-            body = c.children
-            if body and isinstance(body[0], str) and body[0][:1] == "\n":
-                body = [body[0][1:], *body[1:]]
-            yield draw(page, body, True, depth)
-            page.line(2 if tag != "textarea" else 1)
-        elif tag == "input":
-            if (c.get("type") or "text").lower() in ("submit", "reset", "button", "text", "search", "url", "email") and (value := c.get("value")):
-                page.flow(value, False)
-        elif tag in BLOCK:
-            gap = 2 if tag in SPACED else 1
-            page.line(gap)
-            yield draw(page, c.children, pre, depth)
-            page.line(gap)
-        else:
-            yield draw(page, c.children, pre, depth)
+    elif tag in BLOCK:
+        gap = 2 if tag in SPACED else 1
+        page.line(gap)
+        yield draw(page, c.children, pre, depth)
+        page.line(gap)
+    else:
+        yield draw(page, c.children, pre, depth)
+
+
+def svg_texts(svg: Node) -> list[Node]:
+    """The elements of a drawing that show text, in order."""
+    out, waiting = [], list(reversed(svg.children))
+    while waiting:
+        c = waiting.pop()
+        if isinstance(c, Node) and c.tag not in DRAWN_LATER:
+            if c.tag in ("text", "foreignobject"):
+                out.append(c)
+            elif shown(c, Styles())[0]:
+                waiting += reversed(c.children)
+    return out
 
 
 def draw_list(page: Page, node: Node, pre: bool, depth: int) -> Generator:
@@ -302,49 +427,72 @@ def draw_list(page: Page, node: Node, pre: bool, depth: int) -> Generator:
         number = int(start)
     for c in node.children:
         if isinstance(c, Node) and c.tag == "li":
-            if not visible(c):
+            on, visibility = shown(c, page.styles)
+            if not on:
                 continue
             if node.tag == "ol" and (value := c.get("value")) and re.fullmatch(r"\s*-?\d{1,9}\s*", value):
                 number = int(value)
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            page.nested((yield lines_of(c.children, pre, depth + 1)), mark, " " * len(mark), 1)
+            around, page.hid = page.hid, page.hid if visibility is None else not visibility
+            if page.inset < DEEPEST:
+                page.nested((yield lines_of(page, c.children, pre, depth + 1)), mark, " " * len(mark), 1)
+            else:
+                before, page.lead = page.lead, page.lead + mark
+                page.line()
+                yield draw(page, c.children, pre, depth + 1)
+                page.line()
+                page.lead = before if page.lead else ""
+            page.hid = around
         else:
             yield draw(page, [c], pre, depth + 1)
     page.line(gap)
 
 
-def table_lines(table: Node, depth: int) -> Generator:
-    """The captions' lines, then those of the rows, cells padded to their columns' widths; spanning cells take several."""
+def table_lines(page: Page, table: Node, depth: int) -> Generator:
+    """The captions' lines, then those of the rows, cells padded to their columns' widths (PAD at most); spanning cells take several."""
     out: list[str] = []
     rows: list[list[tuple[list[str], int]]] = []
 
+    def part(children: list, visibility: bool | None) -> Generator:
+        around, page.hid = page.hid, page.hid if visibility is None else not visibility
+        lines = yield lines_of(page, children, False, depth)
+        page.hid = around
+        return lines
+
     def walk(node: Node) -> Generator:
         loose: list = []
         for c in node.children:
             if isinstance(c, str):
                 if c.strip():
                     loose.append(c)
-            elif not visible(c):
                 continue
-            elif c.tag == "caption":
-                out.extend((yield lines_of(c.children, False, depth)))
+            on, visibility = shown(c, page.styles)
+            if not on:
+                continue
+            around = page.hid
+            if c.tag in ("caption", "tr", "tbody", "thead", "tfoot") and visibility is not None:
+                page.hid = not visibility
+            if c.tag == "caption":
+                out.extend((yield part(c.children, None)))
             elif c.tag == "tr":
                 cells = []
                 for x in c.children:
                     if isinstance(x, Node) and x.tag in ("td", "th"):
-                        if visible(x):
+                        on, visibility = shown(x, page.styles)
+                        if on:
                             span = x.get("colspan") or "1"
-                            cells.append(((yield lines_of(x.children, False, depth)), min(int(span), 100) if span.isdecimal() and int(span) else 1))
+                            cells.append(((yield part(x.children, visibility)), min(int(span), 100) if re.fullmatch("0*[1-9][0-9]{0,5}", span) else 1))
                     elif not isinstance(x, str) or x.strip():
-                        cells.append(((yield lines_of([x], False, depth)), 1))
+                        cells.append(((yield part([x], None)), 1))
                 rows.append(cells)
             elif c.tag in ("tbody", "thead", "tfoot"):
                 yield walk(c)
             elif c.tag not in ("colgroup", "col"):
                 loose.append(c)
+            page.hid = around
         if loose:
-            out.extend((yield lines_of(loose, False, depth)))
+            out.extend((yield part(loose, None)))
 
     yield walk(table)
     widths: dict[int, int] = {}
@@ -352,7 +500,7 @@ def table_lines(table: Node, depth: int) -> Generator:
         at = 0
         for lines, span in cells:
             if span == 1:
-                widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
+                widths[at] = max(widths.get(at, 0), min(PAD, max(map(len, lines), default=0)))
             at += span
     for cells in rows:
         if not any(lines for lines, _ in cells):
@@ -371,7 +519,11 @@ def table_lines(table: Node, depth: int) -> Generator:
 
 def render(html: str | None) -> str:
     """All visible text of a page."""
-    return "\n".join(run(lines_of([parse(html)]))) if html else ""
+    if not html:
+        return ""
+    styles = Styles()
+    tree = parse(html, styles)
+    return "\n".join(run(lines_of(Page(styles, -1), [tree])))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -5,31 +5,42 @@ headers, the digests that the response declared and the ones found, and the conv
 id, so a second run, or a retried task, makes the same records. A record is one row of bytes; records joined in any number
 and order (each its own gzip member, if compressed) are a valid file.
 
-Defined cases: null content counts as empty; records that are no response, and bytes that are no record, give no
-derivative; a response without a body gives a conversion with an empty block; rows are converted one by one, so repeated rows
-stay; further columns are ignored.
+HTTP bodies that came in chunks, or in gzip or deflate, are decoded first; a declared payload digest may be that of either form.
+
+Defined cases: null content counts as empty; records that are no response, and bytes that are no record, give no derivative;
+a broken, cut-off or trailing part of a file is passed over up to the next record or gzip member; a response without a body, or in
+an encoding that isn't known here, gives a conversion with an empty block; rows are converted one by one, so repeated rows
+stay and null ids are kept; files are unpacked piece by piece, so that a very long one is held packed, with one record of it
+unpacked; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm.common import with_columns
+from barloom.llm.common import pick, with_columns
 from barloom.llm.html_text import render
 
 CRLF = b"\r\n"
 VERSION = b"WARC/1.1"
 SPACE_ID = uuid.uuid5(uuid.NAMESPACE_URL, "urn:barloom:warc")
 DATE = "2024-01-01T00:00:00Z"
+MAGIC = b"\x1f\x8b"
+HEAD_BYTES = 1 << 16
+_VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_RECORD_HEAD_END = re.compile(rb"\r?\n(?:\r?\n|(WARC/))")
+_LENGTH = re.compile("[0-9]{1,12}")
+_CHUNK = re.compile(rb"([0-9a-fA-F]{1,12})[^\r\n]{0,4096}\r?\n")
 
 
 @dataclass
@@ -65,35 +76,116 @@ def header_lines(raw: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def unpacked(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of a file piece by piece, gzip members unpacked; what isn't a whole member gives what could be read of it."""
+    if data[:2] != MAGIC:
+        yield from (data[k : k + (step << 4)] for k in range(0, len(data), step << 4))
+        return
+    at = 0
+    while 0 <= at < len(data):
+        member, pos = zlib.decompressobj(31), at
+        try:
+            while not member.eof and pos < len(data):
+                rest = data[pos : pos + step]
+                while rest and not member.eof:
+                    yield member.decompress(rest, step << 4)
+                    rest = member.unconsumed_tail
+                pos += step
+        except zlib.error:
+            at = data.find(MAGIC, at + 2)
+            continue
+        if not member.eof:
+            return
+        at = data.find(MAGIC, min(pos, len(data)) - len(member.unused_data))
+
+
 def records(data: bytes) -> Iterator[Record]:
     """The records in the bytes of a file, gzip members or plain. What follows a broken record is searched for the next one."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        m = re.compile(rb"WARC/\d\.\d\r?\n").match(data, at)
-        end = re.compile(rb"\r?\n\r?\n").search(data, m.end() - 1) if m else None
-        if not end:
+    pieces, held, at, more = unpacked(data), b"", 0, True
+
+    def need(n: int) -> bool:
+        """Hold n bytes from `at` on, if there are so many."""
+        nonlocal held, at, more
+        if len(held) - at >= n or not more:
+            return len(held) - at >= n
+        parts, size = [held[at:]], len(held) - at
+        while size < n:
+            piece = next(pieces, None)
+            if piece is None:
+                more = False
+                break
+            parts.append(piece)
+            size += len(piece)
+        held, at = b"".join(parts), 0
+        return size >= n
+
+    while need(1):
+        found = held.find(b"WARC/", at)
+        if found < 0:
+            at = max(at, len(held) - 4)
+            if not need(len(held) - at + 1):
+                return
+            continue
+        at = found
+        need(HEAD_BYTES)
+        m = _VERSION.match(held, at)
+        end = _RECORD_HEAD_END.search(held, m.end() - 2, at + HEAD_BYTES) if m else None
+        if not end or end[1]:  # no end, or another record's first line before it
             at += 5
             continue
-        found = Record(header_lines(data[m.end() : end.start()]), b"")
-        size = found.get("Content-Length") or ""
-        if not size.isdecimal() or end.end() + int(size) > len(data):
+        made, length = Record(header_lines(held[m.end() : end.start()]), b""), end.end() - at
+        size = made.get("Content-Length") or ""
+        if not _LENGTH.fullmatch(size) or not need(length + int(size)):
             at += 5
             continue
-        found.block = data[end.end() : end.end() + int(size)]
-        yield found
-        at = end.end() + int(size)
+        made.block = held[at + length : at + length + int(size)]
+        yield made
+        at += length + int(size)
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and body of an HTTP response."""
-    m = re.compile(rb"\r?\n\r?\n").search(block)
+    m = _HEAD_END.search(block)
     head, body = (block[: m.start()], block[m.end() :]) if m else (block, b"")
     first, _, rest = head.partition(b"\n")
     return first.strip().decode("latin-1"), header_lines(rest), body
 
 
+def joined(body: bytes) -> bytes:
+    """The body that chunks make up; the body itself where it isn't in chunks, as crawlers often store it."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if size == 0:
+            return b"".join(out)
+        if m.end() + size > len(body):
+            break
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size
+        at += 2 if body[at : at + 2] == CRLF else 1 if body[at : at + 1] == b"\n" else 0
+    return b"".join(out) + body[at:] if out else body
+
+
+def decoded(body: bytes, headers: list[tuple[str, str]]) -> bytes | None:
+    """The body as it was before transfer and packing; None where its encoding isn't known here."""
+    given = {k.lower(): v.lower() for k, v in headers}
+    if "chunked" in given.get("transfer-encoding", ""):
+        body = joined(body)
+    for name in reversed([x.strip() for x in given.get("content-encoding", "").split(",") if x.strip() not in ("", "identity")]):
+        if name in ("gzip", "x-gzip") and body[:2] == MAGIC:
+            body = b"".join(unpacked(body))
+        elif name == "deflate":
+            for bits in (15, -15):
+                try:
+                    body = zlib.decompressobj(bits).decompress(body)
+                    break
+                except zlib.error:
+                    continue
+        elif name not in ("gzip", "x-gzip"):
+            return None
+    return body
+
+
 def text_of(body: bytes, content_type: str) -> str:
     charset = re.search(r"charset=[\"']?([\w.:-]+)", content_type, re.I)
     try:
@@ -110,12 +202,13 @@ def derive(response: Record) -> tuple[Record, Record] | None:
     source = response.get("WARC-Record-ID") or named(digest(response.block), "unnamed")
     status, headers, body = http_parts(response.block)
     kind = next((v for k, v in headers if k.lower() == "content-type"), "")
-    text = text_of(body, kind).encode()
+    plain = decoded(body, headers)
+    text = b"" if plain is None else text_of(plain, kind).encode()
     own = {k: named(source, k) for k in ("metadata", "conversion")}
     shared = [("WARC-Refers-To", source), *[(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := response.get(k)) is not None]]
     payload = {
         "refers-to": source, "conversion": own["conversion"], "status": status, "headers": headers, "payload-length": len(body),
-        "payload-digest": digest(body), "declared-payload-digest": response.get("WARC-Payload-Digest"), "block-digest": digest(response.block), "declared-block-digest": response.get("WARC-Block-Digest"),
+        "payload-digest": digest(body), "decoded-digest": None if plain is None else digest(plain), "declared-payload-digest": response.get("WARC-Payload-Digest"), "block-digest": digest(response.block), "declared-block-digest": response.get("WARC-Block-Digest"),
     }
     meta = json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()
 
@@ -140,9 +233,10 @@ def response_of(url: str | None, html: str | None, date: str = DATE) -> Record:
 
 
 DERIVED = (
-    "derived array<struct<response_id: string, metadata_id: string, conversion_id: string, refers_to: string, target_uri: string, payload_digest: string, digest_ok: boolean, "
-    "conversion_digest: string, text: string, metadata: binary, conversion: binary>>"
+    "response_id string, metadata_id string, conversion_id string, refers_to string, target_uri string, payload_digest string, digest_ok boolean, "
+    "conversion_digest string, text string, metadata binary, conversion binary"
 )
+BATCH_BYTES = 8 << 20
 
 
 def derived_row(source: Record) -> dict | None:
@@ -154,18 +248,46 @@ def derived_row(source: Record) -> dict | None:
     declared = facts["declared-payload-digest"]
     return {
         "response_id": facts["refers-to"], "metadata_id": meta.get("WARC-Record-ID"), "conversion_id": conversion.get("WARC-Record-ID"), "refers_to": conversion.get("WARC-Refers-To"),
-        "target_uri": conversion.get("WARC-Target-URI"), "payload_digest": facts["payload-digest"], "digest_ok": declared is None or declared == facts["payload-digest"],
+        "target_uri": conversion.get("WARC-Target-URI"), "payload_digest": facts["payload-digest"], "digest_ok": declared is None or declared in (facts["payload-digest"], facts["decoded-digest"]),
         "conversion_digest": conversion.get("WARC-Block-Digest"), "text": conversion.block.decode(), "metadata": meta.to_bytes(), "conversion": conversion.to_bytes(),
     }
 
 
 def derivatives(files: DataFrame, keep: list[str], content: str = "content") -> DataFrame:
-    """The columns keep of files and `derived`: what each response in the binary column content gives."""
-    return with_columns(files, keep, content, DERIVED, lambda rows: [[[d for r in records(data or b"") if (d := derived_row(r))] for data in rows]], rows=64)
+    """One row for each response in the binary column content: the columns keep of its file, and those of DERIVED."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    src, new = pick(files, *dict.fromkeys([*keep, content])), StructType.fromDDL(DERIVED)
+    out = StructType([*[src.schema[k] for k in keep], *new.fields])
+    arrow = to_arrow_schema(new)
+
+    def made_of(it):
+        for whole in it:
+            rows, of, size = [], [], 0
+
+            def batch():
+                own = [whole.column(k).take(pa.array(of, pa.int64())) for k in keep]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own, *[pa.array([r[f.name] for r in rows], f.type) for f in arrow]], names=[*keep, *arrow.names])  # noqa: B023
+
+            for k, data in enumerate(whole.column(content)):
+                for record in records(data.as_py() or b""):
+                    if (row := derived_row(record)) is not None:
+                        rows.append(row)
+                        of.append(k)
+                        size += len(row["conversion"]) + len(row["metadata"])
+                    if size >= BATCH_BYTES:
+                        yield batch()
+                        rows, of, size = [], [], 0
+            if rows:
+                yield batch()
+
+    return src.mapInArrow(made_of, out)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of WARC files; one file, of 2 GB at most, is read by one task."""
+    """path and content of WARC files; one file, of 2 GB at most, is read by one task, which holds it as it is stored."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
@@ -173,13 +295,13 @@ def page_records(pages: DataFrame) -> DataFrame:
     """page_id and content: one response record for each page, as bytes."""
     from pyspark.sql import functions as F
 
-    both = pages.withColumn("_page", F.struct("url", "html"))
-    return with_columns(both, ["page_id"], "_page", "content binary", lambda rows: [[response_of(r["url"], r["html"]).to_bytes() for r in rows]])
+    both = pages.select("page_id", F.struct("url", "html").alias("page"))
+    return with_columns(both, ["page_id"], "page", "content binary", lambda rows: [[response_of(r["url"], r["html"]).to_bytes() for r in rows]])
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:
     """page_id, the ids and digests of its records, and the conversion's text: one row for each page."""
     from pyspark.sql import functions as F
 
-    found = derivatives(page_records(pages), ["page_id"]).select("page_id", F.inline("derived"))
+    found = derivatives(page_records(pages), ["page_id"])
     return found.select("page_id", "response_id", "metadata_id", "conversion_id", "refers_to", "target_uri", "payload_digest", "digest_ok", "conversion_digest", F.length("text").cast("long").alias("text_chars"), "text")
