@@ -9,11 +9,14 @@ containment |item & document| / |item| is then computed from the whole shingle s
 Of an item's shingles in a document, each is lost to a smaller hash in its bin with a chance under 1/16, independently; an
 item with 20 shared shingles is missed with a chance under 1e-24, and items with fewer than `EXACT_BELOW` shingles are
 compared exactly, without the sketch. Documents are read once and nothing is shuffled. Items go to the executors in
-blocks whose size is checked; a benchmark beyond one block takes one pass over the documents for each block.
+blocks whose size is measured; a benchmark beyond one block takes one pass over the documents for each block, one after
+the other, so that the driver and the executors hold one block's index at a time, however large the benchmark is.
 
 Defined cases: null and empty texts and items match nothing; a text of one to four words is one shingle; items of one to
-four words are looked for as runs of their length; equal items are each reported; rows are searched one by one, so
-repeated rows give repeated results and null ids are kept; further columns are ignored.
+four words are looked for as runs of their length; a very long text is searched as a whole, in memory of some 30 bytes a
+word; equal items, and items without an id, are each reported; rows are searched one by one, so repeated rows give repeated
+results and null ids are kept; an empty table, or an empty benchmark, finds nothing; further columns, whatever they are
+called, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SHINGLE_WORDS, SIMILARITY, hash_words, shingle_hashes, with_columns, words
+from barloom.llm.common import SHINGLE_WORDS, SIMILARITY, back, free_names, hash_words, materialize, pick, shingle_hashes, with_columns, words
 
 BINS_PER_SHINGLE = 8
 EXACT_BELOW = 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 LEVELS = range(3, 31)
 
 
@@ -102,7 +105,7 @@ class Items:
             _, hits = shared(own, values, owner)
             ks, counts = np.unique(hits[wanted[hits]] if m == self.n else hits, return_counts=True)
             found += [(self.ids[k], int(c), c / self.sizes[k]) for k, c in zip(ks.tolist(), counts.tolist(), strict=True) if c >= self.threshold * self.sizes[k] - 1e-9]
-        return sorted(found)
+        return sorted(found, key=lambda f: (f[0] is not None, f[0] or 0, f[1]))
 
 
 def shared(own: np.ndarray, values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,19 +117,25 @@ def shared(own: np.ndarray, values: np.ndarray, owner: np.ndarray) -> tuple[np.n
     return values[hit], owner[hit]
 
 
-def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The items cut by a hash of their id into parts of at most about BLOCK_BYTES of text."""
-    items = benchmark.select("item_id", "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(size * 1.5) // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
-
+BUCKETS = 4096
 
-FOUND = "found array<struct<item_id: bigint, n_shared: bigint, containment: double>>"
 
-
-def find_items(docs: DataFrame, keep: list[str], items: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The columns keep of docs and `found`, the items of one block that each document holds."""
+def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The items in parts of at most BLOCK_BYTES of text each, or one bucket of equal hashes. At most BUCKETS sizes reach the driver."""
+    items = pick(benchmark, "item_id", "text").where("text is not null")
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(BUCKETS))
+    sizes = sorted((r[0], r[1]) for r in items.groupBy(bucket.alias("k")).agg(F.sum(F.octet_length("text"))).collect())
+    cuts, held = [0], 0
+    for k, size in sizes:
+        if held and held + size > BLOCK_BYTES:
+            cuts.append(k)
+            held = 0
+        held += size
+    return [items] if len(cuts) == 1 else [items.where((bucket >= a) & (bucket < b)) for a, b in zip(cuts, [*cuts[1:], BUCKETS], strict=True)]
+
+
+def find_items(docs: DataFrame, keep: list[str], items: DataFrame, found: str, threshold: float = SIMILARITY):
+    """The columns keep of docs and, as `found`, the items of one block that each document holds; and the broadcast index."""
     index = Items.of([(r[0], r[1]) for r in items.collect()], threshold)
     shipped = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -138,18 +147,30 @@ def find_items(docs: DataFrame, keep: list[str], items: DataFrame, threshold: fl
             out.append([{"item_id": i, "n_shared": c, "containment": float(x)} for i, c, x in got])
         return [out]
 
-    return with_columns(docs, keep, "text", FOUND, fn)
+    return with_columns(docs, keep, "text", f"{found} array<struct<item_id: bigint, n_shared: bigint, containment: double>>", fn), shipped
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, n_shared, containment: one row for each document and item in it with that containment or more."""
-    parts = [find_items(docs, ["doc_id"], b, threshold).where(F.size("found") > 0).select("doc_id", F.inline("found")) for b in item_blocks(benchmark)]
+    blocks, parts = item_blocks(benchmark), []
+    for items in blocks:
+        got, shipped = find_items(docs, ["doc_id"], items, "found", threshold)
+        got = got.where(F.size("found") > 0).select("doc_id", F.inline("found"))
+        if len(blocks) > 1:
+            got = materialize(got, "contaminated")
+            shipped.destroy()
+        parts.append(got)
     return reduce(DataFrame.unionAll, parts)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    names = docs.columns
-    for b in item_blocks(benchmark):
-        docs = find_items(docs, names, b, threshold).where(F.size("found") == 0).select(*[F.col(f"`{c}`") for c in names])
+    names, blocks = docs.columns, item_blocks(benchmark)
+    (found,) = free_names(docs, "found")
+    for items in blocks:
+        got, shipped = find_items(docs, names, items, found, threshold)
+        docs = got.where(F.size(found) == 0).select(*back(names))
+        if len(blocks) > 1:
+            docs = materialize(docs, "decontaminated")
+            shipped.destroy()
     return docs
