@@ -4,10 +4,12 @@ Features are the words of a text and their four- and five-letter beginnings, pre
 single out are chosen by a likelihood-ratio test; a logistic model on them is fitted with an extra penalty, the mean
 squared change of a labelled text's logit when an identity term in it is swapped for another group's, or left out.
 
-Training uses at most `cap` labelled rows, one of each group of near copies; scoring covers every row and whole texts.
-Defined cases: null and empty texts have no feature and get the base score; rows are scored one by one, so repeated rows
+Training uses at most `cap` labelled rows, one for each id and of each group of near copies, and what it sends to the driver is
+at most cap times max_features positions of 4 bytes; scoring covers every row and whole texts.
+Defined cases: null and empty texts have no feature and get the base score; a very long text has each of its features once, so
+its score has the same range, and it is cut into words in one piece; rows are scored one by one, so repeated rows
 and ties get equal scores and null ids are kept; an empty table, or no label, gives scores of a model without features;
-further columns are ignored.
+further columns, whatever they are called, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import held_out, hash_words, pick, shingle_sets, with_columns
+from barloom.llm.common import back, free_names, held_out, hash_words, materialize, pick, shingle_sets, with_columns
 
 #: Groups of terms that may stand for one another without changing whether a sentence is toxic.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -111,22 +113,29 @@ class ToxicityModel:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, cap: int) -> DataFrame:
-    """(doc_id, text, label) of at most cap labelled rows. The labels kept are few enough to broadcast, by that bound."""
+    """(doc_id, text, label) of at most cap labelled rows: one for each id, and one of those that begin with equal shingles.
+
+    Beyond cap, the ids with the smallest hashes are taken. Documents are read once, for the rows with such an id, and thinned to
+    one an id before they are shuffled; these are written, so that nothing later reads documents again. At most cap ids are broadcast.
+    """
     known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    n = known.count()
-    if n > cap:
-        share = int(1_000_000 * 0.95 * cap / n)
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(cap)
-    return pick(docs, "doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    if known.count() > cap:
+        known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cap)
+    known = materialize(known, "toxicity-labels")
 
+    def keyed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            key = np.zeros(len(pdf), np.int64)
+            for k, s in shingle_sets(pdf["text"].tolist()):
+                key[k] = s[0].astype(np.int64) if len(s) else 0
+            yield pdf.assign(key=key)
 
-def _keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        key = np.zeros(len(pdf), np.int64)
-        for k, s in shingle_sets(pdf["text"].tolist()):
-            key[k] = s[0].astype(np.int64) if len(s) else 0
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "key": key})
+    own = pick(docs, "doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    own = own.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("doc_id", "label", "m.text")
+    written = materialize(own.mapInPandas(keyed, "doc_id long, label int, text string, key long"), "toxicity-rows")
+    chosen = written.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return written.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "label")
 
 
 def _counts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,14 +235,10 @@ def fit_weights(x: list[list[int]], y: np.ndarray, cf: list[list[list[int]]], d:
 def train(docs: DataFrame, labels: DataFrame, cap: int = 40_000, max_features: int = 3_000, least_g2: float = 16.0, groups=IDENTITY_TERMS, penalty: float = 20.0) -> ToxicityModel:
     """Fit on at most cap labelled rows that aren't held out; at most max_features features get a weight."""
     rows = training_rows(docs, labels, cap)
-    spark = docs.sparkSession
-    keyed = rows.mapInPandas(_keys, "doc_id long, label int, key long")
-    one = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("m")).select("m.doc_id", "m.label").toPandas()
-    n, p = len(one), int(one["label"].sum()) if len(one) else 0
+    n, p = rows.agg(F.count("*"), F.sum("label")).first()
+    p = p or 0
     if not n:
         return ToxicityModel(bias=-3.0)
-    ids = spark.createDataFrame(one[["doc_id"]].drop_duplicates(), "doc_id long")
-    rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
     counts = rows.mapInPandas(_counts, "feature long, pos long, n long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     rate = (p + 0.5) / (n + 1)
     a, m = F.col("pos"), F.col("n")
@@ -267,6 +272,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **how) -> DataFrame:
     """The documents that score below limit, with all their columns."""
-    names = docs.columns
-    scored = with_columns(docs, names, "text", "barloom_score double", lambda texts, model=train(docs, labels, **how): [model.scores(texts)])
-    return scored.where(F.col("barloom_score") < limit).select(*[F.col(f"`{c}`") for c in names])
+    names, model = docs.columns, train(docs, labels, **how)
+    (score,) = free_names(docs, "score")
+    scored = with_columns(docs, names, "text", f"{score} double", lambda texts: [model.scores(texts)])
+    return scored.where(F.col(score) < limit).select(*back(names))
