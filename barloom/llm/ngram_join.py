@@ -9,14 +9,17 @@
    rest verified exactly. Pairs are counted where they are found and never written out; links leave as stars again.
 4. Connected components of exact links are the groups.
 
-Members of a bucket or cluster are dealt into blocks of BLOCK, and each pair of blocks is its own task row group: a bucket
-with a third of all rows becomes many tasks, and no pair of blocks is skipped. Equal copies are never paired: they count by
+Members of a bucket or cluster are dealt into blocks, and each pair of blocks is its own task row group: a bucket with a third
+of all rows becomes many tasks, and no pair of blocks is skipped. A block holds BLOCK members, or more where that would make
+over MOST_BLOCKS of them, but no more than about BLOCK_BYTES of shingles: a member is sent to as many groups as there are
+blocks. Equal copies are never paired: they count by
 their number. A pair at the threshold of 0.8 itself shares no band with a chance of 3e-6 and is pruned, over all bars together, with
 one of 7.6e-6 (at 0.82 1.5e-6).
 
 Defined cases: a text of one to four words is one shingle; null and empty texts link to nothing and are alone in their
 group; a group's id is its smallest doc_id (null where it has none); repeated rows and equal ids are separate documents;
-an empty table gives an empty result; further columns are ignored.
+very long texts make small blocks, so that two of them fit in a task; an empty table gives an empty result; further columns,
+whatever they are called, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SIMILARITY, materialize, mix, shingle_sets, with_columns
+from barloom.llm.common import SIMILARITY, back, free_names, materialize, mix, shingle_sets, with_columns
 from barloom.llm.components import components
 
 BANDS, ROWS = 24, 4
@@ -37,6 +40,8 @@ HASHES = BANDS * ROWS
 TOLERANCE = 1e-6
 STEP = 16
 BLOCK = 256
+MOST_BLOCKS = 32
+BLOCK_BYTES = 16 << 20
 BROADCAST_ROWS = 1_000_000
 
 
@@ -139,13 +144,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_columns(docs, ["doc_id"], "text", "hi long, lo long, n_shingles int, sig binary", fn)
 
 
+def n_blocks(m: Column, shingles: Column) -> Column:
+    """How many blocks m members with so many shingles in all are dealt into."""
+    rows = F.greatest(F.lit(BLOCK), F.ceil(m / MOST_BLOCKS))
+    return F.greatest(F.ceil(m / rows), F.ceil(shingles * 8 / BLOCK_BYTES)).cast("int")
+
+
 def block_pairs(members: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-    """The members (node, key) of the keys in sizes (key, m), dealt into blocks; each once for each pair of blocks it is in.
+    """The members (node, key) of the keys in sizes (key, nb), dealt into nb blocks; each once for each pair of blocks it is in.
 
-    Adds i, j (the pair, i <= j) and side (0: of block i; 1: of block j, where i < j). A key with at most BLOCK members is
-    one block and no row is repeated.
+    Adds i, j (the pair, i <= j) and side (0: of block i; 1: of block j, where i < j). With one block no row is repeated.
     """
-    own = members.join(sizes.select(key, F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")), key)
+    own = members.join(sizes.select(key, "nb"), key)
     own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return other.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "nb")
@@ -228,13 +238,13 @@ def join(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     # A class is one shingle set; node is 128 bits as text, so that a table of any size has no equal nodes. Copies of a set
     # have equal signatures, so any one serves.
     node = F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))
-    classes = prints.where("n_shingles > 0").groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("sig").alias("sig"))
+    classes = prints.where("n_shingles > 0").groupBy("hi", "lo").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
     classes = materialize(classes.withColumn("node", node), "classes")
     clusters = components(candidates(classes.select("node", "sig"), bars))
     checked = materialize(verified(docs, classes, clusters, bars, threshold), "checked")
     groups = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = checked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
-    known = classes.drop("sig").join(counts, "node", "left").join(groups, "node", "left")
+    known = classes.drop("sig", "n_shingles").join(counts, "node", "left").join(groups, "node", "left")
     known = known.select("hi", "lo", "copies", "first_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("root", "node").alias("root"))
     known = materialize(known, "known")
     known = known.join(known.groupBy("root").agg(F.min("first_id").alias("class_id")), "root")
@@ -275,13 +285,13 @@ def candidates(sigs: DataFrame, bars: list[tuple[int, int]]) -> DataFrame:
                 yield pdf.loc[ok, ["a", "b"]]
 
     pairs = two.select("a", "b", "sa", "sb").mapInPandas(both, "a string, b string")
-    dealt = block_pairs(bands, full.where("m > 2"), "bucket").join(sigs, "node")
+    dealt = block_pairs(bands, full.where("m > 2").withColumn("nb", n_blocks(F.col("m"), F.lit(0))), "bucket").join(sigs, "node")
     return pairs.union(dealt.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _bucket_stars(bars, pdf), "a string, b string"))
 
 
 def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, bars: list[tuple[int, int]], threshold: float) -> DataFrame:
     """node, links, texts, root for each node of a cluster and pair of blocks: what exact verification finds there."""
-    member = materialize(clusters.join(classes, "node").select("node", F.col("root").alias("cluster"), "copies", "first_id", "hi", "lo", "sig"), "members")
+    member = materialize(clusters.join(classes, "node").select("node", F.col("root").alias("cluster"), "copies", "first_id", "hi", "lo", "n_shingles", "sig"), "members")
     ids = member.select(F.col("first_id").alias("wanted_id")).distinct()
     if member.count() <= BROADCAST_ROWS:  # one long a row; beyond it, the texts are joined by a shuffle
         ids = F.broadcast(ids)
@@ -293,7 +303,8 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, bars: lis
     sets = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = with_columns(sets, ["doc_id"], "text", "hi long, lo long, shingles binary", shingled)
     sets = sets.join(member.select("hi", "lo", "node"), ["hi", "lo"]).groupBy("node").agg(F.max("shingles").alias("shingles"))
-    dealt = block_pairs(member.select("node", "cluster", "copies", "sig"), member.groupBy("cluster").agg(F.count("*").alias("m")), "cluster").join(sets, "node")
+    sizes = member.groupBy("cluster").agg(n_blocks(F.count("*"), F.sum("n_shingles")).alias("nb"))
+    dealt = block_pairs(member.select("node", "cluster", "copies", "sig"), sizes, "cluster").join(sets, "node")
     return dealt.groupBy("cluster", "i", "j").applyInPandas(lambda pdf: _verified(bars, threshold, pdf), "node string, links long, texts long, root string")
 
 
@@ -304,18 +315,20 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """
     found = materialize(join(docs, threshold), "groups")
     names = docs.columns
-    back = [F.col(f"`{c}`") for c in names]
+    own_id, hi, lo, n, text = free_names(docs, "_id", "_hi", "_lo", "_n", "_text")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        gone = found.where(~stays).select(F.col("doc_id").alias("_id"))
+        gone = found.where(~stays).select(F.col("doc_id").alias(own_id))
         if gone.count() <= BROADCAST_ROWS:  # one long a row; beyond it, the texts are joined by a shuffle
             gone = F.broadcast(gone)
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*back)
+        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own_id)), "left_anti").select(*back(names))
     # ids repeat: the digest says which of an id's texts stay, and equal rows are thinned to one
-    chosen = found.where(stays).groupBy("doc_id", "hi", "lo").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_id"), F.col("hi").alias("_chi"), F.col("lo").alias("_clo"), "_n")
-    rows = with_columns(docs.withColumn("_text", F.col("text")), names, "_text", "_hi long, _lo long", lambda texts: list(zip(*[digest(s) for _, s in shingle_sets(texts)], strict=True)) or [[], []])
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hi") == F.col("_chi")) & (F.col("_lo") == F.col("_clo")))
-    kept = materialize(kept.select(*back, "_hi", "_lo", "_n"), "kept")
+    chosen = found.where(stays).groupBy("doc_id", "hi", "lo").agg(F.count("*").alias(n)).select(F.col("doc_id").alias("want_id"), F.col("hi").alias("want_hi"), F.col("lo").alias("want_lo"), F.col(n).alias("n"))
+    digests = lambda texts: list(zip(*[digest(s) for _, s in shingle_sets(texts)], strict=True)) or [[], []]
+    rows = with_columns(docs.withColumn(text, F.col("text")), names, text, f"{hi} long, {lo} long", digests)
+    rows = rows.toDF(*[f"c{k}" for k in range(len(names))], "hi", "lo").withColumn("id", F.col(f"c{names.index('doc_id')}"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("hi") == F.col("want_hi")) & (F.col("lo") == F.col("want_lo")))
+    kept = materialize(kept.select(*[f"c{k}" for k in range(len(names))], "hi", "lo", "n"), "kept")
     none = digest(np.zeros(0, np.uint64))
-    single = (F.col("_n") == 1) | ((F.col("_hi") == none[0]) & (F.col("_lo") == none[1]))
-    return kept.where(single).unionByName(kept.where(~single).dropDuplicates(["_hi", "_lo"])).select(*back)
+    single = (F.col("n") == 1) | ((F.col("hi") == none[0]) & (F.col("lo") == none[1]))
+    return kept.where(single).unionByName(kept.where(~single).dropDuplicates(["hi", "lo"])).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
