@@ -84,3 +84,8 @@ def token_files(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, vocabulary)
     return digests(read_tokens(docs.sparkSession, path))
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, ids of the documents with these ids; files, stripes and row groups that can't hold them are not read."""
+    return read_tokens(spark, path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids")
