@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.scores import affinity_score
+
 METRICS = "auc double, auc_median double, ap double, accuracy double, pos_rate_test double, fit_time_sec double, predict_time_sec double, n_test int, skill double, r2 double, r2_score double, spearman double, pearson double"
 SELECTION = "target string, features array<string>, model string, eval_cfg string"
-ARTIFACTS = "failed_features array<struct<id: string, error: string>>"
+ARTIFACTS = "failed_features array<struct<id: string, error: string>>, affinity map<string, struct<pearson: double, spearman: double, mi: double, dcor: double, n_eff: double>>"
 ALPHA = 0.2
 
 
@@ -35,7 +37,7 @@ def shredded(runs: DataFrame) -> DataFrame:
     value = lambda n: F.when(~F.isnan(f"m.{n}"), F.col(f"m.{n}"))
     names = [x.split()[0] for x in METRICS.split(", ")]
     cols = [(F.col(f"m.{n}") if n == "n_test" else value(n)).alias(n) for n in names]
-    return d.select("run_id", "started_at", "s.target", "s.model", F.size("s.features").alias("k"), "s.features", *cols, F.col("m.auc").isNotNull().alias("has_auc"), "a.failed_features")
+    return d.select("run_id", "started_at", "s.target", "s.model", F.size("s.features").alias("k"), "s.features", *cols, F.col("m.auc").isNotNull().alias("has_auc"), "a.failed_features", "a.affinity")
 
 
 def quality(runs: DataFrame, by: list[str], min_runs: int = 1, finite_only: bool = False) -> DataFrame:
@@ -95,25 +97,65 @@ def best_per_target(runs: DataFrame, n: int = 3) -> DataFrame:
     return d.withColumns({"rank": F.row_number().over(w), "best": F.max("score").over(Window.partitionBy("target"))}).where(F.col("rank") <= n).select("target", "run_id", "model", "score", "rank", "best").orderBy(F.desc("best"), "target", "rank")
 
 
-def weight_updates(events: DataFrame, alpha: float = ALPHA, start: float = 1.0) -> DataFrame:
-    """kind, name, weight, n, mean, best, last from (kind, name, seq, score): scores folded in order, weight as a running mean.
+CHUNK = 4096
+
+
+def weight_updates(events: DataFrame, store: DataFrame | None = None, alpha: float = ALPHA, start: float = 1.0, chunk: int = CHUNK) -> DataFrame:
+    """kind, name, weight, n, mean, best, last (and disabled, with a store) after (kind, name, seq, score, failed) events in order.
 
-    weight after m scores is (1 - a)^m start + sum of a (1 - a)^(m - i) s_i: a sum, so it needs no list of a name's scores.
+    A score moves a weight towards it, w -> (1 - alpha) w + alpha score, and a failure then halves it. Such steps compose: m
+    scores and f failures turn w into (1 - alpha)^m w / 2^f plus a sum. So events are folded in chunks of the sequence, and the
+    chunks' results once more; no task holds all events of a name. Names that the store has disabled, or whose weight there is
+    0, are frozen: scores pass them by. Names without a score event keep what the store has.
     """
-    by = Window.partitionBy("kind", "name")
-    d = events.withColumns({"_i": F.row_number().over(by.orderBy("seq")), "_m": F.count("*").over(by)})
-    g = d.groupBy("kind", "name").agg(F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("_m") - F.col("_i")) * F.col("score")).alias("_w"), F.count("*").alias("n"), F.avg("score").alias("mean"), F.greatest(F.lit(0.0), F.max("score")).alias("best"), F.max_by("score", "seq").alias("last"))
-    return g.select("kind", "name", (F.pow(F.lit(1 - alpha), F.col("n")) * start + F.col("_w")).alias("weight"), "n", "mean", "best", "last")
+    events = events.withColumn("failed", F.coalesce("failed", F.lit(False)))
+    if store is not None:
+        frozen = store.where("kind <> 'k' and (disabled or weight <= 0)").select("kind", "name", F.lit(True).alias("_off"))
+        events = events.join(frozen, ["kind", "name"], "left").withColumn("score", F.when(F.col("_off").isNull(), F.col("score"))).drop("_off")
+    events = events.withColumns({"m": F.col("score").isNotNull().cast("int"), "f": F.col("failed").cast("int"), "_c": F.floor(F.col("seq") / chunk)})
+    left = lambda of, m, f: F.pow(F.lit(1 - alpha), m) * F.pow(F.lit(0.5), f) * of
+    zero = lambda c: F.coalesce(c, F.lit(0))
+
+    def folded(d: DataFrame, by: list[str], order: str, part) -> DataFrame:
+        """The share of each row's part that the scores and failures behind it leave."""
+        later = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return d.withColumn("_w", left(part, zero(F.sum("m").over(later)), zero(F.sum("f").over(later))))
+
+    d = folded(events, ["kind", "name", "_c"], "seq", left(zero(alpha * F.col("score")), F.lit(0), F.col("f")))
+    d = d.groupBy("kind", "name", "_c").agg(F.sum("_w").alias("_w"), F.sum("m").alias("m"), F.sum("f").alias("f"), F.sum("score").alias("total"), F.max("score").alias("best"), F.max(F.when(F.col("m") == 1, F.struct("seq", "score"))).alias("last"))
+    d = folded(d, ["kind", "name"], "_c", F.col("_w"))
+    g = d.groupBy("kind", "name").agg(F.sum("_w").alias("_w"), F.sum("m").alias("m"), F.sum("f").alias("f"), F.sum("total").alias("total"), F.max("best").alias("best"), F.max("last").alias("last"))
+    if store is None:
+        d = g.withColumns({"n0": F.lit(0), "m0": F.lit(0.0), "b0": F.lit(0.0), "l0": F.lit(None).cast("double"), "w0": F.lit(start), "disabled": F.lit(False)})
+    else:
+        d = store.select("kind", "name", F.col("n").alias("n0"), F.col("mean").alias("m0"), F.col("best").alias("b0"), F.col("last").alias("l0"), F.col("weight").alias("w0"), "disabled").join(g, ["kind", "name"], "full")
+        d = d.withColumns({"w0": F.coalesce("w0", F.lit(start)), "n0": zero("n0"), "m0": F.coalesce("m0", F.lit(0.0)), "b0": F.coalesce("b0", F.lit(0.0)), "disabled": F.coalesce("disabled", F.lit(False))})
+    n = (F.col("n0") + zero("m")).cast("long")
+    out = d.select(
+        "kind", "name", (left(F.col("w0"), zero("m"), zero("f")) + F.coalesce("_w", F.lit(0.0))).alias("weight"), n.alias("n"),
+        F.coalesce(F.try_divide(F.col("m0") * F.col("n0") + F.coalesce("total", F.lit(0.0)), n), F.lit(0.0)).alias("mean"), F.greatest("b0", "best").alias("best"), F.coalesce("last.score", "l0").alias("last"), "disabled",
+    )
+    return out if store is not None else out.drop("disabled")
 
 
 def run_events(runs: DataFrame) -> DataFrame:
-    """(kind, name, seq, score) of the targets, models, features and feature counts that scored runs used."""
-    d = runs.withColumn("score", run_score()).where("score is not null")
-    kinds = F.concat(
-        F.array(F.struct(F.lit("target").alias("kind"), F.col("target").alias("name")), F.struct(F.lit("model").alias("kind"), F.col("model").alias("name")), F.struct(F.lit("k").alias("kind"), F.concat(F.lit("k_"), F.col("k")).alias("name"))),
-        F.transform("features", lambda f: F.struct(F.lit("feature").alias("kind"), f.alias("name"))),
-    )
-    return d.select(F.explode(kinds).alias("e"), F.col("run_id").alias("seq"), "score").select("e.kind", "e.name", "seq", "score")
+    """(kind, name, seq, score, failed) of successful runs.
+
+    Targets, models and feature counts get the run's score, where it has one; each feature gets its own affinity score (0 where
+    the run recorded none), and failed where it could not be computed.
+    """
+    d = runs.withColumns({"score": run_score(), "_bad": F.coalesce(F.transform("failed_features", lambda x: x["id"]), F.array().cast("array<string>"))})
+    row = lambda kind, name, score, failed: F.struct(F.lit(kind).alias("kind"), name.alias("name"), score.alias("score"), failed.alias("failed"))
+    no, none = F.lit(False), F.lit(None).cast("double")
+
+    def own(f: Column) -> Column:
+        a = F.try_element_at("affinity", f)
+        return row("feature", f, affinity_score(a["pearson"], a["spearman"], a["mi"], a["dcor"], a["n_eff"]), F.array_contains("_bad", f))
+
+    whole = F.array(row("target", F.col("target"), F.col("score"), no), row("model", F.col("model"), F.col("score"), no), row("k", F.concat(F.lit("k_"), F.col("k")), F.col("score"), no))
+    absent = F.transform(F.array_except("_bad", "features"), lambda f: row("feature", f, none, F.lit(True)))
+    kinds = F.concat(F.filter(whole, lambda x: x["score"].isNotNull()), F.transform("features", own), absent)
+    return d.select(F.explode(kinds).alias("e"), F.col("run_id").alias("seq")).select("e.kind", "e.name", "seq", "e.score", "e.failed")
 
 
 def effective_weight(weight: Column, disabled: Column) -> Column:
@@ -144,8 +186,8 @@ def suggest_prune(groups: DataFrame) -> DataFrame:
     return groups.where("auc_median < 0.515 and (ap_lift_median is null or ap_lift_median < 1.02)")
 
 
-def suggest_features(weights: DataFrame, k: int = 50) -> DataFrame:
-    return weights.where("kind = 'feature' and n >= 80 and mean < 0.03").orderBy("mean", "n", "name").limit(k)
+def suggest_features(weights: DataFrame, k: int = 50, n: int = 80, mean: float = 0.03) -> DataFrame:
+    return weights.where(f"kind = 'feature' and n >= {n} and mean < {mean}").orderBy("mean", "n", "name").limit(k)
 
 
 def cleanup(weights: DataFrame, registry: DataFrame) -> DataFrame:
@@ -154,10 +196,13 @@ def cleanup(weights: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def bump(weights: DataFrame, names: list[str], set_weight: float | None = None, factor: float | None = None) -> DataFrame:
-    """Set, multiply, or lift to 3 the weights of the named features; new names start at 1."""
+    """Set, multiply, or lift to 3 the weights of the named features; names that aren't there are added, from a weight of 1."""
     w = F.coalesce("weight", F.lit(1.0))
     new = F.lit(set_weight) if set_weight is not None else w * factor if factor is not None else F.greatest(w, F.lit(3.0))
-    return weights.withColumn("weight", F.when((F.col("kind") == "feature") & F.col("name").isin(names), new).otherwise(F.col("weight")))
+    named = weights.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(names)], "name string").withColumn("kind", F.lit("feature"))
+    added = named.join(weights.where("kind = 'feature'").select("name"), "name", "left_anti")
+    both = weights.unionByName(added, allowMissingColumns=True)
+    return both.withColumn("weight", F.when((F.col("kind") == "feature") & F.col("name").isin(names), new).otherwise(F.col("weight")))
 
 
 def toggle(weights: DataFrame, kind: str, name: str, on: bool) -> DataFrame:
@@ -192,12 +237,19 @@ def synthetic_runs(orders: DataFrame) -> DataFrame:
         F.lit('{"auc": '), F.when(k % 97 == 0, "NaN").otherwise(F.round(auc, 6).cast("string")), F.lit(', "ap": '), F.round(ap, 6).cast("string"), F.lit(', "accuracy": '), F.round(auc * 0.9, 6).cast("string"),
         F.lit(', "pos_rate_test": '), F.round(pr, 6).cast("string"), F.lit(', "fit_time_sec": '), F.round((k % 50) / 10.0, 6).cast("string"), F.lit(', "predict_time_sec": '), F.round((k % 9) / 100.0, 6).cast("string"), F.lit(', "n_test": '), (k % 400).cast("string"), F.lit("}"),
     )
-    failed = F.when(k % 53 == 0, F.concat(F.lit('{"failed_features": [{"id": "feat_'), (k % 60).cast("string"), F.lit('", "error": "x"}]}'))).otherwise("{}")
+    broken = k % 53 == 0
+    scores = lambda i: F.struct(
+        (((k * 31 + i * 17) % 200 - 100) / 250).alias("pearson"), (((k * 13 + i * 7) % 200 - 100) / 250).alias("spearman"), ((k + i * 5) % 50 / 100).alias("mi"), ((k * 3 + i) % 90 / 100).alias("dcor"), (k % 400).cast("double").alias("n_eff")
+    )
+    known = F.filter(F.sequence(F.lit(0), (k % 13 + 7).cast("int")), lambda i: ~broken | (i > 0))
+    affinity = F.map_from_arrays(F.transform(known, lambda i: F.concat(F.lit("feat_"), ((k + i * 3) % 60).cast("string"))), F.transform(known, scores))
+    bad = F.when(broken, F.array(F.struct(F.concat(F.lit("feat_"), (k % 60).cast("string")).alias("id"), F.lit("x").alias("error"))))
+    artifacts = F.to_json(F.struct(bad.alias("failed_features"), affinity.alias("affinity")))
     status = F.when(F.col("o_orderstatus") == "P", "FAILED").otherwise("SUCCESS")
     selection = F.to_json(F.struct(t.alias("target"), feats.alias("features"), m.alias("model"), F.lit("default").alias("eval_cfg")))
     return orders.select(
-        k.alias("run_id"), F.sha2(k.cast("string"), 256).alias("run_key"), status.alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("started_at"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("finished_at"), selection.alias("selection_json"), metrics.alias("metrics_json"), failed.alias("artifacts_json"), F.lit(None).cast("string").alias("error_msg"),
+        k.alias("run_id"), run_key(F.lit("events"), F.lit("whole"), t, feats, m, F.lit("default"), k).alias("run_key"), status.alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("started_at"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("finished_at"), selection.alias("selection_json"), metrics.alias("metrics_json"), artifacts.alias("artifacts_json"), F.lit(None).cast("string").alias("error_msg"),
     )
 
 

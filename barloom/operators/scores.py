@@ -42,7 +42,7 @@ def affinity_score(pearson: Column, spearman: Column, mi: Column, dcor: Column,
     z = lambda c: F.coalesce(F.when(~F.isnan(c.cast("double")), c), F.lit(0.0))
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     base = 0.5 * F.greatest(F.abs(z(pearson)), F.abs(z(spearman))) + 0.25 * unit(z(mi) / 0.2) + 0.25 * unit(z(dcor))
-    return base * F.greatest(F.lit(0.3), F.least(F.lit(1.0), z(n_eff) / 200))
+    return unit(base * F.greatest(F.lit(0.3), F.least(F.lit(1.0), F.coalesce(F.when(~F.isnan(n_eff.cast("double")), n_eff), F.lit(200.0)) / 200)))
 
 
 def leak_scores(df: DataFrame, columns: list[str], price: str = "close") -> DataFrame:

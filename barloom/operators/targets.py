@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import ewm
-from barloom.operators.exprs import KEYS, by_time, div, zero
+from barloom.operators.exprs import KEYS, by_time, clip, div
 
 ATR_TARGETS = tuple((h, k) for h in (6, 12, 36) for k in (0.5, 1.0))
-PV_CONFIGS = {"pv_": (50, 1.0), "pv_d200_t2_": (200, 2.0), "pv_d200_t3_": (200, 3.0)}
+PV_CONFIGS = {"pv_": (1000, 2.0), "pv_d200_t2_": (200, 2.0), "pv_d200_t3_": (200, 3.0)}
 
 
 def future(bars: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def future(bars: DataFrame) -> DataFrame:
 
 
 def margin(bars: DataFrame, h: int = 12, k: float = 0.75) -> DataFrame:
-    """Whether the return h bars on is beyond k recent deviations of the log return (half-life 60); null at the tail."""
+    """Whether the return h bars on is beyond k recent deviations of the log return (half-life 60); null where there is no such return."""
 
     def fn(d: pd.DataFrame) -> dict:
         c = d["close"].where(d["close"] > 0)
@@ -34,10 +34,10 @@ def margin(bars: DataFrame, h: int = 12, k: float = 0.75) -> DataFrame:
     df = bars.join(ewm.per_series(bars, ["_tau"], fn), list(KEYS))
     r = F.ln(div(F.lead("close", h).over(by_time()), "close"))
     df = df.withColumn("_r", F.when((F.col("close") > 0) & (F.lead("close", h).over(by_time()) > 0), r))
-    r, t, last = F.col("_r"), F.col("_tau"), F.lead(F.lit(1), h).over(by_time()).isNull()
+    r, t = F.col("_r"), F.col("_tau")
     tag = f"H{h}_k{str(k).replace('.', '')}"
-    up = F.when(last, None).otherwise(F.coalesce(r > t, F.lit(False)).cast("int"))
-    both = F.when(last, None).when(r > t, 1).when(r < -t, -1).otherwise(0)
+    up = F.when(r.isNotNull(), F.coalesce(r > t, F.lit(False)).cast("int"))
+    both = F.when(r.isNull(), None).when(r > t, 1).when(r < -t, -1).otherwise(0)
     return df.select(*KEYS, up.alias(f"up_margin_{tag}"), both.alias(f"updown_margin_{tag}"))
 
 
@@ -96,7 +96,7 @@ def zigzag(close: np.ndarray, distance: int, threshold: float) -> list[tuple[int
     return out
 
 
-def peaks_and_valleys(bars: DataFrame, distance: int = 50, threshold: float = 1.0) -> DataFrame:
+def peaks_and_valleys(bars: DataFrame, distance: int = 1000, threshold: float = 2.0) -> DataFrame:
     """The artifact: moves (as fractions) to the next and from the last extreme, bars to and since them, and the line between."""
 
     def fn(d: pd.DataFrame) -> dict:
@@ -161,11 +161,11 @@ def pv_targets(pv: DataFrame, p: str = "pv_") -> DataFrame:
 
 
 def pv_features(pv: DataFrame) -> DataFrame:
-    """Seven features of the artifact. Extremes are confirmed by later bars, so these look ahead; they are off by default."""
+    """Seven features of the artifact, null where it is. Extremes are confirmed by later bars, so these look ahead; they are off by default."""
     out = {}
     for d in ("up", "down"):
-        out[f"pv_last_{d}"] = zero(f"last_{d}")
-        out[f"pv_last_{d}_clip20"] = F.least(F.greatest(zero(f"last_{d}"), F.lit(0.0)), F.lit(0.2))
-    out |= {f"pv_since_prev_{d}": zero(f"since_prev_{d}") for d in ("peak", "valley")}
-    out["pv_last_trend"] = F.signum(zero("last_up") - zero("last_down"))
+        out[f"pv_last_{d}"] = F.col(f"last_{d}")
+        out[f"pv_last_{d}_clip20"] = clip(f"last_{d}", -0.2, 0.2)
+    out |= {f"pv_since_prev_{d}": F.col(f"since_prev_{d}") for d in ("peak", "valley")}
+    out["pv_last_trend"] = F.col("last_up") - F.col("last_down")
     return pv.select(*KEYS, *[c.alias(k) for k, c in out.items()])

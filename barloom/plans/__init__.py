@@ -41,6 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what several branches of a plan need is computed once."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.event_bars(table(spark, sf_dir, "events"))
 
@@ -191,7 +198,8 @@ ranked as (select *, rank() over (partition by feature order by x) + (count(*) o
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars_of(spark, sf_dir)
-    return FT.momentum(b).join(T.future(b).select(*KEYS, F.col("future_up").alias("y")), list(KEYS)).join(b.select(*KEYS, "close"), list(KEYS))
+    joined = FT.momentum(b).join(T.future(b).select(*KEYS, F.col("future_up").alias("y")), list(KEYS)).join(b.select(*KEYS, "close"), list(KEYS))
+    return kept(joined, "scored")
 
 
 @query("score_affinity", f"""with {B.BARS_SQL}, {_SCORED_SQL},
@@ -330,12 +338,47 @@ query("leaderboard_top_normalized", f"""with {H.SHREDDED_SQL} select run_id, tar
 query("leaderboard_best_per_target", f"""with {H.SHREDDED_SQL}, b as (select target, run_id, model, {_UNIFIED} as score from shredded where auc is not null), r as (select *, row_number() over (partition by target order by score desc, run_id)::int as rank, max(score) over (partition by target) as best from b)
 select target, run_id, model, round(score + 3e-7, 6) as score, rank, round(best + 3e-7, 6) as best from r where rank <= 3""")(lambda s, p: rounded(H.best_per_target(runs_of(s, p))))
 
-_WEIGHTS = f"""{H.SHREDDED_SQL}, sc as (select *, {_SCORE} as score from shredded),
-ev as (select 'target' as kind, target as name, run_id as seq, score from sc union all select 'model', model, run_id, score from sc union all select 'k', 'k_' || k, run_id, score from sc union all select 'feature', unnest(features), run_id, score from sc),
-ordered as (select *, row_number() over (partition by kind, name order by seq) as i, count(*) over (partition by kind, name) as m from ev where score is not null),
-weights as (select kind, name, power(0.8, count(*)) + sum(0.2 * power(0.8, m - i) * score) as weight, count(*) as n, avg(score) as mean, greatest(0, max(score)) as best, arg_max(score, seq) as last from ordered group by 1, 2)"""
+_AFF = """greatest(0.0, least(1.0, (0.5 * greatest(abs((o * 31 + i * 17) % 200 - 100) / 250, abs((o * 13 + i * 7) % 200 - 100) / 250) + 0.25 * least(1.0, ((o + i * 5) % 50 / 100) / 0.2) + 0.25 * least(1.0, (o * 3 + i) % 90 / 100))
+   * greatest(0.3, least(1.0, (o % 400) / 200.0))))"""
+_EVENTS = f"""{H.SHREDDED_SQL}, sc as (select *, {_SCORE} as score from shredded),
+fe as (select run_id as o, unnest(range(0, k)) as i from sc),
+ev as (select 'target' as kind, target as name, run_id as seq, score, false as failed from sc where score is not null union all select 'model', model, run_id, score, false from sc where score is not null
+   union all select 'k', 'k_' || k, run_id, score, false from sc where score is not null
+   union all select 'feature', 'feat_' || ((o + i * 3) % 60), o, case when o % 53 = 0 and i = 0 then 0.0 else {_AFF} end, o % 53 = 0 and i = 0 from fe)"""
+
+
+def _folded(start: str, frozen: str = "false") -> str:
+    """Weights after the events in ev, from start; scores of names for which frozen holds are left out."""
+    later = "(partition by kind, name order by seq desc rows between unbounded preceding and 1 preceding)"
+    return f"""ev2 as (select kind, name, seq, case when not ({frozen}) then score end as score, failed::int as f from ev),
+ordered as (select *, coalesce(count(score) over {later}, 0) as ma, coalesce(sum(f) over {later}, 0) as fa from ev2),
+folded as (select kind, name, power(0.8, count(score)) * power(0.5, sum(f)) as a, coalesce(sum(0.2 * score * power(0.8, ma) * power(0.5, fa + f)), 0) as b, count(score) as n, sum(score) as total, max(score) as best, arg_max(score, seq) filter (score is not null) as last from ordered group by 1, 2)"""
+
+
+_WEIGHTS = f"""{_EVENTS}, {_folded("1.0")},
+weights as (select kind, name, a + b as weight, n, total / n as mean, greatest(0, best) as best, last from folded)"""
 query("weights_updated", f"with {_WEIGHTS} select kind, name, round(weight + 3e-7, 6) as weight, n, round(mean + 3e-7, 6) as mean, round(best + 3e-7, 6) as best, round(last + 3e-7, 6) as last from weights")(lambda s, p: rounded(H.weight_updates(H.run_events(runs_of(s, p)))))
 
+_STORE = """store as (select 'feature' as kind, 'feat_' || range as name, case when range % 15 = 1 then 0.0 else 0.5 + range / 100 end as weight, range as n, 0.1 as mean, 0.2 as best, 0.05 as last, range % 10 = 0 as disabled from range(0, 64)
+   union all select 'model', 'rf_baseline', 1.0, 0, 0.0, 0.0, null, true union all select 'target', 'future_up', 0.7, 3, 0.3, 0.9, 0.2, false)"""
+
+
+def weight_store(spark: SparkSession) -> DataFrame:
+    """A store by rule: some features disabled, some frozen by a weight of 0, a disabled model and a target with a past."""
+    i = F.col("id")
+    features = spark.range(0, 64).select(
+        F.lit("feature").alias("kind"), F.concat(F.lit("feat_"), i.cast("string")).alias("name"), F.when(i % 15 == 1, 0.0).otherwise(0.5 + i / 100).alias("weight"), i.alias("n"), F.lit(0.1).alias("mean"), F.lit(0.2).alias("best"), F.lit(0.05).alias("last"),
+        (i % 10 == 0).alias("disabled"),
+    )
+    schema = "kind string, name string, weight double, n long, mean double, best double, last double, disabled boolean"
+    return features.union(spark.createDataFrame([("model", "rf_baseline", 1.0, 0, 0.0, 0.0, None, True), ("target", "future_up", 0.7, 3, 0.3, 0.9, 0.2, False)], schema))
+
+
+query("weights_resumed", f"""with {_STORE}, {_EVENTS}, {_folded("", "(kind, name) in (select kind, name from store where disabled or weight <= 0)")}
+select kind, name, round(coalesce(s.weight, 1.0) * coalesce(a, 1.0) + coalesce(b, 0.0) + 3e-7, 6) as weight, (coalesce(s.n, 0) + coalesce(f.n, 0))::bigint as n,
+  round(coalesce((coalesce(s.mean, 0.0) * coalesce(s.n, 0) + coalesce(total, 0.0)) / nullif(coalesce(s.n, 0) + coalesce(f.n, 0), 0), 0.0) + 3e-7, 6) as mean, round(greatest(coalesce(s.best, 0.0), f.best) + 3e-7, 6) as best,
+  round(coalesce(f.last, s.last) + 3e-7, 6) as last, coalesce(disabled, false) as disabled from store s full join folded f using (kind, name)""")(lambda s, p: rounded(H.weight_updates(H.run_events(runs_of(s, p)), weight_store(s))))
+
 
 def _registry(spark: SparkSession) -> DataFrame:
     return spark.range(0, 70).select(F.lit("feature").alias("kind"), F.concat(F.lit("feat_"), F.col("id").cast("string")).alias("name"))
@@ -346,7 +389,23 @@ query("leaderboard_features", f"""with {_WEIGHTS}, names as (select name from we
 t as (select name, coalesce(weight, 1.0) as weight, coalesce(n, 0) as n, coalesce(mean, 0.0) as mean, coalesce(best, 0.0) as best from names left join (select * from weights where kind = 'feature') using (name))
 select name, round(weight + 3e-7, 6) as weight, n, round(mean + 3e-7, 6) as mean, round(best + 3e-7, 6) as best, round({_RANK.format(0.6, 0.3)} + 3e-7, 6) as rank from t""")(lambda s, p: rounded(H.component_table(H.weight_updates(H.run_events(runs_of(s, p))), _registry(s), "feature")))
 query("leaderboard_targets", f"with {_WEIGHTS} select name, round(weight + 3e-7, 6) as weight, n, round(mean + 3e-7, 6) as mean, round(best + 3e-7, 6) as best, round({_RANK.format(0.7, 0.2)} + 3e-7, 6) as rank from weights where kind = 'target'")(lambda s, p: rounded(H.component_table(H.weight_updates(H.run_events(runs_of(s, p))), _registry(s), "target")))
-query("pruning_groups", f"""select * from ({_quality_sql(['target', 'model'], 'count(*) filter (has_auc)')}) where auc_median < 0.515 and (ap_lift_median is null or ap_lift_median < 1.02)""")(lambda s, p: rounded(H.suggest_prune(H.quality(runs_of(s, p), ["target", "model"]))))
+_POOR = "case when target in ('future_up', 'future_up_20') then 0.45 + (run_id % 100) / 1000.0 else auc end", "case when target = 'future_up' or model = 'rf_baseline' then pos_rate_test * 1.01 else ap end"
+
+
+def poor_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs with some targets and models made too poor to keep, so that the rules have groups to find and groups to spare."""
+    return runs_of(spark, sf_dir).withColumns({"auc": F.expr(f"case when auc is not null then {_POOR[0]} end"), "ap": F.expr(_POOR[1])})
+
+
+query("pruning_groups", _quality_sql(["target", "model"], "count(*) filter (has_auc)").replace("from shredded)", f"from (select * replace (case when auc is not null then {_POOR[0]} end as auc, {_POOR[1]} as ap) from shredded))", 1)
+      .replace("with ", "with raw_groups as (with ", 1) + ") select * from raw_groups where auc_median < 0.515 and (ap_lift_median is null or ap_lift_median < 1.02)")(
+    lambda s, p: rounded(H.suggest_prune(H.quality(poor_runs(s, p), ["target", "model"])))
+)
+query("pruning_features", f"""with {_WEIGHTS} select name, n, round(mean + 3e-7, 6) as mean from (select * from weights where kind = 'feature' and n >= 80 and mean < 0.37 order by mean, n, name limit 50)""")(
+    lambda s, p: rounded(H.suggest_features(H.weight_updates(H.run_events(runs_of(s, p))), mean=0.37).select("name", "n", "mean"))
+)
+_KEY = """'{"df":{"name":"events","split_id":"whole"},"eval":"default","features":[' || list_aggregate(list_transform(list_sort(features), lambda x: '"' || x || '"'), 'string_agg', ',') || '],"model":"' || model || '","seed":' || run_id || ',"target":"' || target || '"}'"""
+query("history_run_keys", f"with {H.SHREDDED_SQL} select run_id, sha256({_KEY}) as run_key from shredded")(lambda s, p: H.synthetic_runs(table(s, p, "orders")).where("status = 'SUCCESS'").select("run_id", "run_key"))
 query("run_keys_new", "select o_orderkey as run_id from orders where o_orderkey % 3 = 0 and not (o_orderkey % 2 = 0)")(
     lambda s, p: H.new_runs(H.synthetic_runs(table(s, p, "orders")).where("run_id % 3 = 0"), H.synthetic_runs(table(s, p, "orders")).where("run_id % 2 = 0")).select("run_id")
 )
@@ -382,8 +441,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars_of(spark, sf_dir)
     feats = FT.momentum(b).join(FT.calendar(b), list(KEYS)).join(FT.volume(b), list(KEYS)).join(FT.extremes(b, ("close",), ("1d",)).select(*KEYS, "dist_to_max_1d_pct", "bars_since_max_1d"), list(KEYS))
     names = ["pct_change", "dist_to_max_1d_pct", "bars_since_max_1d", "vol_sum_1d_roll", "tod_sin"]
-    a = S.affinity(feats.join(T.future(b), list(KEYS)), names, "future_up")
-    score = S.affinity_score(F.col("pearson"), F.col("spearman"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("n_eff"))
+    joined = kept(feats.join(T.future(b).select(*KEYS, "future_up"), list(KEYS)).select(*KEYS, *names, "future_up"), "flagship")
+    a = S.affinity(joined, names, "future_up").join(D.dependence(joined, names, "future_up").drop("n_eff"), "feature", "left")
+    score = S.affinity_score(F.col("pearson"), F.col("spearman"), F.col("mi_knn"), F.col("dcor"), F.col("n_eff"))
     return rounded(a.withColumn("score", score).orderBy(F.desc("score"), "feature"))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -41,7 +43,9 @@ def as_name(folder: str) -> str:
 class Store:
     """Folders below root: datasets/<name>, columns/<dataset>/<kind>/<name>, artifacts/<dataset>/<tag>; all Parquet.
 
-    A table is written beside its place and moved there when complete, so a reader never meets half of one.
+    Each write of a table makes a version of its own in the table's folder, and a mark when it is complete; readers take the
+    newest complete one. So a reader never meets half a table or none, and writers don't meet each other. The version
+    before the newest stays for those who still read it.
     """
 
     spark: SparkSession
@@ -61,24 +65,32 @@ class Store:
         fs, jpath = self._fs(path)
         return fs.exists(jpath)
 
+    def _versions(self, path: str) -> list[str]:
+        """The complete versions of a table, the newest last."""
+        fs, jpath = self._fs(path)
+        found = sorted(s.getPath().getName() for s in fs.listStatus(jpath)) if fs.exists(jpath) else []
+        return [v for v in found if v.startswith("v") and self._exists(f"{path}/{v}/_complete")]
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(f"{path}/{self._versions(path)[-1]}")
+
     def _names(self, path: str) -> list[str]:
         fs, jpath = self._fs(path)
         found = [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
         return sorted(as_name(n) for n in found if not n.startswith("_"))
 
     def _put(self, df: DataFrame, path: str) -> None:
-        parent, name = path.rsplit("/", 1)
-        beside = f"{parent}/_new-{name}"
-        df.write.mode("overwrite").parquet(beside)
-        fs, jpath = self._fs(path)
-        fs.delete(jpath, True)
-        if not fs.rename(self._fs(beside)[1], jpath):
-            raise OSError(f"could not move {beside} to {path}")
+        own = f"{path}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(own)
+        fs, mark = self._fs(f"{own}/_complete")
+        fs.create(mark).close()
+        for old in self._versions(path)[:-2]:
+            fs.delete(self._fs(f"{path}/{old}")[1], True)
 
     # ---- datasets
 
     def exists(self, name: str) -> bool:
-        return self._exists(self._at("datasets", name))
+        return bool(self._versions(self._at("datasets", name)))
 
     def save(self, name: str, df: DataFrame) -> None:
         self._put(df, self._at("datasets", name))
@@ -90,7 +102,7 @@ class Store:
         """A Parquet path as it is; else what is stored; else fetched, gap-filled and stored."""
         if name.endswith(".parquet") and self._exists(name):
             return self.spark.read.parquet(name)
-        return self.spark.read.parquet(self._at("datasets", name)) if self.exists(name) else self.refresh(name)
+        return self._read(self._at("datasets", name)) if self.exists(name) else self.refresh(name)
 
     def refresh(self, name: str) -> DataFrame:
         """Fetch and gap-fill again, over what is stored. A path cannot be refreshed."""
@@ -100,8 +112,9 @@ class Store:
         if self.fetch is None:
             raise FileNotFoundError(f"{name!r} is not stored, and no source is set to fetch it from")
         raw = self.fetch(symbol, period, start, end)
-        self.save(name, B.fill(B.first_of_each(raw), start=start, until=end))
-        return self.spark.read.parquet(self._at("datasets", name))
+        raw = raw.withColumn("_position", F.monotonically_increasing_id())  # the order in which the source gave them
+        self.save(name, B.fill(B.first_of_each(raw, "_position").drop("_position"), start=start, until=end))
+        return self._read(self._at("datasets", name))
 
     # ---- columns: features and targets
 
@@ -110,12 +123,12 @@ class Store:
         self._put(df.select("series_id", "bar_idx", F.col(f"`{name}`").alias("value")), self._at("columns", dataset, kind, name))
 
     def column_exists(self, dataset: str, kind: str, name: str) -> bool:
-        return self._exists(self._at("columns", dataset, kind, name))
+        return bool(self._versions(self._at("columns", dataset, kind, name)))
 
     def load_column(self, dataset: str, kind: str, name: str) -> DataFrame:
         if not self.column_exists(dataset, kind, name):
             raise FileNotFoundError(f"{kind} {name!r} of {dataset!r} is not stored")
-        return self.spark.read.parquet(self._at("columns", dataset, kind, name)).withColumnRenamed("value", name)
+        return self._read(self._at("columns", dataset, kind, name)).withColumnRenamed("value", name)
 
     def columns(self, dataset: str, kind: str) -> list[str]:
         return self._names(self._at("columns", dataset, kind))
@@ -140,10 +153,10 @@ class Store:
         """The stored artifact; made again where it has fewer rows than bars or ends at another bar, per series."""
         path = self._at("artifacts", dataset, tag)
         shape = lambda df: df.groupBy("series_id").agg(F.count("*").alias("n"), F.max("bar_idx").alias("last"))
-        if self._exists(path):
-            stored = self.spark.read.parquet(path)
+        if self._versions(path):
+            stored = self._read(path)
             old = shape(stored).select("series_id", F.col("n").alias("n0"), F.col("last").alias("last0"))
             if shape(bars).join(old, "series_id", "left").where("n0 is null or n0 < n or last0 <> last").isEmpty():
                 return stored
         self._put(make(bars), path)
-        return self.spark.read.parquet(path)
+        return self._read(path)
