@@ -122,10 +122,9 @@ def native_transforms(bars: DataFrame) -> DataFrame:
 
 
 def channels(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> DataFrame:
-    """Where close stands in Bollinger, Keltner, Donchian and ATR bands, and its distance to averages."""
-    smooth = ewm.per_series(bars, [f"_{k}{n}" for n in windows for k in ("ema", "atr")], lambda d: {**{f"_ema{n}": ewm.ewm_mean(d["close"], ewm.span(n)) for n in windows}, **{f"_atr{n}": ewm.ewm_mean(ewm.true_range(d), ewm.span(n)) for n in windows}})
+    """Where close stands in Bollinger and Donchian bands, and its distance to the average."""
     first = F.first("close", ignorenulls=True).over(Window.partitionBy("series_id").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = bars.select(*KEYS, "high", "low", "close").withColumn("_x", F.col("close") - first).withColumn("_c0", first).join(smooth, list(KEYS))
+    df = bars.select(*KEYS, "high", "low", "close").withColumn("_x", F.col("close") - first).withColumn("_c0", first)
     out: dict[str, Column] = {}
     c = F.col("close")
     for n in windows:
@@ -138,18 +137,30 @@ def channels(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> DataFrame:
         sma = F.when(full, mean + F.col("_c0"))
         flat = F.col(f"_ch{n}") == F.col(f"_cl{n}")
         sd = F.when(full & ~flat, F.sqrt(F.greatest(F.col(f"_q{n}") / n - mean * mean, F.lit(0.0))))
-        ema, atr = F.col(f"_ema{n}"), F.col(f"_atr{n}")
         hi, lo = F.when(full, F.col(f"_h{n}")), F.when(full, F.col(f"_l{n}"))
         out[f"close_pos_bb_w{n}_k2"] = zero(clip(div(c - sma, 4 * sd), -5, 5))
         out[f"close_z_bb_w{n}_k2"] = zero(clip(div(c - sma, 2 * sd), -10, 10))
-        out[f"close_pos_kc_w{n}_m2"] = zero(clip(div(c - ema, 4 * atr), -5, 5))
         out[f"close_pos_dc_w{n}"] = zero(clip(div(c - (hi + lo) / 2, hi - lo), -5, 5))
         out[f"close_dist_sma_std_w{n}"] = zero(clip(div(c - sma, sd), -10, 10))
-        out[f"close_dist_ema_atr_w{n}"] = zero(clip(div(c - ema, atr), -10, 10))
-        out[f"close_pos_atrband_w{n}_m2"] = zero(clip(div(c - sma, 4 * atr), -5, 5))
     return df.select(*KEYS, *[v.alias(k) for k, v in out.items()])
 
 
+def channels_smoothed(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> DataFrame:
+    """Where close stands in Keltner and ATR bands, and its distance to the smoothed average."""
+    names = [f"close_{k}" for n in windows for k in (f"pos_kc_w{n}_m2", f"dist_ema_atr_w{n}", f"pos_atrband_w{n}_m2")]
+
+    def fn(d: pd.DataFrame) -> dict:
+        out, c, tr = {}, d["close"], ewm.true_range(d)
+        for n in windows:
+            atr, off = ewm.ewm_mean(tr, ewm.span(n)).replace(0, np.nan), c - ewm.ewm_mean(c, ewm.span(n))
+            out[f"close_pos_kc_w{n}_m2"] = (off / (4 * atr)).clip(-5, 5).fillna(0.0)
+            out[f"close_dist_ema_atr_w{n}"] = (off / atr).clip(-10, 10).fillna(0.0)
+            out[f"close_pos_atrband_w{n}_m2"] = ((c - c.rolling(n).mean()) / (4 * atr)).clip(-5, 5).fillna(0.0)
+        return out
+
+    return ewm.per_series(bars, names, fn)
+
+
 def other_distances(bars: DataFrame, windows: tuple[int, ...] = DISTANCES) -> DataFrame:
     """Distance of hlc3 and vwap to their smoothed selves, in smoothed true ranges."""
     names = [f"{b}_dist_ema_atr_w{n}" for b in ("hlc3", "vwap") for n in windows]
@@ -187,4 +198,4 @@ def rsi_regime(bars: DataFrame, length: int = 14, adx_length: int = 14, w: int =
     return ewm.per_series(bars, names, fn)
 
 
-__all__ = ["calendar", "channels", "col", "extremes", "momentum", "native_transforms", "other_distances", "rsi_regime", "transforms", "volume", "with_prices"]
+__all__ = ["calendar", "channels", "channels_smoothed", "col", "extremes", "momentum", "native_transforms", "other_distances", "rsi_regime", "transforms", "volume", "with_prices"]

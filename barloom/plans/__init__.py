@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,93 +14,18 @@ from barloom.operators import scores as S
 from barloom.operators import targets as T
 from barloom.operators import technical as TA
 from barloom.operators.exprs import KEYS
+from barloom.plans import recurrences  # noqa: F401  registers its queries
+from barloom.plans.base import ORACLES, PRICES, QUERIES, W, bars_of, d, kept, lag, lead, over_bars, query, roll, rounded, table, z  # noqa: F401
 from barloom.sources.shared import fresh_path
 from barloom.sources.store import Store
 from barloom.streaming import bars as SB
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"{name} is registered already")
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: what several branches of a plan need is computed once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.event_bars(table(spark, sf_dir, "events"))
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles at a fixed number of places (and no negative zero), so that engines agree to the last bit shown.
-
-    A shift below the last place keeps decimal inputs off the halves, where the last bit of a sum would decide.
-    """
-    return df.select(*[(F.round(F.col(c) + 3e-7, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def over_bars(name: str, make: Callable[[DataFrame], DataFrame], columns: dict[str, str] | None = None, before: str = "", source: str = "bars", digits: int = 6, ints: tuple[str, ...] = ()):
-    """Register a per-bar family: make in Spark, and for DuckDB an expression for each column."""
-    sql = None
-    if columns is not None:
-        cells = [f"({e})::int as {c}" if c in ints else f"round(({e})::double + 3e-7, {digits}) + 0.0 as {c}" for c, e in columns.items()]
-        sql = f"with {B.BARS_SQL}{before} select series_id, bar_idx, {', '.join(cells)} from {source}"
-    query(name, sql)(lambda spark, sf_dir: rounded(make(bars_of(spark, sf_dir)), digits))
-
-
-W = "partition by series_id order by bar_idx"
-
-
-def lag(x: str, k: int = 1) -> str:
-    return f"lag({x}, {k}) over ({W})"
-
-
-def lead(x: str, k: int = 1) -> str:
-    return f"lead({x}, {k}) over ({W})"
-
-
-def roll(f: str, n: int) -> str:
-    return f"{f} over ({W} rows {n - 1} preceding)"
-
-
-def z(x: str) -> str:
-    return f"coalesce({x}, 0.0)"
-
-
-def d(a: str, b: str) -> str:
-    return f"(({a}) / nullif({b}, 0))"
-
 
 @query("bars_gap_filled", f"with {B.BARS_SQL} select series_id, bar_idx, open, high, low, close, volume, n_trades, is_gap, is_gap as is_imputed_price, is_gap as is_imputed_volume, gap_len from bars")
 def bars_gap_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_of(spark, sf_dir).select("series_id", "bar_idx", "open", "high", "low", "close", "volume", "n_trades", "is_gap", "is_imputed_price", "is_imputed_volume", "gap_len")
 
 
-PRICES = f""",
-typical as (select *, (high + low + close) / 3 as hlc3 from bars),
-priced as (select * exclude (raw_vwap), coalesce(last_value(raw_vwap ignore nulls) over ({W} rows unbounded preceding), first_value(raw_vwap ignore nulls) over ({W} rows between unbounded preceding and unbounded following)) as vwap from
-  (select *, sum(hlc3 * volume) over ({W} rows unbounded preceding) / nullif(sum(volume) over ({W} rows unbounded preceding), 0) as raw_vwap from typical))"""
-
-
 def _extremes(bases: tuple[str, ...]) -> dict[str, str]:
     out = {}
     for label, n in FT.HORIZONS.items():
@@ -158,11 +81,7 @@ def _bands() -> tuple[str, dict[str, str]]:
 
 
 _before, _cols = _bands()
-over_bars("features_channels_window", lambda b, names=tuple(_cols): FT.channels(b).select(*KEYS, *names), _cols, _before, "banded", 4)
-over_bars("features_channels_smoothed", lambda b: FT.channels(b).select(*KEYS, *[f"close_{k}" for n in FT.CHANNELS for k in (f"pos_kc_w{n}_m2", f"dist_ema_atr_w{n}", f"pos_atrband_w{n}_m2")]))
-over_bars("features_transforms", FT.native_transforms)
-over_bars("features_other_distances", FT.other_distances)
-over_bars("features_rsi_regime", FT.rsi_regime)
+over_bars("features_channels_window", FT.channels, _cols, _before, "banded", 4)
 _cumulative = ("ta_volume_ad", "ta_volume_obv", "ta_volume_pvt")
 _ta = TA.window_sql()
 over_bars("features_technical_window", lambda b: TA.window_indicators(b).drop(*_cumulative), {k: v for k, v in _ta.items() if k not in _cumulative}, TA.WINDOW_BEFORE, "stepped", 3)
@@ -173,18 +92,12 @@ _flag = lambda x: f"coalesce({x}, false)"
 over_bars("targets_future", T.future, {
     "future_up": _flag(f"{lead('close')} > close"), "future_up_5": _flag(f"{lead('close', 5)} > close"), "future_up_20": _flag(f"{lead('close', 20)} > close"), "future_up_10bp_10": _flag(f"{d(lead('close', 10), 'close')} - 1 > 0.001"),
 }, ints=("future_up", "future_up_5", "future_up_20", "future_up_10bp_10"))
-over_bars("targets_margin", T.margin)
 
 _names = [f"updown_atr_H{h}_k{'05' if k == 0.5 else '1'}_nb025" for h, k in T.ATR_TARGETS]
 _ud = lambda h, k: f"case when r{h} > {k} * a * sqrt({h}.0) then 1 when r{h} < -{k} * a * sqrt({h}.0) then 0 end"
 over_bars("targets_atr", lambda b: T.atr_targets(b).select(*KEYS, *_names), {n: _ud(h, k) for n, (h, k) in zip(_names, T.ATR_TARGETS, strict=True)}, f""",
 ranges as (select *, greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})) as tr from bars),
 atrs as (select *, case when {roll('count(tr)', 14)} >= 7 then {roll('avg(tr)', 14)} end / nullif(close, 0) as a, {', '.join(f"{lead('close', h)} / nullif(close, 0) - 1 as r{h}" for h in (6, 12, 36))} from ranges)""", "atrs", ints=tuple(_names))
-over_bars("targets_atr_trend", lambda b: T.atr_targets(b).select(*KEYS, "trend_updown_atr_H12_k1_adx25", "mr_updown_atr_H12_k05_adx20"))
-over_bars("pv_artifact", T.peaks_and_valleys)
-over_bars("pv_features", lambda b: T.pv_features(T.peaks_and_valleys(b)))
-for _p, (_dist, _thr) in T.PV_CONFIGS.items():
-    over_bars(f"targets_{_p}family", lambda b, p=_p, dist=_dist, thr=_thr: T.pv_targets(T.peaks_and_valleys(b, dist, thr), p))
 
 # ---- scores ----------------------------------------------------------------------------------------------------------
 
