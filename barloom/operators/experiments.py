@@ -182,10 +182,11 @@ def out_of_fold(df: DataFrame, features: list[str], target: str, model: str = "l
 
 
 def permuted(preds: DataFrame, seed: int = 42) -> DataFrame:
-    """(run_id, row_id, y, p) with labels dealt anew within each run."""
+    """(run_id, row_id, y, p) with labels dealt anew within each run, in the order of a digest of seed and row: the same on every run."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("run_id")
+    mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")).cast("binary"))
     a = preds.withColumn("_i", F.row_number().over(w.orderBy("row_id"))).drop("y")
-    b = preds.select("run_id", "y", F.row_number().over(w.orderBy(F.rand(seed))).alias("_i"))
+    b = preds.select("run_id", "y", F.row_number().over(w.orderBy(mixed, "row_id")).alias("_i"))
     return a.join(b, ["run_id", "_i"]).drop("_i")

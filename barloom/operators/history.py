@@ -210,11 +210,16 @@ def toggle(weights: DataFrame, kind: str, name: str, on: bool) -> DataFrame:
     return weights.withColumns({"weight": F.when(hit, F.lit(1.0 if on else 0.0)).otherwise(F.col("weight")), "disabled": F.when(hit, F.lit(not on)).otherwise(F.col("disabled"))})
 
 
-def sample_weighted(names: DataFrame, k: int, seed: int) -> DataFrame:
+def digest_uniform(seed: int | str, name: Column) -> Column:
+    """A number in [0, 1) that seed and name decide, on any machine and in any order of rows."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def sample_weighted(names: DataFrame, k: int, seed: int | str) -> DataFrame:
     """k names without replacement, each draw in proportion to weight (exponential keys); uniform if no weight is positive."""
     total = names.agg(F.sum("weight")).first()[0] or 0
     w = F.col("weight") if total > 0 else F.lit(1.0)
-    return names.where(w > 0).withColumn("_key", -F.ln(1 - F.rand(seed)) / w).orderBy("_key").limit(k).drop("_key")
+    return names.where(w > 0).withColumn("_key", -F.ln(1 - digest_uniform(seed, F.col("name"))) / w).orderBy("_key", "name").limit(k).drop("_key")
 
 
 def without_leaks(features: DataFrame, target: str) -> DataFrame:

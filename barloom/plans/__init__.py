@@ -13,7 +13,7 @@ from barloom.operators import history as H
 from barloom.operators import scores as S
 from barloom.operators import targets as T
 from barloom.operators import technical as TA
-from barloom.operators.exprs import KEYS
+from barloom.operators.exprs import KEYS, by_time, div
 from barloom.plans import recurrences  # noqa: F401  registers its queries
 from barloom.plans.base import ORACLES, PRICES, QUERIES, W, bars_of, d, kept, lag, lead, over_bars, query, roll, rounded, table, z  # noqa: F401
 from barloom.sources.shared import fresh_path
@@ -123,16 +123,42 @@ def score_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.affinity(scored(spark, sf_dir), list(SCORED), "y"))
 
 
-@query("audit_leak_proxy")
+_AVERAGE_RANK = "rank() over (partition by {0} order by {1}) + (count(*) over (partition by {0}, {1}) - 1) / 2.0"
+
+
+@query("audit_leak_proxy", f"""with {B.BARS_SQL}, {_SCORED_SQL},
+moves as (select series_id, bar_idx, pct_change, momentum_3, volume_change, {lead('r')} as r_next, {lag('r')} as r_past from (select *, {d('close', lag('close'))} - 1 as r from feats)),
+pairs as (select feature, 'next' as kind, x, r_next as y from (unpivot moves on pct_change, momentum_3, volume_change into name feature value x) where r_next is not null
+  union all select feature, 'past', x, r_past from (unpivot moves on pct_change, momentum_3, volume_change into name feature value x) where r_past is not null),
+ranks as (select *, {_AVERAGE_RANK.format('feature, kind', 'x')} as rx, {_AVERAGE_RANK.format('feature, kind', 'y')} as ry from pairs where x is not null),
+ics as (select feature, corr(rx, ry) filter (kind = 'next') as a, corr(rx, ry) filter (kind = 'past') as b from ranks group by 1)
+select feature, round(a - b + 3e-7, 6) + 0.0 as leak_score, round(abs(a) - abs(b) + 3e-7, 6) + 0.0 as leak_score_abs from ics""")
 def audit_leak_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.leak_scores(scored(spark, sf_dir), list(SCORED)))
 
 
-@query("audit_prefix_stability")
+_AUDITED = [*SCORED, "vol_sum_1d_cal", "vol_sum_1d_roll"]
+
+
+def _prefix_sql() -> str:
+    """Each audited feature over all bars and over three prefixes, compared up to 50 bars before a prefix ends."""
+    made = lambda name, source: f"""{name}_days as (select *, date_trunc('day', ts) as day from {source}),
+{name} as (select series_id, bar_idx, {z(f"{d('close', lag('close'))} - 1")} as pct_change, {z(f"close - {lag('close', 3)}")} as momentum_3, {z(f"{d('volume', lag('volume'))} - 1")} as volume_change,
+  round(sum(volume) over (partition by series_id, day), 6) as vol_sum_1d_cal, round({roll('sum(volume)', 288)}, 6) as vol_sum_1d_roll from {name}_days)"""
+    parts, compared = [made("whole", "bars")], []
+    for k, f in enumerate((0.6, 0.8, 0.9)):
+        parts += [f"cut{k} as (select b.* from bars b join sizes using (series_id) where bar_idx < floor(n * {f}))", made(f"head{k}", f"cut{k}")]
+        compared += [f"select '{c}' as feature, w.{c} as a, h.{c} as b from whole w join head{k} h using (series_id, bar_idx) join sizes using (series_id) where bar_idx < floor(n * {f}) - 50" for c in _AUDITED]
+    return f"""with {B.BARS_SQL}, sizes as (select series_id, count(*) as n from bars group by 1), {', '.join(parts)},
+compared as ({' union all '.join(compared)})
+select feature, count(*) as compared, count(*) filter (coalesce(abs(a - b) > 1e-9, (a is null) <> (b is null))) as changed, round(count(*) filter (coalesce(abs(a - b) > 1e-9, (a is null) <> (b is null))) / count(*) + 3e-7, 6) + 0.0 as mismatch_rate from compared group by 1"""
+
+
+@query("audit_prefix_stability", _prefix_sql())
 def audit_prefix_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars_of(spark, sf_dir)
+    b = kept(bars_of(spark, sf_dir), "bars")
     make = lambda x: FT.momentum(x).join(FT.volume(x), list(KEYS))
-    return rounded(S.prefix_stability(b, make, [*SCORED, "vol_sum_1d_cal", "vol_sum_1d_roll"]))
+    return rounded(S.prefix_stability(b, make, _AUDITED))
 
 
 _HEALTH_SQL = f"""with {B.BARS_SQL},
@@ -154,6 +180,49 @@ def score_target_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.target_health(T.future(bars_of(spark, sf_dir)), "future_up_5"))
 
 
+def _target_sql(y: str) -> str:
+    """All of a target's scores per series, for y over bars."""
+    r = lambda x, name: f"round({x} + 3e-7, 6) + 0.0 as {name}"
+    real = lambda x: f"case when not isnan({x}) then {x} end"
+    return f"""with {B.BARS_SQL},
+y as (select series_id, bar_idx, close, ({y})::double as y from bars),
+rets as (select *, {d(lag('close'), lag('close', 2))} - 1 as ret_1, {d(lag('close'), lag('close', 4))} - 1 as ret_3, {d(lag('close'), lag('close', 13))} - 1 as ret_12, {d(lead('close'), 'close')} - 1 as ret_next from y),
+pairs as (select series_id, kind, x, y from (unpivot rets on ret_1, ret_3, ret_12, ret_next into name kind value x) where x is not null and y is not null),
+ranks as (select *, {_AVERAGE_RANK.format('series_id, kind', 'x')} as rx, {_AVERAGE_RANK.format('series_id, kind', 'y')} as ry from pairs),
+ic as (select series_id, kind, abs({real('corr(rx, ry)')}) as ic from ranks group by 1, 2 having count(*) >= 50),
+ics as (select series_id, max(ic) filter (kind = 'ret_1') as ic_ret_1, max(ic) filter (kind = 'ret_3') as ic_ret_3, max(ic) filter (kind = 'ret_12') as ic_ret_12, max(ic) filter (kind = 'ret_next') as ic_next, quantile_cont(ic, 0.5) filter (kind <> 'ret_next') as ic_median from ic group by 1),
+l as (select *, {lag('y')} as p, row_number() over ({W}) as i, count(*) over (partition by series_id) as n, avg(y) over (partition by series_id) as m from y where y is not null),
+shape as (select series_id, count(*) as n, avg(y) as pos_rate, bool_and(y in (0, 1)) as bin, (max(y) - min(y)) / (avg(abs(y)) + 1e-12) as range_rel, avg((y - m) ** 3) / nullif(var_pop(y) ** 1.5, 0) as skew, avg((y - m) ** 4) / nullif(var_pop(y) ** 2, 0) - 3 as kurtosis, {real('corr(y, p)')} as acf,
+  count(*) filter (y = 1) as ones, count(*) filter (y = 1 and coalesce(p, 0) <> 1) as k, min(i) filter (y = 1 and coalesce(p, 0) <> 1) as s0, max(i) filter (y = 1 and coalesce(p, 0) <> 1) as s1, quantile_cont(y, 0.25) as q1, quantile_cont(y, 0.75) as q3 from l group by 1),
+modal as (select series_id, max(c) / sum(c) as const_rate from (select series_id, y, count(*) as c from l group by 1, 2) group by 1),
+halves as (select series_id, y, count(*) filter (i <= n // 2) as a, count(*) filter (i > n // 2) as b from l where n >= 200 group by 1, 2),
+ks as (select series_id, max(gap) as ks from (select series_id, abs(sum(a) over u / sum(a) over w - sum(b) over u / sum(b) over w) as gap from halves window u as (partition by series_id order by y), w as (partition by series_id)) group by 1),
+basic as (select series_id, avg((y is null)::int) as nan_rate, avg(case when y is not null then case when q3 > q1 then (y < q1 - 5 * (q3 - q1) or y > q3 + 5 * (q3 - q1))::int else 0 end end) as odd from y join shape using (series_id) group by 1),
+t as (select *, case when pos_rate in (0, 1) then 'inf'::double else greatest(pos_rate, 1 - pos_rate) / greatest(1e-12, least(pos_rate, 1 - pos_rate)) end as ratio,
+  case when pos_rate > 0 then -pos_rate * log2(pos_rate) else 0 end + case when pos_rate < 1 then -(1 - pos_rate) * log2(1 - pos_rate) else 0 end as bits, coalesce(ones / nullif(k, 0), 0.0) as len,
+  case when k = 0 then 0 when k = 1 then 1.0 / n else (k - 1) / (s1 - s0) end as density, ic_next - ic_ret_1 as leak
+  from basic join shape using (series_id) join modal using (series_id) left join ks using (series_id) left join ics using (series_id)),
+h as (select *, 1 - 0.7 * nan_rate - 0.5 * greatest(0.0, const_rate - 0.95) - 0.3 * least(1.0, 2 * coalesce(odd, 0)) - 0.3 * least(1.0, coalesce(ks, 0))
+  - case when bin then 0.8 * abs(pos_rate - 0.5) + case when pos_rate in (0, 1) then 0.3 else 0 end else case when range_rel < 0.1 then 0.2 else 0 end + case when abs(acf) < 0.02 then 0.1 else 0 end end
+  + 0.2 * least(0.5, coalesce(ic_median, 0)) - case when leak > 0.2 then 0.4 else 0 end as health from t)
+select series_id, {r('nan_rate', 'nan_rate')}, {r('const_rate', 'const_rate')}, {r('odd', 'outlier_rate_IQR')}, {r('ks', 'stability_ks')}, case when bin then 'clf' else 'reg' end as task_type,
+  {', '.join(r(f'case when bin then {x} end', k) for k, x in {'pos_rate': 'pos_rate', 'class_ratio': 'ratio', 'entropy_bits': 'bits', 'avg_event_len': 'len', 'label_density': 'density'}.items())},
+  {', '.join(r(f'case when not bin and n >= 5 then {x} end', x) for x in ('range_rel', 'skew', 'kurtosis'))}, {r('case when not bin then acf end', 'acf_lag1')}, {r('case when not bin then acf end', 'acf_lagH')},
+  {', '.join(r(x, x) for x in ('ic_ret_1', 'ic_ret_3', 'ic_ret_12', 'ic_median'))}, {r('leak', 'leakage_proxy_score')}, coalesce(leak > 0.2, false) as leakage_flag, {r('greatest(0.0, least(1.0, health))', 'health_score')} from h"""
+
+
+@query("score_target_classes", _target_sql(f"case when {lead('close', 5)} is not null then ({lead('close', 5)} > close)::int end"))
+def score_target_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.when(F.lead("close", 5).over(by_time()).isNotNull(), (F.lead("close", 5).over(by_time()) > F.col("close")).cast("int"))
+    return rounded(S.target_scores(kept(bars_of(spark, sf_dir).select(*KEYS, "close", y.alias("y")), "target"), "y"))
+
+
+@query("score_target_values", _target_sql(f"{lead('close', 5)} / nullif(close, 0) - 1"))
+def score_target_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = div(F.lead("close", 5).over(by_time()), "close") - 1
+    return rounded(S.target_scores(kept(bars_of(spark, sf_dir).select(*KEYS, "close", y.alias("y")), "target"), "y"))
+
+
 @query("score_target_ks", f"""with {B.BARS_SQL}, h as (select series_id, close, ntile(2) over ({W}) as h from bars where close is not null),
 c as (select series_id, close, count(*) filter (h = 1) as a, count(*) filter (h = 2) as b from h group by 1, 2),
 g as (select series_id, abs(sum(a) over u / sum(a) over p - sum(b) over u / sum(b) over p) as gap from c window u as (partition by series_id order by close), p as (partition by series_id))
@@ -172,8 +241,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREDS = "preds as (select run_id, row_id, (row_id * 31 % 10 < 3 + 4 * p)::int as y, p from (select event_type as run_id, event_id as row_id, (event_id * 7919 % 100) / 100.0 as p from events))"
 
 
-@query("metrics_classification", f"""with {_PREDS},
-c as (select run_id, p, sum(y) as pos, count(*) as n, count(*) - sum(y) as neg from preds group by 1, 2),
+_CLASSIFICATION = f"""c as (select run_id, p, sum(y) as pos, count(*) as n, count(*) - sum(y) as neg from preds group by 1, 2),
 k as (select *, sum(pos) over dn as tp, sum(neg) over dn as fp, sum(pos) over w as pp, sum(neg) over w as nn from c window dn as (partition by run_id order by p desc), w as (partition by run_id)),
 v as (select run_id, max(pp)::double as m, max(nn)::double as n, sum(neg * (tp - pos / 2))::double / (max(pp) * max(nn)) as a, sum(pos * tp / (tp + fp)) / max(pp) as ap, max(abs(tp / pp - fp / nn)) as ks from k group by 1),
 f as (select run_id, avg((greatest(0, least(1, p)) - y) ** 2) as brier, avg(((p >= 0.5)::int = y)::int) as accuracy, count(*) as c from preds group by 1),
@@ -181,7 +249,10 @@ r as (select *, row_number() over (partition by run_id order by p desc, row_id)
 t as (select run_id, avg(y) filter (i <= greatest(1, floor(c * 0.01))) as p1, avg(y) filter (i <= greatest(1, floor(c * 0.05))) as p5, avg(y) filter (i <= greatest(1, floor(c * 0.1))) as p10 from r group by 1),
 s as (select *, sqrt((a * (1 - a) + (m - 1) * (a / (2 - a) - a * a) + (n - 1) * (2 * a * a / (1 + a) - a * a)) / (m * n)) as se from v)
 select s.run_id, f.c as n, s.m::bigint as n_pos, round(a + 3e-7, 6) as auc, round(greatest(0, a - 1.959963984540054 * se) + 3e-7, 6) as auc_lo, round(least(1, a + 1.959963984540054 * se) + 3e-7, 6) as auc_hi, round(ap + 3e-7, 6) as ap, round(ap / (m / f.c) + 3e-7, 6) as ap_lift, round(ks + 3e-7, 6) as ks,
-  round(brier + 3e-7, 6) as brier, round(accuracy + 3e-7, 6) as accuracy, round(p1 + 3e-7, 6) as precision_at_1pct, round(p5 + 3e-7, 6) as precision_at_5pct, round(p10 + 3e-7, 6) as precision_at_10pct from s join f using (run_id) join t using (run_id)""")
+  round(brier + 3e-7, 6) as brier, round(accuracy + 3e-7, 6) as accuracy, round(p1 + 3e-7, 6) as precision_at_1pct, round(p5 + 3e-7, 6) as precision_at_5pct, round(p10 + 3e-7, 6) as precision_at_10pct from s join f using (run_id) join t using (run_id)"""
+
+
+@query("metrics_classification", f"with {_PREDS}, {_CLASSIFICATION}")
 def metrics_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.classification(preds(spark, sf_dir)))
 
@@ -211,7 +282,11 @@ def metrics_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.regression(e.join(e.groupBy("run_id").agg(F.avg("y").alias("y_train_mean")), "run_id")), 5)
 
 
-@query("metrics_permutation")
+_DEALT = """given as (select run_id, row_id, p, row_number() over (partition by run_id order by row_id) as i from drawn), labels_ as (select run_id, y, row_number() over (partition by run_id order by md5('42:' || row_id), row_id) as i from drawn),
+preds as (select g.run_id, row_id, y, p from given g join labels_ l on g.run_id = l.run_id and g.i = l.i)"""
+
+
+@query("metrics_permutation", f"with {_PREDS.replace('preds as', 'drawn as', 1)}, {_DEALT}, {_CLASSIFICATION}")
 def metrics_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.classification(E.permuted(preds(spark, sf_dir))))
 
@@ -322,7 +397,9 @@ query("history_run_keys", f"with {H.SHREDDED_SQL} select run_id, sha256({_KEY})
 query("run_keys_new", "select o_orderkey as run_id from orders where o_orderkey % 3 = 0 and not (o_orderkey % 2 = 0)")(
     lambda s, p: H.new_runs(H.synthetic_runs(table(s, p, "orders")).where("run_id % 3 = 0"), H.synthetic_runs(table(s, p, "orders")).where("run_id % 2 = 0")).select("run_id")
 )
-query("sample_weighted_features")(lambda s, p: H.sample_weighted(H.weight_updates(H.run_events(runs_of(s, p))).where("kind = 'feature'"), 8, 42))
+query("sample_weighted_features", f"with {_WEIGHTS} select name, round(weight + 3e-7, 6) as weight from weights where kind = 'feature' and weight > 0 order by -ln(1 - ('0x' || md5('42:' || name)[1:8])::bigint / 4294967296.0) / weight, name limit 8")(
+    lambda s, p: rounded(H.sample_weighted(H.weight_updates(H.run_events(runs_of(s, p))).where("kind = 'feature'"), 8, 42).select("name", "weight"))
+)
 
 
 # ---- splits and models -----------------------------------------------------------------------------------------------
