@@ -469,3 +469,6 @@ def store_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, name in (("feature", "pct_change"), ("target", "future_up_5")):
         x = x.join(store.load_column("events", kind, name), list(KEYS))
     return rounded(x)
+
+
+from barloom.plans import searches  # noqa: E402, F401  registers its queries, with pieces from above

@@ -40,12 +40,19 @@ class RunLog:
     def runs(self) -> DataFrame:
         return fold(self.log())
 
+    def _key_file(self, run_key: str):
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}-keys/{run_key}")
+        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
+
     def exists(self, run_key: str) -> bool:
-        return not self.log().where(F.col("run_key") == run_key).isEmpty()
+        """One look at a file, however long the log is."""
+        fs, jpath = self._key_file(run_key)
+        return fs.exists(jpath)
 
     def create(self, run_key: str, selection: dict) -> str:
-        """A new run's id. A key that is on record is refused."""
-        if self.exists(run_key):
+        """A new run's id. A key that is on record is refused: an empty file of that name is made first, which only one of several writers can do."""
+        fs, jpath = self._key_file(run_key)
+        if not fs.createNewFile(jpath):
             raise ValueError(f"a run with key {run_key} is on record")
         run_id = uuid.uuid4().hex
         self._append(run_id=run_id, run_key=run_key, status="PENDING", selection_json=json.dumps(selection, sort_keys=True))
@@ -71,7 +78,11 @@ class RunLog:
         return {"eval_cfg": "default"} | json.loads(row[0])
 
     def compact(self, to: str) -> "RunLog":
-        """The folded log in a few files at a new path: appends leave one small file each."""
+        """The folded log in a few files at a new path, with its keys: appends leave one small file each."""
         rows = self.runs().withColumn("seq", F.lit(time.time_ns()))
         rows.select(*[f.split()[0] for f in SCHEMA.split(", ")]).repartition(8).write.parquet(to)
-        return RunLog(self.spark, to)
+        out = RunLog(self.spark, to)
+        fs, keys = self._key_file("")
+        if fs.exists(keys):
+            self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, keys, fs, out._key_file("")[1], False, self.spark._jsc.hadoopConfiguration())
+        return out
