@@ -75,7 +75,7 @@ def compute(bars: DataFrame, makers: dict[str, Make]) -> DataFrame:
         by_maker.setdefault(id(make), (make, []))[1].append(name)
     for make, names in by_maker.values():
         out = out.join(make(bars).select("series_id", "bar_idx", *names), ["series_id", "bar_idx"], "left")
-    return out
+    return out.select("series_id", "bar_idx", *makers)
 
 
 def builtin(spark: SparkSession) -> Registry:

@@ -27,6 +27,7 @@ from barloom.sources.store import Store
 from barloom.sources.weights import WeightStore
 
 PREFERRED = {"tf_mlp_baseline": 3.0, "tf_mlp_bn_wd": 2.5, "hgb_baseline": 1.5, "logistic_baseline": 1.0}
+DEFAULT_MODEL = "hgb_baseline"
 LEAST_USES, POOR_MEAN, POOR_SHARE = 80, 0.05, 0.1
 
 
@@ -119,8 +120,10 @@ def build_selection(registry: Registry, weights: WeightStore, facts_of, seed: in
     if model is None:
         on = [m for m in registry.models if m not in weights.disabled_models]
         on = [m for m in on if registry.models[m] == known.task] or on
-        if not on:
-            raise RuntimeError("no model to select from")
+        if not on:  # all are off: the usual one, or whatever is registered
+            if not registry.models:
+                raise RuntimeError("no model to select from")
+            on = [DEFAULT_MODEL if DEFAULT_MODEL in registry.models else next(iter(registry.models))]
         base = {m: weights.weight("model", m) for m in on}
         if sum(base.values()) <= 0:
             base = {m: PREFERRED.get(m, 1.0) for m in on}

@@ -49,7 +49,8 @@ def test_channels_equal_pandas_and_flat_series_are_zero(spark):
     ema = s.ewm(span=20, adjust=False).mean()
     tr = pd.concat([pd.Series(2.0, s.index), (s + 1 - s.shift()).abs(), (s - 1 - s.shift()).abs()], axis=1).max(axis=1)
     atr = tr.ewm(span=20, adjust=False).mean()
-    assert np.allclose(got["close_dist_ema_atr_w20"], ((s - ema) / atr).clip(-10, 10).fillna(0))
+    smoothed = FT.channels_smoothed(_bars(spark, close), (20,)).toPandas().sort_values("bar_idx")
+    assert np.allclose(smoothed["close_dist_ema_atr_w20"], ((s - ema) / atr).clip(-10, 10).fillna(0))
     flat = FT.channels(_bars(spark, [5.0] * 50), (20,)).toPandas()
     assert (flat["close_z_bb_w20_k2"] == 0).all()
 
