@@ -35,26 +35,27 @@ def with_prices(bars: DataFrame) -> DataFrame:
 
 def extremes(bars: DataFrame, bases: tuple[str, ...] = ("close", "hlc3", "vwap"), labels: tuple[str, ...] = tuple(HORIZONS)) -> DataFrame:
     """Distance to rolling extremes of close, hlc3 and vwap, and bars since the close's (the oldest of equal ones)."""
-    df, out = with_prices(bars), {}
-    for label in labels:
-        n, specs = HORIZONS[label], {}
-        for base in bases:
-            if base != "close" and label in ("1d", "1w"):
-                continue
-            x = F.col(base)
-            specs[f"_mx_{base}_{label}"] = ("max", F.when(x.isNotNull(), F.struct(x.alias("x"), (-F.col("bar_idx")).alias("i"))))
-            specs[f"_mn_{base}_{label}"] = ("min", F.when(x.isNotNull(), F.struct(x.alias("x"), F.col("bar_idx").alias("i"))))
-            p = "" if base == "close" else f"{base}_"
-            mx, mn = F.col(f"_mx_{base}_{label}"), F.col(f"_mn_{base}_{label}")
-            out[f"{p}dist_to_max_{label}_pct"] = zero(div(mx["x"] - x, mx["x"]))
-            out[f"{p}dist_to_max_{label}_abs"] = zero(mx["x"] - x)
-            out[f"{p}dist_to_min_{label}_pct"] = zero(div(x - mn["x"], mn["x"]))
-            out[f"{p}dist_to_min_{label}_abs"] = zero(x - mn["x"])
-            if base == "close":
-                out[f"bars_since_max_{label}"] = zero((F.col("bar_idx") + mx["i"]).cast("double"))
-                out[f"bars_since_min_{label}"] = zero((F.col("bar_idx") - mn["i"]).cast("double"))
-        df = sliding(df, n, specs)
-    return df.select(*KEYS, *[c.alias(k) for k, c in out.items()])
+    wanted = [(base, label) for label in labels for base in bases if base == "close" or label not in ("1d", "1w")]
+    prefix = {base: "" if base == "close" else f"{base}_" for base in bases}
+    names = [f"{prefix[base]}dist_to_{k}_{label}_{u}" for base, label in wanted for k in ("max", "min") for u in ("pct", "abs")]
+    names += [f"bars_since_{k}_{label}" for base, label in wanted if base == "close" for k in ("max", "min")]
+
+    def fn(d: pd.DataFrame) -> dict:
+        out = {}
+        for base, label in wanted:
+            x = d[base].to_numpy(float)
+            for k, side in (("max", 1), ("min", -1)):
+                best, at = ewm.rolling_extreme(x, HORIZONS[label], side > 0)
+                off, p = side * (best - x), f"{prefix[base]}dist_to_{k}_{label}"
+                out[f"{p}_abs"] = np.nan_to_num(off, nan=0.0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out[f"{p}_pct"] = np.where((best == 0) | np.isnan(off), 0.0, off / best)
+                if base == "close":
+                    out[f"bars_since_{k}_{label}"] = np.where(at >= 0, np.arange(len(x)) - at, 0.0)
+        return {n: pd.Series(out[n], index=d.index) for n in names}
+
+    source = bars if set(bases) == {"close"} else with_prices(bars)
+    return ewm.per_series(source.select(*KEYS, *bases), names, fn, halo=max(HORIZONS[label] for _, label in wanted) - 1)
 
 
 def volume(bars: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def transforms(values: DataFrame, bases: tuple[str, ...]) -> DataFrame:
             out[f"{b}_vel_ema"] = ewm.ewm_mean(step, ewm.halflife(30)).fillna(0.0)
         return out
 
-    return ewm.per_series(values.select(*KEYS, *bases), names, fn)
+    return ewm.per_series(values.select(*KEYS, *bases), names, fn, halo=2 + ewm.memory(ewm.halflife(30)))
 
 
 def native_transforms(bars: DataFrame) -> DataFrame:
@@ -123,26 +124,24 @@ def native_transforms(bars: DataFrame) -> DataFrame:
 
 def channels(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> DataFrame:
     """Where close stands in Bollinger and Donchian bands, and its distance to the average."""
-    first = F.first("close", ignorenulls=True).over(Window.partitionBy("series_id").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = bars.select(*KEYS, "high", "low", "close").withColumn("_x", F.col("close") - first).withColumn("_c0", first)
-    out: dict[str, Column] = {}
-    c = F.col("close")
-    for n in windows:
-        df = sliding(df, n, {
-            f"_s{n}": ("sum", F.col("_x")), f"_q{n}": ("sum", F.col("_x") * F.col("_x")), f"_k{n}": ("count", F.col("_x")), f"_h{n}": ("max", F.col("high")), f"_l{n}": ("min", F.col("low")),
-            f"_ch{n}": ("max", c), f"_cl{n}": ("min", c),
-        })
-        full = F.col(f"_k{n}") >= n
-        mean = F.col(f"_s{n}") / n
-        sma = F.when(full, mean + F.col("_c0"))
-        flat = F.col(f"_ch{n}") == F.col(f"_cl{n}")
-        sd = F.when(full & ~flat, F.sqrt(F.greatest(F.col(f"_q{n}") / n - mean * mean, F.lit(0.0))))
-        hi, lo = F.when(full, F.col(f"_h{n}")), F.when(full, F.col(f"_l{n}"))
-        out[f"close_pos_bb_w{n}_k2"] = zero(clip(div(c - sma, 4 * sd), -5, 5))
-        out[f"close_z_bb_w{n}_k2"] = zero(clip(div(c - sma, 2 * sd), -10, 10))
-        out[f"close_pos_dc_w{n}"] = zero(clip(div(c - (hi + lo) / 2, hi - lo), -5, 5))
-        out[f"close_dist_sma_std_w{n}"] = zero(clip(div(c - sma, sd), -10, 10))
-    return df.select(*KEYS, *[v.alias(k) for k, v in out.items()])
+    names = [f"close_{k}" for n in windows for k in (f"pos_bb_w{n}_k2", f"z_bb_w{n}_k2", f"pos_dc_w{n}", f"dist_sma_std_w{n}")]
+
+    def fn(d: pd.DataFrame) -> dict:
+        out, c = {}, d["close"].astype(float)
+        held = lambda x, k: x.clip(-k, k).fillna(0.0)
+        moved = c - c.iloc[0]  # sums of small numbers: a level far from 0 would cancel their last places
+        for n in windows:
+            extreme = lambda k, largest, n=n: pd.Series(ewm.rolling_extreme(d[k].to_numpy(float), n, largest)[0], index=d.index)
+            full = moved.rolling(n)
+            flat = extreme("close", True) == extreme("close", False)
+            off, sd = moved - full.mean(), full.std(ddof=0).where(~flat).replace(0, np.nan)
+            hi, lo = extreme("high", True).where(full.count() >= n), extreme("low", False).where(full.count() >= n)
+            out[f"close_pos_bb_w{n}_k2"], out[f"close_z_bb_w{n}_k2"] = held(off / (4 * sd), 5), held(off / (2 * sd), 10)
+            out[f"close_pos_dc_w{n}"] = held((c - (hi + lo) / 2) / (hi - lo).replace(0, np.nan), 5)
+            out[f"close_dist_sma_std_w{n}"] = held(off / sd, 10)
+        return out
+
+    return ewm.per_series(bars.select(*KEYS, "high", "low", "close"), names, fn, halo=max(windows) - 1)
 
 
 def channels_smoothed(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> DataFrame:
@@ -158,7 +157,7 @@ def channels_smoothed(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> D
             out[f"close_pos_atrband_w{n}_m2"] = ((c - c.rolling(n).mean()) / (4 * atr)).clip(-5, 5).fillna(0.0)
         return out
 
-    return ewm.per_series(bars, names, fn)
+    return ewm.per_series(bars.select(*KEYS, "high", "low", "close"), names, fn, halo=ewm.memory(ewm.span(max(windows))))
 
 
 def other_distances(bars: DataFrame, windows: tuple[int, ...] = DISTANCES) -> DataFrame:
@@ -173,7 +172,7 @@ def other_distances(bars: DataFrame, windows: tuple[int, ...] = DISTANCES) -> Da
                 out[f"{b}_dist_ema_atr_w{n}"] = ((d[b] - ewm.ewm_mean(d[b], ewm.span(n))) / atr).clip(-10, 10).fillna(0.0)
         return out
 
-    return ewm.per_series(with_prices(bars), names, fn)
+    return ewm.per_series(with_prices(bars).select(*KEYS, "high", "low", "close", "hlc3", "vwap"), names, fn, halo=ewm.memory(ewm.span(max(windows))))
 
 
 def rsi_regime(bars: DataFrame, length: int = 14, adx_length: int = 14, w: int = 576, k: int = 3) -> DataFrame:
@@ -195,7 +194,8 @@ def rsi_regime(bars: DataFrame, length: int = 14, adx_length: int = 14, w: int =
         long_, short = (score > 0.5) & (before <= 0.5), (score < -0.5) & (before >= -0.5)
         return dict(zip(names, (z.fillna(0.0), slope, trend.fillna(0.0), score, long_.astype(float), short.astype(float)), strict=True))
 
-    return ewm.per_series(bars, names, fn)
+    # three smoothings in a row and two windows: each adds its memory
+    return ewm.per_series(bars.select(*KEYS, "high", "low", "close"), names, fn, halo=3 * ewm.memory(1 / max(length, adx_length)) + 2 * w + k)
 
 
 __all__ = ["calendar", "channels", "channels_smoothed", "col", "extremes", "momentum", "native_transforms", "other_distances", "rsi_regime", "transforms", "volume", "with_prices"]

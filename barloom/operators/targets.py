@@ -31,7 +31,7 @@ def margin(bars: DataFrame, h: int = 12, k: float = 0.75) -> DataFrame:
         c = d["close"].where(d["close"] > 0)
         return {"_tau": k * math.sqrt(h) * ewm.ewm_std(np.log(c / c.shift()), 60).fillna(0.0)}
 
-    df = bars.join(ewm.per_series(bars, ["_tau"], fn), list(KEYS))
+    df = bars.join(ewm.per_series(bars.select(*KEYS, "close"), ["_tau"], fn, halo=1 + 2 * ewm.memory(ewm.halflife(60))), list(KEYS))
     r = F.ln(div(F.lead("close", h).over(by_time()), "close"))
     df = df.withColumn("_r", F.when((F.col("close") > 0) & (F.lead("close", h).over(by_time()) > 0), r))
     r, t = F.col("_r"), F.col("_tau")
@@ -58,7 +58,7 @@ def updown(r: Column, tau: Column) -> Column:
 
 def atr_targets(bars: DataFrame) -> DataFrame:
     """Moves beyond k relative ATRs over h bars; two of them only in strong, or in weak, trends (ADX)."""
-    df = atr_relative(bars).join(ewm.per_series(bars, ["adx"], lambda d: {"adx": ewm.adx(d, 14)}), list(KEYS))
+    df = atr_relative(bars).join(ewm.per_series(bars.select(*KEYS, "high", "low", "close"), ["adx"], lambda d: {"adx": ewm.adx(d, 14)}, halo=3 * ewm.memory(1 / 14)), list(KEYS))
     r = lambda h: div(F.lead("close", h).over(by_time()), F.nullif(F.col("close"), F.lit(0.0))) - 1
     df = df.withColumns({f"_r{h}": r(h) for h in (6, 12, 36)})
     made = {f"updown_atr_H{h}_k{'05' if k == 0.5 else '1'}_nb025": updown(F.col(f"_r{h}"), k * F.col("atr_rel") * math.sqrt(h)) for h, k in ATR_TARGETS}

@@ -97,3 +97,33 @@ def test_queries_match_their_sql(spark, name):
     key = [c for c, t in a.dtypes.items() if t == object or "int" in str(t)]
     a, b = (x.sort_values(key).reset_index(drop=True) for x in (a, b))
     assert len(a) == len(b) and all(((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all() for c in a)
+
+
+@pytest.mark.parametrize("family", ["extremes", "channels", "channels_smoothed", "other_distances", "native_transforms", "rsi_regime"])
+def test_blocks_of_a_series_give_what_the_whole_gives(spark, monkeypatch, family):
+    close = 100 + np.random.default_rng(4).normal(size=3000).cumsum()
+    b = _bars(spark, close)
+    small = {"channels": ((20, 50),), "channels_smoothed": ((20, 50),), "other_distances": ((48,),), "extremes": (("close",), ("4h", "6h"))}.get(family, ())
+    make = lambda: getattr(FT, family)(b, *small).toPandas().sort_values("bar_idx").reset_index(drop=True)
+    whole = make()
+    monkeypatch.setattr(ewm, "BLOCK_ROWS", 500)
+    cut = make()
+    assert len(cut) == 3000
+    for c in whole.columns[2:]:
+        assert np.allclose(whole[c], cut[c], rtol=1e-9, atol=1e-9), c
+
+
+def test_rolling_extreme_against_every_window():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 48):
+        x = rng.integers(0, 6, 200).astype(float)
+        x[:3] = np.nan
+        for largest in (True, False):
+            value, at = ewm.rolling_extreme(x, n, largest)
+            for t in range(200):
+                w = x[max(0, t - n + 1) : t + 1]
+                if np.isnan(w).all():
+                    assert np.isnan(value[t]) and at[t] == -1
+                else:
+                    k = np.nanargmax(w) if largest else np.nanargmin(w)
+                    assert value[t] == w[k] and at[t] == max(0, t - n + 1) + k
