@@ -144,18 +144,18 @@ def run_events(runs: DataFrame) -> DataFrame:
     Targets, models and feature counts get the run's score, where it has one; each feature gets its own affinity score (0 where
     the run recorded none), and failed where it could not be computed.
     """
+    found = "struct<pearson: double, spearman: double, mi: double, dcor: double, n_eff: double>"
     d = runs.withColumns({"score": run_score(), "_bad": F.coalesce(F.transform("failed_features", lambda x: x["id"]), F.array().cast("array<string>"))})
-    row = lambda kind, name, score, failed: F.struct(F.lit(kind).alias("kind"), name.alias("name"), score.alias("score"), failed.alias("failed"))
-    no, none = F.lit(False), F.lit(None).cast("double")
-
-    def own(f: Column) -> Column:
-        a = F.try_element_at("affinity", f)
-        return row("feature", f, affinity_score(a["pearson"], a["spearman"], a["mi"], a["dcor"], a["n_eff"]), F.array_contains("_bad", f))
-
-    whole = F.array(row("target", F.col("target"), F.col("score"), no), row("model", F.col("model"), F.col("score"), no), row("k", F.concat(F.lit("k_"), F.col("k")), F.col("score"), no))
-    absent = F.transform(F.array_except("_bad", "features"), lambda f: row("feature", f, none, F.lit(True)))
-    kinds = F.concat(F.filter(whole, lambda x: x["score"].isNotNull()), F.transform("features", own), absent)
-    return d.select(F.explode(kinds).alias("e"), F.col("run_id").alias("seq")).select("e.kind", "e.name", "seq", "e.score", "e.failed")
+    row = lambda kind, name, score, a, failed: F.struct(F.lit(kind).alias("kind"), name.alias("name"), score.alias("score"), a.cast(found).alias("a"), failed.alias("failed"))
+    no, none, nothing = F.lit(False), F.lit(None).cast("double"), F.lit(None)
+    whole = F.array(row("target", F.col("target"), F.col("score"), nothing, no), row("model", F.col("model"), F.col("score"), nothing, no), row("k", F.concat(F.lit("k_"), F.col("k")), F.col("score"), nothing, no))
+    own = F.transform("features", lambda f: row("feature", f, F.lit(0.0), F.try_element_at("affinity", f), F.array_contains("_bad", f)))
+    absent = F.transform(F.array_except("_bad", "features"), lambda f: row("feature", f, none, nothing, F.lit(True)))
+    kinds = F.concat(F.filter(whole, lambda x: x["score"].isNotNull()), own, absent)
+    d = d.select(F.explode(kinds).alias("e"), F.col("run_id").alias("seq")).select("e.*", "seq")
+    a = F.col("a")
+    scored = F.when(a.isNotNull(), affinity_score(a["pearson"], a["spearman"], a["mi"], a["dcor"], a["n_eff"])).otherwise(F.col("score"))
+    return d.select("kind", "name", "seq", scored.alias("score"), "failed")
 
 
 def effective_weight(weight: Column, disabled: Column) -> Column:

@@ -15,7 +15,7 @@ from barloom.operators import targets as T
 from barloom.operators import technical as TA
 from barloom.operators.exprs import KEYS, by_time, div
 from barloom.plans import recurrences  # noqa: F401  registers its queries
-from barloom.plans.base import ORACLES, PRICES, QUERIES, W, bars_of, d, kept, lag, lead, over_bars, query, roll, rounded, table, z  # noqa: F401
+from barloom.plans.base import ORACLES, PRICES, QUERIES, W, bars_of, d, kept, lag, lead, over_bars, query, roll, rounded, spread, table, z  # noqa: F401
 from barloom.sources.shared import fresh_path
 from barloom.sources.store import Store
 from barloom.streaming import bars as SB
@@ -295,7 +295,7 @@ def metrics_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.shredded(H.synthetic_runs(table(spark, sf_dir, "orders")))
+    return H.shredded(H.synthetic_runs(spread(table(spark, sf_dir, "orders"))))
 
 
 _Q = "round(quantile_cont({0}, {1}) + 3e-7, 6)::double"
