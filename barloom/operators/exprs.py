@@ -29,6 +29,12 @@ def div(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def corr(x, y) -> Column:
+    """Pearson's correlation of an aggregate's pairs; null where either side doesn't vary (the built-in divides by 0 there)."""
+    x, y = F.when(col(y).isNotNull(), col(x)), F.when(col(x).isNotNull(), col(y))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def zero(x) -> Column:
     return F.coalesce(col(x), F.lit(0.0))
 

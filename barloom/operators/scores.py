@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.exprs import KEYS, by_time, div, finite
+from barloom.operators.exprs import KEYS, by_time, corr, div, finite
 
 
 def ranked(df: DataFrame, x: str, name: str, by: list[str]) -> DataFrame:
@@ -28,7 +28,7 @@ def affinity(df: DataFrame, columns: list[str], y: str, bins: int = 10) -> DataF
     """feature, pearson, spearman, mi_binned, n_eff of each column with y; null below ten rows or without spread."""
     pairs = long_form(df, columns, y)
     r = ranked(ranked(pairs, "x", "rx", ["feature"]), "y", "ry", ["feature"])
-    g = r.groupBy("feature").agg(F.count("*").alias("n_eff"), F.corr("x", "y").alias("p"), F.corr("rx", "ry").alias("s"), (F.min("x") < F.max("x")).alias("vx"), (F.min("y") < F.max("y")).alias("vy"))
+    g = r.groupBy("feature").agg(F.count("*").alias("n_eff"), corr("x", "y").alias("p"), corr("rx", "ry").alias("s"), (F.min("x") < F.max("x")).alias("vx"), (F.min("y") < F.max("y")).alias("vy"))
     ok = (F.col("n_eff") >= 10) & F.col("vx") & F.col("vy")
     cell = r.join(g.select("feature", "n_eff"), "feature").select("feature", "n_eff", *[F.least(F.lit(bins - 1), F.floor((F.col(k) - 1) * bins / F.col("n_eff"))).alias(b) for k, b in (("rx", "bx"), ("ry", "by"))])
     cell = cell.groupBy("feature", "n_eff", "bx", "by").agg(F.count("*").alias("c"))
@@ -79,7 +79,7 @@ def target_health(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
     q = d.groupBy(by).agg(F.percentile("y", 0.25).alias("q1"), F.percentile("y", 0.75).alias("q3"))
     w = Window.partitionBy(by).orderBy("bar_idx")
     known = d.where("y is not null").withColumns({"_lag": F.lag("y").over(w), "_pos": F.row_number().over(w)})
-    acf = known.groupBy(by).agg(F.corr("y", "_lag").alias("acf_lag1"))
+    acf = known.groupBy(by).agg(corr("y", "_lag").alias("acf_lag1"))
     starts = (F.col("y") == 1) & (F.coalesce(F.col("_lag"), F.lit(0.0)) != 1)
     runs = known.groupBy(by).agg(F.count_if(F.col("y") == 1).alias("ones"), F.count_if(starts).alias("runs"), F.min(F.when(starts, F.col("_pos"))).alias("s0"), F.max(F.when(starts, F.col("_pos"))).alias("s1"), F.count("*").alias("n"))
     density = F.when(F.col("runs") == 0, 0.0).when(F.col("runs") == 1, 1 / F.col("n")).otherwise((F.col("runs") - 1) / (F.col("s1") - F.col("s0")))
@@ -106,7 +106,7 @@ def target_scores(df: DataFrame, y: str, horizon: int = 1, price: str = "close",
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("x")) for k in rets])).alias("p")
     long = d.select(by, "y", pairs).select(by, "p.kind", "p.x", "y").where("x is not null and y is not null")
     r = ranked(ranked(long, "x", "rx", [by, "kind"]), "y", "ry", [by, "kind"])
-    g = r.groupBy(by, "kind").agg(F.count("*").alias("n"), F.abs(real(F.corr("rx", "ry"))).alias("ic")).where("n >= 50")
+    g = r.groupBy(by, "kind").agg(F.count("*").alias("n"), F.abs(real(corr("rx", "ry"))).alias("ic")).where("n >= 50")
     ics = g.groupBy(by).agg(
         *[F.max(F.when(F.col("kind") == k, F.col("ic"))).alias("_next" if k == "next" else f"ic_{k}") for k in rets], F.percentile(F.when(F.col("kind") != "next", F.col("ic")), 0.5).alias("ic_median")
     )
@@ -117,7 +117,7 @@ def target_scores(df: DataFrame, y: str, horizon: int = 1, price: str = "close",
     five = lambda c: F.when(F.count("*") >= 5, c)
     shape = known.groupBy(by).agg(
         F.bool_and(F.col("y").isin(0.0, 1.0)).alias("_bin"), five((F.max("y") - F.min("y")) / (F.avg(F.abs("y")) + 1e-12)).alias("range_rel"), five(real(F.skewness("y"))).alias("skew"), five(real(F.kurtosis("y"))).alias("kurtosis"),
-        real(F.corr("y", "_1")).alias("acf_lag1"), real(F.corr("y", "_h")).alias("acf_lagH"),
+        real(corr("y", "_1")).alias("acf_lag1"), real(corr("y", "_h")).alias("acf_lagH"),
     )
     basic = target_health(df, y, by).select(by, F.col("outlier_rate").alias("outlier_rate_IQR"), "pos_rate", "entropy_bits", "avg_event_len", "label_density")
     out = d.groupBy(by).agg(F.avg(F.col("y").isNull().cast("int")).alias("nan_rate"))
@@ -208,7 +208,7 @@ def regression(preds: DataFrame, by: str = "run_id") -> DataFrame:
     """RMSE, MAE, R2, both skills and rank correlation of (run_id, y, p, y_train_mean)."""
     d = ranked(ranked(preds.where("y is not null and p is not null"), "y", "ry", [by]), "p", "rp", [by])
     e = F.col("y") - F.col("p")
-    g = d.groupBy(by).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop("y").alias("v"), F.avg((F.col("y") - F.col("y_train_mean")) * (F.col("y") - F.col("y_train_mean"))).alias("b"), F.corr("ry", "rp").alias("spearman"))
+    g = d.groupBy(by).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop("y").alias("v"), F.avg((F.col("y") - F.col("y_train_mean")) * (F.col("y") - F.col("y_train_mean"))).alias("b"), corr("ry", "rp").alias("spearman"))
     return g.select(by, F.sqrt("mse").alias("rmse"), "mae", (1 - F.try_divide("mse", "v")).alias("r2"), F.sqrt("b").alias("baseline_rmse"), (1 - F.try_divide(F.sqrt("mse"), F.sqrt("b"))).alias("skill_rmse"), (1 - F.try_divide("mse", "v")).alias("skill_var"), "spearman")
 
 

@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import ewm
 from barloom.operators.exprs import KEYS, by_time, roll, zero
-
-KEPT = ("candles", "momentum", "overlap", "statistics", "trend", "volume")
-BLOCKED = ("zigzag", "fractal", "ichimoku")
+from barloom.operators.staged import fitted
 
 
 def _sma(x, n: int) -> Column:
@@ -134,20 +132,70 @@ def _psar(d: pd.DataFrame, step: float = 0.02, top: float = 0.2) -> np.ndarray:
     return out
 
 
+def _halfway(x: np.ndarray, n: int, share: float = 0.5) -> np.ndarray:
+    """Where x stands between its extremes of n bars, in percent, each value halfway from the one before; the last place where they meet."""
+    hi, lo = ewm.rolling_extreme(x, n)[0], ewm.rolling_extreme(x, n, False)[0]
+    out, place, value = np.zeros(len(x)), 0.0, 0.0
+    for i in range(len(x)):
+        if hi[i] > lo[i]:
+            place = 100 * (x[i] - lo[i]) / (hi[i] - lo[i])
+        value = value + share * (place - value) if i else place
+        out[i] = value
+    return out
+
+
+def _trailing(x: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """A band that follows x at a distance, rises only below it and falls only above it, and changes side when x crosses it."""
+    out, low, high, side = np.full(len(x), np.nan), np.nan, np.nan, 1
+    for i in range(len(x)):
+        if np.isnan(x[i]) or np.isnan(width[i]):
+            continue
+        new_low, new_high = x[i] - width[i], x[i] + width[i]
+        if not np.isnan(low):
+            side = 1 if x[i] > high else -1 if x[i] < low else side
+            new_low = max(low, new_low) if x[i - 1] > low and x[i] > low else new_low
+            new_high = min(high, new_high) if x[i - 1] < high and x[i] < high else new_high
+        low, high = new_low, new_high
+        out[i] = low if side > 0 else high
+    return out
+
+
+def _holt_winters(x: np.ndarray, level: float = 0.2, speed: float = 0.1, force: float = 0.1) -> np.ndarray:
+    f, v, a, out = x[0] if len(x) else 0.0, 0.0, 0.0, np.zeros(len(x))
+    for i in range(len(x)):
+        new_f = (1 - level) * (f + v + a / 2) + level * x[i]
+        new_v = (1 - speed) * (v + a) + speed * (new_f - f)
+        a = (1 - force) * a + force * (new_v - v)
+        f, v = new_f, new_v
+        out[i] = f + v + a / 2
+    return out
+
+
+def _vidya(c: pd.Series, n: int = 14) -> np.ndarray:
+    d = c.diff()
+    up, down = d.clip(lower=0).rolling(n).sum(), (-d).clip(lower=0).rolling(n).sum()
+    k = ((up - down) / (up + down).replace(0, np.nan)).abs().fillna(0.0).to_numpy() * 2 / (n + 1)
+    x, out = c.to_numpy(), c.to_numpy().copy()
+    for i in range(1, len(x)):
+        out[i] = k[i] * x[i] + (1 - k[i]) * out[i - 1] if i >= n else x[i]
+    return out
+
+
 def recursive_indicators(bars: DataFrame) -> DataFrame:
     """Indicators built on exponential smoothing or a recurrence."""
     names = [f"ta_{k}" for k in (
-        "overlap_ema", "overlap_rma", "overlap_dema", "overlap_tema", "overlap_t3", "overlap_zlma", "overlap_kama", "overlap_hma", "overlap_supertrend", "overlap_mcgd", "overlap_ssf", "momentum_rsi", "momentum_macd", "momentum_macd_signal", "momentum_macd_hist",
-        "momentum_ppo", "momentum_apo", "momentum_trix", "momentum_tsi", "momentum_pvo", "momentum_stochrsi", "momentum_cmo", "momentum_kdj_k", "momentum_kdj_d", "momentum_kdj_j", "momentum_cci", "momentum_cg", "momentum_fisher", "momentum_eri_bull", "momentum_eri_bear", "momentum_pgo",
-        "momentum_coppock", "momentum_uo", "momentum_kst", "trend_adx", "trend_dmp", "trend_dmn", "trend_psar", "trend_chop", "trend_decay", "volume_efi", "volume_adosc", "volume_kvo", "volume_nvi", "volume_pvi", "volume_eom", "volume_aobv",
-        "statistics_skew", "statistics_kurtosis", "statistics_mad", "statistics_entropy", "candles_ha_open", "candles_ha_close",
+        "overlap_ema", "overlap_rma", "overlap_dema", "overlap_tema", "overlap_t3", "overlap_zlma", "overlap_kama", "overlap_supertrend", "overlap_mcgd", "overlap_ssf", "momentum_rsi", "momentum_macd", "momentum_macd_signal", "momentum_macd_hist",
+        "momentum_ppo", "momentum_apo", "momentum_trix", "momentum_tsi", "momentum_pvo", "momentum_stochrsi", "momentum_cmo", "momentum_kdj_k", "momentum_kdj_d", "momentum_kdj_j", "momentum_fisher", "momentum_eri_bull", "momentum_eri_bear", "momentum_pgo",
+        "trend_adx", "trend_dmp", "trend_dmn", "trend_psar", "trend_decay", "volume_efi", "volume_adosc", "volume_kvo", "volume_aobv",
+        "candles_ha_open", "candles_ha_close",
+        "momentum_smi", "momentum_smi_signal", "momentum_smi_osc", "momentum_inertia", "momentum_squeeze", "momentum_squeeze_on", "momentum_squeeze_off", "momentum_squeeze_pro_wide", "momentum_squeeze_pro_normal", "momentum_squeeze_pro_narrow",
+        "momentum_stc", "momentum_stc_macd", "momentum_qqe", "momentum_qqe_rsi_ma", "overlap_hwma", "overlap_vidya", "trend_cksp_long", "trend_cksp_short", "trend_amat_long", "trend_amat_short",
     )]
 
     def fn(d: pd.DataFrame) -> dict:
         o, h, l, c, v = (d[k].astype(float) for k in ("open", "high", "low", "close", "volume"))  # noqa: E741
         e = lambda x, n: ewm.ewm_mean(x, 2 / (n + 1))
         nz = lambda x: x.replace(0, np.nan)
-        wma = lambda x, n: x.rolling(n).apply(lambda y: y @ np.arange(1, n + 1) / (n * (n + 1) / 2), raw=True)
         tr, change, tp = ewm.true_range(d), c.diff(), (h + l + c) / 3
         out: dict = {}
         e1, e2 = e(c, 10), e(e(c, 10), 10)
@@ -160,7 +208,6 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         out["overlap_t3"] = -(a**3) * x[6] + 3 * (a**2 + a**3) * x[5] - 3 * (2 * a**2 + a + a**3) * x[4] + (1 + 3 * a + a**3 + 3 * a**2) * x[3]
         out["overlap_zlma"] = e(2 * c - c.shift(4), 10)
         out["overlap_kama"] = _kama(c.to_numpy().copy())
-        out["overlap_hma"] = wma(2 * wma(c, 5) - wma(c, 10), 3)
         out["overlap_supertrend"] = _supertrend(d)
         arr = c.to_numpy()
         md, ss = arr.copy(), arr.copy()
@@ -188,9 +235,6 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         k = ewm.wilder((100 * (c - l.rolling(9).min()) / nz(h.rolling(9).max() - l.rolling(9).min())), 3)
         dd = ewm.wilder(k, 3)
         out["momentum_kdj_k"], out["momentum_kdj_d"], out["momentum_kdj_j"] = k, dd, 3 * k - 2 * dd
-        dev = tp.rolling(14).apply(lambda y: np.abs(y - y.mean()).mean(), raw=True)
-        out["momentum_cci"] = (tp - tp.rolling(14).mean()) / nz(0.015 * dev)
-        out["momentum_cg"] = -c.rolling(10).apply(lambda y: y[::-1] @ np.arange(1, 11), raw=True) / nz(c.rolling(10).sum())
         mid = (h + l) / 2
         pos = (mid - mid.rolling(9).min()) / nz(mid.rolling(9).max() - mid.rolling(9).min()) - 0.5
         f = np.zeros(len(d))
@@ -201,18 +245,12 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         out["momentum_fisher"] = f
         out["momentum_eri_bull"], out["momentum_eri_bear"] = h - e(c, 13), l - e(c, 13)
         out["momentum_pgo"] = (c - c.rolling(14).mean()) / nz(e(tr, 14))
-        roc = lambda n: 100 * (c / nz(c.shift(n)) - 1)
-        out["momentum_coppock"] = wma(roc(14) + roc(11), 10)
-        bp = c - np.minimum(l, c.shift().fillna(l))
-        out["momentum_uo"] = 100 / 7 * sum(w * bp.rolling(n).sum() / nz(tr.rolling(n).sum()) for w, n in ((4, 7), (2, 14), (1, 28)))
-        out["momentum_kst"] = sum(w * roc(n).rolling(m).mean() for w, n, m in ((1, 10, 10), (2, 15, 10), (3, 20, 10), (4, 30, 15)))
         out["trend_adx"] = ewm.adx(d)
         pu, pd_ = h.diff(), -l.diff()
         atr = nz(ewm.wilder(tr, 14))
         out["trend_dmp"] = 100 * ewm.wilder(pu.where((pu > pd_) & (pu > 0), 0.0), 14) / atr
         out["trend_dmn"] = 100 * ewm.wilder(pd_.where((pd_ > pu) & (pd_ > 0), 0.0), 14) / atr
         out["trend_psar"] = _psar(d)
-        out["trend_chop"] = 100 * np.log10(nz(tr.rolling(14).sum() / nz(h.rolling(14).max() - l.rolling(14).min()))) / np.log10(14)
         decay = arr.copy()
         for i in range(1, len(arr)):
             decay[i] = max(arr[i], decay[i - 1] - 0.2, 0.0)
@@ -222,20 +260,36 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         out["volume_adosc"] = e(ad, 3) - e(ad, 10)
         sv = v * np.sign(tp.diff().fillna(0.0))
         out["volume_kvo"] = e(sv, 34) - e(sv, 55)
-        ret, dv = (c / nz(c.shift()) - 1).fillna(0.0), v.diff().fillna(0.0)
-        out["volume_nvi"], out["volume_pvi"] = 1000 + (100 * ret.where(dv < 0, 0.0)).cumsum(), 1000 + (100 * ret.where(dv > 0, 0.0)).cumsum()
-        out["volume_eom"] = (mid.diff() * (h - l) / nz(v / 1e6)).rolling(14).mean()
         obv = (np.sign(change.fillna(0.0)) * v).cumsum()
         out["volume_aobv"] = e(obv, 4) - e(obv, 12)
-        out["statistics_skew"], out["statistics_kurtosis"] = c.rolling(30).skew(), c.rolling(30).kurt()
-        out["statistics_mad"] = c.rolling(30).apply(lambda y: np.abs(y - y.mean()).mean(), raw=True)
-        p = c / nz(c.rolling(10).sum())
-        out["statistics_entropy"] = (-p * np.log2(p.where(p > 0))).rolling(10).sum()
         hac = ((o + h + l + c) / 4).to_numpy()
         hao = np.zeros(len(d))
         for i in range(len(d)):
             hao[i] = (o.iloc[0] + c.iloc[0]) / 2 if i == 0 else (hao[i - 1] + hac[i - 1]) / 2
         out["candles_ha_open"], out["candles_ha_close"] = hao, hac
+        smi = e(e(change, 20), 5) / nz(e(e(change.abs(), 20), 5))
+        out["momentum_smi"], out["momentum_smi_signal"], out["momentum_smi_osc"] = smi, e(smi, 5), smi - e(smi, 5)
+        sd14 = c.rolling(14).std(ddof=0)
+        rvi_up, rvi_dn = e(sd14.where(change > 0, 0.0), 14), e(sd14.where(change <= 0, 0.0), 14)
+        rvi, line = 100 * rvi_up / nz(rvi_up + rvi_dn), np.array(fitted(20))
+        out["momentum_inertia"] = sum(w * rvi.shift(k) for k, w in enumerate(line))
+        sd20, mean20, mid20, range20 = c.rolling(20).std(ddof=0), c.rolling(20).mean(), e(c, 20), e(tr, 20)
+        inside = lambda k: ((mean20 - 2 * sd20 > mid20 - k * range20) & (mean20 + 2 * sd20 < mid20 + k * range20)).astype(float)
+        out["momentum_squeeze"], out["momentum_squeeze_on"] = (c - c.shift(12)).rolling(6).mean(), inside(1.5)
+        out["momentum_squeeze_off"] = ((mean20 - 2 * sd20 < mid20 - 1.5 * range20) & (mean20 + 2 * sd20 > mid20 + 1.5 * range20)).astype(float)
+        for name, k in (("wide", 2.0), ("normal", 1.5), ("narrow", 1.0)):
+            out[f"momentum_squeeze_pro_{name}"] = inside(k)
+        out["momentum_stc_macd"] = macd
+        out["momentum_stc"] = _halfway(_halfway(macd.to_numpy(), 10), 10)
+        smooth = e(r, 5)
+        out["momentum_qqe_rsi_ma"], out["momentum_qqe"] = smooth, _trailing(smooth.to_numpy(), (4.236 * e(e(smooth.diff().abs(), 27), 27)).to_numpy())
+        out["overlap_hwma"], out["overlap_vidya"] = _holt_winters(arr), _vidya(c)
+        rma10 = ewm.wilder(tr, 10)
+        out["trend_cksp_long"], out["trend_cksp_short"] = (h.rolling(10).max() - rma10).rolling(9).max(), (l.rolling(10).min() + rma10).rolling(9).min()
+        rising = lambda x: x > x.shift(2)
+        falling = lambda x: x < x.shift(2)
+        near, far = e(c, 8), e(c, 21)
+        out["trend_amat_long"], out["trend_amat_short"] = (rising(near) & (rising(far) | falling(far))).astype(float), (falling(near) & (falling(far) | rising(far))).astype(float)
         return {f"ta_{n}": pd.Series(np.asarray(x, float), index=d.index).replace([np.inf, -np.inf], np.nan).fillna(0.0) for n, x in out.items()}
 
     return ewm.per_series(bars, names, fn)

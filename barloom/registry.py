@@ -81,13 +81,14 @@ def compute(bars: DataFrame, makers: dict[str, Make]) -> DataFrame:
 def builtin(spark: SparkSession) -> Registry:
     """All families of this library. Features of the peak/valley artifact look ahead and are left out."""
     from barloom.operators import features as FT
+    from barloom.operators import staged as SG
     from barloom.operators import targets as T
     from barloom.operators import technical as TA
 
     r = Registry()
     for base in ("close", "hlc3", "vwap"):
         r.discover(spark, "features", lambda b, base=base: FT.extremes(b, (base,)))
-    for make in (FT.volume, FT.calendar, FT.momentum, FT.channels, FT.channels_smoothed, FT.native_transforms, FT.other_distances, FT.rsi_regime, TA.window_indicators, TA.recursive_indicators):
+    for make in (FT.volume, FT.calendar, FT.momentum, FT.channels, FT.channels_smoothed, FT.native_transforms, FT.other_distances, FT.rsi_regime, TA.window_indicators, TA.recursive_indicators, SG.indicators):
         r.discover(spark, "features", make)
     for make in (T.future, T.margin, T.atr_targets):
         r.discover(spark, "targets", make)

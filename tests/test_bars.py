@@ -127,3 +127,29 @@ def test_rolling_extreme_against_every_window():
                 else:
                     k = np.nanargmax(w) if largest else np.nanargmin(w)
                     assert value[t] == w[k] and at[t] == max(0, t - n + 1) + k
+
+
+def test_staged_indicators_equal_pandas(spark):
+    from barloom.operators import staged
+
+    close = 100 + np.random.default_rng(7).normal(size=120).cumsum()
+    got = staged.indicators(_bars(spark, close)).toPandas().sort_values("bar_idx").reset_index(drop=True)
+    c = pd.Series(close)
+    line = c.rolling(14).apply(lambda y: np.polyval(np.polyfit(np.arange(14), y, 1), 13), raw=True)
+    ahead = c.rolling(9).apply(lambda y: np.polyval(np.polyfit(np.arange(9), y, 1), 9), raw=True)
+    wma = lambda x, n: x.rolling(n).apply(lambda y: y @ np.arange(1, n + 1) / (n * (n + 1) / 2), raw=True)
+    want = {
+        "overlap_linreg": line, "momentum_cfo": 100 * (c - ahead) / c, "overlap_hma": wma(2 * wma(c, 5) - wma(c, 10), 3), "statistics_skew": c.rolling(30).skew(), "statistics_kurtosis": c.rolling(30).kurt(),
+        "statistics_mad": c.rolling(30).apply(lambda y: np.abs(y - y.mean()).mean(), raw=True), "momentum_cti": c.rolling(12).corr(pd.Series(np.arange(120.0))), "overlap_trima": c.rolling(6).mean().rolling(6).mean(),
+        "candles_cdl_z_close": (c - c.rolling(30).mean()) / c.rolling(30).std(),
+    }
+    for k, x in want.items():
+        assert np.allclose(got[f"ta_{k}"], x.fillna(0.0), atol=1e-6), k
+
+
+def test_correlation_of_constants_is_null(spark):
+    from barloom.operators import scores as S
+
+    d = spark.range(60).selectExpr("'s' as series_id", "id as bar_idx", "1.0D as a", "cast(id as double) as b", "cast(id % 2 as double) as y")
+    got = {r["feature"]: r for r in S.affinity(d, ["a", "b"], "y").collect()}
+    assert got["a"]["pearson"] is None and got["b"]["pearson"] is not None
