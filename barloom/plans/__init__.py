@@ -144,17 +144,18 @@ def audit_leak_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUDITED = [*SCORED, "vol_sum_1d_cal", "vol_sum_1d_roll"]
 
 
-def _prefix_sql() -> str:
-    """Each audited feature over all bars and over three prefixes, compared up to 50 bars before a prefix ends."""
+def _prefix_sql(checkpoints: tuple[float, ...] = (0.6, 0.8, 0.9), apart: bool = False) -> str:
+    """Each audited feature over all bars and over three prefixes, compared up to 50 bars before a prefix ends; apart: only up to the comparison's CTE."""
     made = lambda name, source: f"""{name}_days as (select *, date_trunc('day', ts) as day from {source}),
 {name} as (select series_id, bar_idx, {z(f"{d('close', lag('close'))} - 1")} as pct_change, {z(f"close - {lag('close', 3)}")} as momentum_3, {z(f"{d('volume', lag('volume'))} - 1")} as volume_change,
   round(sum(volume) over (partition by series_id, day), 6) as vol_sum_1d_cal, round({roll('sum(volume)', 288)}, 6) as vol_sum_1d_roll from {name}_days)"""
     parts, compared = [made("whole", "bars")], []
-    for k, f in enumerate((0.6, 0.8, 0.9)):
+    for k, f in enumerate(checkpoints):
         parts += [f"cut{k} as (select b.* from bars b join sizes using (series_id) where bar_idx < floor(n * {f}))", made(f"head{k}", f"cut{k}")]
-        compared += [f"select '{c}' as feature, w.{c} as a, h.{c} as b from whole w join head{k} h using (series_id, bar_idx) join sizes using (series_id) where bar_idx < floor(n * {f}) - 50" for c in _AUDITED]
-    return f"""with {B.BARS_SQL}, sizes as (select series_id, count(*) as n from bars group by 1), {', '.join(parts)},
-compared as ({' union all '.join(compared)})
+        compared += [f"select '{c}' as feature, {k} as part, w.{c} as a, h.{c} as b from whole w join head{k} h using (series_id, bar_idx) join sizes using (series_id) where bar_idx < floor(n * {f}) - 50" for c in _AUDITED]
+    before = f"""with {B.BARS_SQL}, sizes as (select series_id, count(*) as n from bars group by 1), {', '.join(parts)},
+compared as ({' union all '.join(compared)})"""
+    return before if apart else f"""{before}
 select feature, count(*) as compared, count(*) filter (coalesce(abs(a - b) > 1e-9, (a is null) <> (b is null))) as changed, round(count(*) filter (coalesce(abs(a - b) > 1e-9, (a is null) <> (b is null))) / count(*) + 3e-7, 6) + 0.0 as mismatch_rate from compared group by 1"""
 
 
@@ -475,4 +476,4 @@ def store_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(x)
 
 
-from barloom.plans import searches  # noqa: E402, F401  registers its queries, with pieces from above
+from barloom.plans import searches, validations  # noqa: E402, F401  register their queries, with pieces from above

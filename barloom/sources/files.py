@@ -51,3 +51,86 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+# ---- Excel -----------------------------------------------------------------------------------------------------------
+
+_NS = {"x": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+EXCEL_ROWS = 1_048_575  # what a sheet holds beneath its heading
+
+
+def _column(ref: str) -> int:
+    n = 0
+    for ch in ref:
+        if not ch.isalpha():
+            break
+        n = n * 26 + ord(ch.upper()) - 64
+    return n - 1
+
+
+def read_excel(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """A sheet whose first row names the columns; columns of numbers alone are DOUBLE, others STRING. A sheet is small and read on the driver."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree as X
+
+    book = zipfile.ZipFile(io.BytesIO(bytes(spark.read.format("binaryFile").load(path).first()["content"])))
+    text = lambda node: "".join(t.text or "" for t in node.iter(f"{{{_NS['x']}}}t"))
+    shared = [text(i) for i in X.fromstring(book.read("xl/sharedStrings.xml")).findall("x:si", _NS)] if "xl/sharedStrings.xml" in book.namelist() else []
+    rows: list[dict[int, str]] = []
+    for row in X.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{{{_NS['x']}}}row"):
+        cells: dict[int, str] = {}
+        for k, c in enumerate(row.findall("x:c", _NS)):
+            at, value = _column(c.get("r")) if c.get("r") else k, c.find("x:v", _NS)
+            if c.get("t") == "inlineStr":
+                cells[at] = text(c)
+            elif value is not None and value.text is not None:
+                cells[at] = shared[int(value.text)] if c.get("t") == "s" else value.text
+        rows.append(cells)
+    names = rows[0] if rows else {}
+    columns = {k: [r.get(k) for r in rows[1:]] for k in sorted(names)}
+
+    def numbers(values: list[str | None]) -> list | None:
+        try:
+            return [None if v is None else float(v) for v in values]
+        except ValueError:
+            return None
+
+    made = {names[k]: (n, "double") if (n := numbers(v)) is not None and any(x is not None for x in v) else (v, "string") for k, v in columns.items()}
+    schema = ", ".join(f"`{n}` {t}" for n, (_, t) in made.items())
+    return spark.createDataFrame(list(zip(*[v for v, _ in made.values()], strict=True)), schema)
+
+
+def write_excel(df: DataFrame, path: str) -> None:
+    """One sheet with a heading; more rows than a sheet holds are refused, and CSV is the way for them."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    rows = df.limit(EXCEL_ROWS + 1).collect()
+    if len(rows) > EXCEL_ROWS:
+        raise ValueError(f"a sheet holds {EXCEL_ROWS} rows; write CSV instead")
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v and abs(v) != float("inf"):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [df.columns, *rows])
+    head = '<?xml version="1.0" encoding="UTF-8"?>'
+    types, rels = "http://schemas.openxmlformats.org/package/2006", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{types}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{types}/relationships"><Relationship Id="r1" Type="{rels}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{_NS["x"]}" xmlns:r="{rels}"><sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{types}/relationships"><Relationship Id="r1" Type="{rels}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{_NS["x"]}"><sheetData>{lines}</sheetData></worksheet>')
+    spark = df.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
