@@ -58,6 +58,7 @@ _PART = re.compile(r"[.#]?[\w*-]+", re.A)
 PAD = 60
 DEEPEST = 32
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_RUN = re.compile(r"[\t\n\r\f]|  ")  # white space that isn't one plain space
 
 
 class Node:
@@ -267,7 +268,7 @@ class Page:
                 if part:
                     self.put(part)
             return
-        collapsed = _SPACE.sub(" ", text)
+        collapsed = _SPACE.sub(" ", text) if _RUN.search(text) else text
         if collapsed == " ":
             self.space = bool(self.now)
             return

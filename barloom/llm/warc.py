@@ -206,9 +206,10 @@ def derive(response: Record) -> tuple[Record, Record] | None:
     text = b"" if plain is None else text_of(plain, kind).encode()
     own = {k: named(source, k) for k in ("metadata", "conversion")}
     shared = [("WARC-Refers-To", source), *[(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := response.get(k)) is not None]]
+    found = digest(body)
     payload = {
         "refers-to": source, "conversion": own["conversion"], "status": status, "headers": headers, "payload-length": len(body),
-        "payload-digest": digest(body), "decoded-digest": None if plain is None else digest(plain), "declared-payload-digest": response.get("WARC-Payload-Digest"), "block-digest": digest(response.block), "declared-block-digest": response.get("WARC-Block-Digest"),
+        "payload-digest": found, "decoded-digest": None if plain is None else found if plain is body else digest(plain), "declared-payload-digest": response.get("WARC-Payload-Digest"), "block-digest": digest(response.block), "declared-block-digest": response.get("WARC-Block-Digest"),
     }
     meta = json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()
 
@@ -222,11 +223,11 @@ def response_of(url: str | None, html: str | None, date: str = DATE) -> Record:
     """A response record for a stored page, as a crawler would have written it."""
     body = (html or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + CRLF + CRLF + body
-    target = (url or "").replace("\r", "").replace("\n", "")
+    target, found = (url or "").replace("\r", "").replace("\n", ""), digest(body)
     return Record(
         [
-            ("WARC-Type", "response"), ("WARC-Record-ID", named(f"{target} {digest(body)}", "response")), ("WARC-Date", date), ("WARC-Target-URI", target),
-            ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)),
+            ("WARC-Type", "response"), ("WARC-Record-ID", named(f"{target} {found}", "response")), ("WARC-Date", date), ("WARC-Target-URI", target),
+            ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", found), ("WARC-Block-Digest", digest(block)),
         ],
         block,
     )
