@@ -15,7 +15,7 @@ from barloom.operators import staged as SG
 from barloom.operators import targets as T
 from barloom.operators import technical as TA
 from barloom.operators.exprs import KEYS, by_time, div
-from barloom.plans import recurrences  # noqa: F401  registers its queries
+from barloom.plans import indicators, recurrences  # noqa: F401  register their queries
 from barloom.plans.base import ORACLES, PRICES, QUERIES, W, bars_of, d, kept, lag, lead, over_bars, query, roll, rounded, spread, table, z  # noqa: F401
 from barloom.sources.shared import fresh_path
 from barloom.sources.store import Store
@@ -87,7 +87,6 @@ _cumulative = ("ta_volume_ad", "ta_volume_obv", "ta_volume_pvt")
 _ta = TA.window_sql()
 over_bars("features_technical_window", lambda b: TA.window_indicators(b).drop(*_cumulative), {k: v for k, v in _ta.items() if k not in _cumulative}, TA.WINDOW_BEFORE, "stepped", 3)
 over_bars("features_technical_cumulative", lambda b: TA.window_indicators(b).select(*KEYS, *_cumulative), {k: _ta[k] for k in _cumulative}, TA.WINDOW_BEFORE, "stepped", 1)
-over_bars("features_technical_recursive", TA.recursive_indicators)
 _totals = ("volume_nvi", "volume_pvi", *[k for k in SG.INDICATORS if "tos_stdevall" in k])
 over_bars("features_technical_staged", lambda b: SG.indicators(b).drop(*[f"ta_{k}" for k in _totals]), {f"ta_{k}": f"coalesce({SG.plain(x)}, 0)" for k, x in SG.INDICATORS.items() if k not in _totals}, SG.stages_sql(), "stage2", 4)
 over_bars("features_technical_totals", lambda b: SG.indicators(b).select(*KEYS, *[f"ta_{k}" for k in _totals]), {f"ta_{k}": f"coalesce({SG.plain(SG.INDICATORS[k])}, 0)" for k in _totals}, SG.stages_sql(), "stage2", 2)
