@@ -10,11 +10,34 @@ from pyspark.sql import functions as F
 from barloom.operators.exprs import KEYS, by_time, corr, div, finite
 
 
+def value_bucket(x: Column) -> Column:
+    """A whole number that never falls where x rises: its sign, exponent and first 12 bits of mantissa. Null for null."""
+    size = F.abs(x.cast("double"))
+    power = F.floor(F.log2(F.greatest(size, F.lit(1e-300))))
+    bucket = (power + 1100) * 4096 + F.floor((size / F.pow(F.lit(2.0), power) - 1) * 4096)
+    return F.when(x.isNotNull(), F.when(size < 1e-300, F.lit(0)).otherwise(F.signum(x.cast("double")) * bucket)).cast("long")
+
+
+def running_totals(counted: DataFrame, by: list[str], x: str, totals: dict[str, str], down: bool = False) -> DataFrame:
+    """Adds the totals (name -> column to add up) of all rows of a group up to and with x, in order of x; counted has one row for each by and x.
+
+    Values are cut into buckets that keep their order. Windows run within a bucket, and once more over the buckets' sums, of which
+    a group has some thousands, so no task holds all values of a group.
+    """
+    d = counted.withColumn("_b", value_bucket(F.col(x)))
+    order = lambda c: F.desc(c) if down else F.asc(c)
+    sums = d.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
+    before = Window.partitionBy(*by).orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_b", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in totals])
+    inside = Window.partitionBy(*by, "_b").orderBy(order(x)).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({n: F.sum(c).over(inside) for n, c in totals.items()})
+    return d.join(sums, [*by, "_b"]).withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals}).drop("_b", *[f"_{n}" for n in totals])
+
+
 def ranked(df: DataFrame, x: str, name: str, by: list[str]) -> DataFrame:
-    """Adds average ranks of x within groups. Equal values are counted first, so a group of ties is one row of the window."""
-    sizes = df.groupBy(*by, x).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*by).orderBy(x)) - F.col("_c")
-    return df.join(sizes.select(*by, x, (before + (F.col("_c") + 1) / 2).alias(name)), [*by, x])
+    """Adds average ranks of x within groups. Equal values are counted first, so a group of ties is one row of the ranking."""
+    sizes = running_totals(df.groupBy(*by, x).agg(F.count("*").alias("_c")), by, x, {"_upto": "_c"})
+    return df.join(sizes.select(*by, x, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name)), [*by, x])
 
 
 def long_form(df: DataFrame, columns: list[str], y: str) -> DataFrame:
@@ -151,9 +174,9 @@ def ks_halves(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
 
 
 def _ks(counted: DataFrame, by: str, x: str, a: str, b: str) -> DataFrame:
-    up, whole = Window.partitionBy(by).orderBy(x), Window.partitionBy(by)
-    gap = F.abs(F.try_divide(F.sum(a).over(up), F.sum(a).over(whole)) - F.try_divide(F.sum(b).over(up), F.sum(b).over(whole)))
-    return counted.withColumn("gap", gap).groupBy(by).agg(F.max("gap").alias("ks"))
+    whole = counted.groupBy(by).agg(F.sum(a).alias("all_a"), F.sum(b).alias("all_b"))
+    d = running_totals(counted.where(F.col(x).isNotNull()), [by], x, {"seen_a": a, "seen_b": b}).join(whole, by)
+    return d.groupBy(by).agg(F.max(F.abs(F.try_divide("seen_a", "all_a") - F.try_divide("seen_b", "all_b"))).alias("ks"))
 
 
 def classification(preds: DataFrame, by: str = "run_id", tie: str = "row_id") -> DataFrame:
@@ -164,15 +187,17 @@ def classification(preds: DataFrame, by: str = "run_id", tie: str = "row_id") ->
     d = preds.select(by, tie, F.col("y").cast("int").alias("y"), finite("p").alias("p")).where("y is not null and p is not null")
     c = d.groupBy(by, "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
     c = c.withColumn("neg", F.col("n") - F.col("pos"))
-    down = Window.partitionBy(by).orderBy(F.desc("p"))
-    c = c.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "P": F.sum("pos").over(Window.partitionBy(by)), "N": F.sum("neg").over(Window.partitionBy(by))})
+    whole = c.groupBy(by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    c = running_totals(c, [by], "p", {"tp": "pos", "fp": "neg"}, down=True).join(whole, by)
     curve = c.groupBy(by).agg(
-        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.max("P").alias("n_pos"), F.max("N").alias("n_neg"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap_sum"),
-        F.max(F.abs(F.try_divide("tp", "P") - F.try_divide("fp", "N"))).alias("ks"),
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.max("all_pos").alias("n_pos"), F.max("all_neg").alias("n_neg"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap_sum"),
+        F.max(F.abs(F.try_divide("tp", "all_pos") - F.try_divide("fp", "all_neg"))).alias("ks"),
     )
     pc = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p")))
     flat = d.groupBy(by).agg(F.avg((pc - F.col("y")) * (pc - F.col("y"))).alias("brier"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
-    rank = d.withColumns({"_r": F.row_number().over(Window.partitionBy(by).orderBy(F.desc("p"), tie)), "_n": F.count("*").over(Window.partitionBy(by))})
+    # a row's place: the rows of higher scores, and its own among equal ones
+    place = F.col("tp") + F.col("fp") - F.col("n") + F.row_number().over(Window.partitionBy(by, "p").orderBy(tie))
+    rank = d.join(c.select(by, "p", "tp", "fp", "n", (F.col("all_pos") + F.col("all_neg")).alias("_n")), [by, "p"]).withColumn("_r", place)
     top = lambda f: F.avg(F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * f)), F.col("y")))
     at = rank.groupBy(by).agg(*[top(f).alias(f"precision_at_{k}pct") for k, f in ((1, 0.01), (5, 0.05), (10, 0.1))])
     out = curve.join(flat, by).join(at, by).withColumn("auc", F.try_divide("area", F.col("n_pos") * F.col("n_neg"))).withColumn("ap", F.try_divide("ap_sum", "n_pos"))
@@ -198,9 +223,9 @@ def at_threshold(preds: DataFrame, threshold: float = 0.5, by: str = "run_id") -
 def best_f1(preds: DataFrame, by: str = "run_id") -> DataFrame:
     """The score at which F1 is largest (of equal ones the larger), over all distinct scores."""
     c = preds.groupBy(by, "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    down, whole = Window.partitionBy(by).orderBy(F.desc("p")), Window.partitionBy(by)
-    f1 = 2 * F.sum("pos").over(down) / (F.sum("n").over(down) + F.sum("pos").over(whole))
-    c = c.withColumn("f1", F.round(f1, 12))
+    whole = c.groupBy(by).agg(F.sum("pos").alias("all_pos"))
+    c = running_totals(c, [by], "p", {"tp": "pos", "upto": "n"}, down=True).join(whole, by)
+    c = c.withColumn("f1", F.round(2 * F.col("tp") / (F.col("upto") + F.col("all_pos")), 12))
     return c.groupBy(by).agg(F.max(F.struct("f1", "p")).alias("b")).select(by, F.col("b.p").alias("threshold"), F.col("b.f1").alias("f1"))
 
 

@@ -29,21 +29,44 @@ def tail(bars: DataFrame, rows: int) -> DataFrame:
     return bars.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= rows).drop("_back")
 
 
+def _at(spark, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def _exists(spark, path: str) -> bool:
+    fs, jpath = _at(spark, path)
+    return fs.exists(jpath)
+
+
+def _drop(spark, path: str) -> None:
+    fs, jpath = _at(spark, path)
+    fs.delete(jpath, True)
+
+
 def score_tail(bars: DataFrame, stored: str, checkpoint: str, score: Callable[[DataFrame, int], None], rows: int = 2000, **trigger) -> StreamingQuery:
     """Keep the closed bars of a stream at `stored`; after each batch give score the last rows of each series, gap-filled.
 
-    score gets (tail, batch id) and may refit, predict and write. A batch that is run again after a failure replaces its
-    own part of `stored`, so no bar is there twice.
+    score gets (tail, batch id) and may refit, predict and write. A batch reads its own bars and the tail that the batch before
+    it left at `<stored>-tail`, never all that is stored. A batch that is run again after a failure replaces its own part of
+    both, so no bar is there twice.
     """
     names = bars.columns
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{stored}/batch={batch_id}")
-        known = batch.sparkSession.read.parquet(stored).where(F.col("batch") <= batch_id)
+        own, before, here = (f"{x}/batch={k}" for x, k in ((stored, batch_id), (f"{stored}-tail", batch_id - 1), (f"{stored}-tail", batch_id)))
+        known = spark.read.schema(batch.schema).parquet(own)
+        if _exists(spark, before):
+            known = known.unionByName(spark.read.schema(batch.schema).parquet(before))
+        elif batch_id:  # a tail that is lost is made again from what is stored
+            known = spark.read.parquet(stored).where(F.col("batch") <= batch_id)
         # as many stored bars as wanted are enough: gaps only add rows between them
         last = Window.partitionBy("series_id").orderBy(F.desc("ts"))
-        known = known.select(*names).withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= rows).drop("_back")
-        score(tail(B.fill(known), rows), batch_id)
+        known.select(*names).withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= rows).drop("_back").write.mode("overwrite").parquet(here)
+        _drop(spark, f"{stored}-tail/batch={batch_id - 2}")
+        score(tail(B.fill(spark.read.schema(batch.schema).parquet(here)), rows), batch_id)
 
     return bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "15 seconds"})).start()
 

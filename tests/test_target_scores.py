@@ -31,3 +31,21 @@ def test_target_scores_equal_the_formulas(spark):
         got = S.target_scores(spark.createDataFrame(d), "y", 5).toPandas().iloc[0]
         for name, value in _plain(y, close, 5).items():
             assert got[name] == pytest.approx(value, abs=1e-9), name
+
+
+def test_totals_in_buckets_are_those_of_the_whole(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from barloom.operators import scores as S
+
+    rng = random.Random(5)
+    x = [0.0, -0.0, 1e-301, 1.0, 1.0 + 2**-52, math.nextafter(2.0, 0), 2.0, -2.0, 1e300, -1e300] + [rng.choice([rng.uniform(100, 101), rng.gauss(0, 1), rng.gauss(0, 1e-9), 10 ** rng.uniform(-20, 20)]) for _ in range(3000)]
+    d = spark.createDataFrame([("g", v) for v in sorted(set(x))], "g string, x double").withColumn("c", F.lit(1))
+    rows = d.withColumn("b", S.value_bucket(F.col("x"))).orderBy("x").collect()
+    assert all(a["b"] <= b["b"] for a, b in zip(rows, rows[1:], strict=False))
+    for down in (False, True):
+        got = [r["n"] for r in S.running_totals(d, ["g"], "x", {"n": "c"}, down).orderBy(F.desc("x") if down else "x").collect()]
+        assert got == list(range(1, len(rows) + 1))
