@@ -82,5 +82,5 @@ _CELLS = {
     "volume_efi": "efi", "volume_adosc": "ad3 - ad10", "volume_kvo": "sv34 - sv55", "volume_aobv": "ob4 - ob12", "candles_ha_open": "ha_o", "candles_ha_close": "hac",
 }
 CHECKED = tuple(f"ta_{k}" for k in _CELLS)
-over_bars("features_technical_recursive", lambda b: TA.recursive_indicators(b).select(*KEYS, *CHECKED), {f"ta_{k}": f"coalesce({x}, 0.0)" for k, x in _CELLS.items()}, _BEFORE + walk("walked", "m2", _inputs, _S) + _AFTER, "w1", 3)
+over_bars("features_technical_recursive", lambda b: TA.recursive_indicators(b).select(*KEYS, *CHECKED), {f"ta_{k}": f"coalesce({x}, 0.0)" for k, x in _CELLS.items()}, _BEFORE + walk("walked", "m2", _inputs, _S) + _AFTER, "w1", 5)
 over_bars("features_technical_paths", lambda b: TA.recursive_indicators(b).drop(*CHECKED))

@@ -52,14 +52,14 @@ over_bars(
         f"close_pos_kc_w{n}_m2": clipped(d(f"close - ema{n}", f"4 * atr{n}"), 5), f"close_dist_ema_atr_w{n}": clipped(d(f"close - ema{n}", f"atr{n}"), 10), f"close_pos_atrband_w{n}_m2": clipped(d(f"close - sma{n}", f"4 * atr{n}"), 5),
     }.items()},
     walk("smooth", "bars", {"close": "close", "tr": "tr"}, _states).replace(", smooth_in as", f", ranges as (select *, {TRUE_RANGE} as tr, {_sma} from bars), smooth_in as", 1).replace("from bars group by 1", "from ranges group by 1")
-    + ", smoothed as (select * from ranges join smooth using (series_id, bar_idx))", "smoothed", 5,
+    + ", smoothed as (select * from ranges join smooth using (series_id, bar_idx))", "smoothed", 6,
 )
 
 _states = {f"{b}{n}": ema(f"{b}{n}", f"${b}", span(n)) for b in ("hlc3", "vwap", "tr") for n in FT.DISTANCES}
 over_bars(
     "features_other_distances", FT.other_distances,
     {f"{b}_dist_ema_atr_w{n}": clipped(d(f"{b} - {b}{n}", f"tr{n}"), 10) for b in ("hlc3", "vwap") for n in FT.DISTANCES},
-    PRICES + f", ranges as (select *, {TRUE_RANGE} as tr from priced)" + walk("smooth", "ranges", {b: b for b in ("hlc3", "vwap", "tr")}, _states) + ", smoothed as (select * from ranges join smooth using (series_id, bar_idx))", "smoothed", 5,
+    PRICES + f", ranges as (select *, {TRUE_RANGE} as tr from priced)" + walk("smooth", "ranges", {b: b for b in ("hlc3", "vwap", "tr")}, _states) + ", smoothed as (select * from ranges join smooth using (series_id, bar_idx))", "smoothed", 6,
 )
 
 _alpha = 1 - 2 ** (-1 / 30)
@@ -71,7 +71,7 @@ based as (select series_id, bar_idx, {z(d(f"{roll('max(close)', 2016)} - close",
 steps as (select *, {', '.join(f'{b} - {lag(b)} as d_{b}, {d(b, lag(b))} - 1 as p_{b}' for b in _names)} from based)"""
 over_bars(
     "features_transforms", FT.native_transforms, {k: x for b in _names for k, x in {f"{b}_diff1": z(f"d_{b}"), f"{b}_pct1": z(f"p_{b}"), f"{b}_vel_ema": z(f"v_{b}")}.items()},
-    _bases + walk("smooth", "steps", {f"d_{b}": f"d_{b}" for b in _names}, {f"v_{b}": ema(f"v_{b}", f"$d_{b}", _alpha) for b in _names}) + ", smoothed as (select * from steps join smooth using (series_id, bar_idx))", "smoothed", 4,
+    _bases + walk("smooth", "steps", {f"d_{b}": f"d_{b}" for b in _names}, {f"v_{b}": ema(f"v_{b}", f"$d_{b}", _alpha) for b in _names}) + ", smoothed as (select * from steps join smooth using (series_id, bar_idx))", "smoothed", 6,
 )
 
 # ---- trend strength --------------------------------------------------------------------------------------------------
@@ -103,7 +103,7 @@ rs as (select *, 100 * gain / nullif(gain + loss, 0) as r from moves join streng
 rs2 as (select *, r - {lag('r', 3)} as step from rs),
 rs3 as (select *, (r - {_wide('avg(r)', 144)}) / nullif({_wide('stddev_pop(r)', 144)}, 0) as z, coalesce(step / nullif(case when {roll('count(step)', 576)} >= 144 then {roll('stddev_pop(step)', 576)} end, 0), 0.0) as slope,
   case when adx is not null then greatest(0.0, least(1.0, (adx - 20) / 5)) end as trend, {_wide('quantile_cont(r, 0.2)', 288)} as lo, {_wide('quantile_cont(r, 0.8)', 288)} as hi from rs2),
-rs4 as (select *, coalesce(tanh(0.75 * ((2 * trend - 1) * ((2 * r - lo - hi) / nullif(hi - lo, 0)) + trend * 0.5 * slope)), 0.0) as score from rs3)""", "rs4", 4,
+rs4 as (select *, coalesce(tanh(0.75 * ((2 * trend - 1) * ((2 * r - lo - hi) / nullif(hi - lo, 0)) + trend * 0.5 * slope)), 0.0) as score from rs3)""", "rs4", 6,
 )
 
 # ---- margins ---------------------------------------------------------------------------------------------------------
