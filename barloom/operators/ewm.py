@@ -70,6 +70,17 @@ def rolling_extreme(x: np.ndarray, n: int, largest: bool = True) -> tuple[np.nda
     return np.where(none, np.nan, sign * value), np.where(none, -1, at)
 
 
+def rolling_sum(x: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the last n values (fewer at the start), each from at most n additions: nothing that has left the window stays in it."""
+    rows = len(x)
+    v = np.zeros(-(-rows // n) * n)
+    v[:rows] = x
+    grid = v.reshape(-1, n)
+    head, tail = np.cumsum(grid, axis=1).ravel()[:rows], np.cumsum(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    back = np.arange(rows) - n + 1
+    return head + np.where((back >= 0) & (back % n > 0), tail[np.maximum(back, 0)], 0.0)
+
+
 def true_range(d: pd.DataFrame) -> pd.Series:
     before = d["close"].shift()
     return pd.concat([d["high"] - d["low"], (d["high"] - before).abs(), (d["low"] - before).abs()], axis=1).max(axis=1)

@@ -132,10 +132,13 @@ def channels(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> DataFrame:
         moved = c - c.iloc[0]  # sums of small numbers: a level far from 0 would cancel their last places
         for n in windows:
             extreme = lambda k, largest, n=n: pd.Series(ewm.rolling_extreme(d[k].to_numpy(float), n, largest)[0], index=d.index)
-            full = moved.rolling(n)
+            full = moved.rolling(n).count() >= n
+            known = moved.fillna(0.0).to_numpy()
+            mean = pd.Series(ewm.rolling_sum(known, n) / n, index=d.index).where(full)
+            spread = (ewm.rolling_sum(known * known, n) / n - mean * mean).clip(lower=0)
             flat = extreme("close", True) == extreme("close", False)
-            off, sd = moved - full.mean(), full.std(ddof=0).where(~flat).replace(0, np.nan)
-            hi, lo = extreme("high", True).where(full.count() >= n), extreme("low", False).where(full.count() >= n)
+            off, sd = moved - mean, np.sqrt(spread.where(~flat)).replace(0, np.nan)
+            hi, lo = extreme("high", True).where(full), extreme("low", False).where(full)
             out[f"close_pos_bb_w{n}_k2"], out[f"close_z_bb_w{n}_k2"] = held(off / (4 * sd), 5), held(off / (2 * sd), 10)
             out[f"close_pos_dc_w{n}"] = held((c - (hi + lo) / 2) / (hi - lo).replace(0, np.nan), 5)
             out[f"close_dist_sma_std_w{n}"] = held(off / sd, 10)
@@ -154,7 +157,8 @@ def channels_smoothed(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> D
             atr, off = ewm.ewm_mean(tr, ewm.span(n)).replace(0, np.nan), c - ewm.ewm_mean(c, ewm.span(n))
             out[f"close_pos_kc_w{n}_m2"] = (off / (4 * atr)).clip(-5, 5).fillna(0.0)
             out[f"close_dist_ema_atr_w{n}"] = (off / atr).clip(-10, 10).fillna(0.0)
-            out[f"close_pos_atrband_w{n}_m2"] = ((c - c.rolling(n).mean()) / (4 * atr)).clip(-5, 5).fillna(0.0)
+            # without a move the distance is 0, whatever the last places of the mean say
+            out[f"close_pos_atrband_w{n}_m2"] = ((c - c.rolling(n).mean()).where(c.rolling(n).max() > c.rolling(n).min(), 0.0) / (4 * atr)).clip(-5, 5).fillna(0.0)
         return out
 
     return ewm.per_series(bars.select(*KEYS, "high", "low", "close"), names, fn, halo=ewm.memory(ewm.span(max(windows))))
@@ -175,6 +179,10 @@ def other_distances(bars: DataFrame, windows: tuple[int, ...] = DISTANCES) -> Da
     return ewm.per_series(with_prices(bars).select(*KEYS, "high", "low", "close", "hlc3", "vwap"), names, fn, halo=ewm.memory(ewm.span(max(windows))))
 
 
+#: Of an RSI from 0 to 100: where prices stand still, what is below is rounding and no spread.
+LEAST_SPREAD = 1e-4
+
+
 def rsi_regime(bars: DataFrame, length: int = 14, adx_length: int = 14, w: int = 576, k: int = 3) -> DataFrame:
     """RSI against its own history, weighed by trend strength: scores, and crossings of +-0.5."""
     tag = f"l{length}_a{adx_length}_w{w}_k{k}"
@@ -183,8 +191,9 @@ def rsi_regime(bars: DataFrame, length: int = 14, adx_length: int = 14, w: int =
     def fn(d: pd.DataFrame) -> dict:
         r, least = ewm.rsi(d["close"], length), max(length, w // 4)
         history, step = r.rolling(w, min_periods=least), r.diff(k)
-        z = (r - history.mean()) / history.std(ddof=0).replace(0, np.nan)
-        slope = (step / step.rolling(w, min_periods=least).std(ddof=0).replace(0, np.nan)).fillna(0.0)
+        some = lambda sd: sd.where(sd > LEAST_SPREAD)
+        z = (r - history.mean()) / some(history.std(ddof=0))
+        slope = (step / some(step.rolling(w, min_periods=least).std(ddof=0))).fillna(0.0)
         trend = ((ewm.adx(d, adx_length) - 20) / 5).clip(0, 1)
         wide = r.rolling(w, min_periods=max(length, w // 2))
         lo, hi = wide.quantile(0.2), wide.quantile(0.8)

@@ -244,7 +244,8 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
             f[i] = 0.5 * np.log((1 + val) / (1 - val)) + 0.5 * (f[i - 1] if i else 0.0)
         out["momentum_fisher"] = f
         out["momentum_eri_bull"], out["momentum_eri_bear"] = h - e(c, 13), l - e(c, 13)
-        out["momentum_pgo"] = (c - c.rolling(14).mean()) / nz(e(tr, 14))
+        # without a move the distance is 0, whatever the last places of the mean say
+        out["momentum_pgo"] = (c - c.rolling(14).mean()).where(c.rolling(14).max() > c.rolling(14).min(), 0.0) / nz(e(tr, 14))
         out["trend_adx"] = ewm.adx(d)
         pu, pd_ = h.diff(), -l.diff()
         atr = nz(ewm.wilder(tr, 14))

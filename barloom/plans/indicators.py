@@ -76,11 +76,11 @@ _CELLS = {
     "overlap_t3": f"{-(_t3**3)!r} * a6 + {3 * (_t3**2 + _t3**3)!r} * a5 + {-3 * (2 * _t3**2 + _t3 + _t3**3)!r} * a4 + {1 + 3 * _t3 + _t3**3 + 3 * _t3**2!r} * a3", "overlap_supertrend": "case when bar_idx > 0 then case when st_side > 0 then st_lo else st_hi end end",
     "momentum_rsi": "rsi", "momentum_macd": "macd", "momentum_macd_signal": "signal", "momentum_macd_hist": "macd - signal", "momentum_ppo": f"100 * {_over('macd', 'c26')}", "momentum_apo": "macd", "momentum_trix": f"100 * ({_over('x3', lag('x3'))} - 1)",
     "momentum_tsi": f"100 * {_over('p2', 'q2')}", "momentum_pvo": f"100 * {_over('v12 - v26', 'v26')}", "momentum_stochrsi": _full(3, "avg", "stoch"), "momentum_cmo": f"100 * {_over('gain - loss', 'gain + loss')}", "momentum_kdj_k": "kk", "momentum_kdj_d": "kd", "momentum_kdj_j": "3 * kk - 2 * kd",
-    "momentum_fisher": "fish", "momentum_eri_bull": "high - c13", "momentum_eri_bear": "low - c13", "momentum_pgo": _over(f"close - {_full(14, 'avg', 'close')}", "tr14"), "momentum_smi": _over("s2", "u2"), "momentum_smi_signal": "smi_signal", "momentum_smi_osc": f"{_over('s2', 'u2')} - smi_signal",
+    "momentum_fisher": "fish", "momentum_eri_bull": "high - c13", "momentum_eri_bear": "low - c13", "momentum_pgo": _over(f"case when {roll('max(close)', 14)} > {roll('min(close)', 14)} then close - {_full(14, 'avg', 'close')} else 0.0 end", "tr14"), "momentum_smi": _over("s2", "u2"), "momentum_smi_signal": "smi_signal", "momentum_smi_osc": f"{_over('s2', 'u2')} - smi_signal",
     "momentum_inertia": "(" + " + ".join(f"{w!r} * {lag('rvi', k) if k else 'rvi'}" for k, w in enumerate(fitted(20))) + ")", "momentum_squeeze": _full(6, "avg", "mom12"), "momentum_stc_macd": "macd",
     "trend_adx": "adx", "trend_dmp": f"100 * {_over('plus', 'atr')}", "trend_dmn": f"100 * {_over('minus', 'atr')}", "trend_psar": "case when bar_idx > 0 then sar end", "trend_decay": "decay", "trend_cksp_long": _full(9, "max", "ck_long"), "trend_cksp_short": _full(9, "min", "ck_short"),
     "volume_efi": "efi", "volume_adosc": "ad3 - ad10", "volume_kvo": "sv34 - sv55", "volume_aobv": "ob4 - ob12", "candles_ha_open": "ha_o", "candles_ha_close": "hac",
 }
 CHECKED = tuple(f"ta_{k}" for k in _CELLS)
-over_bars("features_technical_recursive", lambda b: TA.recursive_indicators(b).select(*KEYS, *CHECKED), {f"ta_{k}": f"coalesce({x}, 0.0)" for k, x in _CELLS.items()}, _BEFORE + walk("walked", "m2", _inputs, _S) + _AFTER, "w1", 5)
+over_bars("features_technical_recursive", lambda b: TA.recursive_indicators(b).select(*KEYS, *CHECKED), {f"ta_{k}": f"coalesce({x}, 0.0)" for k, x in _CELLS.items()}, _BEFORE + walk("walked", "m2", _inputs, _S) + _AFTER, "w1", 4)
 over_bars("features_technical_paths", lambda b: TA.recursive_indicators(b).drop(*CHECKED))

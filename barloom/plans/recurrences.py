@@ -45,7 +45,7 @@ TRUE_RANGE = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('
 # ---- bands and distances ---------------------------------------------------------------------------------------------
 
 _states = {f"ema{n}": ema(f"ema{n}", "$close", span(n)) for n in FT.CHANNELS} | {f"atr{n}": ema(f"atr{n}", "$tr", span(n)) for n in FT.CHANNELS}
-_sma = ", ".join(f"case when {roll('count(close)', n)} >= {n} then {roll('avg(close)', n)} end as sma{n}" for n in FT.CHANNELS)
+_sma = ", ".join(f"case when {roll('count(close)', n)} >= {n} then case when {roll('max(close)', n)} > {roll('min(close)', n)} then {roll('avg(close)', n)} else close end end as sma{n}" for n in FT.CHANNELS)
 over_bars(
     "features_channels_smoothed", FT.channels_smoothed,
     {k: x for n in FT.CHANNELS for k, x in {
@@ -101,7 +101,7 @@ over_bars(
     MOVES + walk("strength", "moves", _inputs | {"change": "change"}, ADX | _rsi) + f""",
 rs as (select *, 100 * gain / nullif(gain + loss, 0) as r from moves join strength using (series_id, bar_idx)),
 rs2 as (select *, r - {lag('r', 3)} as step from rs),
-rs3 as (select *, (r - {_wide('avg(r)', 144)}) / nullif({_wide('stddev_pop(r)', 144)}, 0) as z, coalesce(step / nullif(case when {roll('count(step)', 576)} >= 144 then {roll('stddev_pop(step)', 576)} end, 0), 0.0) as slope,
+rs3 as (select *, (r - {_wide('avg(r)', 144)}) / nullif(greatest({_wide('stddev_pop(r)', 144)} - 1e-4, 0) + 1e-4, 1e-4) as z, coalesce(step / nullif(greatest(case when {roll('count(step)', 576)} >= 144 then {roll('stddev_pop(step)', 576)} end - 1e-4, 0) + 1e-4, 1e-4), 0.0) as slope,
   case when adx is not null then greatest(0.0, least(1.0, (adx - 20) / 5)) end as trend, {_wide('quantile_cont(r, 0.2)', 288)} as lo, {_wide('quantile_cont(r, 0.8)', 288)} as hi from rs2),
 rs4 as (select *, coalesce(tanh(0.75 * ((2 * trend - 1) * ((2 * r - lo - hi) / nullif(hi - lo, 0)) + trend * 0.5 * slope)), 0.0) as score from rs3)""", "rs4", 6,
 )
