@@ -128,7 +128,7 @@ def estimator(name: str, n_rows: int, features: list[str], classes: int = 2):
     common = dict(featuresCol="x", labelCol="y")
     boosting = dict(stepSize=0.05, maxIter=600, maxDepth=5, minInstancesPerNode=100, seed=42, **common)
     learners: dict[str, Callable] = {
-        "logistic_baseline": lambda: C.LogisticRegression(maxIter=200, regParam=1.0 / max(1, n_rows), **common),
+        "logistic_baseline": lambda: C.LogisticRegression(maxIter=1000, regParam=1.0 / max(1, n_rows), **common),
         "rf_baseline": lambda: C.RandomForestClassifier(numTrees=600, maxDepth=12, minInstancesPerNode=100, seed=42, **common),
         "hgb_baseline": lambda: Boosting(C.GBTClassifier(**boosting)),
         "hgb_regressor": lambda: Boosting(R.GBTRegressor(**boosting)),
