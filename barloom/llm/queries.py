@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontam, host_rules, html_text, ngram_join, packing, quality, secrets, token_orc, toxicity, warc
+from barloom.llm import decontam, host_rules, html_text, merkle, ngram_join, packing, quality, secrets, token_orc, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_secret_scans, op3_host_rules, op4_html_extraction, op5_ngram_jaccard_join,
-        op6_best_fit_packing, op7_token_orc, op8_warc_derivatives, op9_toxicity, op10_decontamination,
+        op6_best_fit_packing, op7_token_orc, op8_warc_derivatives, op9_toxicity, op10_decontamination, op11_merkle_manifest,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_secret_scans": secrets.secrets_sql(), "op3_host_rules": host_rules.HOST_RULES_SQL}
+ORACLES: dict[str, str] = {"op2_secret_scans": secrets.secrets_sql(), "op3_host_rules": host_rules.HOST_RULES_SQL, "op11_merkle_manifest": merkle.MERKLE_SQL}
