@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontam, host_rules, html_text, merkle, ngram_join, packing, quality, secrets, token_orc, toxicity, warc
+from barloom.llm import centroids, decontam, host_rules, html_text, merkle, ngram_join, packing, quality, secrets, token_orc, toxicity, url_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,24 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(merkle.manifest(table(spark, sf_dir, "documents")))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.page_labels(table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_secret_scans, op3_host_rules, op4_html_extraction, op5_ngram_jaccard_join,
-        op6_best_fit_packing, op7_token_orc, op8_warc_derivatives, op9_toxicity, op10_decontamination, op11_merkle_manifest,
+        op6_best_fit_packing, op7_token_orc, op8_warc_derivatives, op9_toxicity, op10_decontamination, op11_merkle_manifest, op12_centroid_clustering,
+        op13_url_filters,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_secret_scans": secrets.secrets_sql(), "op3_host_rules": host_rules.HOST_RULES_SQL, "op11_merkle_manifest": merkle.MERKLE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_secret_scans": secrets.secrets_sql(), "op3_host_rules": host_rules.HOST_RULES_SQL, "op11_merkle_manifest": merkle.MERKLE_SQL,
+    "op12_centroid_clustering": centroids.clusters_sql(), "op13_url_filters": url_rules.judge_sql(),
+}
