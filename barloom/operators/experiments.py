@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.exprs import KEYS, finite, union_all
 
 FRACTIONS = (0.8, 0.75, 0.7, 0.65, 0.6)
+REGRESSIONS = ("hgb_regressor", "tf_mlp_regressor")
 
 
 def matrix(df: DataFrame, features: list[str], target: str) -> tuple[DataFrame, list[str]]:
@@ -114,10 +119,10 @@ class Boosting(Estimator):
             held.unpersist()
 
 
-def estimator(name: str, n_rows: int, features: list[str], classes: int = 2):
+def estimator(name: str, n_rows: int, features: list[str], classes: int = 2, settings: dict | None = None):
     """A pipeline for a model name: median imputation, then scaling and the learner. MLPs have no batch norm or dropout here.
 
-    Boosting and tf_mlp_multiclass need the columns of labelled().
+    Boosting and tf_mlp_multiclass need the columns of labelled(). settings: parameters of the learner to replace, such as numTrees.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
@@ -139,11 +144,15 @@ def estimator(name: str, n_rows: int, features: list[str], classes: int = 2):
     learners["tf_mlp_multiclass"] = lambda: C.MultilayerPerceptronClassifier(layers=[len(features), 128, 64, 32, classes], maxIter=60, seed=42, featuresCol="x", labelCol="label")
     if name not in learners:
         raise KeyError(name)
-    return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), learners[name]()])
+    learner = learners[name]()
+    inner = getattr(learner, "learner", learner)
+    for key, value in (settings or {}).items():
+        inner.set(inner.getParam(key), value)
+    return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), learner])
 
 
 def predict(model, df: DataFrame, classes: int = 2) -> DataFrame:
-    """Keys, y and p: the second class's probability (of more than two classes, an array of all by ascending target), or the predicted value."""
+    """Keys, y and p: the second class's probability, or the predicted value. Of more than two classes p is an array of all by ascending target, and label the row's own place among them."""
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(df)
@@ -151,34 +160,79 @@ def predict(model, df: DataFrame, classes: int = 2) -> DataFrame:
     if "probability" in out.columns:
         p = vector_to_array(F.col("probability"))
         p = p if classes > 2 else p[1]
-    return out.select(*KEYS, "y", p.alias("p"))
+    more = [F.col("label").cast("int").alias("label")] if classes > 2 else []
+    return out.select(*KEYS, "y", p.alias("p"), *more)
 
 
-def fit_and_score(df: DataFrame, features: list[str], target: str, model: str = "logistic_baseline", gap: int = 0) -> DataFrame:
-    """Predictions on the test part of a model trained on the train part."""
+#: Models whose metrics are those of five expanding folds, unless the evaluation setting says otherwise.
+FOLDED = ("rf_baseline", "hgb_baseline")
+
+
+@dataclass
+class Evaluation:
+    """preds: fold, keys, y, p of all test rows. train: for each fold that was fitted n_train, y_train_mean and fit_seconds."""
+
+    preds: DataFrame | None
+    train: list[dict]
+    classes: int = 2
+
+    def train_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(t["fold"], t["n_train"], t["y_train_mean"]) for t in self.train], "fold int, n_train long, y_train_mean double")
+
+
+def fold_table(positions: DataFrame, split: str, gap: int = 0, k: int = 5) -> DataFrame:
+    """The folds of a split by name: time (one, by time_split), expanding or walk."""
+    if split != "time":
+        return folds(positions, k, split, gap)
+    n = positions.groupBy("series_id").agg(F.count("*").alias("n"))
+    cut = F.floor(F.col("n") * time_split(positions)).cast("long")
+    return n.select("series_id", F.lit(0).alias("fold"), cut.alias("train_end"), (cut + gap).alias("test_start"), F.col("n").cast("long").alias("test_end"))
+
+
+def evaluated(df: DataFrame, features: list[str], target: str, model: str, split: str = "time", gap: int = 0, k: int = 5, settings: dict | None = None) -> Evaluation:
+    """Each fold's test rows, predicted by a model of what lies before them.
+
+    One aggregate says of all folds how many rows they train on, with what mean and which features they have. The fits then run at the
+    same time, so that their many short jobs share the cluster, and all predictions are one frame. A fold whose training rows have
+    one class is left out (of regressions: that has no training rows), and a feature that is null throughout its training rows.
+    """
     d, used = matrix(df, features, target)
     d, classes = labelled(d, model)
-    parts = with_split(d, time_split(d), gap)
-    train = parts.where("part = 'train'")
-    fitted = estimator(model, train.count(), used, classes).fit(train)
-    return predict(fitted, parts.where("part = 'test'"), classes)
+    d = d.withColumn("pos", F.row_number().over(_order()) - 1).persist()
+    try:
+        both = d.join(F.broadcast(fold_table(d, split, gap, k)), "series_id")  # one row for each series and fold
+        train, test = both.where("pos < train_end"), both.where("pos >= test_start and pos < test_end")
+        facts = train.groupBy("fold").agg(F.count("*").alias("n_train"), F.avg("y").alias("y_train_mean"), F.min("y").alias("_lo"), F.max("y").alias("_hi"), *[F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(used)])
+        least = (lambda r: True) if model in REGRESSIONS else (lambda r: r["_lo"] < r["_hi"])
+        known = [r for r in sorted(facts.collect(), key=lambda r: r["fold"]) if least(r)]
+
+        def fit(r) -> tuple[DataFrame, float]:
+            own, began = [c for i, c in enumerate(used) if r[f"n_{i}"]], time.time()
+            fitted = estimator(model, r["n_train"], own, classes, settings).fit(train.where(F.col("fold") == r["fold"]))
+            return predict(fitted, test.where(F.col("fold") == r["fold"]), classes).withColumn("fold", F.lit(r["fold"])), time.time() - began
+
+        with ThreadPoolExecutor(max(1, len(known))) as pool:
+            made = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), known))
+        said = [{"fold": r["fold"], "n_train": r["n_train"], "y_train_mean": r["y_train_mean"], "fit_seconds": t} for r, (_, t) in zip(known, made, strict=True)]
+        return Evaluation(union_all([p for p, _ in made]) if made else None, said, classes)
+    finally:
+        d.unpersist()
+
+
+def fit_and_score(df: DataFrame, features: list[str], target: str, model: str = "logistic_baseline", gap: int = 0) -> DataFrame:
+    """Predictions on the test part of a model trained on the train part."""
+    found = evaluated(df, features, target, model, "time", gap)
+    if found.preds is None:
+        raise ValueError("the rows to train on have one class")
+    return found.preds.drop("fold")
 
 
 def out_of_fold(df: DataFrame, features: list[str], target: str, model: str = "logistic_baseline", k: int = 5, gap: int = 12) -> DataFrame:
     """Keys and pred_<target>__<model>__oof: each row's prediction by the model of the fold that tests it; null outside."""
-    d, used = matrix(df, features, target)
-    d, classes = labelled(d, model)
-    d = d.withColumn("pos", F.row_number().over(_order()) - 1)
-    table = folds(d, k, "walk", gap)
-    made = []
-    for fold in sorted(r[0] for r in table.select("fold").distinct().collect()):
-        both = d.join(F.broadcast(table.where(F.col("fold") == fold)), "series_id")  # one row for each series
-        train = both.where("pos < train_end")
-        made.append(predict(estimator(model, train.count(), used, classes).fit(train), both.where("pos >= test_start and pos < test_end"), classes))
-    name = f"pred_{target}__{model}__oof"
-    if not made:
-        return df.select(*KEYS, F.lit(None).cast("array<double>" if classes > 2 else "double").alias(name))
-    return df.select(*KEYS).join(union_all(made).select(*KEYS, F.col("p").alias(name)), list(KEYS), "left")
+    found, name = evaluated(df, features, target, model, "walk", gap, k), f"pred_{target}__{model}__oof"
+    if found.preds is None:
+        return df.select(*KEYS, F.lit(None).cast("array<double>" if found.classes > 2 else "double").alias(name))
+    return df.select(*KEYS).join(found.preds.select(*KEYS, F.col("p").alias(name)), list(KEYS), "left")
 
 
 def permuted(preds: DataFrame, seed: int = 42) -> DataFrame:

@@ -210,6 +210,48 @@ def classification(preds: DataFrame, by: str = "run_id", tie: str = "row_id") ->
     )
 
 
+def multiclass(preds: DataFrame, by: str = "run_id", tie: str = "row_id") -> DataFrame:
+    """auc, ap (both the plain mean of each class against the rest), accuracy, n, classes per run of (run_id, row_id, label, p).
+
+    p: an array with a probability for each class; label: the row's own place in it. auc is null where a class has no row or all;
+    a class without rows has an ap of 0. Each class is one run of the curves of two classes.
+    """
+    each = preds.where("label is not null and p is not null").select(by, tie, "label", F.posexplode("p").alias("_class", "_p"))
+    one = each.select(F.struct(F.col(by).alias("run"), F.col("_class").alias("class")).alias("_rc"), tie, (F.col("label") == F.col("_class")).cast("int").alias("y"), F.col("_p").alias("p"))
+    curves = classification(one, "_rc", tie).select(F.col("_rc.run").alias(by), "auc", F.coalesce("ap", F.lit(0.0)).alias("ap"), "n")
+    hit = (F.array_position("p", F.array_max("p")) - 1 == F.col("label")).cast("int")
+    right = preds.where("label is not null and p is not null").groupBy(by).agg(F.avg(hit).alias("accuracy"))
+    all_there = F.when(F.count("auc") == F.count("*"), F.avg("auc"))
+    return curves.groupBy(by).agg(all_there.alias("auc"), F.avg("ap").alias("ap"), F.max("n").alias("n"), F.count("*").cast("int").alias("classes")).join(right, by)
+
+
+def over_folds(preds: DataFrame, by: str = "run_id", tie: str = "row_id", many: bool = False) -> DataFrame:
+    """run_id, fold, n_test, pos_rate, auc (null for one class), ap (0 without ones) of (run_id, fold, row_id, y, p), in one plan for all folds.
+
+    many: p is an array of all classes' probabilities and label the row's place in it; pos_rate is null.
+    """
+    one = preds.withColumn("_rf", F.struct(F.col(by).alias("run"), "fold")).drop(by, "fold")
+    got = (multiclass if many else classification)(one, "_rf", tie)
+    rate = F.lit(None).cast("double") if many else F.try_divide("n_pos", "n")
+    return got.select(F.col("_rf.run").alias(by), F.col("_rf.fold").alias("fold"), F.col("n").alias("n_test"), rate.alias("pos_rate"), "auc", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def fold_summary(folds: DataFrame, by: str = "run_id") -> DataFrame:
+    """auc and auc_median, auc_mean, auc_q025, auc_q975, ap (median), ap_mean, folds (those with an auc), pos_rate_test (median) per run."""
+    q = lambda c, p: F.percentile(c, p)  # noqa: E731  a run has a handful of folds
+    return folds.groupBy(by).agg(
+        q("auc", 0.5).alias("auc"), q("auc", 0.5).alias("auc_median"), F.avg("auc").alias("auc_mean"), q("auc", 0.025).alias("auc_q025"), q("auc", 0.975).alias("auc_q975"),
+        q("ap", 0.5).alias("ap"), F.avg("ap").alias("ap_mean"), F.count("auc").alias("folds"), q("pos_rate", 0.5).alias("pos_rate_test"), F.sum("n_test").alias("n_test"),
+    )
+
+
+def regression_over_folds(preds: DataFrame, by: str = "run_id") -> DataFrame:
+    """Medians over folds of what regression() says of each, of (run_id, fold, y, p, y_train_mean)."""
+    one = preds.withColumn("_rf", F.struct(F.col(by).alias("run"), "fold")).drop(by, "fold")
+    got = regression(one, "_rf").withColumn(by, F.col("_rf.run"))
+    return got.groupBy(by).agg(*[F.percentile(c, 0.5).alias(c) for c in got.columns if c not in (by, "_rf")], F.count("*").alias("folds"))
+
+
 def at_threshold(preds: DataFrame, threshold: float = 0.5, by: str = "run_id") -> DataFrame:
     """Confusion counts, precision, recall, F1, MCC and accuracy per run."""
     hit = F.col("p") >= threshold

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.operators import bars as B
 from barloom.operators import catalog as C
 from barloom.operators import features as FT
+from barloom.operators import scores as S
 from barloom.operators import validation as V
 from barloom.operators.exprs import KEYS, by_time, div
 from barloom.plans import _CLASSIFICATION, _DEALT, _PREDS, _prefix_sql, preds
@@ -62,6 +63,34 @@ query("validation_folds", f"with {_FOLDED}, {_PER_FOLD} select run_id, fold, n_t
 _QS = ", ".join(f"round(quantile_cont({c}, {q}) + 3e-7, 6) as {c}_{n}" for c in ("auc", "ap") for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75)))
 query("validation_walk_forward", f"with {_FOLDED}, {_PER_FOLD} select run_id, count(*) as folds, {_QS} from per_fold group by 1")(lambda s, p: rounded(V.walk_forward(V.by_fold(folded_preds(s, p)))))
 
+#: A run's folds, of which two have one class only, summed up as rf and hgb runs are.
+_RUN_FOLDS = f"""{_FOLDED.replace("row_id, y, p from all_preds)", "row_id, case row_id % 4 when 3 then 0 else y end as y, p from all_preds where row_id % 4 > 0 or y = 1)")}"""
+_SUMS = ", ".join(f"round({e} + 3e-7, 6) + 0.0 as {n}" for n, e in {
+    "auc": "quantile_cont(auc, 0.5)", "auc_median": "quantile_cont(auc, 0.5)", "auc_mean": "avg(auc)", "auc_q025": "quantile_cont(auc, 0.025)", "auc_q975": "quantile_cont(auc, 0.975)",
+    "ap": "quantile_cont(ap, 0.5)", "ap_mean": "avg(ap)", "pos_rate_test": "quantile_cont(pos_rate, 0.5)",
+}.items())
+
+
+def fold_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = folded_preds(spark, sf_dir)
+    return d.where("fold > 0 or y = 1").withColumn("y", F.when(F.col("fold") == 3, 0).otherwise(F.col("y")))
+
+
+query("run_folds", f"""with {_RUN_FOLDS}, per_fold as (select split_part(s.run_id, '|', 1) as run_id, f.c as n_test, m / f.c as pos_rate, case when isfinite(a) then a end as auc, case when isfinite(ap) then ap else 0 end as ap from s join f using (run_id))
+select run_id, {_SUMS}, count(auc) as folds, sum(n_test)::bigint as n_test from per_fold group by 1""")(lambda s, p: rounded(S.fold_summary(S.over_folds(fold_preds(s, p)))))
+
+
+def multiclass_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, q = F.col("p"), F.col("row_id") * 37 % 101 / 101
+    return preds(spark, sf_dir).select("run_id", "row_id", (F.col("row_id") * 7 % 3).cast("int").alias("label"), F.array(p, (1 - p) * q, (1 - p) * (1 - q)).alias("p"))
+
+
+_MULTI = f"""{_PREDS.replace('preds as', 'all_preds as', 1)}, multi as (select run_id, row_id, row_id * 7 % 3 as label, p as p0, (1 - p) * ((row_id * 37 % 101) / 101) as p1, (1 - p) * (1 - (row_id * 37 % 101) / 101) as p2 from all_preds),
+preds as (select run_id || '|' || c as run_id, row_id, (label = c)::int as y, case c when 0 then p0 when 1 then p1 else p2 end as p from multi, (values (0), (1), (2)) v(c)), {_METRICS}"""
+query("metrics_multiclass", f"""with {_MULTI}, macro as (select split_part(s.run_id, '|', 1) as run_id, avg(a) as auc, avg(ap) as ap, max(f.c)::bigint as n, count(*)::int as classes from s join f using (run_id) group by 1),
+hits as (select run_id, avg((label = case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end)::int) as accuracy from multi group by 1)
+select run_id, round(auc + 3e-7, 6) as auc, round(ap + 3e-7, 6) as ap, n, classes, round(accuracy + 3e-7, 6) as accuracy from macro join hits using (run_id)""")(lambda s, p: rounded(S.multiclass(multiclass_preds(s, p))))
+
 _LONG = f"{B.BARS_SQL}, targets as (select case when {lead('close', 5)} is not null then ({lead('close', 5)} > close)::int::double end as up_5, {lead('close', 5)} / nullif(close, 0) - 1 as move_5 from bars), long as (select 'up_5' as name, up_5 as x from targets union all select 'move_5', move_5 from targets)"
 
 

@@ -10,6 +10,7 @@ import hashlib
 import json
 import math
 import os
+import statistics
 import time
 from dataclasses import dataclass
 
@@ -199,21 +200,32 @@ class Lab:
         return run_id
 
     def metrics(self, x: DataFrame, used: list[str], selection: dict) -> dict:
-        cfg = self.registry.eval_cfgs.get(selection["eval_cfg"], {})
+        """The metrics of a run by its evaluation setting. rf and hgb take medians over five expanding folds where the setting is one split in time."""
+        cfg, model = self.registry.eval_cfgs.get(selection["eval_cfg"], {}), selection["model"]
+        split = cfg.get("split", "time")
+        split = "expanding" if split == "time" and model in E.FOLDED else split
+        done = E.evaluated(x, used, selection["target"], model, split, cfg.get("gap", 0), cfg.get("folds", 5), cfg.get("settings", {}).get(model))
+        if done.preds is None:
+            raise RuntimeError("no fold has two classes to train on")
+        fitted = {"n_train": max(t["n_train"] for t in done.train), "fit_time_sec": sum(t["fit_seconds"] for t in done.train)}
         began = time.time()
-        p = E.fit_and_score(x, used, selection["target"], selection["model"], cfg.get("gap", 0)).select(F.lit("run").alias("run_id"), F.monotonically_increasing_id().alias("row_id"), "y", "p").persist()
+        p = done.preds.select(F.lit("run").alias("run_id"), F.concat_ws(":", *KEYS).alias("row_id"), *[c for c in done.preds.columns if c not in KEYS]).persist()
         try:
             n = p.count()
-            took, began = time.time() - began, time.time()
-            if self.registry.models.get(selection["model"], "clf") == "reg":
-                mean = x.agg(F.avg(selection["target"])).first()[0]
-                found = S.regression(p.withColumn("y_train_mean", F.lit(mean))).first().asDict()
+            took, means = time.time() - began, [t["y_train_mean"] for t in done.train]
+            if model in E.REGRESSIONS:
+                known = p.join(F.broadcast(done.train_frame(self.spark)), "fold")  # a handful of folds
+                found = (S.regression(known) if split == "time" else S.regression_over_folds(known)).first().asDict()
                 found["skill"] = found.pop("skill_rmse")
+            elif split != "time":
+                found = S.fold_summary(S.over_folds(p, many=done.classes > 2)).first().asDict() | {"pos_rate_train": statistics.median(means) if done.classes == 2 else None}
+            elif done.classes > 2:
+                found = S.multiclass(p).drop("n").first().asDict()
             else:
-                found = S.classification(p).first().asDict()
+                found = S.classification(p).first().asDict() | {"pos_rate_train": means[0]}
                 found["pos_rate_test"] = found.pop("n_pos") / max(1, found.pop("n"))
             found.pop("run_id")
-            return found | {"n_test": n, "fit_time_sec": took, "predict_time_sec": time.time() - began}
+            return found | fitted | {"n_test": n, "predict_time_sec": took}
         finally:
             p.unpersist()
 
