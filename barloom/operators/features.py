@@ -129,7 +129,8 @@ def channels(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> DataFrame:
     def fn(d: pd.DataFrame) -> dict:
         out, c = {}, d["close"].astype(float)
         held = lambda x, k: x.clip(-k, k).fillna(0.0)
-        moved = c - c.iloc[0]  # sums of small numbers: a level far from 0 would cancel their last places
+        start = c.first_valid_index()
+        moved = c - (0.0 if start is None else c[start])  # sums of small numbers: a level far from 0 would cancel their last places
         for n in windows:
             extreme = lambda k, largest, n=n: pd.Series(ewm.rolling_extreme(d[k].to_numpy(float), n, largest)[0], index=d.index)
             full = moved.rolling(n).count() >= n
@@ -138,7 +139,7 @@ def channels(bars: DataFrame, windows: tuple[int, ...] = CHANNELS) -> DataFrame:
             spread = (ewm.rolling_sum(known * known, n) / n - mean * mean).clip(lower=0)
             flat = extreme("close", True) == extreme("close", False)
             off, sd = moved - mean, np.sqrt(spread.where(~flat)).replace(0, np.nan)
-            hi, lo = extreme("high", True).where(full), extreme("low", False).where(full)
+            hi, lo = (extreme(k, largest).where(d[k].rolling(n).count() >= n) for k, largest in (("high", True), ("low", False)))
             out[f"close_pos_bb_w{n}_k2"], out[f"close_z_bb_w{n}_k2"] = held(off / (4 * sd), 5), held(off / (2 * sd), 10)
             out[f"close_pos_dc_w{n}"] = held((c - (hi + lo) / 2) / (hi - lo).replace(0, np.nan), 5)
             out[f"close_dist_sma_std_w{n}"] = held(off / sd, 10)

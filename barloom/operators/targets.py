@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import ewm
 from barloom.operators.exprs import KEYS, by_time, clip, div
+from barloom.operators.scan import BLOCK_ROWS, Recurrence, scanned, written
 
 ATR_TARGETS = tuple((h, k) for h in (6, 12, 36) for k in (0.5, 1.0))
 PV_CONFIGS = {"pv_": (1000, 2.0), "pv_d200_t2_": (200, 2.0), "pv_d200_t3_": (200, 3.0)}
@@ -71,59 +72,119 @@ def atr_targets(bars: DataFrame) -> DataFrame:
 PV_COLUMNS = ["up", "down", "last_up", "last_down", "to_next_peak", "to_next_valley", "since_prev_peak", "since_prev_valley", "peak", "valley", "line"]
 
 
-def zigzag(close: np.ndarray, distance: int, threshold: float) -> list[tuple[int, int]]:
-    """(bar, +1 peak or -1 valley), alternating: an extreme counts once close has gone back from it by threshold percent, or
-    once `distance` bars have passed without a new one. This detector is our own; the reference's is not published."""
-    out: list[tuple[int, int]] = []
-    if not len(close):
-        return out
-    hi = lo = 0
-    side = 0
-    for i in range(1, len(close)):
-        x = close[i]
-        if x > close[hi]:
-            hi = i
-        if x < close[lo]:
-            lo = i
-        fall = close[hi] > 0 and (close[hi] - x) / abs(close[hi]) * 100 >= threshold
-        rise = (x - close[lo]) / max(abs(close[lo]), 1e-12) * 100 >= threshold
-        if side >= 0 and hi < i and (fall or (i - hi >= distance and x < close[hi])):
-            out.append((hi, 1))
-            side, lo, hi = -1, i, i
-        elif side <= 0 and lo < i and (rise or (i - lo >= distance and x > close[lo])):
-            out.append((lo, -1))
-            side, hi, lo = 1, i, i
-    return out
-
-
-def peaks_and_valleys(bars: DataFrame, distance: int = 1000, threshold: float = 2.0) -> DataFrame:
-    """The artifact: moves (as fractions) to the next and from the last extreme, bars to and since them, and the line between."""
-
-    def fn(d: pd.DataFrame) -> dict:
+def _turns(distance: int, threshold: float):
+    """The detector as a recurrence: an extreme counts once close has gone back from it by threshold percent, or once `distance` bars have passed
+    without a new one; peaks and valleys alternate. This detector is our own; the reference's is not published.
+
+    Columns: at the bar that confirms an extreme its place, side (1 peak, -1 valley) and close. State: highest and lowest bar since the last
+    extreme, each with its close, the side of the last one (0: none yet), and the last close that is known, which stands for missing ones.
+    """
+
+    def run(arrays, state):
+        close, missing, place = arrays
+        found = np.full((3, len(close)), np.nan)
+        hi, hv, lo, lv, side, last = state or (0.0, None, 0.0, None, 0.0, None)
+        for i in range(len(close)):
+            if missing[i] and last is None:
+                continue
+            x, at = last if missing[i] else close[i], place[i]
+            last = x
+            if hv is None:  # what is missing before counts as this close
+                hv = lv = x
+                continue
+            if x > hv:
+                hi, hv = at, x
+            if x < lv:
+                lo, lv = at, x
+            fall = hv > 0 and (hv - x) / abs(hv) * 100 >= threshold
+            rise = (x - lv) / max(abs(lv), 1e-12) * 100 >= threshold
+            if side >= 0 and hi < at and (fall or (at - hi >= distance and x < hv)):
+                found[:, i] = hi, 1, hv
+                side, hi, lo, hv, lv = -1.0, at, at, x, x
+            elif side <= 0 and lo < at and (rise or (at - lo >= distance and x > lv)):
+                found[:, i] = lo, -1, lv
+                side, hi, lo, hv, lv = 1.0, at, at, x, x
+        if hv is None:
+            return list(found), [0.0, np.nan, 0.0, np.nan, 0.0, np.nan]
+        return list(found), [hi, hv, lo, lv, side, last]
+
+    def from_state(arrays, state):
+        return run(arrays, None if state is None or math.isnan(state[1]) else state)
+
+    def inputs(d: pd.DataFrame):
         c = d["close"].to_numpy(float)
-        known = np.nan_to_num(pd.Series(c).ffill().bfill().to_numpy(float))
-        n, at = len(c), np.arange(len(c))
-        found = zigzag(known, distance, threshold)
-        out = {}
-        for name, side in (("peak", 1), ("valley", -1)):
-            where = np.array([i for i, s in found if s == side], np.int64)
-            nxt = np.searchsorted(where, at, "left")
-            prev = np.searchsorted(where, at, "right") - 1
-            ahead = np.where(nxt < len(where), np.r_[where, n][np.minimum(nxt, len(where))], -1)
-            behind = np.where(prev >= 0, np.r_[where, n][np.maximum(prev, 0)], -1)
-            out[f"to_next_{name}"] = np.where(ahead >= 0, ahead - at, np.nan)
-            out[f"since_prev_{name}"] = np.where(behind >= 0, at - behind, np.nan)
-            out[name] = np.isin(at, where).astype(float)
-            base = np.where(known == 0, np.nan, known)
-            move = (known[np.maximum(ahead, 0)] - known) / base * side
-            out["up" if side == 1 else "down"] = np.where(ahead >= 0, np.maximum(move, 0), np.nan)
-            past = (known[np.maximum(behind, 0)] - known) / np.where(known[np.maximum(behind, 0)] == 0, np.nan, known[np.maximum(behind, 0)]) * side
-            out["last_down" if side == 1 else "last_up"] = np.where(behind >= 0, np.maximum(past, 0), np.nan)
-        marks = [i for i, _ in found]
-        out["line"] = np.interp(at, marks, known[marks]) if marks else known
-        return {k: pd.Series(v, index=d.index, dtype=float) for k, v in out.items()}
-
-    df = ewm.per_series(bars, PV_COLUMNS, fn)
+        return np.nan_to_num(c), np.isnan(c).astype(float), d["bar_idx"].to_numpy(float)
+
+    return Recurrence(("_place", "_side", "_price"), inputs, from_state, 6)
+
+
+def extremes_of(bars: DataFrame, distance: int, threshold: float, rows: int | None = None) -> DataFrame:
+    """series_id, place, side, price of each peak (1) and valley (-1)."""
+    found = scanned(bars.select(*KEYS, "close"), ["_place", "_side", "_price"], [_turns(distance, threshold)], 0, rows=rows)
+    return found.where("_side is not null").select("series_id", F.col("_place").cast("long").alias("place"), F.col("_side").cast("int").alias("side"), F.col("_price").alias("price"))
+
+
+def _around(bars: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """One row for each block of a series: its own extremes, the nearest ones before and behind it, the last close before it and the series' first."""
+    block = lambda c: F.floor(F.col(c) / size)
+    known = F.col("close").isNotNull()
+    blocks = bars.groupBy("series_id", block("bar_idx").alias("_block")).agg(F.max_by("close", F.when(known, F.col("bar_idx"))).alias("_last"), F.min_by("close", F.when(known, F.col("bar_idx"))).alias("_first"))
+    here = {k: F.when(F.col("side") == s, F.struct("place", "price")) for k, s in (("peak", 1), ("valley", -1))}
+    own = marks.groupBy("series_id", block("place").alias("_block")).agg(
+        F.array_sort(F.collect_list(F.struct("place", "side", "price"))).alias("own"), *[F.min(c).alias(f"_first_{k}") for k, c in here.items()], *[F.max(c).alias(f"_last_{k}") for k, c in here.items()]
+    )
+    w = Window.partitionBy("series_id").orderBy("_block")
+    before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.last(f"_last_{k}", ignorenulls=True).over(before).alias(f"prev_{k}") for k in here] + [F.first(f"_first_{k}", ignorenulls=True).over(behind).alias(f"next_{k}") for k in here]
+    whole = Window.partitionBy("series_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    closes = [F.last("_last", ignorenulls=True).over(before).alias("close_before"), F.first("_first", ignorenulls=True).over(whole).alias("close_first")]
+    return blocks.join(own, ["series_id", "_block"], "left").select("series_id", "_block", "own", *ends, *closes)
+
+
+def peaks_and_valleys(bars: DataFrame, distance: int = 1000, threshold: float = 2.0, rows: int | None = None) -> DataFrame:
+    """The artifact: moves (as fractions) to the next and from the last extreme, bars to and since them, and the line between.
+
+    Extremes are found by blocks that hand their state on; then each block needs its own extremes and the nearest ones around it.
+    """
+    size = rows or BLOCK_ROWS
+    source = bars.select(*KEYS, "close")
+    marks = written(extremes_of(source, distance, threshold, rows), "extremes")
+    schema = bars.select(*KEYS).schema
+    for n in PV_COLUMNS:
+        schema = schema.add(n, "double")
+
+    def near(context, k: str, side: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and prices of the extremes of a side, from the last before the block to the first behind it."""
+        own = [] if context["own"] is None else [(m["place"], m["price"]) for m in context["own"] if m["side"] == side]
+        ends = [[(e["place"], e["price"])] if (e := context[f"{p}_{k}"]) is not None else [] for p in ("prev", "next")]
+        all_ = ends[0] + own + ends[1]
+        return np.array([p for p, _ in all_], np.int64), np.array([x for _, x in all_], float)
+
+    def made(key, d: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        d, context = d.sort_values("bar_idx", ignore_index=True), around.iloc[0]
+        at, close = d["bar_idx"].to_numpy(np.int64), d["close"].astype(float)
+        known = close.ffill().fillna(context["close_before"]).fillna(context["close_first"]).fillna(0.0).to_numpy()
+        base, out, marked = np.where(known == 0, np.nan, known), {}, []
+        for k, side in (("peak", 1), ("valley", -1)):
+            where, price = near(context, k, side)
+            marked += zip(where.tolist(), price.tolist(), strict=True)
+            n = len(where)
+            nxt, prev = np.searchsorted(where, at, "left"), np.searchsorted(where, at, "right") - 1
+            ahead, behind = nxt < n, prev >= 0
+            place, price = np.r_[where, 0], np.r_[price, np.nan]
+            out[f"to_next_{k}"] = np.where(ahead, place[np.minimum(nxt, n)] - at, np.nan)
+            out[f"since_prev_{k}"] = np.where(behind, at - place[np.maximum(prev, 0)], np.nan)
+            out[k] = np.isin(at, where).astype(float)
+            out["up" if side == 1 else "down"] = np.where(ahead, np.maximum((price[np.minimum(nxt, n)] - known) / base * side, 0), np.nan)
+            past = price[np.maximum(prev, 0)]
+            out["last_down" if side == 1 else "last_up"] = np.where(behind, np.maximum((past - known) / np.where(past == 0, np.nan, past) * side, 0), np.nan)
+        marked.sort()
+        out["line"] = np.interp(at, [p for p, _ in marked], [x for _, x in marked]) if marked else known
+        return pd.concat([d[list(KEYS)], pd.DataFrame(out, index=d.index)[PV_COLUMNS].replace([np.inf, -np.inf], np.nan)], axis=1)
+
+    groups = source.withColumn("_block", F.floor(F.col("bar_idx") / size)).groupBy("series_id", "_block")
+    around = written(_around(source, marks, size), "around")
+    df = groups.cogroup(around.groupBy("series_id", "_block")).applyInPandas(made, schema)
     return df.withColumns({c: F.col(c) == 1 for c in ("peak", "valley")})
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import ewm
 from barloom.operators.exprs import KEYS, by_time, roll, zero
+from barloom.operators.scan import Recurrence, scanned
 from barloom.operators.staged import fitted
 
 
@@ -92,97 +93,221 @@ def window_sql() -> dict[str, str]:
     return {f"ta_{k}": f"coalesce({x}, 0.0)" for k, x in out.items()}
 
 
-def _supertrend(d: pd.DataFrame, n: int = 7, k: float = 3.0) -> np.ndarray:
-    mid, atr = (d["high"] + d["low"]) / 2, ewm.wilder(ewm.true_range(d), n)
-    hi, lo, c = (mid + k * atr).to_numpy().copy(), (mid - k * atr).to_numpy().copy(), d["close"].to_numpy()
-    out, side = np.full(len(d), np.nan), 1
-    for i in range(1, len(d)):
-        side = 1 if c[i] > hi[i - 1] else -1 if c[i] < lo[i - 1] else side
-        if side > 0:
-            lo[i] = max(lo[i], lo[i - 1]) if lo[i - 1] == lo[i - 1] else lo[i]
-        else:
-            hi[i] = min(hi[i], hi[i - 1]) if hi[i - 1] == hi[i - 1] else hi[i]
-        out[i] = lo[i] if side > 0 else hi[i]
+def _known(*arrays: np.ndarray) -> np.ndarray:
+    return ~np.isnan(np.sum(arrays, axis=0))
+
+
+def _filled(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.full(len(known), np.nan)
+    out[known] = values
     return out
 
 
-def _kama(c: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
-    s = pd.Series(c)
-    er = (s - s.shift(n)).abs() / s.diff().abs().rolling(n).sum().replace(0, np.nan)
-    sc = ((er * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2).fillna(0.0).to_numpy()
+# ---- recurrences that forget: a block's halo is enough -----------------------------------------------------------------
+
+
+def _super_smoother(x: np.ndarray, n: int = 10) -> np.ndarray:
+    """A two-pole filter; its first two values are x."""
+    known = _known(x)
+    c, q = x[known], np.exp(-np.sqrt(2) * np.pi / n)
+    c2, c3 = 2 * q * np.cos(np.sqrt(2) * np.pi / n), -q * q
     out = c.copy()
-    for i in range(1, len(c)):
-        out[i] = out[i - 1] + sc[i] * (c[i] - out[i - 1]) if i >= n else c[i]
+    for i in range(2, len(c)):
+        out[i] = (1 - c2 - c3) * c[i] + c2 * out[i - 1] + c3 * out[i - 2]
+    return _filled(known, out)
+
+
+def _holt_winters(x: np.ndarray, level: float = 0.2, speed: float = 0.1, force: float = 0.1) -> np.ndarray:
+    known = _known(x)
+    c = x[known]
+    f, v, a, out = c[0] if len(c) else 0.0, 0.0, 0.0, np.zeros(len(c))
+    for i in range(len(c)):
+        new_f = (1 - level) * (f + v + a / 2) + level * c[i]
+        new_v = (1 - speed) * (v + a) + speed * (new_f - f)
+        a = (1 - force) * a + force * (new_v - v)
+        f, v = new_f, new_v
+        out[i] = f + v + a / 2
+    return _filled(known, out)
+
+
+def _fisher(place: np.ndarray) -> np.ndarray:
+    out, value, before = np.zeros(len(place)), 0.0, 0.0
+    for i, p in enumerate(place.tolist()):
+        value = min(0.999, max(-0.999, 0.66 * p + 0.67 * value))
+        before = out[i] = 0.5 * np.log((1 + value) / (1 - value)) + 0.5 * before
     return out
 
 
-def _psar(d: pd.DataFrame, step: float = 0.02, top: float = 0.2) -> np.ndarray:
-    h, l = d["high"].to_numpy(), d["low"].to_numpy()  # noqa: E741
-    out = np.full(len(d), np.nan)
-    if len(d) < 2:
-        return out
-    up, af, ext, sar = h[1] >= h[0], step, h[0] if h[1] >= h[0] else l[0], l[0] if h[1] >= h[0] else h[0]
-    for i in range(1, len(d)):
+def _heikin_open(o: np.ndarray, c: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Halfway between its own last value and the last bar's mean price."""
+    known = _known(o, c, mean)
+    first, m = ((o + c) / 2)[known], mean[known]
+    out = first.copy()
+    for i in range(1, len(m)):
+        out[i] = (out[i - 1] + m[i - 1]) / 2
+    return _filled(known, out)
+
+
+# ---- recurrences that may not: their state is handed on from block to block --------------------------------------------
+
+
+def _since_known(x: np.ndarray, n: int) -> np.ndarray:
+    """Whether a bar and all n bars before it are known."""
+    return (pd.Series(~np.isnan(x)).astype(float).rolling(n + 1).sum() == n + 1).to_numpy()
+
+
+def _kama_inputs(d: pd.DataFrame, n: int = 10, fast: int = 2, slow: int = 30):
+    """x itself for n bars, then towards x by the share that the efficiency of the last n bars gives."""
+    s = d["close"].astype(float)
+    x, er = s.to_numpy(), (s - s.shift(n)).abs() / s.diff().abs().rolling(n).sum().replace(0, np.nan)
+    share = ((er * (2 / (fast + 1) - 2 / (slow + 1)) + 2 / (slow + 1)) ** 2).fillna(0.0).to_numpy()
+    share, known = np.where(_since_known(x, n), share, 1.0), ~np.isnan(x)
+    return np.where(known, 1 - share, 1.0), np.where(known, share * np.nan_to_num(x), 0.0), known
+
+
+def _vidya_inputs(d: pd.DataFrame, n: int = 14):
+    s = d["close"].astype(float)
+    x, step = s.to_numpy(), s.diff()
+    up, down = step.clip(lower=0).rolling(n).sum(), (-step).clip(lower=0).rolling(n).sum()
+    share = ((up - down) / (up + down).replace(0, np.nan)).abs().fillna(0.0).to_numpy() * 2 / (n + 1)
+    share, known = np.where(_since_known(x, n), share, 1.0), ~np.isnan(x)
+    return np.where(known, 1 - share, 1.0), np.where(known, share * np.nan_to_num(x), 0.0), known
+
+
+def _supertrend(arrays, state):
+    """The side that close is on, and bands that only close in on it. State: upper band, lower band, side."""
+    hi, lo, c = arrays
+    out = np.full(len(c), np.nan)
+    top, bottom, side = state or (None, None, 1)
+    for i in range(len(c)):
+        if top is None:
+            top, bottom = hi[i], lo[i]
+            continue
+        side = 1 if c[i] > top else -1 if c[i] < bottom else side
+        top, bottom = (hi[i], max(lo[i], bottom)) if side > 0 else (min(hi[i], top), lo[i])
+        out[i] = bottom if side > 0 else top
+    return [out], [top, bottom, side]
+
+
+def _parabola(arrays, state, step: float = 0.02, top: float = 0.2):
+    """Moved towards the extreme, and started anew there when it is crossed. State: whether it runs, upwards, acceleration, extreme, place; before it runs the first bar's high and low."""
+    h, l = arrays  # noqa: E741
+    out = np.full(len(h), np.nan)
+    runs, up, af, ext, sar = state or (0.0, 0.0, step, np.nan, np.nan)
+    for i in range(len(h)):
+        if not runs:
+            if np.isnan(ext):
+                ext, sar = h[i], l[i]
+                continue
+            runs, up = 1.0, float(h[i] >= ext)
+            ext, sar = (ext, sar) if up else (sar, ext)
         sar += af * (ext - sar)
         if (l[i] < sar) if up else (h[i] > sar):
-            up, sar, ext, af = not up, ext, (l[i] if up else h[i]), step
+            up, sar, ext, af = 1.0 - up, ext, (l[i] if up else h[i]), step
         elif (h[i] > ext) if up else (l[i] < ext):
             ext, af = (h[i] if up else l[i]), min(top, af + step)
         out[i] = sar
-    return out
+    return [out], [runs, up, af, ext, sar]
 
 
-def _halfway(x: np.ndarray, n: int, share: float = 0.5) -> np.ndarray:
-    """Where x stands between its extremes of n bars, in percent, each value halfway from the one before; the last place where they meet."""
-    hi, lo = ewm.rolling_extreme(x, n)[0], ewm.rolling_extreme(x, n, False)[0]
-    out, place, value = np.zeros(len(x)), 0.0, 0.0
+def _mcginley(arrays, state, n: int = 10):
+    (x,) = arrays
+    out, md = np.empty(len(x)), state[0] if state else None
+    for i, c in enumerate(x.tolist()):
+        if md is None:
+            md = c
+        else:
+            md = md + (c - md) / (n * max(c / md if md else 1.0, 1e-3) ** 4)
+        out[i] = md
+    return [out], [md]
+
+
+def _decay(arrays, state, step: float = 0.2):
+    (x,) = arrays
+    out, value = np.empty(len(x)), state[0] if state else None
+    for i, c in enumerate(x.tolist()):
+        value = c if value is None else max(c, value - step, 0.0)
+        out[i] = value
+    return [out], [value]
+
+
+def _places(x: np.ndarray, hi: np.ndarray, lo: np.ndarray, place: float, value: float | None, share: float = 0.5):
+    """Where x stands between two extremes, in percent, each value halfway from the one before; the last place where they meet."""
+    out = np.zeros(len(x))
     for i in range(len(x)):
         if hi[i] > lo[i]:
             place = 100 * (x[i] - lo[i]) / (hi[i] - lo[i])
-        value = value + share * (place - value) if i else place
+        value = place if value is None else value + share * (place - value)
         out[i] = value
-    return out
+    return out, place, value
+
 
+def _schaff(arrays, state, n: int = 10):
+    """The place of x in its range, and that place's own in its range of n bars. State: place and value of both, the first's last n - 1 values."""
+    x, hi, lo = arrays
+    p1, v1, p2, v2, *last = state or (0.0, None, 0.0, None, *[np.nan] * (n - 1))
+    inner, p1, v1 = _places(x, hi, lo, p1, v1)
+    whole = np.r_[last, inner]
+    hi2, lo2 = (ewm.rolling_extreme(whole, n, k)[0][n - 1 :] for k in (True, False))
+    outer, p2, v2 = _places(inner, hi2, lo2, p2, v2)
+    return [outer], [p1, v1, p2, v2, *whole[-(n - 1) :]]
 
-def _trailing(x: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """A band that follows x at a distance, rises only below it and falls only above it, and changes side when x crosses it."""
-    out, low, high, side = np.full(len(x), np.nan), np.nan, np.nan, 1
+
+def _trailing(arrays, state):
+    """A band that follows x at a distance, rises only below it and falls only above it, and changes side when x crosses it. State: both bands, side, x."""
+    x, width = arrays
+    out = np.full(len(x), np.nan)
+    low, high, side, before = state or (np.nan, np.nan, 1, np.nan)
     for i in range(len(x)):
-        if np.isnan(x[i]) or np.isnan(width[i]):
-            continue
         new_low, new_high = x[i] - width[i], x[i] + width[i]
         if not np.isnan(low):
             side = 1 if x[i] > high else -1 if x[i] < low else side
-            new_low = max(low, new_low) if x[i - 1] > low and x[i] > low else new_low
-            new_high = min(high, new_high) if x[i - 1] < high and x[i] < high else new_high
-        low, high = new_low, new_high
+            new_low = max(low, new_low) if before > low and x[i] > low else new_low
+            new_high = min(high, new_high) if before < high and x[i] < high else new_high
+        low, high, before = new_low, new_high, x[i]
         out[i] = low if side > 0 else high
-    return out
+    return [out], [low, high, side, before]
 
 
-def _holt_winters(x: np.ndarray, level: float = 0.2, speed: float = 0.1, force: float = 0.1) -> np.ndarray:
-    f, v, a, out = x[0] if len(x) else 0.0, 0.0, 0.0, np.zeros(len(x))
-    for i in range(len(x)):
-        new_f = (1 - level) * (f + v + a / 2) + level * x[i]
-        new_v = (1 - speed) * (v + a) + speed * (new_f - f)
-        a = (1 - force) * a + force * (new_v - v)
-        f, v = new_f, new_v
-        out[i] = f + v + a / 2
-    return out
+def _smoothed(x: pd.Series, n: int) -> pd.Series:
+    return ewm.ewm_mean(x, 2 / (n + 1))
 
 
-def _vidya(c: pd.Series, n: int = 14) -> np.ndarray:
-    d = c.diff()
-    up, down = d.clip(lower=0).rolling(n).sum(), (-d).clip(lower=0).rolling(n).sum()
-    k = ((up - down) / (up + down).replace(0, np.nan)).abs().fillna(0.0).to_numpy() * 2 / (n + 1)
-    x, out = c.to_numpy(), c.to_numpy().copy()
-    for i in range(1, len(x)):
-        out[i] = k[i] * x[i] + (1 - k[i]) * out[i - 1] if i >= n else x[i]
-    return out
+def _macd(d: pd.DataFrame) -> pd.Series:
+    c = d["close"].astype(float)
+    return _smoothed(c, 12) - _smoothed(c, 26)
+
+
+def _bands(d: pd.DataFrame, n: int = 7, k: float = 3.0):
+    mid, atr = (d["high"] + d["low"]) / 2, ewm.wilder(ewm.true_range(d), n)
+    return tuple(np.asarray(x, float) for x in (mid + k * atr, mid - k * atr, d["close"]))
+
+
+def _schaff_inputs(d: pd.DataFrame, n: int = 10):
+    x = _macd(d).to_numpy(float)
+    return x, ewm.rolling_extreme(x, n)[0], ewm.rolling_extreme(x, n, False)[0]
+
+
+def _trailing_inputs(d: pd.DataFrame):
+    x = _smoothed(ewm.rsi(d["close"].astype(float)), 5)
+    return x.to_numpy(float), (4.236 * _smoothed(_smoothed(x.diff().abs(), 27), 27)).to_numpy(float)
+
+
+#: Column, its inputs from a block and its halo, how it goes on, and the numbers in its state.
+PATHS = (
+    Recurrence(("ta_overlap_kama",), _kama_inputs), Recurrence(("ta_overlap_vidya",), _vidya_inputs),
+    Recurrence(("ta_overlap_supertrend",), _bands, _supertrend, 3),
+    Recurrence(("ta_trend_psar",), lambda d: (d["high"].to_numpy(float), d["low"].to_numpy(float)), _parabola, 5),
+    Recurrence(("ta_overlap_mcgd",), lambda d: (d["close"].to_numpy(float),), _mcginley, 1),
+    Recurrence(("ta_trend_decay",), lambda d: (d["close"].to_numpy(float),), _decay, 1),
+    Recurrence(("ta_momentum_stc",), _schaff_inputs, _schaff, 13), Recurrence(("ta_momentum_qqe",), _trailing_inputs, _trailing, 4),
+)
+#: What the longest chain of smoothings remembers: Wilder's of 14 bars and two of 27, or three of 30.
+HALO = max(ewm.memory(1 / 14) + ewm.memory(1 / 3) + 2 * ewm.memory(1 / 14), 3 * ewm.memory(2 / 31)) + 60
 
 
-def recursive_indicators(bars: DataFrame) -> DataFrame:
-    """Indicators built on exponential smoothing or a recurrence."""
+def recursive_indicators(bars: DataFrame, rows: int | None = None) -> DataFrame:
+    """Indicators built on exponential smoothing or a recurrence, in blocks of a series (rows: their least size). Each begins with the first bar that is known."""
     names = [f"ta_{k}" for k in (
         "overlap_ema", "overlap_rma", "overlap_dema", "overlap_tema", "overlap_t3", "overlap_zlma", "overlap_kama", "overlap_supertrend", "overlap_mcgd", "overlap_ssf", "momentum_rsi", "momentum_macd", "momentum_macd_signal", "momentum_macd_hist",
         "momentum_ppo", "momentum_apo", "momentum_trix", "momentum_tsi", "momentum_pvo", "momentum_stochrsi", "momentum_cmo", "momentum_kdj_k", "momentum_kdj_d", "momentum_kdj_j", "momentum_fisher", "momentum_eri_bull", "momentum_eri_bear", "momentum_pgo",
@@ -207,18 +332,8 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         a = 0.7
         out["overlap_t3"] = -(a**3) * x[6] + 3 * (a**2 + a**3) * x[5] - 3 * (2 * a**2 + a + a**3) * x[4] + (1 + 3 * a + a**3 + 3 * a**2) * x[3]
         out["overlap_zlma"] = e(2 * c - c.shift(4), 10)
-        out["overlap_kama"] = _kama(c.to_numpy().copy())
-        out["overlap_supertrend"] = _supertrend(d)
         arr = c.to_numpy()
-        md, ss = arr.copy(), arr.copy()
-        q = np.exp(-np.sqrt(2) * np.pi / 10)
-        c2, c3 = 2 * q * np.cos(np.sqrt(2) * np.pi / 10), -q * q
-        for i in range(1, len(arr)):
-            ratio = arr[i] / md[i - 1] if md[i - 1] else 1.0
-            md[i] = md[i - 1] + (arr[i] - md[i - 1]) / (10 * max(ratio, 1e-3) ** 4)
-            if i > 1:
-                ss[i] = (1 - c2 - c3) * arr[i] + c2 * ss[i - 1] + c3 * ss[i - 2]
-        out["overlap_mcgd"], out["overlap_ssf"] = md, ss
+        out["overlap_ssf"], out["overlap_hwma"] = _super_smoother(arr), _holt_winters(arr)
         r = ewm.rsi(c)
         out["momentum_rsi"] = r
         macd = e(c, 12) - e(c, 26)
@@ -237,12 +352,7 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         out["momentum_kdj_k"], out["momentum_kdj_d"], out["momentum_kdj_j"] = k, dd, 3 * k - 2 * dd
         mid = (h + l) / 2
         pos = (mid - mid.rolling(9).min()) / nz(mid.rolling(9).max() - mid.rolling(9).min()) - 0.5
-        f = np.zeros(len(d))
-        val = 0.0
-        for i, p in enumerate(pos.fillna(0.0).to_numpy()):
-            val = min(0.999, max(-0.999, 0.66 * p + 0.67 * val))
-            f[i] = 0.5 * np.log((1 + val) / (1 - val)) + 0.5 * (f[i - 1] if i else 0.0)
-        out["momentum_fisher"] = f
+        out["momentum_fisher"] = _fisher(pos.fillna(0.0).to_numpy())
         out["momentum_eri_bull"], out["momentum_eri_bear"] = h - e(c, 13), l - e(c, 13)
         # without a move the distance is 0, whatever the last places of the mean say
         out["momentum_pgo"] = (c - c.rolling(14).mean()).where(c.rolling(14).max() > c.rolling(14).min(), 0.0) / nz(e(tr, 14))
@@ -251,11 +361,6 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         atr = nz(ewm.wilder(tr, 14))
         out["trend_dmp"] = 100 * ewm.wilder(pu.where((pu > pd_) & (pu > 0), 0.0), 14) / atr
         out["trend_dmn"] = 100 * ewm.wilder(pd_.where((pd_ > pu) & (pd_ > 0), 0.0), 14) / atr
-        out["trend_psar"] = _psar(d)
-        decay = arr.copy()
-        for i in range(1, len(arr)):
-            decay[i] = max(arr[i], decay[i - 1] - 0.2, 0.0)
-        out["trend_decay"] = decay
         out["volume_efi"] = e(change * v, 13)
         ad = (((2 * c - h - l) / nz(h - l)).fillna(0.0) * v).cumsum()
         out["volume_adosc"] = e(ad, 3) - e(ad, 10)
@@ -264,10 +369,7 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         obv = (np.sign(change.fillna(0.0)) * v).cumsum()
         out["volume_aobv"] = e(obv, 4) - e(obv, 12)
         hac = ((o + h + l + c) / 4).to_numpy()
-        hao = np.zeros(len(d))
-        for i in range(len(d)):
-            hao[i] = (o.iloc[0] + c.iloc[0]) / 2 if i == 0 else (hao[i - 1] + hac[i - 1]) / 2
-        out["candles_ha_open"], out["candles_ha_close"] = hao, hac
+        out["candles_ha_open"], out["candles_ha_close"] = _heikin_open(o.to_numpy(), c.to_numpy(), hac), hac
         smi = e(e(change, 20), 5) / nz(e(e(change.abs(), 20), 5))
         out["momentum_smi"], out["momentum_smi_signal"], out["momentum_smi_osc"] = smi, e(smi, 5), smi - e(smi, 5)
         sd14 = c.rolling(14).std(ddof=0)
@@ -281,16 +383,15 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
         for name, k in (("wide", 2.0), ("normal", 1.5), ("narrow", 1.0)):
             out[f"momentum_squeeze_pro_{name}"] = inside(k)
         out["momentum_stc_macd"] = macd
-        out["momentum_stc"] = _halfway(_halfway(macd.to_numpy(), 10), 10)
         smooth = e(r, 5)
-        out["momentum_qqe_rsi_ma"], out["momentum_qqe"] = smooth, _trailing(smooth.to_numpy(), (4.236 * e(e(smooth.diff().abs(), 27), 27)).to_numpy())
-        out["overlap_hwma"], out["overlap_vidya"] = _holt_winters(arr), _vidya(c)
+        out["momentum_qqe_rsi_ma"] = smooth
         rma10 = ewm.wilder(tr, 10)
         out["trend_cksp_long"], out["trend_cksp_short"] = (h.rolling(10).max() - rma10).rolling(9).max(), (l.rolling(10).min() + rma10).rolling(9).min()
         rising = lambda x: x > x.shift(2)
         falling = lambda x: x < x.shift(2)
         near, far = e(c, 8), e(c, 21)
         out["trend_amat_long"], out["trend_amat_short"] = (rising(near) & (rising(far) | falling(far))).astype(float), (falling(near) & (falling(far) | rising(far))).astype(float)
-        return {f"ta_{n}": pd.Series(np.asarray(x, float), index=d.index).replace([np.inf, -np.inf], np.nan).fillna(0.0) for n, x in out.items()}
+        return {f"ta_{n}": x for n, x in out.items()}
 
-    return ewm.per_series(bars, names, fn)
+    found = scanned(bars, names, list(PATHS), HALO, fn, rows=rows)
+    return found.select(*KEYS, *[zero(n).alias(n) for n in names])

@@ -63,10 +63,11 @@ def test_future_tail_is_zero_and_margin_tail_is_null(spark):
     assert m["up_margin_H12_k075"].isna().sum() == 12
 
 
-def test_zigzag_alternates(spark):
+def test_peaks_and_valleys_alternate(spark):
     close = 10 + np.sin(np.arange(300) / 10)
-    marks = T.zigzag(close, 50, 1.0)
-    assert len(marks) > 5 and all(a[1] != b[1] for a, b in zip(marks, marks[1:]))
+    d = spark.createDataFrame(pd.DataFrame({"series_id": "s", "bar_idx": np.arange(300), "close": close}))
+    sides = [r["side"] for r in T.extremes_of(d, 50, 1.0).orderBy("place").collect()]
+    assert len(sides) > 5 and all(a != b for a, b in zip(sides, sides[1:]))
 
 
 def test_ewm_std_against_recurrence():
