@@ -283,56 +283,3 @@ def grade(auc: Column, ks: Column, brier: Column, lift: Column, rank: Column) ->
     """0 to 5 from ramps of five metrics."""
     ramp = lambda c, lo, hi: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - lo) / (hi - lo)))
     return 5 * (0.30 * ramp(auc, 0.5, 0.8) + 0.20 * ramp(ks, 0.1, 0.6) + 0.20 * ramp(brier, 0.25, 0.05) + 0.15 * ramp(lift, 1.0, 1.2) + 0.15 * F.coalesce(rank, F.lit(0.0)))
-
-
-def _product_of_distances(x, y) -> float:
-    """The sum of |x_i - x_j| |y_i - y_j| over all i and j; x ascends. Halves of ever larger blocks meet, sorted by y."""
-    import numpy as np
-
-    n = len(x)
-    rank = np.empty(n, np.int64)
-    rank[np.argsort(y, kind="stable")] = np.arange(n)
-    place, ahead, size = np.arange(n), 0.0, 1
-    sums = np.stack([np.ones(n), x, y, x * y])
-    while size < n:
-        order = np.argsort(place // (2 * size) * n + rank)
-        right = (place[order] // size) % 2 == 1
-        c = np.cumsum(np.where(right, 0.0, sums[:, order]), axis=1)
-        start = place[order] // (2 * size) * (2 * size)  # blocks keep their places
-        c = c - np.where(start > 0, c[:, start - 1], 0.0)
-        j = order[right]
-        m, sx, sy, sxy = c[:, right]
-        ahead += float((x[j] * y[j] * m - x[j] * sy - y[j] * sx + sxy).sum())
-        size *= 2
-    return 2 * (2 * ahead - float(n * (x * y).sum() - x.sum() * y.sum()))
-
-
-def _sums_of_distances(v):
-    """Each row's distances to all, summed."""
-    import numpy as np
-
-    n, order = len(v), np.argsort(v, kind="stable")
-    s, k = v[order], np.arange(n)
-    c = np.cumsum(s)
-    out = np.empty(n)
-    out[order] = (2 * k + 2 - n) * s + c[-1] - 2 * c
-    return out
-
-
-def distance_correlation(x, y) -> float:
-    """Distance correlation of two samples, over all pairs; time is a few sorts for each doubling of the rows."""
-    import numpy as np
-
-    if len(x) < 2:
-        return math.nan
-    x, y = np.asarray(x, float), np.asarray(y, float)
-    if np.ptp(x) == 0 or np.ptp(y) == 0:
-        return 0.0
-    x, y = ((v - v.mean()) / v.std() for v in (x, y))
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    n = float(len(x))
-    a, b = _sums_of_distances(x), _sums_of_distances(y)
-    cov = lambda s, a, b: s / n**2 - 2 * float((a * b).sum()) / n**3 + float(a.sum()) * float(b.sum()) / n**4
-    square = lambda v, a: cov(2 * n * float((v * v).sum()) - 2 * float(v.sum()) ** 2, a, a)
-    return float(np.sqrt(max(0.0, cov(_product_of_distances(x, y), a, b)) / np.sqrt(square(x, a) * square(y, b))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import ewm
 from barloom.operators.exprs import KEYS, by_time, roll, zero
-from barloom.operators.scan import Recurrence, scanned
+from barloom.operators.scan import Recurrence, scanned, sums
 from barloom.operators.staged import fitted
 
 
@@ -50,13 +50,22 @@ def window_indicators(bars: DataFrame) -> DataFrame:
         "trend_aroon_up": full(15, 100 * (1 - (F.col("bar_idx") - F.max_by("bar_idx", F.struct("high", "bar_idx")).over(roll(15))) / 14.0)), "trend_ttm": (c > _sma("hl2", 6)).cast("double"),
         "statistics_zscore": td(c - _sma("close", 30), full(30, F.stddev_samp("close").over(roll(30)))), "statistics_variance": full(30, F.var_samp("close").over(roll(30))), "statistics_stdev": full(30, F.stddev_samp("close").over(roll(30))),
         "statistics_median": full(30, F.percentile("close", 0.5).over(roll(30))), "statistics_quantile": full(30, F.percentile("close", 0.25).over(roll(30))),
-        "volume_pvol": c * v, "volume_cmf": full(20, td(s(F.col("_clv") * v, 20), s(v, 20))), "volume_ad": F.sum(F.col("_clv") * v).over(roll(1 << 30)), "volume_obv": F.sum(F.signum("_d") * v).over(roll(1 << 30)),
-        "volume_pvt": F.sum(100 * td(F.col("_d"), F.col("_pc")) * v).over(roll(1 << 30)), "volume_mfi": 100 * td(s(F.when(F.col("_dtp") > 0, F.col("_tp") * v).otherwise(0.0), 14), s(F.when(F.col("_dtp") != 0, F.col("_tp") * v).otherwise(0.0), 14)),
+        "volume_pvol": c * v, "volume_cmf": full(20, td(s(F.col("_clv") * v, 20), s(v, 20))), 
+        "volume_mfi": 100 * td(s(F.when(F.col("_dtp") > 0, F.col("_tp") * v).otherwise(0.0), 14), s(F.when(F.col("_dtp") != 0, F.col("_tp") * v).otherwise(0.0), 14)),
         "candles_cdl_doji": (F.abs(c - o) < 0.1 * full(10, F.avg(h - l).over(roll(10)))).cast("double"), "candles_cdl_inside": ((h < _lag(h)) & (l > _lag(l))).cast("double"),
     }
     return df.select(*KEYS, *[zero(x).alias(f"ta_{k}") for k, x in out.items()])
 
 
+def cumulative_indicators(bars: DataFrame, rows: int | None = None) -> DataFrame:
+    """Totals from each series' start, in blocks of a series (rows: their size)."""
+    h, l, c, v = (F.col(k) for k in ("high", "low", "close", "volume"))  # noqa: E741
+    clv, before = F.coalesce(F.try_divide(2 * c - h - l, h - l), F.lit(0.0)), _lag(c)
+    steps = {"volume_ad": clv * v, "volume_obv": F.signum(c - before) * v, "volume_pvt": 100 * F.try_divide(c - before, before) * v}
+    totals = sums(bars.select(*KEYS, *[x.alias(f"_{k}") for k, x in steps.items()]), {f"ta_{k}": f"_{k}" for k in steps}, rows)
+    return totals.select(*KEYS, *[zero(f"ta_{k}").alias(f"ta_{k}") for k in steps])
+
+
 WINDOW_BEFORE = """,
 stepped as (select *, (high + low) / 2 as hl2, (high + low + close) / 3 as hlc3, close - pc as d, coalesce((2 * close - high - low) / nullif(high - low, 0), 0.0) as clv,
    greatest(high - low, abs(high - pc), abs(low - pc)) as tr, abs(high - pl) as vp, abs(low - ph) as vm, (high + low + close) / 3 - (ph + pl + pc) / 3 as dtp

@@ -85,8 +85,8 @@ _before, _cols = _bands()
 over_bars("features_channels_window", FT.channels, _cols, _before, "banded", 4)
 _cumulative = ("ta_volume_ad", "ta_volume_obv", "ta_volume_pvt")
 _ta = TA.window_sql()
-over_bars("features_technical_window", lambda b: TA.window_indicators(b).drop(*_cumulative), {k: v for k, v in _ta.items() if k not in _cumulative}, TA.WINDOW_BEFORE, "stepped", 5)
-over_bars("features_technical_cumulative", lambda b: TA.window_indicators(b).select(*KEYS, *_cumulative), {k: _ta[k] for k in _cumulative}, TA.WINDOW_BEFORE, "stepped", 1)  # sums of up to 1e8: a tenth is 1e-9 of them
+over_bars("features_technical_window", TA.window_indicators, {k: v for k, v in _ta.items() if k not in _cumulative}, TA.WINDOW_BEFORE, "stepped", 5)
+over_bars("features_technical_cumulative", TA.cumulative_indicators, {k: _ta[k] for k in _cumulative}, TA.WINDOW_BEFORE, "stepped", 1)  # sums of up to 1e8: a tenth is 1e-9 of them
 _totals = ("volume_nvi", "volume_pvi", *[k for k in SG.INDICATORS if "tos_stdevall" in k])
 over_bars("features_technical_staged", lambda b: SG.indicators(b).drop(*[f"ta_{k}" for k in _totals]), {f"ta_{k}": f"coalesce({SG.plain(x)}, 0)" for k, x in SG.INDICATORS.items() if k not in _totals}, SG.stages_sql(), "stage2", 5)
 over_bars("features_technical_totals", lambda b: SG.indicators(b).select(*KEYS, *[f"ta_{k}" for k in _totals]), {f"ta_{k}": f"coalesce({SG.plain(SG.INDICATORS[k])}, 0)" for k in _totals}, SG.stages_sql(), "stage2", 5)

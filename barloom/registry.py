@@ -88,7 +88,7 @@ def builtin(spark: SparkSession) -> Registry:
     r = Registry()
     for base in ("close", "hlc3", "vwap"):
         r.discover(spark, "features", lambda b, base=base: FT.extremes(b, (base,)))
-    for make in (FT.volume, FT.calendar, FT.momentum, FT.channels, FT.channels_smoothed, FT.native_transforms, FT.other_distances, FT.rsi_regime, TA.window_indicators, TA.recursive_indicators, SG.indicators):
+    for make in (FT.volume, FT.calendar, FT.momentum, FT.channels, FT.channels_smoothed, FT.native_transforms, FT.other_distances, FT.rsi_regime, TA.window_indicators, TA.cumulative_indicators, TA.recursive_indicators, SG.indicators):
         r.discover(spark, "features", make)
     for make in (T.future, T.margin, T.atr_targets):
         r.discover(spark, "targets", make)

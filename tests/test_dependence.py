@@ -2,8 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barloom.operators.dependence import dependence, digamma_table, mutual_information
-from barloom.operators.scores import distance_correlation
+from barloom.operators.dependence import ahead, bounds, dependence, digamma_table, distance_correlation, mutual_information
 
 
 def test_digamma():
@@ -53,3 +52,50 @@ def test_fast_scores_equal_those_of_all_pairs():
                 psi = digamma_table(n)
                 plain = psi[n - 1] + psi[2] - psi[(a <= r).sum(1) - 1].mean() - psi[(b <= r).sum(1) - 1].mean()
                 assert mutual_information(x, y, block=64) == pytest.approx(max(0.0, plain), abs=1e-12)
+
+
+def _columns(n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal(n)
+    d = pd.DataFrame({"series_id": np.where(np.arange(n) % 3, "a", "b"), "bar_idx": np.arange(n), "y": x})
+    d["normal"], d["alone"] = 0.6 * x + 0.8 * rng.standard_normal(n), rng.standard_normal(n)
+    d["steps"] = np.where(rng.random(n) < 0.4, 0.0, np.round(x))  # two fifths of the rows are equal
+    d["far"] = x * np.where(rng.random(n) < 0.01, 1e4, 1.0)  # some rows lie far from all others
+    d["flat"], d["gaps"] = 1.0, np.where(rng.random(n) < 0.3, np.nan, x**2)
+    d["few"] = np.where(np.arange(n) < 6, x, np.nan)
+    return d
+
+
+@pytest.mark.parametrize("rows", [64, 250])
+def test_buckets_give_what_one_column_gives(spark, rows):
+    """All of a column in one task, and cut into buckets of some rows."""
+    names = ["normal", "alone", "steps", "far", "flat", "gaps", "few"]
+    for y in ("y", "sign"):
+        d = _columns(1100, 8).assign(sign=lambda t: (t["y"] > 0).astype(float))
+        frame = spark.createDataFrame(d)
+        at_once = dependence(frame, names, y).toPandas().set_index("feature")
+        in_buckets = dependence(frame.repartition(7), names, y, rows=rows).toPandas().set_index("feature")
+        assert set(at_once.index) == set(in_buckets.index) == set(names)
+        for f in names:
+            for c in ("mi_knn", "dcor"):
+                assert in_buckets.loc[f, c] == pytest.approx(at_once.loc[f, c], abs=1e-9, nan_ok=True), (y, f, c)
+            assert in_buckets.loc[f, "n_eff"] == at_once.loc[f, "n_eff"]
+        assert at_once.loc["normal", "dcor"] > 0.3 and pd.isna(at_once.loc["few", "dcor"])
+
+
+def test_pairs_in_order_and_apart():
+    rng = np.random.default_rng(3)
+    n = 90
+    p, q, x, y, g = rng.permutation(n), rng.permutation(n), rng.normal(size=n), rng.normal(size=n), None
+    g = p // 20
+    before = (p[:, None] < p) & (q[:, None] < q)
+    pairs = (x - x[:, None]) * (y - y[:, None])
+    assert ahead(p, q, x, y) == pytest.approx((pairs * before).sum()) and ahead(p, q, x, y, g) == pytest.approx((pairs * before * (g[:, None] != g)).sum())
+
+
+def test_bounds_are_where_the_rounded_difference_decides():
+    rng = np.random.default_rng(5)
+    v, r = rng.normal(size=500), np.abs(rng.normal(size=500)) * 10.0 ** rng.integers(-12, 3, 500)
+    lo, hi = bounds(v, r)
+    assert (np.abs(lo - v) <= r).all() and (np.abs(hi - v) <= r).all()
+    assert (np.abs(np.nextafter(lo, -np.inf) - v) > r).all() and (np.abs(np.nextafter(hi, np.inf) - v) > r).all()
