@@ -5,13 +5,14 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.operators import network
 from barloom.operators.exprs import KEYS, finite, union_all
 
 FRACTIONS = (0.8, 0.75, 0.7, 0.65, 0.6)
@@ -120,9 +121,9 @@ class Boosting(Estimator):
 
 
 def estimator(name: str, n_rows: int, features: list[str], classes: int = 2, settings: dict | None = None):
-    """A pipeline for a model name: median imputation, then scaling and the learner. MLPs have no batch norm or dropout here.
+    """A pipeline for a model name: median imputation, then scaling and the learner.
 
-    Boosting and tf_mlp_multiclass need the columns of labelled(). settings: parameters of the learner to replace, such as numTrees.
+    Boosting and tf_mlp_multiclass need the columns of labelled(), networks the keys. settings: parameters of the learner to replace, such as numTrees or epochs.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
@@ -137,17 +138,18 @@ def estimator(name: str, n_rows: int, features: list[str], classes: int = 2, set
         "rf_baseline": lambda: C.RandomForestClassifier(numTrees=600, maxDepth=12, minInstancesPerNode=100, seed=42, **common),
         "hgb_baseline": lambda: Boosting(C.GBTClassifier(**boosting)),
         "hgb_regressor": lambda: Boosting(R.GBTRegressor(**boosting)),
-        "tf_mlp_regressor": lambda: R.LinearRegression(maxIter=100, regParam=1e-4, **common),
+        **{m: lambda m=m: network.Network(network.MODELS[m]) for m in ("tf_mlp_baseline", "tf_mlp_bn_wd", "tf_mlp_regressor")},
+        "tf_mlp_multiclass": lambda: network.Network(replace(network.MODELS["tf_mlp_multiclass"], **({"kind": "softmax", "n_out": classes} if classes > 2 else {})), "label"),
     }
-    for mlp in ("tf_mlp_baseline", "tf_mlp_bn_wd"):
-        learners[mlp] = lambda: C.MultilayerPerceptronClassifier(layers=[len(features), 128, 64, 32, 2], maxIter=60, seed=42, **common)
-    learners["tf_mlp_multiclass"] = lambda: C.MultilayerPerceptronClassifier(layers=[len(features), 128, 64, 32, classes], maxIter=60, seed=42, featuresCol="x", labelCol="label")
     if name not in learners:
         raise KeyError(name)
     learner = learners[name]()
-    inner = getattr(learner, "learner", learner)
-    for key, value in (settings or {}).items():
-        inner.set(inner.getParam(key), value)
+    if isinstance(learner, network.Network):
+        learner = learner.with_settings(settings or {})
+    else:
+        inner = getattr(learner, "learner", learner)
+        for key, value in (settings or {}).items():
+            inner.set(inner.getParam(key), value)
     return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), learner])
 
 
@@ -156,7 +158,7 @@ def predict(model, df: DataFrame, classes: int = 2) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(df)
-    p = F.col("prediction")
+    p = F.col("p" if "p" in out.columns else "prediction")
     if "probability" in out.columns:
         p = vector_to_array(F.col("probability"))
         p = p if classes > 2 else p[1]
