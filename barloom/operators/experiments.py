@@ -8,11 +8,10 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import network
+from barloom.operators import boosting, network
 from barloom.operators.exprs import KEYS, finite, union_all
 
 FRACTIONS = (0.8, 0.75, 0.7, 0.65, 0.6)
@@ -82,74 +81,33 @@ def labelled(df: DataFrame, model: str) -> tuple[DataFrame, int]:
     return df.withColumn("label", (F.array_position(F.array(*map(F.lit, values)), F.col("y")) - 1).cast("double")), max(2, len(values))
 
 
-def last_round(losses: list[float], patience: int = 10, tol: float = 1e-7) -> int | None:
-    """The round at which none of the last `patience` losses is below the one before them by more than tol; None if there is none."""
-    return next((k for k in range(patience + 1, len(losses) + 1) if min(losses[k - patience : k]) >= losses[k - patience - 1] - tol), None)
-
-
-class Boosting(Estimator):
-    """Boosting on the rows not held, until ten rounds in a row leave the loss of the held ones where it was, or maxIter is reached.
-
-    spark.ml's own validation ends with the first round that doesn't help, so the ensemble is grown in doubling steps instead and
-    fitted anew up to the round found; equal seeds give equal trees.
-    """
-
-    def __init__(self, learner):
-        super().__init__()
-        self.learner = learner
-
-    def _fit(self, dataset: DataFrame):
-        seen, held = dataset.where("not held").persist(), dataset.where("held").persist()
-        try:
-            most = self.learner.getMaxIter()
-            can_stop, n = held.count() > 0, min(100, most)
-            while True:
-                n = n if can_stop else most
-                model = self.learner.copy({self.learner.maxIter: n}).fit(seen)
-                if not can_stop:
-                    return model
-                losses = model.evaluateEachIteration(held) if "Classifi" in type(model).__name__ else model.evaluateEachIteration(held, "squared")
-                stop = last_round(losses)
-                if stop is not None and stop < n:
-                    return self.learner.copy({self.learner.maxIter: stop}).fit(seen)
-                if stop == n or n == most:
-                    return model
-                n = min(2 * n, most)
-        finally:
-            seen.unpersist()
-            held.unpersist()
-
-
 def estimator(name: str, n_rows: int, features: list[str], classes: int = 2, settings: dict | None = None):
     """A pipeline for a model name: median imputation, then scaling and the learner.
 
-    Boosting and tf_mlp_multiclass need the columns of labelled(), networks the keys. settings: parameters of the learner to replace, such as numTrees or epochs.
+    Boosting and tf_mlp_multiclass need the columns of labelled(), networks the keys. settings: parameters of the learner to replace, such as numTrees, epochs or rounds.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml import classification as C
-    from pyspark.ml import regression as R
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 
     filled = [f"_{c}" for c in features]
     common = dict(featuresCol="x", labelCol="y")
-    boosting = dict(stepSize=0.05, maxIter=600, maxDepth=5, minInstancesPerNode=100, seed=42, **common)
     learners: dict[str, Callable] = {
         "logistic_baseline": lambda: C.LogisticRegression(maxIter=1000, regParam=1.0 / max(1, n_rows), **common),
         "rf_baseline": lambda: C.RandomForestClassifier(numTrees=600, maxDepth=12, minInstancesPerNode=100, seed=42, **common),
-        "hgb_baseline": lambda: Boosting(C.GBTClassifier(**boosting)),
-        "hgb_regressor": lambda: Boosting(R.GBTRegressor(**boosting)),
+        "hgb_baseline": lambda: boosting.Boosting(boosting.Spec()),
+        "hgb_regressor": lambda: boosting.Boosting(boosting.Spec(kind="squared")),
         **{m: lambda m=m: network.Network(network.MODELS[m]) for m in ("tf_mlp_baseline", "tf_mlp_bn_wd", "tf_mlp_regressor")},
         "tf_mlp_multiclass": lambda: network.Network(replace(network.MODELS["tf_mlp_multiclass"], **({"kind": "softmax", "n_out": classes} if classes > 2 else {})), "label"),
     }
     if name not in learners:
         raise KeyError(name)
     learner = learners[name]()
-    if isinstance(learner, network.Network):
+    if hasattr(learner, "with_settings"):
         learner = learner.with_settings(settings or {})
     else:
-        inner = getattr(learner, "learner", learner)
         for key, value in (settings or {}).items():
-            inner.set(inner.getParam(key), value)
+            learner.set(learner.getParam(key), value)
     return Pipeline(stages=[Imputer(inputCols=features, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), learner])
 
 

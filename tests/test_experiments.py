@@ -16,19 +16,3 @@ def test_multiclass_has_a_probability_for_each_label(spark):
     p = np.stack(got["p"])
     assert p.shape == (len(got), 3) and np.allclose(p.sum(axis=1), 1)
     assert (np.array([-1.0, 3.0, 7.0])[p.argmax(axis=1)] == got["y"]).mean() > 0.85
-
-
-def test_boosting_has_the_rounds_and_leaves_of_the_reference():
-    for name in ("hgb_baseline", "hgb_regressor"):
-        learner = E.estimator(name, 1000, ["a"]).getStages()[-1].learner
-        assert (learner.getMaxIter(), learner.getMinInstancesPerNode()) == (600, 100)
-
-
-def test_boosting_waits_ten_rounds():
-    assert E.last_round([*range(20, 0, -1)]) is None and E.last_round([5, 4, 3, *[3.5] * 10, 1]) == 13 and E.last_round([5, 4, 3, *[3.5] * 9, 1]) is None
-
-
-def test_boosting_stops_by_the_held_rows(spark):
-    d, _ = E.labelled(_rows(spark, 1200, lambda a, b, rng: 3 * a + b * b + 0.1 * rng.standard_normal(len(a))), "hgb_regressor")
-    model = E.estimator("hgb_regressor", 1200, ["a", "b"]).fit(d).stages[-1]
-    assert 11 <= model.getNumTrees < 100

@@ -86,7 +86,7 @@ def lab(spark, tmp_path):
     for name in ("rf_baseline", "hgb_baseline", "logistic_baseline", "tf_mlp_multiclass"):
         r.register_model(name)
     r.register_model("tf_mlp_regressor", "reg")
-    settings = {"tf_mlp_multiclass": {"epochs": 30, "rate": 1e-2}, "tf_mlp_regressor": {"epochs": 40, "rate": 1e-2}, "rf_baseline": {"numTrees": 12, "minInstancesPerNode": 20}, "hgb_baseline": {"maxIter": 12, "minInstancesPerNode": 20}}
+    settings = {"tf_mlp_multiclass": {"epochs": 30, "rate": 1e-2}, "tf_mlp_regressor": {"epochs": 40, "rate": 1e-2}, "rf_baseline": {"numTrees": 12, "minInstancesPerNode": 20}, "hgb_baseline": {"rounds": 40, "least_rows": 20}}
     r.register_eval_cfg("default", {"split": "time", "gap": 0, "settings": settings})
     r.register_eval_cfg("walk", {"split": "walk", "gap": 12, "settings": settings})
     made_lab = search.Lab(spark, Store(spark, f"file://{tmp_path}/store"), RunLog(spark, f"file://{tmp_path}/runs"), r, f"file://{tmp_path}/weights.json")
