@@ -257,7 +257,7 @@ class Boosting(Estimator):
     def _fit(self, dataset: DataFrame) -> BoostingModel:
         spec = self.spec
         rows = dataset.select(vector_to_array(F.col("x")).alias("x"), F.col("y").cast("double").alias("y"), "held")
-        facts = rows.agg(F.avg(F.when(~F.col("held"), F.col("y"))).alias("mean"), F.first(F.size("x")).alias("d")).first()
+        facts = rows.agg(F.avg(F.when(~F.col("held"), F.col("y"))).alias("mean"), F.first(F.size("x")).alias("d"), F.count("*").alias("n")).first()
         base = facts["mean"] or 0.0
         if spec.kind == "log":
             p = min(1 - 1e-15, max(1e-15, base))
@@ -282,7 +282,9 @@ class Boosting(Estimator):
             if held_back and len(held_back[0]):
                 yield block(held_back[0])
 
-        data = _Rows(spec, written(rows.mapInPandas(blocks, BLOCKS), "blocks"), facts["d"])
+        tasks = rows._jdf.queryExecution().toRdd().getNumPartitions()
+        full = rows.coalesce(max(1, min(tasks, -(-facts["n"] // BLOCK))))  # a task for each block at most: jobs are many and short
+        data = _Rows(spec, written(full.mapInPandas(blocks, BLOCKS), "blocks"), facts["d"])
         trees, held = [], []
         try:
             for _ in range(spec.rounds):

@@ -99,7 +99,9 @@ def target_health(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
     """Per series: nan and modal share, outlier share, positive share, entropy, run lengths, density, spread, first lag. The rest of Q11 is in target_scores."""
     d = df.select(by, "bar_idx", finite(y).alias("y"))
     modal = d.groupBy(by, "y").agg(F.count("*").alias("c")).groupBy(by).agg((F.max("c") / F.sum("c")).alias("const_rate"))
-    q = d.groupBy(by).agg(F.percentile("y", 0.25).alias("q1"), F.percentile("y", 0.75).alias("q3"))
+    from barloom.operators.quantiles import quantiles  # which ranks by this module's buckets
+
+    q = d.select(by).distinct().join(quantiles(d, [by], {"q1": ("y", 0.25), "q3": ("y", 0.75), "q2": ("y", 0.5)}), by, "left")
     w = Window.partitionBy(by).orderBy("bar_idx")
     known = d.where("y is not null").withColumns({"_lag": F.lag("y").over(w), "_pos": F.row_number().over(w)})
     acf = known.groupBy(by).agg(corr("y", "_lag").alias("acf_lag1"))
@@ -112,7 +114,7 @@ def target_health(df: DataFrame, y: str, by: str = "series_id") -> DataFrame:
     p = F.avg("y")
     stats = d.join(q, by).groupBy(by).agg(
         F.avg(F.col("y").isNull().cast("int")).alias("nan_rate"), F.coalesce(F.avg(F.when(spread > 0, odd.cast("int")).otherwise(F.when(F.col("y").isNotNull(), 0))), F.lit(0.0)).alias("outlier_rate"), p.alias("pos_rate"),
-        F.try_divide(F.max("y") - F.min("y"), F.abs(F.percentile("y", 0.5)) + 1e-9).alias("range_rel"), F.bool_and(F.col("y").isin(0.0, 1.0)).alias("is_binary"),
+        F.try_divide(F.max("y") - F.min("y"), F.abs(F.max("q2")) + 1e-9).alias("range_rel"), F.bool_and(F.col("y").isin(0.0, 1.0)).alias("is_binary"),
     )
     h = lambda x: F.when(x > 0, -x * F.log2(x)).otherwise(0.0)
     stats = stats.withColumn("entropy_bits", h(F.col("pos_rate")) + h(1 - F.col("pos_rate")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import ewm
 from barloom.operators.exprs import KEYS, by_time, clip, div
+from barloom.operators.quantiles import quantiles
 from barloom.operators.scan import BLOCK_ROWS, Recurrence, scanned, written
 
 ATR_TARGETS = tuple((h, k) for h in (6, 12, 36) for k in (0.5, 1.0))
@@ -192,11 +193,10 @@ def pv_targets(pv: DataFrame, p: str = "pv_") -> DataFrame:
     """The 37 targets of a peak/valley artifact. Caps are exact 99% quantiles over all rows."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     c = {k: F.col(k) for k in PV_COLUMNS}
-    caps = pv.select(*[F.percentile(e, 0.99).alias(k) for k, e in {
-        "up": c["up"], "down": c["down"], "last_up": c["last_up"], "last_down": c["last_down"], "line": F.abs(c["up"] - c["down"]),
-        "to_next_peak": F.log1p(F.greatest(c["to_next_peak"], F.lit(0.0))), "to_next_valley": F.log1p(F.greatest(c["to_next_valley"], F.lit(0.0))),
-    }.items()]).first()
-    cap = {k: F.lit(v) for k, v in caps.asDict().items()}
+    ln = lambda k: F.when(c[k].isNotNull(), F.log1p(F.greatest(c[k], F.lit(0.0))))
+    capped = {k: c[k] for k in ("up", "down", "last_up", "last_down")} | {"line": F.abs(c["up"] - c["down"]), "to_next_peak": ln("to_next_peak"), "to_next_valley": ln("to_next_valley")}
+    caps = quantiles(pv, [], {k: (e, 0.99) for k, e in capped.items()}).first()
+    cap = {k: F.lit(caps[k] if caps else None).cast("double") for k in capped}
     out: dict[str, Column] = {}
     for d in ("up", "down"):
         out |= {f"{d}_ge_{t}pct": flag(c[d] >= v) for t, v in (("0p5", 0.005), ("0p75", 0.0075), ("1", 0.01), ("1p5", 0.015), ("2", 0.02))}

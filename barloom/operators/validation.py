@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.operators import experiments as E
 from barloom.operators import scores as S
 from barloom.operators.exprs import KEYS, clip, finite
+from barloom.operators.quantiles import quantiles
 
 LABELS = ("very poor", "poor", "acceptable", "good", "excellent")
 GAPS = (0, 6, 12, 24)
@@ -76,10 +77,9 @@ def over_gaps(frames: dict[str, tuple[DataFrame, list[str], str, str]], gaps: tu
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, count, non_null_ratio, mean, std, min, q25, q50, q75, max."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), finite(c).alias("x")) for c in columns])).alias("r")).select("r.*")
-    return long.groupBy("column").agg(
-        F.count("x").alias("count"), (F.count("x") / F.count("*")).alias("non_null_ratio"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"),
-        *[F.percentile("x", p).alias(n) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))], F.max("x").alias("max"),
-    )
+    flat = long.groupBy("column").agg(F.count("x").alias("count"), (F.count("x") / F.count("*")).alias("non_null_ratio"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    found = quantiles(long, ["column"], {"q25": ("x", 0.25), "q50": ("x", 0.5), "q75": ("x", 0.75)})
+    return flat.join(found, "column", "left").select("column", "count", "non_null_ratio", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def coverage(df: DataFrame, targets: list[str]) -> DataFrame:
@@ -109,7 +109,8 @@ def normalized_like(df: DataFrame, base: str, ref: str, name: str, by: str = "se
 def color_bounds(values: DataFrame, columns: list[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """vmin and vmax of all the columns' values together; 0 and 1 where they don't differ."""
     one = values.select(F.explode(F.array(*[finite(c) for c in columns])).alias("x")).where("x is not null")
-    got = one.agg(F.percentile("x", lo).alias("a"), F.percentile("x", hi).alias("b"))
+    got = quantiles(one, [], {"a": ("x", lo), "b": ("x", hi)}).select("a", "b")
+    got = got.agg(F.max("a").alias("a"), F.max("b").alias("b"))  # one row even where there is no value
     flat = F.coalesce(F.col("a") == F.col("b"), F.lit(True))
     return got.select(F.when(flat, 0.0).otherwise(F.col("a")).alias("vmin"), F.when(flat, 1.0).otherwise(F.col("b")).alias("vmax"))
 
