@@ -12,6 +12,8 @@ from barloom.operators import scores as S
 from barloom.operators import validation as V
 from barloom.operators.exprs import KEYS, by_time, div
 from barloom.plans import _CLASSIFICATION, _DEALT, _PREDS, _prefix_sql, preds
+from barloom.sources.membership import Membership
+from barloom.sources.shared import fresh_path
 from barloom.plans.base import bars_of, kept, lead, over_bars, query, rounded, table
 
 # ---- catalog ---------------------------------------------------------------------------------------------------------
@@ -148,6 +150,21 @@ query("entity_ids_unseen", f"select distinct {_ID} as id from events where {_ID}
 )
 
 
+def _unseen_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by a stored filter of the known ids, built from two halves."""
+    events = table(spark, sf_dir, "events")
+    known = _ids(events.where("event_id % 2 = 0 and event_id % 50 < 25"))
+    path = fresh_path(spark, "membership")
+    halves = [Membership.create(spark, f"{path}/{k}", 100_000, 0.01) for k in range(2)]
+    for k, half in enumerate(halves):
+        half.add(known.where(F.crc32("id") % 2 == k), "id")
+    halves[0].merge(halves[1])
+    return halves[0].unseen(_ids(events).distinct(), known.distinct(), "id")
+
+
+query("entity_ids_filtered", f"select distinct {_ID} as id from events where {_ID} not in (select {_ID} from events where event_id % 2 = 0 and event_id % 50 < 25)")(_unseen_by_filter)
+
+
 def _ids(events: DataFrame) -> DataFrame:
     k = F.col("event_id")
     return events.select(V.entity_id(F.concat(F.lit("n"), (k % 50).cast("string")), F.struct((k % 3).alias("k")), F.lit("c1"), F.col("event_type")).alias("id"))

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.shared import create_exclusively
+
 SCHEMA = "run_id string, seq long, run_key string, status string, started_at string, finished_at string, selection_json string, metrics_json string, artifacts_json string, error_msg string"
 STATES = ("PENDING", "RUNNING", "SUCCESS", "FAILED")
 
@@ -51,13 +53,19 @@ class RunLog:
 
     def create(self, run_key: str, selection: dict) -> str:
         """A new run's id. A key that is on record is refused: an empty file of that name is made first, which only one of several writers can do."""
-        fs, jpath = self._key_file(run_key)
-        if not fs.createNewFile(jpath):
+        if not create_exclusively(self.spark, f"{self.path}-keys/{run_key}"):
             raise ValueError(f"a run with key {run_key} is on record")
         run_id = uuid.uuid4().hex
         self._append(run_id=run_id, run_key=run_key, status="PENDING", selection_json=json.dumps(selection, sort_keys=True))
         return run_id
 
+    def take_over(self, run_key: str, after: float = 3600.0) -> bool:
+        """Free a key whose writer died between taking it and logging its run: it has no run and is older than `after` seconds. True where this call freed it."""
+        fs, jpath = self._key_file(run_key)
+        if not fs.exists(jpath) or time.time() - fs.getFileStatus(jpath).getModificationTime() / 1000 <= after:
+            return False
+        return self.log().where(F.col("run_key") == run_key).isEmpty() and fs.delete(jpath, False)
+
     def _now(self) -> str:
         return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 

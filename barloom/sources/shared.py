@@ -6,6 +6,7 @@ import atexit
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _made: list[tuple[object, object]] = []
@@ -32,3 +33,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         atexit.register(_drop_made)
     _made.append((jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath))
     return path
+
+
+def create_exclusively(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False where it is there already. Of several callers at once one gets True.
+
+    Stores with atomic creation (as HDFS has) do this by themselves; on a local or mounted file system the operating system does.
+    """
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":
+        file = spark._jvm.java.io.File(jpath.toUri().getPath())
+        file.getParentFile().mkdirs()
+        return file.createNewFile()
+    try:
+        fs.create(jpath, False).close()
+    except Py4JJavaError as error:
+        if fs.exists(jpath):
+            return False
+        raise error
+    return True

@@ -70,7 +70,8 @@ def test_weight_document(spark, tmp_path):
     assert WeightStore.reset(spark, path).features == {}
     with open(tmp_path / "weights.json", "w") as f:
         f.write("{broken")
-    assert WeightStore.load(spark, path).features == {}
+    with pytest.raises(ValueError, match="no weight document"):
+        WeightStore.load(spark, path)
 
 
 def test_store_and_fold_learn_alike(spark):
