@@ -85,3 +85,23 @@ bars as (select series_id, ts, bar_idx, case when is_gap then before else open e
                 case when is_gap then 0.0 else volume end as volume, case when is_gap then 0.0 else n_trades end as n_trades, is_gap,
                 case when is_gap then bar_idx - coalesce(max(case when not is_gap then bar_idx end) over (partition by series_id order by ts rows unbounded preceding), -1) else 0 end::int as gap_len
          from joined)"""
+
+
+def gapped_event_bars(events: DataFrame, lead: str = "200 minutes") -> DataFrame:
+    """The same bars with a calendar that begins earlier than any tick, a high that is infinite in some bars, and a close that is missing in others.
+
+    Infinities are null from ingestion on, and a bar with a missing price is filled like one without ticks.
+    """
+    raw = from_ticks(events.select(F.col("event_type").alias("series_id"), "ts", "value"))
+    step = F.floor(F.unix_timestamp("ts") / 300)
+    raw = raw.withColumns({"high": finite(F.when(step % 97 == 5, float("inf")).otherwise(F.col("high"))), "close": F.when(step % 89 != 7, F.col("close"))})
+    start = raw.agg((F.min("ts") - F.expr(f"interval {lead}")).cast("string")).first()[0]
+    return fill(raw, start=start)
+
+
+GAPPED_BARS_SQL = BARS_SQL.replace("\nraw as (", "\nticked as (", 1).replace(
+    "\nspine as (select series_id, unnest(generate_series(min(ts), max(ts), interval 5 minutes)) as ts from raw group by series_id),",
+    """
+raw as (select * replace (case when epoch(ts) // 300 % 97 = 5 then null else high end as high, case when epoch(ts) // 300 % 89 <> 7 then close end as close) from ticked),
+spine as (select series_id, unnest(generate_series((select min(ts) - interval 200 minutes from raw), max(ts), interval 5 minutes)) as ts from raw group by series_id),""",
+).replace("open is null as is_gap,", "open is null or high is null or low is null or close is null as is_gap,")

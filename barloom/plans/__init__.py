@@ -16,7 +16,7 @@ from barloom.operators import targets as T
 from barloom.operators import technical as TA
 from barloom.operators.exprs import KEYS, by_time, div
 from barloom.plans import indicators, recurrences  # noqa: F401  register their queries
-from barloom.plans.base import ORACLES, PRICES, QUERIES, W, bars_of, d, kept, lag, lead, over_bars, query, roll, rounded, spread, table, z  # noqa: F401
+from barloom.plans.base import gapped_bars_of, ORACLES, PRICES, QUERIES, W, bars_of, d, kept, lag, lead, over_bars, query, roll, rounded, spread, table, z  # noqa: F401
 from barloom.sources.shared import fresh_path
 from barloom.sources.store import Store
 from barloom.streaming import bars as SB
@@ -27,6 +27,11 @@ def bars_gap_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_of(spark, sf_dir).select("series_id", "bar_idx", "open", "high", "low", "close", "volume", "n_trades", "is_gap", "is_imputed_price", "is_imputed_volume", "gap_len")
 
 
+query("bars_gap_filled_gapped", f"with {B.GAPPED_BARS_SQL} select series_id, bar_idx, open, high, low, close, volume from bars")(
+    lambda s, p: gapped_bars_of(s, p).select("series_id", "bar_idx", "open", "high", "low", "close", "volume")
+)
+
+
 def _extremes(bases: tuple[str, ...]) -> dict[str, str]:
     out = {}
     for label, n in FT.HORIZONS.items():
@@ -65,7 +70,7 @@ _full = f"case when {roll('count(close)', 5)} >= 5 then"
 over_bars("features_momentum", FT.momentum, {
     "pct_change": z(f"{d('close', lag('close'))} - 1"), "momentum_3": z(f"close - {lag('close', 3)}"), "rolling_mean_5": f"first_value(m5 ignore nulls) over ({W} rows between current row and unbounded following)",
     "rolling_std_5": f"first_value(s5 ignore nulls) over ({W} rows between current row and unbounded following)", "volume_change": z(f"{d('volume', lag('volume'))} - 1"),
-}, f", fives as (select *, {_full} {roll('avg(close)', 5)} end as m5, {_full} {roll('stddev_samp(close)', 5)} end as s5 from bars)", "fives", 5)
+}, f", fives as (select *, {_full} {roll('avg(close)', 5)} end as m5, {_full} {roll('stddev_samp(close)', 5)} end as s5 from bars)", "fives", 5, gapped=True)
 
 
 def _bands() -> tuple[str, dict[str, str]]:
@@ -82,7 +87,7 @@ def _bands() -> tuple[str, dict[str, str]]:
 
 
 _before, _cols = _bands()
-over_bars("features_channels_window", FT.channels, _cols, _before, "banded", 4)
+over_bars("features_channels_window", FT.channels, _cols, _before, "banded", 4, gapped=True)
 _cumulative = ("ta_volume_ad", "ta_volume_obv", "ta_volume_pvt")
 _ta = TA.window_sql()
 over_bars("features_technical_window", TA.window_indicators, {k: v for k, v in _ta.items() if k not in _cumulative}, TA.WINDOW_BEFORE, "stepped", 5)

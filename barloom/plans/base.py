@@ -48,6 +48,10 @@ def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.event_bars(table(spark, sf_dir, "events"))
 
 
+def gapped_bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.gapped_event_bars(table(spark, sf_dir, "events"))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles at a fixed number of places (and no negative zero), so that engines agree to the last bit shown.
 
@@ -56,13 +60,23 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(c) + 3e-7, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def over_bars(name: str, make: Callable[[DataFrame], DataFrame], columns: dict[str, str] | None = None, before: str = "", source: str = "bars", digits: int = 6, ints: tuple[str, ...] = (), raw: tuple[str, ...] = ()):
-    """Register a per-bar family: make in Spark, and for DuckDB an expression for each column."""
+GAPPED = B.GAPPED_BARS_SQL
+WHOLE_GAPPED = GAPPED.replace("\nbars as (", "\nwhole_bars as (", 1)
+
+
+def over_bars(name: str, make: Callable[[DataFrame], DataFrame], columns: dict[str, str] | None = None, before: str = "", source: str = "bars", digits: int = 6, ints: tuple[str, ...] = (), raw: tuple[str, ...] = (), gapped: bool | str = False):
+    """Register a per-bar family: make in Spark, and for DuckDB an expression for each column.
+
+    gapped: and once more, as <name>_gapped, over bars that begin with a gap and have missing and infinite prices. A text makes CTE bars of whole_bars.
+    """
     sql = None
     if columns is not None:
         cells = [f"{e} as {c}" if c in raw else f"({e})::int as {c}" if c in ints else f"round(({e})::double + 3e-7, {digits}) + 0.0 as {c}" for c, e in columns.items()]
         sql = f"with recursive {B.BARS_SQL}{before} select series_id, bar_idx, {', '.join(cells)} from {source}"
     query(name, sql)(lambda spark, sf_dir: rounded(make(bars_of(spark, sf_dir)), digits))
+    if gapped:
+        source_sql = GAPPED if gapped is True else f"{WHOLE_GAPPED}, {gapped}"
+        query(f"{name}_gapped", sql.replace(B.BARS_SQL, source_sql))(lambda spark, sf_dir: rounded(make(gapped_bars_of(spark, sf_dir)), digits))
 
 
 W = "partition by series_id order by bar_idx"

@@ -7,7 +7,7 @@ import math
 from barloom.operators import technical as TA
 from barloom.operators.exprs import KEYS
 from barloom.operators.staged import fitted
-from barloom.plans.base import W, lag, over_bars, roll
+from barloom.plans.base import GAPPED, WHOLE_GAPPED, W, gapped_bars_of, lag, over_bars, query, roll, rounded
 from barloom.plans.recurrences import ADX, TRUE_RANGE, _rsi, ema, span, walk
 
 
@@ -82,5 +82,20 @@ _CELLS = {
     "volume_efi": "efi", "volume_adosc": "ad3 - ad10", "volume_kvo": "sv34 - sv55", "volume_aobv": "ob4 - ob12", "candles_ha_open": "ha_o", "candles_ha_close": "hac",
 }
 CHECKED = tuple(f"ta_{k}" for k in _CELLS)
-over_bars("features_technical_recursive", lambda b: TA.recursive_indicators(b).select(*KEYS, *CHECKED), {f"ta_{k}": f"coalesce({x}, 0.0)" for k, x in _CELLS.items()}, _BEFORE + walk("walked", "m2", _inputs, _S) + _AFTER, "w1", 4)
+_SQL = _BEFORE + walk("walked", "m2", _inputs, _S) + _AFTER
+over_bars("features_technical_recursive", lambda b: TA.recursive_indicators(b).select(*KEYS, *CHECKED), {f"ta_{k}": f"coalesce({x}, 0.0)" for k, x in _CELLS.items()}, _SQL, "w1", 4)
 over_bars("features_technical_paths", lambda b: TA.recursive_indicators(b).drop(*CHECKED))
+
+# Over bars that begin with a gap: what is smoothed starts with the first value by itself; what starts with a first bar is walked from the first known one.
+_STARTS = ("overlap_kama", "overlap_ssf", "overlap_hwma", "overlap_vidya", "overlap_supertrend", "trend_psar", "trend_decay", "candles_ha_open")
+_cell = lambda k: f"round((coalesce({_CELLS[k]}, 0.0))::double + 3e-7, 4) + 0.0 as ta_{k}"
+_rest = [k for k in _CELLS if k not in _STARTS]
+query("features_technical_recursive_gapped", f"with recursive {GAPPED}{_SQL} select series_id, bar_idx, {', '.join(map(_cell, _rest))} from w1")(
+    lambda s, p: rounded(TA.recursive_indicators(gapped_bars_of(s, p)).select(*KEYS, *[f"ta_{k}" for k in _rest]), 4)
+)
+_KNOWN = """starts as (select series_id, min(bar_idx) as start from whole_bars where close is not null group by 1),
+bars as (select * exclude (start) replace (bar_idx - start as bar_idx) from whole_bars join starts using (series_id) where bar_idx >= start)"""
+query("features_technical_starts_gapped", f"""with recursive {WHOLE_GAPPED}, {_KNOWN}{_SQL} select series_id, bar_idx + start as bar_idx, {', '.join(map(_cell, _STARTS))} from w1 join starts using (series_id)
+union all select series_id, bar_idx, {', '.join('0.0::double' for _ in _STARTS)} from whole_bars join starts using (series_id) where bar_idx < start""")(
+    lambda s, p: rounded(TA.recursive_indicators(gapped_bars_of(s, p)).select(*KEYS, *[f"ta_{k}" for k in _STARTS]), 4)
+)

@@ -154,7 +154,9 @@ pv as (select series_id, bar_idx, greatest((c_next_peak - c) / nullif(c, 0) + 0
 
 
 _numbers = ("up", "down", "last_up", "last_down", "to_next_peak", "to_next_valley", "since_prev_peak", "since_prev_valley", "line")
-over_bars("pv_artifact", lambda b: T.peaks_and_valleys(b), {**{k: k for k in _numbers}, "peak": "peak", "valley": "valley"}, zigzag_sql(*T.PV_CONFIGS["pv_"]), "pv", raw=("peak", "valley"))
+over_bars("pv_artifact", lambda b: T.peaks_and_valleys(b), {**{k: k for k in _numbers}, "peak": "peak", "valley": "valley"}, zigzag_sql(*T.PV_CONFIGS["pv_"]), "pv", raw=("peak", "valley"), gapped=(
+    "bars as (select * replace (coalesce(close, first_value(close ignore nulls) over (partition by series_id order by bar_idx rows between current row and unbounded following)) as close) from whole_bars)"
+))
 _cut = lambda x: f"case when {x} is not null then greatest(-0.2, least(0.2, {x})) end"
 over_bars("pv_features", lambda b: T.pv_features(T.peaks_and_valleys(b)), {
     "pv_last_up": "last_up", "pv_last_up_clip20": _cut("last_up"), "pv_last_down": "last_down", "pv_last_down_clip20": _cut("last_down"), "pv_since_prev_peak": "since_prev_peak", "pv_since_prev_valley": "since_prev_valley", "pv_last_trend": "last_up - last_down",
