@@ -187,9 +187,9 @@ def fit_and_score(df: DataFrame, features: list[str], target: str, model: str =
     return found.preds.drop("fold")
 
 
-def out_of_fold(df: DataFrame, features: list[str], target: str, model: str = "logistic_baseline", k: int = 5, gap: int = 12) -> DataFrame:
+def out_of_fold(df: DataFrame, features: list[str], target: str, model: str = "logistic_baseline", k: int = 5, gap: int = 12, settings: dict | None = None) -> DataFrame:
     """Keys and pred_<target>__<model>__oof: each row's prediction by the model of the fold that tests it; null outside."""
-    found, name = evaluated(df, features, target, model, "walk", gap, k), f"pred_{target}__{model}__oof"
+    found, name = evaluated(df, features, target, model, "walk", gap, k, settings), f"pred_{target}__{model}__oof"
     if found.preds is None:
         return df.select(*KEYS, F.lit(None).cast("array<double>" if found.classes > 2 else "double").alias(name))
     return df.select(*KEYS).join(found.preds.select(*KEYS, F.col("p").alias(name)), list(KEYS), "left")

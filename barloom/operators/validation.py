@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import experiments as E
 from barloom.operators import scores as S
-from barloom.operators.exprs import KEYS, clip, finite
+from barloom.operators.exprs import KEYS, clip, finite, union_all
 from barloom.operators.quantiles import quantiles
 
 LABELS = ("very poor", "poor", "acceptable", "good", "excellent")
@@ -54,19 +57,25 @@ def walk_forward(folds: DataFrame) -> DataFrame:
     return folds.groupBy("run_id").agg(F.count("*").alias("folds"), *[q(c, p).alias(f"{c}_{n}") for c in ("auc", "ap") for n, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))])
 
 
-def over_gaps(frames: dict[str, tuple[DataFrame, list[str], str, str]], gaps: tuple[int, ...] = GAPS) -> DataFrame:
+def over_gaps(frames: dict[str, tuple[DataFrame, list[str], str, str]], gaps: tuple[int, ...] = GAPS, at_once: int = 4, settings: dict | None = None) -> DataFrame:
     """The metrics of each run (id -> frame, features, target, model) refitted with each gap between training and test, and with permuted labels.
 
-    Runs and gaps are a handful: one fit each. All predictions then go through one plan.
+    Runs and gaps are a handful: one fit each, at_once of them at the same time. All predictions then go through one plan. A run whose
+    training rows have one class has no rows. settings: parameters of learners, by model.
     """
-    parts = []
-    for run_id, (frame, features, target, model) in frames.items():
-        for gap in gaps:
-            p = E.fit_and_score(frame, features, target, model, gap)
-            parts.append(p.select(F.lit(f"{run_id}|{gap}").alias("run_id"), F.concat_ws(":", *KEYS).alias("row_id"), "y", "p"))
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
+    jobs = [(run_id, gap) for run_id in frames for gap in gaps]
+    if not jobs:
+        raise ValueError("no runs")
+    spark = next(iter(frames.values()))[0].sparkSession
+
+    def fit(job: tuple[str, int]) -> DataFrame | None:
+        frame, features, target, model = frames[job[0]]
+        p = E.evaluated(frame, features, target, model, "time", job[1], settings=(settings or {}).get(model)).preds
+        return None if p is None else p.select(F.lit(f"{job[0]}|{job[1]}").alias("run_id"), F.concat_ws(":", *KEYS).alias("row_id"), "y", "p")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        made = [p for p in pool.map(inheritable_thread_target(spark)(fit), jobs) if p is not None]
+    preds = union_all(made) if made else spark.createDataFrame([], "run_id string, row_id string, y double, p double")
     out = S.classification(preds).join(permutation_test(preds).select("run_id", "auc_perm", "ap_perm", "grade"), "run_id")
     return out.withColumns({"gap": F.substring_index("run_id", "|", -1).cast("int"), "run_id": F.substring_index("run_id", "|", 1)})
 

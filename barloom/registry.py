@@ -55,6 +55,13 @@ class Registry:
         made = make(spark.createDataFrame([], BARS))
         return self.register_family(kind, make, [c for c in made.columns if c not in ("series_id", "bar_idx")])
 
+    def families(self, kind: str, names: Iterable[str]) -> list[list[str]]:
+        """The names, those that one function makes together."""
+        known, out = getattr(self, kind), {}
+        for n in names:
+            out.setdefault(id(known[n]), []).append(n)
+        return list(out.values())
+
     def get_target(self, name: str) -> Make:
         return self._get("targets", name)
 

@@ -21,7 +21,9 @@ from barloom.operators import dependence as D
 from barloom.operators import experiments as E
 from barloom.operators import history as H
 from barloom.operators import scores as S
+from barloom.operators import validation as V
 from barloom.operators.exprs import KEYS, finite
+from barloom.operators.scan import written
 from barloom.registry import Registry, compute
 from barloom.sources.runs import RunLog
 from barloom.sources.store import Store
@@ -59,17 +61,20 @@ def audit(bars: DataFrame, registry: Registry, names: list[str], checkpoints=(0.
     return out.withColumns({"flag_prefix": above("prefix_mismatch_rate", 0.0), "flag_leak": above("leak_score", 0.2)})
 
 
-def audit_candidates(bars: DataFrame, registry: Registry, weights: WeightStore) -> None:
-    """Audit features that may be drawn and have not been; those that look ahead are frozen and disabled."""
+def audit_candidates(bars: DataFrame, registry: Registry, weights: WeightStore, stored=lambda: None) -> None:
+    """Audit features that may be drawn and have not been, one family after the other; those that look ahead are frozen and disabled.
+
+    stored() is called after each family, so that what has been audited is kept if a later family fails.
+    """
     new = [f for f in registry.features if f not in weights.features_audit and weights.weight("feature", f) > 0]
-    if not new:
-        return
-    for r in audit(bars, registry, new).collect():
-        found = r.asDict()
-        name = found.pop("feature")
-        weights.features_audit[name] = found | {"checked_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
-        if r["flag_prefix"] or r["flag_leak"]:
-            weights.toggle("feature", name, False)
+    for names in registry.families("features", new):
+        for r in audit(bars, registry, names).collect():
+            found = r.asDict()
+            name = found.pop("feature")
+            weights.features_audit[name] = found | {"checked_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
+            if r["flag_prefix"] or r["flag_leak"]:
+                weights.toggle("feature", name, False)
+        stored()
 
 
 # ---- selections ------------------------------------------------------------------------------------------------------
@@ -161,10 +166,16 @@ class Lab:
     weights_path: str
 
     def _column(self, dataset: str, kind: str, name: str) -> DataFrame:
-        """The stored column; computed and stored first where it isn't there."""
+        """The stored column. Where it isn't there, all columns of its family are computed at once and stored."""
         if not self.store.column_exists(dataset, kind, name):
+            known = self.registry.targets if kind == "target" else self.registry.features
             make = self.registry.get_target(name) if kind == "target" else self.registry.get_feature(name)
-            self.store.save_column(dataset, kind, name, make(self.store.load(dataset)))
+            family = [n for n, m in known.items() if m is make and (n == name or not self.store.column_exists(dataset, kind, n))]
+            made = make(self.store.load(dataset))
+            family = [n for n in family if n in made.columns] or [name]
+            whole = written(made.select(*KEYS, *[F.col(f"`{n}`") for n in family]), "family")
+            for n in family:
+                self.store.save_column(dataset, kind, n, whole)
         return self.store.load_column(dataset, kind, name)
 
     def facts(self, dataset: str, target: str) -> Facts:
@@ -247,10 +258,57 @@ class Lab:
         out: list[str | None] = []
         for k in range(n_runs):
             weights = WeightStore.load(self.spark, self.weights_path)
-            audit_candidates(self.store.load(dataset), self.registry, weights)
+            audit_candidates(self.store.load(dataset), self.registry, weights, lambda w=weights: w.save(self.spark, self.weights_path))
             selection = build_selection(self.registry, weights, lambda t: self.facts(dataset, t), seed + k, **how)
             out.append(self.run(dataset, split_id, selection, seed + k))
             if out[-1] is not None:
                 self.learn(out[-1], weights, alpha)
             weights.save(self.spark, self.weights_path)
         return out
+
+    # ---- what has been run
+
+    def frame(self, run_id: str, dataset: str) -> tuple[DataFrame, list[str], str, str]:
+        """The columns of a run's selection on a dataset, its features, target and model."""
+        s = self.runs.selection(run_id)
+        x, features = self._column(dataset, "target", s["target"]), allowed(s["features"], s["target"])
+        for f in features:
+            x = x.join(self._column(dataset, "feature", f), list(KEYS))
+        return x, features, s["target"], s["model"]
+
+    def validate(self, run_ids: list[str], dataset: str, gaps: tuple[int, ...] = V.GAPS) -> DataFrame:
+        """run_id, gap and metrics of runs on record, refitted on a dataset (their own or another) with each gap, and with permuted labels."""
+        settings = self.registry.eval_cfgs.get("default", {}).get("settings")
+        return V.over_gaps({r: self.frame(r, dataset) for r in run_ids}, gaps, settings=settings)
+
+    def best_runs(self, n: int = 10) -> list[str]:
+        """The ids of the n successful runs with the highest scores."""
+        rows = H.shredded(self.runs.runs()).select("run_id", H.run_score().alias("score")).where("score is not null")
+        return [r["run_id"] for r in rows.orderBy(F.desc("score"), "run_id").limit(n).collect()]
+
+    def walk_forward(self, run_id: str, dataset: str, k: int = 5, gap: int = 12) -> DataFrame:
+        """fold, n_test, pos_rate, auc, ap of a run's selection over walk-forward folds."""
+        x, features, target, model = self.frame(run_id, dataset)
+        done = E.evaluated(x, features, target, model, "walk", gap, k, self.registry.eval_cfgs.get("default", {}).get("settings", {}).get(model))
+        if done.preds is None:
+            raise ValueError("no fold has two classes to train on")
+        p = done.preds.withColumns({"run_id": F.lit(run_id), "row_id": F.concat_ws(":", *KEYS)}).drop(*KEYS)
+        return S.over_folds(p, many=done.classes > 2)
+
+    def prediction_feature(self, run_id: str, dataset: str, k: int = 5, gap: int = 12) -> str:
+        """The name of the out-of-fold predictions of a run's selection; made and stored as a feature of the dataset where it isn't yet, and registered."""
+        s = self.runs.selection(run_id)
+        name = f"pred_{s['target']}__{s['model']}__oof"
+        if not self.store.column_exists(dataset, "feature", name):
+            x, features, target, model = self.frame(run_id, dataset)
+            settings = self.registry.eval_cfgs.get("default", {}).get("settings", {}).get(model)
+            self.store.save_column(dataset, "feature", name, E.out_of_fold(x, features, target, model, k, gap, settings))
+        self.register_predictions(dataset)
+        return name
+
+    def register_predictions(self, dataset: str) -> list[str]:
+        """Register each stored prediction of the dataset as a feature that is loaded; names that are registered stay as they are."""
+        new = [n for n in self.store.predictions(dataset) if n not in self.registry.features]
+        for n in new:
+            self.registry.register_feature(n)(lambda bars, n=n: self.store.load_column(dataset, "feature", n))
+        return new

