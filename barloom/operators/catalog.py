@@ -1,13 +1,17 @@
-"""The catalog of indicators as a table, its filters, and transforms that are registered for names of a weight store."""
+"""The catalog of indicators as a table and as a stored document, its filters, parameters filled from bars, and transforms registered for names of a weight store."""
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators import history as H
+from barloom.operators.exprs import KEYS, finite
 from barloom.registry import Registry
 from barloom.sources.weights import WeightStore
 
@@ -55,6 +59,72 @@ def counts(rows: DataFrame) -> DataFrame:
     return filtered(rows).groupBy("category").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("kept", "lookahead", "excluded")])
 
 
+def document(rows: DataFrame, version: str = "unknown") -> dict:
+    """The filtered catalog as one document: a few hundred indicators by category, what was kept, excluded, and flagged for looking ahead."""
+    verdicts = {(r["category"], r["indicator"]): r["verdict"] for r in filtered(rows).collect()}
+    found = {(r["category"], r["indicator"]): r for r in callable_rows(rows).collect()}
+    kept: dict[str, dict] = {}
+    for (category, indicator), verdict in sorted(verdicts.items()):
+        if verdict == "kept":
+            r = found[category, indicator]
+            kept.setdefault(category, {})[indicator] = {"text": r["text"], "params": list(r["params"]), "doc": r["doc"]}
+    of = lambda v: sorted(k for k, said in verdicts.items() if said == v)
+    return {
+        "version": version, "total_count": sum(map(len, kept.values())), "kept_categories": sorted(kept), "excluded_categories": sorted({c for c, _ in of("excluded")}),
+        "flagged_lookahead": [{"category": c, "indicator": i} for c, i in of("lookahead")], "categories": {c: {"count": len(v), "indicators": v} for c, v in kept.items()},
+    }
+
+
+def save(spark: SparkSession, doc: dict, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).create(jpath, True)
+    out.write(bytearray(json.dumps(doc, ensure_ascii=False, indent=2).encode()))
+    out.close()
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """category, indicator, text, params, doc of a stored document."""
+    doc = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    rows = [(c, i, m.get("text"), m.get("params"), m.get("doc")) for c, part in doc["categories"].items() for i, m in part["indicators"].items()]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+# What a parameter of an indicator may be called, and the columns that its name stands for.
+PRICES = {"open": ("open", "open_", "o"), "high": ("high", "h"), "low": ("low", "l"), "close": ("close", "c"), "volume": ("volume", "vol", "v")}
+MEANS = {"hl2": ("high", "low"), "hlc3": ("high", "low", "close"), "ohlc4": ("open", "high", "low", "close"), "oc2": ("open", "close")}
+
+
+def arguments(params: list[str], columns: list[str]) -> dict[str, Column]:
+    """The parameters that bars with these columns can fill: prices, volume, and means of prices.
+
+    A parameter `c` beside one named close is a constant and left to its default, as is any other name.
+    """
+    named = {alias: c for c, aliases in PRICES.items() if c in columns for alias in aliases}
+    out = {}
+    for p in params:
+        name = p.lower()
+        if name == "c" and "close" in [q.lower() for q in params]:
+            continue
+        if name in named:
+            out[p] = F.col(named[name])
+        elif name in MEANS and set(MEANS[name]) <= set(columns):
+            out[p] = reduce(Column.__add__, map(F.col, MEANS[name])) / len(MEANS[name])
+    return out
+
+
+def register_indicator(registry: Registry, name: str, indicator: Callable[..., Column], required: list[str], columns: list[str]) -> bool:
+    """Register indicator (a function of columns) under name, with its required parameters filled from bars; False where they can't be, or the name is taken."""
+    found = arguments(required, columns)
+    if name in registry.features or any(p not in found and p not in ("kwargs", "*args") for p in required):
+        return False
+
+    def make(bars: DataFrame) -> DataFrame:
+        return bars.select(*KEYS, F.coalesce(finite(indicator(**found)), F.lit(0.0)).alias(name))
+
+    registry.register_feature(name)(make)
+    return True
+
+
 # ---- transforms ------------------------------------------------------------------------------------------------------
 
 

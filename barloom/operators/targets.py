@@ -58,9 +58,13 @@ def updown(r: Column, tau: Column) -> Column:
     return F.when(r > tau, 1).when(r < -tau, 0).cast("int")
 
 
-def atr_targets(bars: DataFrame) -> DataFrame:
-    """Moves beyond k relative ATRs over h bars; two of them only in strong, or in weak, trends (ADX)."""
-    df = atr_relative(bars).join(ewm.per_series(bars.select(*KEYS, "high", "low", "close"), ["adx"], lambda d: {"adx": ewm.adx(d, 14)}, halo=3 * ewm.memory(1 / 14)), list(KEYS))
+def atr_targets(bars: DataFrame, by_range: bool = False) -> DataFrame:
+    """Moves beyond k relative ATRs over h bars; two of them only in strong, or in weak, trends: by ADX, or by the mean true range in percent of close."""
+    df = atr_relative(bars)
+    if by_range:
+        df = df.withColumn("adx", clip(100 * F.coalesce("atr_rel", F.lit(0.0)), 0.0, 100.0))
+    else:
+        df = df.join(ewm.per_series(bars.select(*KEYS, "high", "low", "close"), ["adx"], lambda d: {"adx": ewm.adx(d, 14)}, halo=3 * ewm.memory(1 / 14)), list(KEYS))
     r = lambda h: div(F.lead("close", h).over(by_time()), F.nullif(F.col("close"), F.lit(0.0))) - 1
     df = df.withColumns({f"_r{h}": r(h) for h in (6, 12, 36)})
     made = {f"updown_atr_H{h}_k{'05' if k == 0.5 else '1'}_nb025": updown(F.col(f"_r{h}"), k * F.col("atr_rel") * math.sqrt(h)) for h, k in ATR_TARGETS}

@@ -92,6 +92,13 @@ over_bars(
     ints=("trend_updown_atr_H12_k1_adx25", "mr_updown_atr_H12_k05_adx20"),
 )
 
+_strong = lambda c: f"greatest(0.0, least(100.0, 100 * coalesce(tau / sqrt(12.0), 0.0))) {c}"
+over_bars(
+    "targets_atr_trend_by_range", lambda b: T.atr_targets(b, by_range=True).select(*KEYS, "trend_updown_atr_H12_k1_adx25", "mr_updown_atr_H12_k05_adx20"),
+    {"trend_updown_atr_H12_k1_adx25": f"case when {_strong('>= 25')} then {_side(1)} end", "mr_updown_atr_H12_k05_adx20": f"case when {_strong('<= 20')} then {_side(0.5)} end"},
+    MOVES + f", trends as (select *, {_tau} as tau, {lead('close', 12)} / nullif(close, 0) - 1 as r12 from moves)", "trends", ints=("trend_updown_atr_H12_k1_adx25", "mr_updown_atr_H12_k05_adx20"),
+)
+
 _rsi = {"gain": ema("gain", "greatest($change, 0.0) + 0 * $change", _w14), "loss": ema("loss", "greatest(-$change, 0.0) + 0 * $change", _w14)}
 _n = "l14_a14_w576_k3"
 _wide = lambda f, least: f"case when {roll('count(r)', 576)} >= {least} then {roll(f, 576)} end"

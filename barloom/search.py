@@ -91,11 +91,12 @@ class Facts:
 
 
 def facts(values: DataFrame, target: str) -> Facts:
-    """From one aggregate. Fractions, or more than ten values, make a target one for regression."""
+    """Fractions, or more than ten values, make a target one for regression."""
     y = finite(target)
-    r = values.select(y.alias("y")).agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.bool_and(F.col("y").isin(0.0, 1.0)).alias("b"), F.bool_and(F.col("y") == F.floor("y")).alias("whole"), F.approx_count_distinct("y").alias("d")).first()
+    few = values.select(y.alias("y")).where("y is not null").distinct().limit(11).count() <= 10
+    r = values.select(y.alias("y")).agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.bool_and(F.col("y").isin(0.0, 1.0)).alias("b"), F.bool_and(F.col("y") == F.floor("y")).alias("whole")).first()
     binary = bool(r["b"]) if r["n"] else False
-    return Facts(r["n"], int(r["s"]) if binary else 0, binary, "clf" if binary or (r["whole"] and r["d"] <= 10) else "reg")
+    return Facts(r["n"], int(r["s"]) if binary else 0, binary, "clf" if binary or (r["whole"] and few) else "reg")
 
 
 def allowed(names, target: str) -> list[str]:

@@ -70,3 +70,20 @@ def test_normalized_to_the_range_of_another(spark):
     d = spark.createDataFrame([("s", 0, 1.0, 10.0), ("s", 1, 3.0, 30.0), ("t", 0, 5.0, 1.0), ("t", 1, 5.0, 3.0)], "series_id string, bar_idx long, a double, b double")
     assert [r["x"] for r in V.normalized_like(d, "a", "b", "x").orderBy("series_id", "bar_idx").collect()] == [0.0, 20.0, 1.0, 1.0]
     assert tuple(V.color_bounds(d.where("series_id = 't'"), ["a"]).first()) == (0.0, 1.0)
+
+
+def test_catalog_is_stored_and_parameters_are_filled_from_bars(spark, tmp_path):
+    rows = spark.createDataFrame([
+        ("momentum", "rsi", "(close)", ["close"], "strength"), ("trend", "zigzag", "(close)", ["close"], None), ("cycles", "ebsw", "(close)", ["close"], None), ("volume", "none", None, None, None),
+    ], C.SCHEMA)
+    doc = C.document(rows, "1")
+    assert doc["total_count"] == 1 and doc["kept_categories"] == ["momentum"] and doc["excluded_categories"] == ["cycles"] and doc["flagged_lookahead"] == [{"category": "trend", "indicator": "zigzag"}]
+    C.save(spark, doc, f"file://{tmp_path}/catalog.json")
+    assert [tuple(r) for r in C.load(spark, f"file://{tmp_path}/catalog.json").collect()] == [("momentum", "rsi", "(close)", ["close"], "strength")]
+    have = ["open", "high", "low", "close"]
+    assert set(C.arguments(["high", "l", "close", "c", "length", "vol", "hl2"], have)) == {"high", "l", "close", "hl2"} and set(C.arguments(["c"], have)) == {"c"}
+    r = Registry()
+    assert C.register_indicator(r, "ta_x", lambda high, l: 2 * high - l, ["high", "l"], have) and not C.register_indicator(r, "ta_x", lambda high: high, ["high"], have)  # noqa: E741
+    assert not C.register_indicator(r, "ta_y", lambda volume: volume, ["volume"], have) and not C.register_indicator(r, "ta_z", lambda other: other, ["other"], have)
+    bars = spark.createDataFrame([("s", 0, 1.0, 3.0, 1.0, 2.0), ("s", 1, 1.0, None, 1.0, 2.0)], "series_id string, bar_idx long, open double, high double, low double, close double")
+    assert [r["ta_x"] for r in r.get_feature("ta_x")(bars).orderBy("bar_idx").collect()] == [5.0, 0.0]
