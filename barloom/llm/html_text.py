@@ -7,7 +7,7 @@ rules of the page's own style elements whose selectors name one element (tag, cl
 inside a part where it is off, `display: none` may not.
 
 Time and output grow in proportion to the page. Columns are padded to PAD characters at most, a wider cell only moves the rest
-of its own line; past DEEPEST insets (lists, quotations, tables in each other) text is no longer indented further, but keeps its marks.
+of its own line, and no more than LEAP is left blank before a cell; past DEEPEST insets (lists, quotations, tables in each other) text is no longer indented further, but keeps its marks.
 
 Defined cases: null and empty pages give empty text; unclosed and stray tags are repaired as a browser would, and once a tag's
 quotation marks were found to run off the page's end, later tags end at the first >; elements nest to any depth, as tree and
@@ -18,8 +18,9 @@ held as a tree, in memory of some ten times its length; an empty table gives an
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Generator
+from itertools import accumulate
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -57,6 +58,7 @@ _SELECTOR = re.compile(r"[\w*-]*(?:[.#][\w-]+)*", re.A)
 _PART = re.compile(r"[.#]?[\w*-]+", re.A)
 PAD = 60
 DEEPEST = 32
+LEAP = 4 * PAD  # the most that is left blank before a cell
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _RUN = re.compile(r"[\t\n\r\f]|  ")  # white space that isn't one plain space
 
@@ -450,10 +452,54 @@ def draw_list(page: Page, node: Node, pre: bool, depth: int) -> Generator:
     page.line(gap)
 
 
+def spans(cell: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell says it takes, as the standard bounds it; a rowspan of 0 goes to the end of its group."""
+    given = cell.get(name) or "1"
+    n = min(int(given), most) if re.fullmatch("[0-9]{1,9}", given) else 1
+    return n or (most if name == "rowspan" else 1)
+
+
+class Columns:
+    """The columns that no cell of a row above takes, as runs in order; each run that is taken comes back once, when its last row has ended."""
+
+    def __init__(self):
+        self.starts, self.ends, self.due = [0], [1 << 60], {}
+
+    def free(self, at: int) -> int:
+        """The first free column from `at` on."""
+        k = bisect_right(self.starts, at) - 1
+        return at if k >= 0 and at < self.ends[k] else self.starts[k + 1]
+
+    def take(self, start: int, end: int, until: int) -> None:
+        """Keep what is free of the columns start to end for rows before `until`."""
+        at = self.free(start)
+        while at < end:
+            k = bisect_right(self.starts, at) - 1
+            first, last = self.starts[k], self.ends[k]
+            stop = min(end, last)
+            self.starts[k : k + 1], self.ends[k : k + 1] = [x for x, y in ((first, at), (stop, last)) if x < y], [y for x, y in ((first, at), (stop, last)) if x < y]
+            self.due.setdefault(until, []).append((at, stop))
+            at = self.free(stop)
+
+    def row_ends(self, row: int) -> None:
+        for start, end in self.due.pop(row + 1, ()):
+            k = bisect_left(self.starts, start)
+            if self.starts[k] == end:  # there is always a run behind
+                end = self.ends[k]
+                del self.starts[k], self.ends[k]
+            if k and self.ends[k - 1] == start:
+                self.ends[k - 1] = end
+            else:
+                self.starts.insert(k, start)
+                self.ends.insert(k, end)
+
+
 def table_lines(page: Page, table: Node, depth: int) -> Generator:
-    """The captions' lines, then those of the rows, cells padded to their columns' widths (PAD at most); spanning cells take several."""
+    """The captions' lines, then those of the rows, cells padded to their columns' widths (PAD at most); spanning cells take several columns,
+    and keep theirs free in the rows below, as many as their group of rows has."""
     out: list[str] = []
-    rows: list[list[tuple[list[str], int]]] = []
+    rows: list[list[tuple[list[str], int, int]]] = []  # a cell's lines, column and number of columns
+    columns = Columns()
 
     def part(children: list, visibility: bool | None) -> Generator:
         around, page.hid = page.hid, page.hid if visibility is None else not visibility
@@ -477,18 +523,26 @@ def table_lines(page: Page, table: Node, depth: int) -> Generator:
             if c.tag == "caption":
                 out.extend((yield part(c.children, None)))
             elif c.tag == "tr":
-                cells = []
+                cells, at, row = [], 0, len(rows)
                 for x in c.children:
                     if isinstance(x, Node) and x.tag in ("td", "th"):
                         on, visibility = shown(x, page.styles)
                         if on:
-                            span = x.get("colspan") or "1"
-                            cells.append(((yield part(x.children, visibility)), min(int(span), 100) if re.fullmatch("0*[1-9][0-9]{0,5}", span) else 1))
+                            at, wide, high = columns.free(at), spans(x, "colspan", 1000), spans(x, "rowspan", 65534)
+                            cells.append(((yield part(x.children, visibility)), at, wide))
+                            if high > 1:
+                                columns.take(at, at + wide, row + high)
+                            at += wide
                     elif not isinstance(x, str) or x.strip():
-                        cells.append(((yield part([x], None)), 1))
+                        at = columns.free(at)
+                        cells.append(((yield part([x], None)), at, 1))
+                        at += 1
                 rows.append(cells)
+                columns.row_ends(row)
             elif c.tag in ("tbody", "thead", "tfoot"):
+                columns.__init__()
                 yield walk(c)
+                columns.__init__()
             elif c.tag not in ("colgroup", "col"):
                 loose.append(c)
             page.hid = around
@@ -498,22 +552,22 @@ def table_lines(page: Page, table: Node, depth: int) -> Generator:
     yield walk(table)
     widths: dict[int, int] = {}
     for cells in rows:
-        at = 0
-        for lines, span in cells:
-            if span == 1:
+        for lines, at, wide in cells:
+            if wide == 1:
                 widths[at] = max(widths.get(at, 0), min(PAD, max(map(len, lines), default=0)))
-            at += span
+    # where each column begins, if those before it have cells of their own
+    known = sorted(widths)
+    starts = [0, *accumulate(widths[c] + 2 for c in known)]
     for cells in rows:
-        if not any(lines for lines, _ in cells):
+        if not any(lines for lines, _, _ in cells):
             continue
-        for k in range(max(len(lines) for lines, _ in cells)):
-            line, at, due = "", 0, 0
-            for lines, span in cells:
+        for k in range(max(len(lines) for lines, _, _ in cells)):
+            line, due = "", 0
+            for lines, at, wide in cells:
                 part = lines[k] if k < len(lines) else ""
-                line = line.ljust(due) + part if part else line
-                due = max(due, 0) + sum(widths.get(at + s, 0) + 2 for s in range(span))
-                due = max(due, len(line) + 2) if part else due
-                at += span
+                due = max(due, starts[bisect_left(known, at)])
+                line = line.ljust(min(due, len(line) + LEAP)) + part if part else line
+                due = max(starts[bisect_left(known, at + wide)], len(line) + 2 if part else 0)
             out.append(line.rstrip())
     return out
 

@@ -35,12 +35,14 @@ VERSION = b"WARC/1.1"
 SPACE_ID = uuid.uuid5(uuid.NAMESPACE_URL, "urn:barloom:warc")
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b"
-HEAD_BYTES = 1 << 16
+HEAD_BYTES = 1 << 16  # held at first of a record
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 _HEAD_END = re.compile(rb"\r?\n\r?\n")
 _RECORD_HEAD_END = re.compile(rb"\r?\n(?:\r?\n|(WARC/))")
 _LENGTH = re.compile("[0-9]{1,12}")
-_CHUNK = re.compile(rb"([0-9a-fA-F]{1,12})[^\r\n]{0,4096}\r?\n")
+_META = re.compile(rb"<meta[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+_CHUNK = re.compile(rb"([0-9a-fA-F]{1,12})[^\r\n]*+\r?\n")
 
 
 @dataclass
@@ -127,10 +129,15 @@ def records(data: bytes) -> Iterator[Record]:
                 return
             continue
         at = found
-        need(HEAD_BYTES)
+        size = HEAD_BYTES
+        need(size)
         m = _VERSION.match(held, at)
-        end = _RECORD_HEAD_END.search(held, m.end() - 2, at + HEAD_BYTES) if m else None
-        if not end or end[1]:  # no end, or another record's first line before it
+        while m and not (end := _RECORD_HEAD_END.search(held, m.end() - 2)) and need(2 * size):  # headers may be as long as they like
+            size *= 2
+            m = _VERSION.match(held, at)
+        if m and not end and not (end := _RECORD_HEAD_END.search(held, m.end() - 2)):
+            return  # no header ends behind this one, so none of a later record does
+        if not m or end[1]:  # no record, or another one's first line before the end
             at += 5
             continue
         made, length = Record(header_lines(held[m.end() : end.start()]), b""), end.end() - at
@@ -186,10 +193,23 @@ def decoded(body: bytes, headers: list[tuple[str, str]]) -> bytes | None:
     return body
 
 
+def charset_of(body: bytes, content_type: str) -> tuple[str, int]:
+    """What a body is encoded in, and how long its mark is: by its byte order mark, the header, or the first meta element in 1,024 bytes; else UTF-8."""
+    for mark, name in MARKS:
+        if body.startswith(mark):
+            return name, len(mark)
+    given = re.search(r"charset=[\"']?([\w.:-]+)", content_type, re.I)
+    if given:
+        return given[1], 0
+    meta = _META.search(body, 0, 1024) if "html" in content_type.lower() or not content_type else None
+    name = meta[1].decode("ascii", "replace") if meta else "utf-8"
+    return "utf-8" if name.lower().startswith("utf-16") else name, 0  # a page that names UTF-16 in ASCII is none
+
+
 def text_of(body: bytes, content_type: str) -> str:
-    charset = re.search(r"charset=[\"']?([\w.:-]+)", content_type, re.I)
+    charset, mark = charset_of(body, content_type)
     try:
-        text = body.decode(charset[1] if charset else "utf-8", "replace")
+        text = body[mark:].decode(charset, "replace")
     except LookupError:
         text = body.decode("utf-8", "replace")
     return render(text) if "html" in content_type.lower() or not content_type else text if content_type.lower().startswith("text/") else ""

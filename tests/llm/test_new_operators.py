@@ -1,14 +1,16 @@
 """Merkle manifest, centroid clustering and URL filters against plain versions, and their defined cases."""
 
+import gzip
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import centroids, merkle, url_rules
+from barloom.llm import centroids, html_text, merkle, url_rules, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -247,3 +249,62 @@ def test_url_filters_without_labels_or_pages(spark):
     assert url_rules.judge(spark.createDataFrame([], schema)).count() == 0
     rows = url_rules.judge(spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], schema)).collect()
     assert [r["verdict"] for r in rows] == ["allow"] * 3
+
+
+# ---- pages and archives ----------------------------------------------------------------------------------------------
+
+
+def test_cells_keep_their_columns_free_in_the_rows_they_span():
+    rows = lambda html: html_text.render(html).split("\n")
+    assert rows("<table><tr><td rowspan=2>A<td>b1<td>c1<tr><td>b2<td>c2<tr><td>x<td>y<td>z</table>") == ["A  b1  c1", "   b2  c2", "x  y   z"]
+    assert rows("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") == ["a  b  c", "d     e", "f     g"]
+    assert rows("<table><tr><td colspan=2 rowspan=2>AB<td>c<tr><td>d<tr><td>1<td>2<td>3</table>") == ["AB    c", "      d", "1  2  3"]
+    two = rows("<table><tbody><tr><td rowspan=9>A<td>b<tbody><tr><td>c<td>d</table>")  # a group of rows ends all spans
+    assert two == ["A  b", "c  d"]
+    assert rows("<table><tr><td colspan=1000>all<td>z<tr><td>1<td>2</table>") == ["all   z", "1  2"]
+
+
+def test_free_columns_against_a_plain_grid():
+    rng = random.Random(4)
+    for _ in range(60):
+        columns, taken = html_text.Columns(), {}
+        for row in range(30):
+            at = 0
+            for _ in range(rng.randint(0, 6)):
+                plain = next(c for c in range(at, 10_000) if taken.get(c, 0) <= row)
+                assert columns.free(at) == plain
+                wide, high = rng.randint(1, 4), rng.randint(1, 6)
+                if high > 1:
+                    columns.take(plain, plain + wide, row + high)
+                    taken |= {c: row + high for c in range(plain, plain + wide) if taken.get(c, 0) <= row}
+                at = plain + wide
+            columns.row_ends(row)
+
+
+def test_many_spans_cost_time_in_proportion():
+    html = "<table>" + "".join(f"<tr><td rowspan={2 + k % 50}>a{k}<td>b" for k in range(4000)) + "</table>"
+    began = time.time()
+    text = html_text.render(html)
+    assert time.time() - began < 20 and text.count("a") == 4000 and len(text) < 40 * len(html)
+    for first in (60_000, 5000):  # spans that outlast all rows, and spans of which one ends with each row
+        html = "<table><tr>" + "".join(f"<td rowspan={first - k}>a" for k in range(4000)) + "<tr><td>b" * 4000 + "</table>"
+        began = time.time()
+        assert html_text.render(html).count("b") == 4000 and time.time() - began < 20
+
+
+def test_long_headers_are_read_to_their_end():
+    head = lambda more: b"WARC/1.1\r\nWARC-Type: response\r\nX-Long: " + b"x" * more + b"\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    data = head(300_000) + head(5) + head(70_000)
+    assert [r.block for r in warc.records(data)] == [b"abc"] * 3 == [r.block for r in warc.records(gzip.compress(data))]
+    began = time.time()
+    assert list(warc.records(b"xWARC/1.1\n" * 200_000)) == [] and time.time() - began < 10
+    assert warc.joined(b"3;" + b"e" * 9000 + b"\r\nabc\r\n0\r\n\r\n") == b"abc"
+
+
+def test_charset_by_mark_header_or_meta():
+    page = '<meta http-equiv=x content="text/html; charset=iso-8859-1"><p>\u00e9t\u00e9'
+    assert warc.text_of(page.encode("latin-1"), "text/html") == "\u00e9t\u00e9"
+    assert warc.text_of(page.encode("utf-8"), "text/html; charset=utf-8") == "\u00e9t\u00e9"  # the header comes before the page
+    assert warc.text_of(b"\xef\xbb\xbf" + page.encode("utf-8"), "text/html") == "\u00e9t\u00e9"
+    assert warc.text_of(b"\xff\xfe" + "<p>\u00e9t\u00e9".encode("utf-16-le"), "text/html") == "\u00e9t\u00e9"
+    assert warc.text_of("<meta charset=utf-16><p>\u00e9".encode(), "text/html") == "\u00e9" and warc.text_of("<meta charset=none-such><p>\u00e9".encode(), "text/html") == "\u00e9"
