@@ -106,25 +106,21 @@ def adx(d: pd.DataFrame, n: int = 14) -> pd.Series:
 BLOCK_ROWS = 1 << 20
 
 
-def per_series(df: DataFrame, names: list[str], fn: Callable[[pd.DataFrame], dict[str, pd.Series]], keep: tuple[str, ...] = ("series_id", "bar_idx"), halo: int | None = None, rows: int | None = None) -> DataFrame:
-    """The columns keep, and the DOUBLE columns names that fn computes from bars in order.
+def per_series(df: DataFrame, names: list[str], fn: Callable[[pd.DataFrame], dict[str, pd.Series]], halo: int, keep: tuple[str, ...] = ("series_id", "bar_idx"), rows: int | None = None) -> DataFrame:
+    """The columns keep, and the DOUBLE columns names that fn computes from a block of a series in order and the `halo` bars before it.
 
-    With a halo, fn sees a block of a series and that many bars before it; without one, what it computes depends on all bars
-    (cumulative or path-dependent), and a whole series is one group.
+    What depends on all bars before goes through scan.scanned.
     """
     schema = df.select(*keep).schema
     for n in names:
         schema = schema.add(n, "double")
-    size = max(rows or BLOCK_ROWS, halo or 0)
+    size = max(rows or BLOCK_ROWS, halo)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx", ignore_index=True)
         got = pd.DataFrame(fn(pdf), index=pdf.index)[names].replace([np.inf, -np.inf], np.nan)
-        out = pd.concat([pdf[list(keep)], got], axis=1)
-        return out if halo is None else out[(pdf["bar_idx"] // size) == key[1]]
+        return pd.concat([pdf[list(keep)], got], axis=1)[(pdf["bar_idx"] // size) == key[1]]
 
-    if halo is None:
-        return df.groupBy("series_id").applyInPandas(lambda key, pdf: run(key, pdf), schema)
     own = F.floor(F.col("bar_idx") / size)
     ahead = F.when(F.col("bar_idx") % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
     # a last block that would hold a halo alone gives no rows

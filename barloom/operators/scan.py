@@ -198,11 +198,12 @@ def scanned(df: DataFrame, names: list[str], recurrences: list[Recurrence], halo
         schema = schema.add(n, "double")
     own = F.floor(F.col("bar_idx") / size)
     ahead = F.when(F.col("bar_idx") % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
-    blocked = df.withColumn("_block", F.explode(ahead))
-    groups = blocked.groupBy("series_id", "_block")
     longest = df.agg(F.max("bar_idx")).first()[0]
     if longest is None or longest < size:
-        return groups.applyInPandas(lambda key, bars: work.rows(int(key[1]), bars, none, fn, names, list(keep)), schema)
+        one = df.withColumn("_block", F.lit(0).cast("long")).groupBy("series_id", "_block")
+        return one.applyInPandas(lambda key, bars: work.rows(int(key[1]), bars, none, fn, names, list(keep)), schema)
+    blocked = written(df, "scan-rows").withColumn("_block", F.explode(ahead))  # it is read once for each look
+    groups = blocked.groupBy("series_id", "_block")
     entries = entry_states(blocked, recurrences, size, halo)
 
     def run(key, bars: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
