@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.quantiles import quantiles, with_quantiles
+from barloom.operators.scan import written
 from barloom.operators.scores import affinity_score
 
 METRICS = "auc double, auc_median double, ap double, accuracy double, pos_rate_test double, fit_time_sec double, predict_time_sec double, n_test int, skill double, r2 double, r2_score double, spearman double, pearson double"
@@ -47,8 +48,8 @@ def quality(runs: DataFrame, by: list[str], min_runs: int = 1, finite_only: bool
     lift = F.try_divide("ap", F.nullif("pos_rate_test", F.lit(0.0)))
     medians = {"acc_median": "accuracy", "ap_median": "ap", "pos_rate_median": "pos_rate_test", "ap_lift_median": "_lift", "fit_median": "fit_time_sec", "pred_median": "predict_time_sec"}
     wanted = {"auc_median": ("auc", 0.5), "auc_q025": ("auc", 0.025), "auc_q975": ("auc", 0.975), "_q3": ("auc", 0.75), "_q1": ("auc", 0.25)} | {k: (c, 0.5) for k, c in medians.items()}
-    d = runs.select(*by, "auc", "has_auc", "accuracy", "ap", "pos_rate_test", "fit_time_sec", "predict_time_sec", lift.alias("_lift"))
-    g = with_quantiles(d.groupBy(*by).agg(n.alias("runs")), by, quantiles(d, by, wanted)).withColumn("auc_iqr", F.col("_q3") - F.col("_q1"))
+    d = written(runs.select(*by, "auc", "has_auc", "accuracy", "ap", "pos_rate_test", "fit_time_sec", "predict_time_sec", lift.alias("_lift")), "metrics")
+    g = with_quantiles(d.groupBy(*by).agg(n.alias("runs")), by, quantiles(d, by, wanted, stored=True)).withColumn("auc_iqr", F.col("_q3") - F.col("_q1"))
     g = g.select(*by, "runs", "auc_median", "auc_q025", "auc_q975", "auc_iqr", *medians)
     return g.where(F.col("runs") >= min_runs).orderBy(F.desc_nulls_last("auc_median"), F.desc("runs"), *by)
 
@@ -57,8 +58,9 @@ def k_quality(runs: DataFrame) -> DataFrame:
     """The same medians by k, by (k, model) and by (k, target): each run is in a group of each kind."""
     lift, none, by = F.try_divide("ap", F.nullif("pos_rate_test", F.lit(0.0))), F.lit(None).cast("string"), ["k", "model", "target"]
     kinds = [F.struct(m.alias("model"), t.alias("target")) for m, t in ((none, none), (F.col("model"), none), (none, F.col("target")))]
-    d = runs.select("k", "auc", "ap", lift.alias("_lift"), F.explode(F.array(*kinds)).alias("_kind")).select("k", "_kind.*", "auc", "ap", "_lift")
-    found = quantiles(d, by, {"auc_median": ("auc", 0.5), "_q3": ("auc", 0.75), "_q1": ("auc", 0.25), "ap_median": ("ap", 0.5), "ap_lift_median": ("_lift", 0.5)})
+    d = written(runs.select("k", "model", "target", "auc", "ap", lift.alias("_lift")), "metrics")
+    d = d.select("k", "auc", "ap", "_lift", F.explode(F.array(*kinds)).alias("_kind")).select("k", "_kind.*", "auc", "ap", "_lift")
+    found = quantiles(d, by, {"auc_median": ("auc", 0.5), "_q3": ("auc", 0.75), "_q1": ("auc", 0.25), "ap_median": ("ap", 0.5), "ap_lift_median": ("_lift", 0.5)}, stored=True)
     g = with_quantiles(d.groupBy(*by).agg(F.count("*").alias("runs")), by, found)
     return g.select(*by, "runs", "auc_median", (F.col("_q3") - F.col("_q1")).alias("auc_iqr"), "ap_median", "ap_lift_median")
 

@@ -3,6 +3,8 @@
 A first pass counts values by sign, exponent and 12 bits of mantissa; that is some thousands of counts for a group, added up where the values lie. It
 says which bucket holds a rank. A second pass counts the values of those buckets by 16 bits more, and a third the single values of what is left,
 equal ones as one row. So no task ever holds a group's values, and only the first pass looks at all of them.
+
+A table of at most FEW values, by count, takes one pass instead: a task that held all of them would need some tens of megabytes.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from barloom.operators.scan import written
 from barloom.operators.scores import value_bucket
 
 
+FEW = 1 << 21
+
+
 def fine_bucket(x: Column) -> Column:
     """The next 16 bits of mantissa behind those of value_bucket, in the order of values within it."""
     size = F.abs(x.cast("double"))
@@ -30,10 +35,10 @@ def _chosen(counted: DataFrame, within: list[str], step: str, ranks: DataFrame)
     return found.select(*within, step, "want", (F.col("rank") - (F.col("_upto") - F.col("_c"))).alias("rank"))
 
 
-def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column | str, float]]) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column | str, float]], stored: bool = False) -> DataFrame:
     """The columns by, and for each name the quantile (column, share) of the group's values, interpolated between neighbours; null without values.
 
-    Only groups with a value of some column have a row. Keys may be null.
+    Only groups with a value of some column have a row. Keys may be null. stored: df is a table, which each pass may read; else its values are written first.
     """
     sources: dict[str, int] = {}
     exprs: list[Column] = []
@@ -45,8 +50,12 @@ def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[Column | str
     of = {name: sources[c if isinstance(c, str) else str(c)] for name, (c, _) in wanted.items()}
     group = F.struct(*by, F.lit(0).alias("_all"))  # a struct with null fields equals itself
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("v"), e.alias("x")) for i, e in enumerate(exprs)])).alias("_e")
-    long = written(df.select(group.alias("_g"), each).select("_g", "_e.v", "_e.x").where(F.col("x").isNotNull()), "values").withColumns({"b0": value_bucket(F.col("x")), "b1": fine_bucket(F.col("x"))})
+    long = df.select(group.alias("_g"), each).select("_g", "_e.v", "_e.x").where(F.col("x").isNotNull())
+    long = (long if stored else written(long, "values")).withColumns({"b0": value_bucket(F.col("x")), "b1": fine_bucket(F.col("x"))})
 
+    if long.count() <= FEW:
+        few = long.groupBy("_g").agg(*[F.percentile(F.when(F.col("v") == of[name], F.col("x")), p).alias(name) for name, (_, p) in wanted.items()])
+        return few.select(*[F.col(f"_g.{c}").alias(c) for c in by], *wanted)
     counted = long.groupBy("_g", "v", "b0").agg(F.count("*").alias("_c"))
     n = counted.groupBy("_g", "v").agg(F.sum("_c").alias("n"))
     asks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(of[name]).alias("w"), F.lit(p).alias("p")) for k, (name, (_, p)) in enumerate(wanted.items())])).alias("_q")

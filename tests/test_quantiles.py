@@ -2,11 +2,14 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from barloom.operators import quantiles as Q
 from barloom.operators.quantiles import quantiles
 from barloom.operators.validation import color_bounds
 
 
-def test_quantiles_are_exact_for_every_kind_of_values(spark):
+@pytest.mark.parametrize("few", [0, Q.FEW])
+def test_quantiles_are_exact_for_every_kind_of_values(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW", few)
     rng = np.random.default_rng(1)
     n = 3000
     kinds = {
@@ -27,7 +30,9 @@ def test_quantiles_are_exact_for_every_kind_of_values(spark):
             assert r[f"q{k}"] == pytest.approx(low[k] * (1 - share) + high[k] * share, rel=1e-14, abs=0), (r["kind"], p)
 
 
-def test_no_values(spark):
+@pytest.mark.parametrize("few", [-1, Q.FEW])
+def test_no_values(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW", few)
     d = spark.createDataFrame([(1, None), (2, None)], "k int, x double")
     assert quantiles(d, ["k"], {"q": ("x", 0.5)}).count() == 0 and quantiles(d, [], {"q": ("x", 0.5)}).count() == 0
     row = color_bounds(d, ["x"]).first()
