@@ -123,7 +123,7 @@ _spread = {
     "s2": ("case when $r is not null then 1.0::double end", f"case when mean is null then case when $r is not null then 1.0 end else {(1 - _a60) ** 2!r} * s2 + {_a60**2!r} end"),
 }
 over_bars(
-    "targets_margin", T.margin,
+    "targets_margin", lambda b: T.margin(b, pass_infinite=False),
     {"up_margin_H12_k075": "case when rf is not null then (rf > tau)::int end", "updown_margin_H12_k075": "case when rf is null then null when rf > tau then 1 when rf < -tau then -1 else 0 end"},
     f", logs as (select *, ln(close / {lag('close')}) as r, ln({lead('close', 12)} / close) as rf from bars)" + walk("spread", "logs", {"r": "r"}, _spread)
     + ", margins as (select *, coalesce(0.75 * sqrt(12.0) * sqrt(case when s2 < 1 then cov / (1 - s2) end), 0.0) as tau from logs join spread using (series_id, bar_idx))", "margins", ints=("up_margin_H12_k075", "updown_margin_H12_k075"),

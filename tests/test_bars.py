@@ -168,7 +168,7 @@ def _events_at_zero(path, n=400, zeros=(60, 61, 130, 250)):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["pv_artifact", "pv_features", "targets_pv_d200_t2_family"])
+@pytest.mark.parametrize("name", ["pv_artifact", "pv_features", "targets_pv_d200_t2_family", "targets_margin"])
 def test_a_price_of_zero_gives_what_sql_gives(spark, tmp_path, name):
     import duckdb
 
@@ -180,3 +180,16 @@ def test_a_price_of_zero_gives_what_sql_gives(spark, tmp_path, name):
     a, b = plans.QUERIES[name](spark, d).toPandas(), con.sql(plans.ORACLES[name]).df()
     a, b = (x[list(a.columns)].sort_values("bar_idx", ignore_index=True) for x in (a, b))
     assert len(a) == len(b) == 400 and [c for c in a if not ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all()] == []
+
+
+def test_margin_passes_infinite_returns_by_as_pandas_does(spark):
+    close = 50 + np.random.default_rng(6).normal(0, 1, 200).cumsum()
+    close[[40, 41, 90]] = 0.0
+    c = pd.Series(close)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tau = 0.75 * np.sqrt(12) * np.log(c).diff().ewm(halflife=60, adjust=False).std().fillna(0.0)
+        r = np.log(c.shift(-12)) - np.log(c)
+    got = T.margin(_bars(spark, close)).toPandas().sort_values("bar_idx", ignore_index=True)
+    want = pd.Series(np.where(r > tau, 1.0, np.where(r < -tau, -1.0, 0.0))).where(r.notna())
+    assert got["updown_margin_H12_k075"].astype(float).equals(want) and (want[[28, 40]] == [-1, 1]).all()
+    assert got["up_margin_H12_k075"].astype(float).equals((want == 1).astype(float).where(r.notna()))
