@@ -76,18 +76,21 @@ def leak_scores(df: DataFrame, columns: list[str], price: str = "close") -> Data
     return both[0].join(both[1], "feature").select("feature", (F.col("_next") - F.col("_past")).alias("leak_score"), (F.abs("_next") - F.abs("_past")).alias("leak_score_abs"))
 
 
-def prefix_stability(bars: DataFrame, make, columns: list[str], checkpoints=(0.6, 0.8, 0.9), guard: int = 50) -> DataFrame:
+def prefix_stability(bars: DataFrame, make, columns: list[str], checkpoints=(0.6, 0.8, 0.9), guard: int = 50, twice: bool = False) -> DataFrame:
     """feature, compared, changed, mismatch_rate: how often a feature of a prefix of the bars differs from that of all bars.
 
-    make: bars -> feature frame. For each checkpoint the first K - guard rows of a prefix of K rows are compared.
+    make: bars -> feature frame. For each checkpoint the first K - guard rows of a prefix of K rows are compared. A feature that looks ahead to the
+    end of a period, as of a day, goes unseen where the prefix ends with the period or up to guard rows after. With twice each prefix is also
+    cut guard + 1 rows shorter; for periods of more than 2 guard + 1 rows, one of both cuts ends within a period and further from its start.
     """
     full = make(bars).select(*KEYS, *[finite(c).alias(c) for c in columns])
     n = bars.groupBy("series_id").agg(F.count("*").alias("_n"))
     parts = None
-    for frac in checkpoints:
-        cut = bars.join(n, "series_id").withColumn("_k", F.floor(F.col("_n") * frac)).where(f"bar_idx < _k and _k > {max(5, guard)}")
+    for frac, less in [(frac, less) for frac in checkpoints for less in ((0, guard + 1) if twice else (0,))]:
+        size = F.floor(F.col("_n") * frac) - less
+        cut = bars.join(n, "series_id").withColumn("_k", size).where(f"bar_idx < _k and _k > {max(5, guard)}")
         head = make(cut.drop("_n", "_k")).select(*KEYS, *[finite(c).alias(f"_{c}") for c in columns])
-        both = full.join(head, list(KEYS)).join(n, "series_id").where(F.col("bar_idx") < F.floor(F.col("_n") * frac) - guard)
+        both = full.join(head, list(KEYS)).join(n, "series_id").where(F.col("bar_idx") < size - guard)
         rows = both.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("a"), F.col(f"_{c}").alias("b")) for c in columns])).alias("r")).select("r.*")
         parts = rows if parts is None else parts.unionByName(rows)
     differ = F.coalesce(F.abs(F.col("a") - F.col("b")) > 1e-9, F.col("a").isNull() != F.col("b").isNull())

@@ -49,13 +49,13 @@ def draw(seed: int | str, weights: dict[str, float], k: int = 1) -> list[str]:
 # ---- audits ----------------------------------------------------------------------------------------------------------
 
 
-def audit(bars: DataFrame, registry: Registry, names: list[str], checkpoints=(0.6, 0.8, 0.9), guard: int = 50) -> DataFrame:
-    """feature, nan_rate, prefix_mismatch_rate, leak_score, flag_prefix, flag_leak of all the named features in three passes."""
+def audit(bars: DataFrame, registry: Registry, names: list[str], checkpoints=(0.6, 0.8, 0.9), guard: int = 50, twice: bool = False) -> DataFrame:
+    """feature, nan_rate, prefix_mismatch_rate, leak_score, flag_prefix, flag_leak of all the named features in three passes. twice: see prefix_stability."""
     make = lambda b: compute(b, {n: registry.get_feature(n) for n in names})
     both = make(bars).join(bars.select(*KEYS, "close"), list(KEYS))
     rates = both.agg(*[F.avg(finite(n).isNull().cast("int")).alias(n) for n in names])
     rates = rates.select(F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("nan_rate")) for n in names])).alias("r")).select("r.*")
-    stable = S.prefix_stability(bars, make, names, checkpoints, guard).select("feature", F.col("mismatch_rate").alias("prefix_mismatch_rate"))
+    stable = S.prefix_stability(bars, make, names, checkpoints, guard, twice).select("feature", F.col("mismatch_rate").alias("prefix_mismatch_rate"))
     out = rates.join(stable, "feature", "left").join(S.leak_scores(both, names).select("feature", "leak_score"), "feature", "left")
     above = lambda c, limit: F.coalesce(F.col(c) > limit, F.lit(False))
     return out.withColumns({"flag_prefix": above("prefix_mismatch_rate", 0.0), "flag_leak": above("leak_score", 0.2)})
@@ -68,7 +68,7 @@ def audit_candidates(bars: DataFrame, registry: Registry, weights: WeightStore,
     """
     new = [f for f in registry.features if f not in weights.features_audit and weights.weight("feature", f) > 0]
     for names in registry.families("features", new):
-        for r in audit(bars, registry, names).collect():
+        for r in audit(bars, registry, names, twice=True).collect():
             found = r.asDict()
             name = found.pop("feature")
             weights.features_audit[name] = found | {"checked_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}

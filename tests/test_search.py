@@ -146,3 +146,12 @@ def test_bump_adds_names(spark):
     w = WeightStore(features={"a": 2.0}).long_form(spark)
     assert {r["name"]: r["weight"] for r in H.bump(w, ["a", "b"], factor=2.0).collect()} == {"a": 4.0, "b": 2.0}
     assert {r["name"]: r["weight"] for r in H.bump(w, ["b"]).collect()} == {"a": 2.0, "b": 3.0}
+
+
+def test_a_look_ahead_within_the_day_is_seen_where_prefixes_end_with_days(spark):
+    x = F.col("id")  # 10 days: each checkpoint is a whole number of them
+    ten = spark.range(2880).select(F.lit("s").alias("series_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=x * 5)).alias("ts"), x.alias("bar_idx"), *[(100 + x * 37 % 11).cast("double").alias(c) for c in ("open", "high", "low", "close")], (x % 13 + 1.0).alias("volume"), F.lit(3.0).alias("n_trades"))
+    r, w = Registry(), WeightStore()
+    r.register_family("features", FT.volume, ["vol_sum_1d_cal", "vol_sum_1d_roll"])
+    search.audit_candidates(ten, r, w)
+    assert w.disabled_features == ["vol_sum_1d_cal"] and w.features_audit["vol_sum_1d_cal"]["flag_prefix"]
