@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +39,9 @@ def latest(log: DataFrame) -> DataFrame:
 def shredded(runs: DataFrame) -> DataFrame:
     """run_id, started_at, target, model, k, features and the metrics (with failed_features) of successful runs; NaN becomes null, but has_auc tells it."""
     d = runs.where("status = 'SUCCESS' and metrics_json is not null")
-    d = d.withColumns({"m": F.from_json("metrics_json", METRICS), "s": F.from_json("selection_json", SELECTION), "a": F.from_json("artifacts_json", ARTIFACTS)}).where("s.target is not null")
+    d = d.withColumns({"m": F.from_json("metrics_json", METRICS), "a": F.from_json("artifacts_json", ARTIFACTS)})
+    # as rows of a list, so that the filter on what was parsed stays behind the parsing and doesn't do it once more
+    d = d.withColumn("s", F.explode(F.array(F.from_json("selection_json", SELECTION)))).where("s.target is not null")
     value = lambda n: F.when(~F.isnan(f"m.{n}"), F.col(f"m.{n}"))
     names = [x.split()[0] for x in METRICS.split(", ")]
     cols = [(F.col(f"m.{n}") if n == "n_test" else value(n)).alias(n) for n in names]
@@ -106,15 +112,33 @@ def best_per_target(runs: DataFrame, n: int = 3) -> DataFrame:
 
 
 CHUNK = 4096
+PIECE_ROWS = 1 << 16
+
+
+def _piece(events: pd.DataFrame, alpha: float) -> pd.DataFrame:
+    """One row for each chunk and name in some events in order: what they make of a weight of 0 (_w), counts of scores and failures, and the scores' total, best and last."""
+    group = events.groupby(["_c", "kind", "name"], sort=False, dropna=False).ngroup().to_numpy()
+    events = events.iloc[np.lexsort((events["score"].to_numpy(float), events["seq"].to_numpy(), group))]
+    group = np.sort(group)
+    m, f = events["m"].to_numpy(np.int64), events["f"].to_numpy(np.int64)
+    score = np.where(m == 1, events["score"].to_numpy(float), 0.0)
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    end = np.r_[start[1:], len(group)]
+    behind = lambda x: np.repeat(np.cumsum(x)[end - 1], end - start) - np.cumsum(x)
+    w = alpha * score * (1 - alpha) ** behind(m) * 0.5 ** (behind(f) + f)
+    at = np.maximum.reduceat(np.where(m == 1, np.arange(len(m)), -1), start)
+    add = lambda x: np.add.reduceat(x, start)
+    found = {"_w": add(w), "m": add(m), "f": add(f), "total": add(score), "best": np.where(at < 0, np.nan, np.maximum.reduceat(np.where(m == 1, score, -np.inf), start)), "_last": np.where(at < 0, np.nan, score[at])}
+    return events[["kind", "name", "seq"]].iloc[start].reset_index(drop=True).assign(**found)
 
 
 def weight_updates(events: DataFrame, store: DataFrame | None = None, alpha: float = ALPHA, start: float = 1.0, chunk: int = CHUNK) -> DataFrame:
     """kind, name, weight, n, mean, best, last (and disabled, with a store) after (kind, name, seq, score, failed) events in order.
 
     A score moves a weight towards it, w -> (1 - alpha) w + alpha score, and a failure then halves it. Such steps compose: m
-    scores and f failures turn w into (1 - alpha)^m w / 2^f plus a sum. So events are folded in chunks of the sequence, and the
-    chunks' results once more; no task holds all events of a name. Names that the store has disabled, or whose weight there is
-    0, are frozen: scores pass them by. Names without a score event keep what the store has.
+    scores and f failures turn w into (1 - alpha)^m w / 2^f plus a sum. So events are dealt by chunks of the sequence, sorted by it and
+    folded a piece of a chunk at a time, and the pieces' results once more; no task holds all events of a name. Names that the store
+    has disabled, or whose weight there is 0, are frozen: scores pass them by. Names without a score event keep what the store has.
     """
     events = events.withColumn("failed", F.coalesce("failed", F.lit(False)))
     if store is not None:
@@ -129,9 +153,21 @@ def weight_updates(events: DataFrame, store: DataFrame | None = None, alpha: flo
         later = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
         return d.withColumn("_w", left(part, zero(F.sum("m").over(later)), zero(F.sum("f").over(later))))
 
-    d = folded(events, ["kind", "name", "_c"], "seq", left(zero(alpha * F.col("score")), F.lit(0), F.col("f")))
-    d = d.groupBy("kind", "name", "_c").agg(F.sum("_w").alias("_w"), F.sum("m").alias("m"), F.sum("f").alias("f"), F.sum("score").alias("total"), F.max("score").alias("best"), F.max(F.when(F.col("m") == 1, F.struct("seq", "score"))).alias("last"))
-    d = folded(d, ["kind", "name"], "_c", F.col("_w"))
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for batch in batches:
+            held, rows = [*held, batch], rows + len(batch)
+            if rows >= PIECE_ROWS:
+                yield _piece(pd.concat(held, ignore_index=True), alpha)
+                held, rows = [], 0
+        if rows:
+            yield _piece(pd.concat(held, ignore_index=True), alpha)
+
+    dealt = events.select("kind", "name", "seq", F.col("score").cast("double").alias("score"), "m", "f", "_c").repartition("_c").sortWithinPartitions("seq")
+    seq = events.schema["seq"].dataType.simpleString()
+    d = dealt.mapInPandas(pieces, f"kind string, name string, seq {seq}, _w double, m long, f long, total double, best double, _last double")
+    d = d.withColumn("last", F.when(F.col("_last").isNotNull(), F.struct("seq", F.col("_last").alias("score"))))
+    d = folded(d, ["kind", "name"], "seq", F.col("_w"))
     g = d.groupBy("kind", "name").agg(F.sum("_w").alias("_w"), F.sum("m").alias("m"), F.sum("f").alias("f"), F.sum("total").alias("total"), F.max("best").alias("best"), F.max("last").alias("last"))
     if store is None:
         d = g.withColumns({"n0": F.lit(0), "m0": F.lit(0.0), "b0": F.lit(0.0), "l0": F.lit(None).cast("double"), "w0": F.lit(start), "disabled": F.lit(False)})

@@ -31,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPREAD_ROWS = 1 << 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt evenly where it is read in fewer parts than there are cores and much is computed of each row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    """df, dealt evenly where much is computed of each row and it is read in fewer parts than there are cores, or than it takes to have SPREAD_ROWS rows in each."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SPREAD_ROWS))
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= parts else df.repartition(parts)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -193,3 +193,10 @@ def test_margin_passes_infinite_returns_by_as_pandas_does(spark):
     want = pd.Series(np.where(r > tau, 1.0, np.where(r < -tau, -1.0, 0.0))).where(r.notna())
     assert got["updown_margin_H12_k075"].astype(float).equals(want) and (want[[28, 40]] == [-1, 1]).all()
     assert got["up_margin_H12_k075"].astype(float).equals((want == 1).astype(float).where(r.notna()))
+
+
+def test_spread_deals_more_parts_the_more_rows_there_are(spark, monkeypatch):
+    from barloom.plans import base
+
+    monkeypatch.setattr(base, "SPREAD_ROWS", 10, raising=False)
+    assert base.spread(spark.range(100)).rdd.getNumPartitions() == 10 and base.spread(spark.range(5)).rdd.getNumPartitions() == 4
